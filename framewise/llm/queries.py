@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import mixing, sharding
+from framewise.llm import bpe, fingerprint, mixing, nearest, sharding
 from framewise.llm.common import read
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest.top_k(rows.filter(F.col("vec_id") % 100 == 0), rows)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(read(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), *bpe.default_vocabulary())
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(read(spark, sf_dir, "documents"), n_shards=16)
     return out.select(
@@ -21,5 +34,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-ORACLE: dict[str, str] = {"op10_mixing": mixing.SQL}
+QUERIES = {
+    "op5_topk": op5_topk,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_bpe": op8_bpe,
+    "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
+}
+ORACLE: dict[str, str] = {"op5_topk": nearest.SQL, "op10_mixing": mixing.SQL}
