@@ -69,3 +69,38 @@ def prefix_sums(lengths: Column, block: int = 256) -> Column:
     sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
     starts = scan(sums, F.lit(0))
     return F.flatten(F.zip_with(blocks, starts, scan))
+
+
+def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches: array of (start, end, value), code points, end exclusive.
+
+    value is the match's group. Matches and the gaps between them come from the same regular
+    expression, so their lengths give the places. Texts without a match cost one search.
+    """
+    p = F.lit(pattern)
+    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m).cast("long"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+    gaps = F.slice(gaps, F.lit(1), F.size(whole))
+    before = prefix_sums(F.zip_with(gaps, whole, lambda g, m: g + m))
+    starts = F.zip_with(before, gaps, lambda b, g: b + g)
+    spans = F.transform(
+        F.arrays_zip(starts.alias("s"), whole.alias("n"), F.regexp_extract_all(text, p, F.lit(group)).alias("v")),
+        lambda z: F.struct(z["s"].alias("start"), (z["s"] + z["n"]).alias("end"), z["v"].alias("value")),
+    )
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+
+
+def replaced(text: Column, marks: Column) -> Column:
+    """text with the spans in marks (start, end, put; ascending) replaced. Of overlapping spans the first to start wins and the rest goes with it."""
+    init = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
+
+    def add(acc: Column, m: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int"))
+        new = F.concat(acc["parts"], F.array(gap, m["put"]))
+        return F.struct(
+            F.when(m["start"] >= acc["at"], new).otherwise(acc["parts"]).alias("parts"),
+            F.greatest(acc["at"], m["end"]).alias("at"),
+        )
+
+    done = F.aggregate(marks, init, add, lambda acc: acc)
+    return F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, fingerprint, mixing, nearest, sharding
+from framewise.llm import bpe, fingerprint, mixing, nearest, secrets, sharding
 from framewise.llm.common import read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(read(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return nearest.top_k(rows.filter(F.col("vec_id") % 100 == 0), rows)
@@ -35,10 +39,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op5_topk": op5_topk,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
-ORACLE: dict[str, str] = {"op5_topk": nearest.SQL, "op10_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_secrets": secrets.SQL, "op5_topk": nearest.SQL, "op10_mixing": mixing.SQL}
