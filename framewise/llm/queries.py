@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, fingerprint, mixing, nearest, secrets, sharding
+from framewise.llm import bpe, fingerprint, mixing, nearest, secrets, sharding, surrogates
 from framewise.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(rows.filter(F.col("vec_id") % 100 == 0), rows)
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op5_topk": op5_topk,
+    "op6_surrogates": op6_surrogates,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
