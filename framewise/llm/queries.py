@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, fingerprint, mixing, nearest, secrets, sharding, surrogates
+from framewise.llm import bpe, fingerprint, mixing, nearest, quality, secrets, sharding, surrogates
 from framewise.llm.common import read
 
 
@@ -13,6 +13,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return nearest.top_k(rows.filter(F.col("vec_id") % 100 == 0), rows)
@@ -44,6 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_quality": op3_quality,
     "op5_topk": op5_topk,
     "op6_surrogates": op6_surrogates,
     "op7_fingerprints": op7_fingerprints,
