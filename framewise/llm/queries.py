@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, fingerprint, mixing, nearest, quality, secrets, sharding, surrogates
+from framewise.llm import bpe, fingerprint, mixing, nearest, neardup, quality, secrets, sharding, surrogates
 from framewise.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read(spark, sf_dir, "documents"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_neardup": op2_neardup,
     "op3_quality": op3_quality,
     "op5_topk": op5_topk,
     "op6_surrogates": op6_surrogates,
