@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, fingerprint, mixing, nearest, neardup, quality, secrets, sharding, surrogates
+from framewise.llm import bpe, fingerprint, mixing, nearest, neardup, quality, secrets, sharding, suffixes, surrogates
 from framewise.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.stripped(read(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return nearest.top_k(rows.filter(F.col("vec_id") % 100 == 0), rows)
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_neardup": op2_neardup,
     "op3_quality": op3_quality,
+    "op4_suffixes": op4_suffixes,
     "op5_topk": op5_topk,
     "op6_surrogates": op6_surrogates,
     "op7_fingerprints": op7_fingerprints,
