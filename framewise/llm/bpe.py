@@ -21,78 +21,121 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: States and pieces kept before the tables start anew.
-MOST_STATES = 200_000
-MOST_PIECES = 400_000
+#: States, pieces and pairs of tokens kept before the tables start anew.
+MOST_STATES = 700_000
+MOST_PIECES = 700_000
+MOST_PAIRS = 500_000
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         self.starts = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget all states; 0 is the start of a piece."""
-        self.states: list[tuple[int, bytes, list[int], list[int]]] = [(-1, b"", [-1], [0])]
+        """Forget all states; 0 is the start of a piece.
+
+        A state: the bytes held back; for each of their prefixes the last token (for the empty one
+        the last token emitted, -1 at the start of a piece); the possible starts of the next token.
+        """
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", (-1,), (0,))]
         self.index: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Plain merging, for single tokens and pairs: the lowest rank first, leftmost among equals."""
+    def merged(self, piece: bytes) -> list[bytes]:
+        """Plain merging to the last step but the one that gives the whole piece: lowest rank first, leftmost among equals."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > 2:
             found = [(r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
             if not found:
                 break
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merging gives this one; None for single bytes and tokens that no merging gives."""
+        if token not in self.halves:
+            parts = self.merged(self.tokens[token])
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
 
     def agrees(self, a: int, b: int) -> bool:
-        """Whether tokens a and b (a -1: nothing) next to each other encode to themselves."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            own = [b] if a < 0 else [a, b]
-            ok = self.merged(b"".join(self.tokens[t] for t in own)) == own
-            if len(self.pairs) > 4 * MOST_STATES:
-                self.pairs.clear()
-            self.pairs[a, b] = ok
-        return ok
-
-    def path(self, last: list[int], to: int) -> list[int]:
+        """Whether tokens a and b (a -1: nothing) next to each other encode to themselves.
+
+        They do not if, while both are being built, the right edge of the one and the left edge of
+        the other form a token before either of them is merged further. So both are taken apart at
+        the common border, the later merge first, and each pair of edges is looked at.
+        """
+        if self.sizes[b] > 1 and self.split(b) is None:
+            return False
+        if a < 0:
+            return True
+        tokens, most = self.tokens, len(self.tokens)
+        while True:
+            both = self.ranks.get(tokens[a] + tokens[b])
+            if both is not None and both < most:
+                return False
+            # A merge of equal rank is done first where it stands further left.
+            left, right = self.sizes[a] > 1, self.sizes[b] > 1
+            if left and (a > b or not right):
+                most, a = a, self.split(a)[1]
+            elif right:
+                most, b = b + 1, self.split(b)[0]
+            else:
+                return True
+
+    def path(self, last: tuple[int, ...], to: int) -> list[int]:
         out = []
         while to:
             out.append(last[to])
-            to -= len(self.tokens[last[to]])
+            to -= self.sizes[last[to]]
         return out[::-1]
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and what is emitted."""
-        done, held, last, live = self.states[state]
-        held += bytes([byte])
-        n = len(held)
-        token = next(
-            t for j in live if (t := self.ranks.get(held[j:])) is not None and self.agrees(last[j] if j else done, t)
-        )
-        last = [*last, token]
-        live = [j for j in live if held[j:] in self.starts] + [n]
-        at = set(live)
+        held, last, live = self.states[state]
+        held += bytes((byte,))
+        n, sizes, pairs, starts = len(held), self.sizes, self.pairs, self.starts
+        token = -1
+        more = []
+        for j in live:
+            tail = held[j:]
+            if tail in starts:
+                more.append(j)
+            elif token >= 0:
+                continue
+            if token < 0 and (t := self.ranks.get(tail)) is not None:
+                key = last[j], t
+                ok = pairs.get(key)
+                if ok is None:
+                    if len(pairs) > MOST_PAIRS:
+                        pairs.clear()
+                    ok = pairs[key] = self.agrees(*key)
+                if ok:
+                    token = t
+        last = (*last, token)
+        at = {*more, n}
         while len(at) > 1:  # back along the paths of all possible starts, to where they meet
             j = max(at)
             at.remove(j)
-            at.add(j - len(self.tokens[last[j]]))
+            at.add(j - sizes[last[j]])
         m = at.pop()
-        out = tuple(self.path(last, m))
+        out: tuple[int, ...] = ()
         if m:
-            done, held, last, live = out[-1], held[m:], [-1, *last[m + 1 :]], [j - m for j in live]
-        to = self.index.get((done, held))
+            out = tuple(self.path(last, m))
+            held, last, more = held[m:], last[m:], [j - m for j in more]
+        live = (*more, n - m)
+        to = self.index.get((last[0], held))
         if to is None:
-            to = self.index[done, held] = len(self.states)
-            self.states.append((done, held, last, live))
+            to = self.index[last[0], held] = len(self.states)
+            self.states.append((held, last, live))
         self.steps[state << 8 | byte] = to, out
         return to, out
 
@@ -113,14 +156,14 @@ class Transducer:
                     self.reset()
                     steps = self.steps
                     self.states.append(kept)
-                    self.index[kept[0], kept[1]] = 1
+                    self.index[kept[1][0], kept[0]] = 1
                     known = 1, known[1]
             state, emitted = known
             if emitted:
                 out += emitted
         end = self.ends.get(state)
         if end is None:
-            _, held, last, _ = self.states[state]
+            held, last, _ = self.states[state]
             end = self.ends[state] = tuple(self.path(last, len(held)))
         return (*out, *end)
 
