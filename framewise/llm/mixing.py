@@ -101,6 +101,22 @@ def mixed(
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def resampled(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, same columns, as often as mixed() takes them.
+
+    Rows are matched by id and size; where rows repeat an id and a size, each gets the copies of one
+    of them.
+    """
+    told = mixed(docs, seed, id_col, text_col, source_col).filter("copies > 0")
+    told = told.select(F.col(id_col).alias("_fw_id"), F.col("size").alias("_fw_size"), F.col("copies").alias("_fw_copies"))
+    again = docs.withColumns({"_fw_own": F.col(f"`{id_col}`"), "_fw_words": n_words(text_col)})
+    # Equal ids and sizes have equal ranks but for order; one row of them speaks for all.
+    told = told.groupBy("_fw_id", "_fw_size").agg(F.max("_fw_copies").alias("_fw_copies"))
+    hit = again.join(told, F.col("_fw_own").eqNullSafe(F.col("_fw_id")) & (F.col("_fw_words") == F.col("_fw_size")))
+    copies = hit.withColumn("_fw_copy", F.explode(F.sequence(F.lit(1), F.col("_fw_copies").cast("int"))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: DuckDB twin of mixed().
 SQL = r"""
 WITH d AS (

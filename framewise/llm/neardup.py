@@ -176,6 +176,23 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def own_share(texts: DataFrame) -> DataFrame:
+    """node, own: the share of each text's weight in shingles that no other text of texts has. Nodes without such are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, h, doc, n in weighted_sets(batch.column(1)):
+                node = np.asarray(batch.column(0))[a + doc]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node, pa.int64()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), batch.column(2).take(pa.array(a + doc))],
+                    names=["node", "shingle", "n", "weight"],
+                )
+
+    rows = texts.select("node", "text", "weight").mapInArrow(run, "node long, shingle long, n long, weight long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("n").alias("n"), F.max("weight").alias("weight"))
+    return alone.filter("node = other").groupBy("node").agg((F.sum("n") / F.max("weight")).alias("own"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, comp (the least node) for all nodes of edges (u, v).
 
@@ -226,7 +243,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         at = buckets if label is None else buckets.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if label is not None:
             apart = at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-            at = at.join(apart, "key")
+            at = written(at.join(apart, "key"), "dup-apart")
+            if at.isEmpty():
+                break
         else:
             at = at.withColumn("comp", F.col("node"))
         if turn < ROUNDS:
@@ -243,17 +262,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
                 F.col("h.node").alias("u"), F.col("node").alias("v"), F.col("h.weight").alias("wu"), F.col("weight").alias("wv"), F.col("h.comp").alias("cu"), F.col("comp").alias("cv")
             )
         else:
-            a = at.select("key", F.col("node").alias("u"), F.col("weight").alias("wu"), F.col("comp").alias("cu"))
-            b = at.select("key", F.col("node").alias("v"), F.col("weight").alias("wv"), F.col("comp").alias("cv"))
-            pairs = a.join(b, "key").filter("u < v")
+            # What only u has cannot be shared: with a share x of that, v must weigh less than
+            # ((1 - x) / LEAST - x) times u. This rules out copies that were edited too much.
+            alone = own_share(texts.join(at.select("node", "weight").distinct(), "node"))
+            at = written(at.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0))), "dup-apart")
+            side = lambda x: at.select("key", F.col("node").alias(x), *[F.col(c).alias(d + x) for c, d in (("weight", "w"), ("comp", "c"), ("own", "o"))])
+            room = lambda x, y: F.col(f"w{y}") <= ((1 - F.col(f"o{x}")) / LEAST - F.col(f"o{x}")) * F.col(f"w{x}") + 1e-6
+            pairs = side("u").join(side("v"), "key").filter(F.col("u") < F.col("v")).filter(room("u", "v") & room("v", "u"))
         # Likeness is at most the lesser weight by the greater.
         pairs = pairs.filter((F.col("cu") != F.col("cv")) & (F.least("wu", "wv") >= LEAST * F.greatest("wu", "wv")))
         pairs = pairs.select("u", "v").distinct()
         new = written(linked(pairs, texts), "dup-links")
         edges = new if edges is None else edges.unionByName(new)
-        if turn < ROUNDS and not new.isEmpty() or label is None:
-            label = components(edges)
-        elif turn == ROUNDS:
+        if label is None or not new.isEmpty():
             label = components(edges)
 
     lead = nodes.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
