@@ -829,3 +829,26 @@ def _(spark, d):
 
 
 
+# ---- the stream, run over a written log ----------------------------------------------------------
+
+
+@query(
+    "st1_stream_twin",
+    f"""WITH {REPLAYED} SELECT key, seq, kind, CASE WHEN kind = 'frame' OR kind = 'report' THEN prev END AS prev, committed, changed, suspicious, emits FROM rp""",
+)
+def _(spark, d):
+    import uuid
+
+    from framewise.plans.persist import shared_dir
+    from framewise.streaming import live
+
+    home = f"{shared_dir(spark)}/framewise-stream-{uuid.uuid4().hex}"
+    log = an.command_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    log.select("key", "ts", "seq", "kind", "result", "source", "flag").write.parquet(f"{home}/log")
+    out = live.live(live.read_log(spark, f"{home}/log", 1_000_000))
+    sink = lambda rows, n: rows.write.mode("overwrite").parquet(f"{home}/out/batch={n}")
+    run = out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    run.awaitTermination()
+    rows = spark.read.schema(live.OUT).parquet(f"{home}/out")
+    prev = F.when(F.col("kind").isin("frame", "report"), F.col("prev"))
+    return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
