@@ -6,16 +6,13 @@ candidate from below, and with the norms that bounds their inner product from ab
 scored in order of that bound until the next bound is below the k-th best score: no candidate that
 could enter is left out, so the result is exact, ties included.
 
-Queries go in blocks of a set size, each shipped with its job, against one scan of the candidates; a
-task keeps k rows a query, and a ranking by query merges the tasks' rows. So neither queries nor
-candidates meet in one place, and the block is the only thing broadcast.
+Queries and candidates are dealt to the cells of a grid by hash, a bounded number of each to a cell,
+and every cell searches its candidates for its queries; it keeps k rows a query, and a ranking by
+query merges the cells' rows. Nothing goes through the driver but two counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,7 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PIVOTS = 32
-BLOCK = 8192
+#: Queries and candidates in a cell, in the mean, and the least number of candidate blocks.
+BLOCK, CANDIDATES, LEAST_BLOCKS = 8192, 16_384, 16
 #: Scored at once before the bounds are looked at again.
 STEP = 64
 
@@ -107,8 +105,6 @@ def top_k(
     null or non-finite components take no part, nor do rows with a null id; vectors meet those of
     the same length only. No queries or no candidates give no rows; other columns are not read.
     """
-    spark = candidates.sparkSession
-
     def ready(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
         return df.filter(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), whole(v, scale).alias("v"))
@@ -116,40 +112,32 @@ def top_k(
     asked = ready(queries).dropDuplicates(["id", "v"])
     rows = ready(candidates)
 
-    def searched(ids: np.ndarray, column: pa.Array) -> DataFrame:
-        blocks = spark.sparkContext.broadcast([(n, ids[at], m) for n, at, m in _vectors(column)])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {n: Block(i, m, k, n_pivots) for n, i, m in blocks.value}
-            for batch in batches:
-                at = np.asarray(batch.column(0), dtype=np.int64)
-                for n, where, m in _vectors(batch.column(1)):
-                    if n in own:
-                        own[n].add(at[where], m)
-            found = [(int(q), i, -s) for b in own.values() for q, best in zip(b.ids, b.best, strict=True) for s, i in best]
-            q, i, s = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, id long, score long")
-
-    parts = []
-    held: tuple[list[int], list[pa.Array]] = ([], [])
-
-    def close() -> None:
-        ids, arrays = held
-        parts.append(searched(np.array(ids, np.int64), pa.array(arrays, pa.list_(pa.int64()))))
-        ids.clear()
-        arrays.clear()
-
-    for row in asked.toLocalIterator():  # one partition of queries at a time
-        held[0].append(row[0])
-        held[1].append(row[1])
-        if len(held[0]) == block:
-            close()
-    if held[0] or not parts:
-        close()
+    across = max(1, -(-asked.count() // block))
+    down = max(LEAST_BLOCKS, -(-rows.count() // CANDIDATES))
+    dealt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "v", dealt(across).alias("across"), every(down).alias("down"))
+    right = rows.select("id", "v", every(across).alias("across"), dealt(down).alias("down"))
+
+    def search(own: pa.Table, others: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int]] = []
+        if own.num_rows and others.num_rows:
+            ids = {x: np.asarray(t["id"], dtype=np.int64) for x, t in (("q", own), ("c", others))}
+            candidates = {n: (where, m) for n, where, m in _vectors(others["v"].combine_chunks())}
+            for n, where, m in _vectors(own["v"].combine_chunks()):
+                if n in candidates:
+                    cell = Block(ids["q"][where], m, k, n_pivots)
+                    at, vectors = candidates[n]
+                    for a in range(0, len(at), 4096):
+                        cell.add(ids["c"][at[a : a + 4096]], vectors[a : a + 4096])
+                    found += [(int(q), i, -s) for q, best in zip(cell.ids, cell.best, strict=True) for s, i in best]
+        q, i, s = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
+
+    cells = left.groupBy("across", "down").cogroup(right.groupBy("across", "down"))
+    parts = cells.applyInArrow(search, "query_id long, id long, score long")
     ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    merged = reduce(DataFrame.unionByName, parts).withColumn("rank", ranked).filter(F.col("rank") <= k)
+    merged = parts.withColumn("rank", ranked).filter(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
