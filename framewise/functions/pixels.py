@@ -118,3 +118,12 @@ def hashes(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[
     for height, width, data in parts:
         images = [image(*x) for x in zip(height, width, data, strict=True)]
         yield pd.DataFrame({"phash": [phash(i) for i in images], "dhash": [dhash(i) for i in images]}, dtype="int64")
+
+
+def thumbnail(img: np.ndarray, most: int = 400) -> np.ndarray:
+    """The image within most x most pixels, proportions kept; smaller images stay as they are."""
+    share = min(1.0, most / max(img.shape[:2]))
+    if share == 1.0:
+        return img
+    rows, cols = (max(1, round(n * share)) for n in img.shape[:2])
+    return np.stack([shrunk(img[..., c].astype(float), rows, cols) for c in range(img.shape[2])], axis=2).round().astype(np.uint8)

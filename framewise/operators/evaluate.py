@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Upper bounds of the two histograms.
@@ -73,8 +74,6 @@ def timing(judged_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     x = F.col("elapsed")
     n = F.count(F.lit(1))
     stats = given.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("m"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(x).alias("s"))
-    from pyspark.sql import Window as W
-
     counts = given.groupBy(*keys, x).agg(n.alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy(*keys).orderBy("elapsed")))
     counts = counts.join(stats.select(*(by or []), "n"), by) if by else counts.crossJoin(F.broadcast(stats.select("n")))
     middle = counts.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min("elapsed").alias("mid"))
@@ -85,6 +84,18 @@ def timing(judged_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def log_record() -> Column:
+    """The line of a judged row in an evaluation log: ignored rows have file and status only, as nulls are not written."""
+    given = F.col("status") != "ignored"
+    return F.struct(
+        F.col("name").alias("file"),
+        "status",
+        F.when(given, F.col("expected")).alias("expected"),
+        F.when(given, F.col("classified")).alias("classified"),
+        F.when(given, F.round("elapsed", 2)).alias("elapsed"),
+    )
+
+
 def wrong_names(judged_rows: DataFrame) -> DataFrame:
     """Names of wrong verdicts by bucket, in order of scanning (position, name)."""
     return judged_rows.filter("status = 'incorrect'").select("bucket", "position", "name")

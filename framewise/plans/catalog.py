@@ -829,6 +829,67 @@ def _(spark, d):
 
 
 
+@query(
+    "sc14_one_off_saves",
+    """SELECT event_id, coalesce(strftime(TRY_CAST(stamp AS TIMESTAMP), '%Y-%m-%d_%H-%M-%S'), 'now') || suffix AS filename FROM (
+      SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 2 = 0 THEN 'Z' ELSE '' END END AS stamp,
+        CASE WHEN event_id % 3 = 0 THEN '.jpeg' ELSE '.png' END AS suffix FROM events)""",
+)
+def _(spark, d):
+    n = F.col("event_id")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(n % 2 == 0, "Z").otherwise(""))
+    stamp = F.when(n % 10 == 0, "soon").otherwise(text)
+    suffix = names.with_suffix(F.when(n % 3 == 0, ".JPEG").otherwise(".gif"), ".png")
+    at = F.date_format(F.try_to_timestamp(stamp), "yyyy-MM-dd_HH-mm-ss")
+    # The application takes the present time for a stamp that cannot be read; a fixed text keeps the query repeatable.
+    return table(spark, d, "events").select("event_id", F.concat(F.coalesce(at, F.lit("now")), suffix).alias("filename"))
+
+
+@query(
+    "sk7_delete_list",
+    f"""WITH q AS ({_greedy_sql(10, True)}), {HASHES}, m AS (SELECT 'images/' || name AS path, replace(name, '.jpg', '') AS stem FROM hs
+      UNION ALL SELECT 'thumbnails/' || name, replace(name, '.jpg', '') FROM hs WHERE n % 3 = 0 UNION ALL SELECT 'audio/' || replace(name, '.jpg', '.wav'), replace(name, '.jpg', '') FROM hs WHERE n % 2 = 0)
+    SELECT path FROM m WHERE stem IN (SELECT replace(name, '.jpg', '') FROM q WHERE NOT kept)""",
+)
+def _(spark, d):
+    rows = _tagged(spark, d)
+    media = rows.select(F.concat(F.lit("images/"), "name").alias("path"), "name")
+    media = media.unionByName(rows.filter("n % 3 = 0").select(F.concat(F.lit("thumbnails/"), "name").alias("path"), "name"))
+    audio = F.concat(names.stem(F.col("name")), F.lit(".wav"))
+    media = media.unionByName(rows.filter("n % 2 = 0").select(F.concat(F.lit("audio/"), audio).alias("path"), "name"))
+    gone = _decided(spark, d).filter("NOT kept").select(names.stem(F.col("name")).alias("stem"))
+    return media.withColumn("stem", names.stem(F.col("name"))).join(gone, "stem", "left_semi").select("path")
+
+
+@query(
+    "st3_capture",
+    f"""WITH {FRAMES}, h AS (SELECT *, list(seq) OVER (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held FROM fr)
+    SELECT key, seq AS "at", CAST(generate_subscripts(held, 1) - 1 AS INTEGER) AS idx, unnest(held) AS seq FROM h WHERE seq % 50 = 7""",
+)
+def _(spark, d):
+    return state.flushed(an.frames(spark, d), F.col("seq") % 50 == 7)
+
+
+@query(
+    "o9_top_k",
+    f"WITH {FRAMES} SELECT key, seq, elapsed FROM fr ORDER BY elapsed DESC, seq LIMIT 60",
+)
+def _(spark, d):
+    return an.frames(spark, d).orderBy(F.desc("elapsed"), "seq").limit(60).select("key", "seq", "elapsed")
+
+
+@query(
+    "sk5_evaluation_log",
+    f"""WITH {JUDGED} SELECT name AS file, status, CASE WHEN status <> 'ignored' THEN expected END AS expected, CASE WHEN status <> 'ignored' THEN classified END AS classified,
+      CASE WHEN status <> 'ignored' THEN round(elapsed, 2) END AS elapsed FROM ju WHERE status <> 'unlabeled'""",
+)
+def _(spark, d):
+    rows = _judged(spark, d).filter("status <> 'unlabeled'")
+    lines = rows.select(F.to_json(evaluate.log_record()).alias("json"))
+    back = F.from_json("json", "file string, status string, expected string, classified string, elapsed double").alias("r")
+    return lines.select(back).select("r.*")
+
+
 # ---- the stream, run over a written log ----------------------------------------------------------
 
 
