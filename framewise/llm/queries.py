@@ -70,4 +70,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
-ORACLE: dict[str, str] = {"op1_secrets": secrets.SQL, "op5_topk": nearest.SQL, "op10_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_secrets": secrets.SQL, "op5_topk": nearest.SQL, "op9_sharding": sharding.SQL, "op10_mixing": mixing.SQL}

@@ -122,3 +122,26 @@ def sharded(
         F.col("vslot").alias("virtual_slot"),
         F.col("version").alias("map_version"),
     )
+
+
+#: DuckDB twin of sharded() over documents with 16 shards: CRC-32 by its table, the map as a recursion.
+SQL = r"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes,
+    CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 4096 AS INTEGER) AS vslot FROM documents),
+d AS (SELECT doc_id, size, vslot, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, bits),
+z AS (SELECT CAST(s.i AS INTEGER) AS vslot, coalesce(sum(size), 0)::BIGINT AS bytes, count(size) AS n_rows FROM range(4096) s(i) LEFT JOIN d ON d.vslot = s.i GROUP BY s.i),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, vslot) AS k, sum(bytes) OVER () / 16 AS mean FROM z),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS vslot, CAST(NULL AS INTEGER) AS shard, list_transform(range(16), lambda i: CAST(0 AS BIGINT)) AS loads
+  UNION ALL
+  SELECT k, vslot, shard, list_transform(loads, lambda v, i: CASE WHEN i = shard + 1 THEN v + bytes ELSE v END) FROM (
+    SELECT o.k, o.vslot, o.bytes, f.loads, CAST(CASE WHEN f.loads[o.vslot % 16 + 1] + o.bytes <= o.mean THEN o.vslot % 16 ELSE list_position(f.loads, list_min(f.loads)) - 1 END AS INTEGER) AS shard
+    FROM f JOIN o ON o.k = f.k + 1)),
+m AS (SELECT vslot, shard, coalesce(sum(n_rows) OVER (PARTITION BY shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f JOIN z USING (vslot))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  CAST(start + row_number() OVER (PARTITION BY d.vslot ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, d.vslot AS virtual_slot, 1 AS map_version
+FROM d JOIN m ON d.vslot = m.vslot
+"""

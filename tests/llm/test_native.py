@@ -97,6 +97,10 @@ def test_sharding(spark, sf, edge_docs, no_docs):
     assert sharding.sharded(edge_docs).count() == edge_docs.count() and sharding.sharded(no_docs).count() == 0
 
 
+def test_sharding_matches_sql(spark, sf):
+    same(queries.QUERIES["op9_sharding"](spark, sf), queries.ORACLE["op9_sharding"], connect(sf))
+
+
 def test_map_is_edited_not_rebuilt(spark):
     sizes = spark.range(4096).selectExpr("cast(id AS int) AS vslot", "100 + id % 7 AS size")
     first = sharding.rebalanced(sharding.first_map(spark, 16), sharding.slot_sizes(sizes), 16)
