@@ -37,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs, *bpe.default_vocabulary())
+    # Smaller tables than the operator's own: the other stages' executors have little memory left.
+    return bpe.encoded(docs, *bpe.default_vocabulary(), most_states=100_000, keep_tables=False)
 
 
 STAGES = [

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space inside ASCII: space and \t \n \v \f \r.
 SPACES = r"\x20\x09-\x0D"
@@ -104,3 +109,30 @@ def replaced(text: Column, marks: Column) -> Column:
 
     done = F.aggregate(marks, init, add, lambda acc: acc)
     return F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+
+
+#: Rows in an Arrow batch: with texts of some kilobytes a batch is a few megabytes, on both sides.
+ARROW_ROWS = 1000
+
+
+def _tidy() -> None:
+    """Give memory that is free back to the system: Python workers are kept, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with small batches, after which a worker keeps little memory.
+
+    The size of batches is a setting of the session, read when the plan runs.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(tidied, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import textgrams as tg
+from framewise.llm.common import mapped
 
 K = 128
 
@@ -89,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string, n_shingles double")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string, n_shingles double")
 
 
 LEAST_ID = -(1 << 63)
@@ -183,7 +184,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield flush()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = in_order_with_next(docs, id_col, text_col).mapInArrow(
+    out = mapped(
+        in_order_with_next(docs, id_col, text_col),
         run,
         "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )

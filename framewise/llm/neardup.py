@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import textgrams as tg
-from framewise.llm.common import text_or_empty, written
+from framewise.llm.common import mapped, text_or_empty, written
 
 N_WORDS = 5
 LEAST = 0.8
@@ -143,7 +143,7 @@ def signed(rows: DataFrame, text_col: str, bands: int = BANDS, per_band: int = R
             )
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, hash string, weight long, keys array<long>, bits array<long>")
+    return mapped(rows, run, f"{kinds}, hash string, weight long, keys array<long>, bits array<long>")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -187,7 +187,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 known = {int(u[-1]): known[int(u[-1])]}
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return mapped(both, run, "u long, v long")
 
 
 def own_share(texts: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def own_share(texts: DataFrame) -> DataFrame:
                     names=["node", "shingle", "n", "weight"],
                 )
 
-    rows = texts.select("node", "text", "weight").mapInArrow(run, "node long, shingle long, n long, weight long")
+    rows = mapped(texts.select("node", "text", "weight"), run, "node long, shingle long, n long, weight long")
     alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("n").alias("n"), F.max("weight").alias("weight"))
     return alone.filter("node = other").groupBy("node").agg((F.sum("n") / F.max("weight")).alias("own"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import textgrams as tg
+from framewise.llm.common import mapped
 
 MOST_POSITIVES = 3000
 MOST_UNLABELLED = 5000
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["kind", "x"])
 
-    got = texts.mapInArrow(run, "kind string, x binary").toArrow().to_pydict()
+    got = mapped(texts, run, "kind string, x binary").toArrow().to_pydict()
     rows = {k: sorted(x for kind, x in zip(got["kind"], got["x"], strict=True) if kind == k) for k in "pu"}
     p, u = (np.frombuffer(b"".join(rows[k]), np.float16).reshape(-1, N_FEATURES).astype(np.float32) for k in "pu")
     return nnpu(p, u, float(np.clip(prior, 0.01, 0.99)))
@@ -172,7 +173,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1)), pa.float64())], names=[id_col, "score"])
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -185,4 +186,4 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0
                 part = batch.slice(a, 500)
                 yield part.filter(pa.array(model.score(part.column(at)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import textgrams as tg
-from framewise.llm.common import text_or_empty, written
+from framewise.llm.common import mapped, text_or_empty, written
 
 LENGTH = 200
 GRAM = 32
@@ -208,7 +208,7 @@ def surveyed(rows: DataFrame) -> DataFrame:
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, id long, n_bytes long, sha256 string, anchors array<long>, first array<int>, last array<int>, places array<int>")
+    return mapped(rows, run, f"key {kind}, id long, n_bytes long, sha256 string, anchors array<long>, first array<int>, last array<int>, places array<int>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,20 +322,16 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     cold = texts.select("id", "text", F.filter("places", lambda p: ~p["hot"]).alias("places")).filter(F.size("places") > 0)
     hot = texts.select("id", "text", F.filter("places", lambda p: p["hot"]).alias("places")).filter(F.size("places") > 0)
-    gathered = (
-        cold.mapInArrow(_cut, "anchor long, id long, first int, part binary")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "part")
-        .mapInArrow(_marked, "id long, start long, end long")
-    )
-    strings = hot.mapInArrow(_strings, "anchor long, string long, id long, start int")
+    parts = mapped(cold, _cut, "anchor long, id long, first int, part binary").repartition("anchor")
+    gathered = mapped(parts.sortWithinPartitions("anchor", "part"), _marked, "id long, start long, end long")
+    strings = mapped(hot, _strings, "anchor long, string long, id long, start int")
     place = F.xxhash64("id", "start")
     twice = strings.groupBy("anchor", "string").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q")
     counted = strings.join(twice, ["anchor", "string"]).select("id", F.col("start").cast("long").alias("start"), (F.col("start") + LENGTH).cast("long").alias("end"))
 
     ranges = gathered.unionByName(counted).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     left = texts.select("id", "text").join(ranges, "id").select("id", "text", "ranges")
-    left = left.mapInArrow(_rest, "id long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    left = mapped(left, _rest, "id long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     left = left.dropDuplicates(["id"]) if with_kept else left.drop("kept").distinct()
 
     told = copies.join(left, "id", "left")

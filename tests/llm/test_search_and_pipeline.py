@@ -43,7 +43,7 @@ def test_pipeline_against_plain_version(spark, sf):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(clean).collect()}
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     own = bpe.codec(*bpe.default_vocabulary())
-    want = sorted((i, own.encode(texts[i])) for i in first for _ in range(copies[i]))
+    want = sorted((i, own.encode(texts[i]).tolist()) for i in first for _ in range(copies[i]))
     got = sorted((r["doc_id"], list(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want
 
