@@ -14,24 +14,28 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: States, pieces and pairs of tokens kept before the tables start anew.
-MOST_STATES = 700_000
-MOST_PIECES = 700_000
-MOST_PAIRS = 500_000
+from framewise.llm.common import mapped
+
+#: States kept before the tables start anew; half as many pieces and pairs of tokens. A state takes
+#: about half a kilobyte, a piece a fifth.
+MOST_STATES = 650_000
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES) -> None:
+        self.ranks, self.most = ranks, most_states
         self.tokens = {i: b for b, i in ranks.items()}
         self.sizes = {i: len(b) for b, i in ranks.items()}
+        #: Ids are packed into two bytes, or four for large vocabularies.
+        self.kind = np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
+        self.packed = {i: np.array([i], self.kind).tobytes() for i in self.tokens}
         self.starts = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -44,9 +48,15 @@ class Transducer:
         the last token emitted, -1 at the start of a piece); the possible starts of the next token.
         """
         self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", (-1,), (0,))]
-        self.index: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.index: dict[bytes, int] = {self.name(-1, b""): 0}
+        #: By state << 8 | byte: the next state; its complement, where something is emitted.
+        self.steps: dict[int, int] = {}
+        self.out: dict[int, bytes] = {}
+        self.ends: dict[int, bytes] = {}
+
+    @staticmethod
+    def name(done: int, held: bytes) -> bytes:
+        return done.to_bytes(4, "little", signed=True) + held
 
     def merged(self, piece: bytes) -> list[bytes]:
         """Plain merging to the last step but the one that gives the whole piece: lowest rank first, leftmost among equals."""
@@ -91,14 +101,15 @@ class Transducer:
             else:
                 return True
 
-    def path(self, last: tuple[int, ...], to: int) -> list[int]:
+    def path(self, last: tuple[int, ...], to: int) -> bytes:
+        """The tokens of the first `to` bytes held, packed."""
         out = []
         while to:
-            out.append(last[to])
+            out.append(self.packed[last[to]])
             to -= self.sizes[last[to]]
-        return out[::-1]
+        return b"".join(out[::-1])
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def step(self, state: int, byte: int) -> tuple[int, bytes]:
         """The next state and what is emitted."""
         held, last, live = self.states[state]
         held += bytes((byte,))
@@ -115,7 +126,7 @@ class Transducer:
                 key = last[j], t
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) > MOST_PAIRS:
+                    if len(pairs) > self.most // 2:
                         pairs.clear()
                     ok = pairs[key] = self.agrees(*key)
                 if ok:
@@ -127,78 +138,98 @@ class Transducer:
             at.remove(j)
             at.add(j - sizes[last[j]])
         m = at.pop()
-        out: tuple[int, ...] = ()
+        out = b""
         if m:
-            out = tuple(self.path(last, m))
+            out = self.path(last, m)
             held, last, more = held[m:], last[m:], [j - m for j in more]
         live = (*more, n - m)
-        to = self.index.get((last[0], held))
+        name = self.name(last[0], held)
+        to = self.index.get(name)
         if to is None:
-            to = self.index[last[0], held] = len(self.states)
+            to = self.index[name] = len(self.states)
             self.states.append((held, last, live))
-        self.steps[state << 8 | byte] = to, out
+        if out:
+            self.out[state << 8 | byte] = out
+        self.steps[state << 8 | byte] = ~to if out else to
         return to, out
 
-    def piece(self, piece: bytes) -> tuple[int, ...]:
-        """The tokens of one piece. A piece that is a token is that token."""
+    def piece(self, piece: bytes) -> bytes:
+        """The tokens of one piece, packed. A piece that is a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        if len(self.states) > MOST_STATES:
+            return self.packed[whole]
+        if len(self.states) > self.most:
             self.reset()
-        state, out, steps = 0, [], self.steps
+        state, out, steps = 0, bytearray(), self.steps
         for byte in piece:
-            known = steps.get(state << 8 | byte)
-            if known is None:
-                known = self.step(state, byte)
-                if len(self.states) > 2 * MOST_STATES:  # within one very long piece: keep the present state only
-                    kept = self.states[known[0]]
+            at = state << 8 | byte
+            to = steps.get(at)
+            if to is None:
+                state, emitted = self.step(state, byte)
+                out += emitted
+                if len(self.states) > 2 * self.most:  # within one very long piece: keep the present state only
+                    kept = self.states[state]
                     self.reset()
                     steps = self.steps
                     self.states.append(kept)
-                    self.index[kept[1][0], kept[0]] = 1
-                    known = 1, known[1]
-            state, emitted = known
-            if emitted:
-                out += emitted
+                    self.index[self.name(kept[1][0], kept[0])] = state = 1
+            elif to < 0:
+                out += self.out[at]
+                state = ~to
+            else:
+                state = to
         end = self.ends.get(state)
         if end is None:
             held, last, _ = self.states[state]
-            end = self.ends[state] = tuple(self.path(last, len(held)))
-        return (*out, *end)
+            end = self.ends[state] = self.path(last, len(held))
+        return bytes(out) + end if out else end
 
 
 class Codec:
     """Encodes texts, each match of pattern by itself, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = MOST_STATES) -> None:
+        self.machine = Transducer(ranks, most_states)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
+        self.known: dict[str, bytes] = {}
+        ids = sorted(self.machine.tokens)
+        sizes = np.zeros(ids[-1] + 2, np.int64)
+        sizes[np.array(ids) + 1] = [self.machine.sizes[i] for i in ids]
+        #: The bytes of all tokens, and where each begins.
+        self.begin = np.cumsum(sizes)
+        self.bytes = np.frombuffer(b"".join(self.machine.tokens[i] for i in ids), np.uint8)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        out: list[bytes] = []
+        known, add = self.known, out.append
         for piece in self.find(text):
             ids = known.get(piece)
             if ids is None:
                 ids = self.machine.piece(piece.encode())
                 if len(piece) <= 48:
-                    if len(known) >= MOST_PIECES:
+                    if len(known) >= self.machine.most // 2:
                         known.clear()
                     known[piece] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: Iterable[int], at_once: int = 65_536) -> Iterator[str]:
-        """The text in parts, from ids as they come; see Utf8."""
-        part, utf8 = [], Utf8()
-        for i in ids:
-            part.append(self.machine.tokens[i])
-            if len(part) == at_once:
-                yield utf8.feed(b"".join(part))
-                part = []
-        yield utf8.feed(b"".join(part)) + utf8.close()
+            add(ids)
+        return np.frombuffer(b"".join(out), self.machine.kind)
+
+    def release(self) -> None:
+        """Give the tables' memory back; a worker that is kept for other tasks should not hold it."""
+        self.machine.reset()
+        self.machine.pairs.clear()
+        self.known.clear()
+
+    def decode(self, ids: np.ndarray, at_once: int = 65_536) -> Iterator[str]:
+        """The text in parts, from runs of ids; see Utf8."""
+        utf8 = Utf8()
+        for a in range(0, len(ids), at_once):
+            part = ids[a : a + at_once].astype(np.int64)
+            begin, size = self.begin[part], self.begin[part + 1] - self.begin[part]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(begin - ends + size, size)
+            yield utf8.feed(self.bytes[at].tobytes())
+        yield utf8.close()
 
 
 class Utf8:
@@ -234,9 +265,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, most_states: int = MOST_STATES) -> Codec:
     """One for each vocabulary and Python worker; the file must be there on every executor."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, most_states)
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -245,25 +276,31 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_states: int = MOST_STATES, keep_tables: bool = True
+) -> DataFrame:
     """id_col, ids and n_tokens of every row's whole text; one pass, no shuffle.
 
+    With keep_tables a worker that gets other tasks keeps what it has learnt, and the memory.
+
     Null texts count as empty and have no ids; repeated rows are rows of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, most_states)
         for batch in batches:
             for part in slices(batch):
-                found = [np.array(own.encode(t.as_py() or ""), np.int32) for t in part.column(1)]
+                found = [own.encode(t.as_py() or "").astype(np.int32) for t in part.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), ids, pa.array(np.diff(ends).astype(np.int64))], names=[id_col, "ids", "n_tokens"]
                 )
+        if not keep_tables:
+            own.release()
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long")
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -274,12 +311,12 @@ def decoded(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
         for batch in batches:
             for part in slices(batch, 500):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(["".join(own.decode(x.as_py() or ())) for x in part.column(1)], pa.string())],
+                    [part.column(0), pa.array(["".join(own.decode(np.array(x.as_py() or (), np.int64))) for x in part.column(1)], pa.string())],
                     names=[id_col, "text"],
                 )
 
     rows = tokens.select(id_col, "ids")
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, text string")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, text string")
 
 
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -287,7 +324,9 @@ def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, rows)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_states: int = MOST_STATES, keep_tables: bool = True
+) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests of both; one pass, no shuffle.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the
@@ -295,14 +334,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, most_states)
         for batch in batches:
             for part in slices(batch):
                 n, ids_sha, text_sha = [], [], []
                 for text in part.column(1):
                     ids = own.encode(text.as_py() or "")
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     out = hashlib.sha256()
                     for x in own.decode(ids):
                         out.update(x.encode())
@@ -311,8 +350,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        if not keep_tables:
+            own.release()
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(
-        run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return mapped(
+        rows,
+        run,
+        f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -157,6 +157,9 @@ def test_two_stage_order():
     for k in range(200):
         data = bytes(rng.choice(b"ab" if k % 2 else b"abc\x00\xff") for _ in range(rng.randint(1, 200)))
         assert suffixes.two_stage_order(data, len(data) + 1).tolist() == sorted(range(len(data)), key=lambda i: data[i:])  # noqa: B023
+        wanted = np.array([rng.random() < 0.3 for _ in data])
+        got = [i for i in suffixes.two_stage_order(data, len(data) + 1, wanted).tolist() if wanted[i]]
+        assert got == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: data[i:])  # noqa: B023
 
 
 def test_stripping_edges(edge_docs, no_docs):
