@@ -90,8 +90,8 @@ def segments(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return anchor[first].view(np.int64), doc[first], at[first], at[last], 1 + twice.astype(np.int64)
 
 
-def two_stage_order(data: bytes, depth: int) -> np.ndarray:
-    """The suffixes of data in order of their first depth bytes at least.
+def two_stage_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of data, or those wanted among others, in order of their first depth bytes at least.
 
     A suffix is of the first stage if it is smaller than its successor, that is, if the next other
     byte is greater; those are sorted by comparing. The rest are induced: going through the buckets of
@@ -106,7 +106,14 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     small = np.zeros(n, bool)
     inner = nxt < n - 1
     small[inner] = t[nxt[inner]] < t[nxt[inner] + 1]
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    need = np.ones(n, bool)
+    if wanted is not None:
+        # Those wanted and, for the second stage, their successors up to one of the first.
+        first = np.append(np.flatnonzero(small), n - 1)
+        at = np.flatnonzero(wanted)
+        steps = np.bincount(at, minlength=n + 1) - np.bincount(first[np.searchsorted(first[:-1], at)] + 1, minlength=n + 1)
+        need = np.cumsum(steps)[:n] > 0
+    direct = np.array(sorted(np.flatnonzero(small & need).tolist(), key=lambda i: data[i : i + depth]), np.int64)
     by = t[direct]
     cut = np.searchsorted(by, np.arange(257))
     out: list[np.ndarray] = []
@@ -115,7 +122,7 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     def scan(part: np.ndarray, own: int) -> np.ndarray:
         """Deal the predecessors of part to their buckets; return those that belong to own."""
         before = part[part > 0] - 1
-        before = before[~small[before]]
+        before = before[~small[before] & need[before]]
         c = t[before]
         order = np.argsort(c, kind="stable")
         before, c = before[order], c[order]
@@ -130,7 +137,8 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
                 waiting[c[a]].append(before[a:b])
         return mine
 
-    waiting[int(t[-1])].append(np.array([n - 1]))  # its successor, the empty suffix, comes before all
+    if need[n - 1]:
+        waiting[int(t[-1])].append(np.array([n - 1]))  # its successor, the empty suffix, comes before all
     for c in range(256):
         part = np.concatenate(waiting[c]) if waiting[c] else direct[:0]
         while len(part):  # runs of one byte induce in their own bucket
@@ -140,7 +148,7 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
         if len(part):
             out.append(part)
             scan(part, c)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else direct
 
 
 def common_prefix_reaches(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -169,8 +177,9 @@ def repeated_starts(parts: list[bytes], several: list[bool], length: int = LENGT
     size = np.array([len(p) for p in parts])
     begin = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(len(parts)), size)
-    order = two_stage_order(data, length + 8)
-    order = order[begin[owner[order] + 1] - order >= length]  # strings that lie within a segment
+    within = begin[owner + 1] - np.arange(len(t)) >= length  # strings that lie within a segment
+    order = two_stage_order(data, length + 8, within)
+    order = order[within[order]]
     same = common_prefix_reaches(t, order, length)
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
