@@ -3,7 +3,9 @@
 Within each source the documents' expected copies are summed in one fixed order, one random offset
 is added, and a document is emitted once per integer boundary that its share of the sum crosses.
 The order runs through size classes (sixteenths of a power of two), so that large and small
-documents are hit in proportion and the words taken stay near the target.
+documents are hit in proportion and the words taken stay near the target. In a source of few
+documents one large one can still weigh much: of OFFSETS random offsets the one is used whose words
+come nearest to the target.
 
 The running sum is never computed in one task per source: expected copies are alike for all
 documents of a source, so the sum is a rank times a rate, and ranks come from cells (source, size
@@ -22,6 +24,7 @@ from framewise.llm.common import SPACES, hex_int, text_or_empty, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
+OFFSETS = 16
 
 
 def n_words(text_col: str = "text") -> Column:
@@ -84,20 +87,30 @@ def mixed(
     goals = targets(cells.groupBy("src").agg(F.sum("words").alias("source_size")))
     before = W.partitionBy("src").orderBy("cls", "salt").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(goals, "src")
-    offset = hex_int(F.md5(F.concat(F.lit(seed), F.col("src"))), 8) / F.lit(4294967296.0)
-    starts = starts.select("src", "cls", "salt", "start", "source_size", "target", offset.alias("u"))
+    starts = starts.select("src", "cls", "salt", "start", "source_size", "target")
     ranked = rows.withColumn(
         "rank", F.row_number().over(W.partitionBy("src", "cls", "salt").orderBy("size", "hexed", "id"))
     ).join(starts, ["src", "cls", "salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank = F.col("start") + F.col("rank")
-    crossed = F.floor(rate * rank + F.col("u")) - F.floor(rate * (rank - 1) + F.col("u"))
-    return ranked.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        F.least(crossed, F.lit(MOST_COPIES)).cast("long").alias("copies"),
+    ranked = written(
+        ranked.select("id", "src", "size", "source_size", "target", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("rank")),
+        "mix-ranked",
+    )
+
+    def offset(j: int) -> Column:
+        return hex_int(F.md5(F.concat(F.lit(f"{seed}{j}"), F.col("src"))), 8) / F.lit(4294967296.0)
+
+    def copies(u: Column) -> Column:
+        crossed = F.floor(F.col("rate") * F.col("rank") + u) - F.floor(F.col("rate") * (F.col("rank") - 1) + u)
+        return F.least(crossed, F.lit(MOST_COPIES)).cast("long")
+
+    # Words that each offset would take, summed before the shuffle; one row a source comes out.
+    words = [F.sum(F.col("size") * copies(F.col(f"u{j}"))).alias(f"w{j}") for j in range(OFFSETS)]
+    tried = ranked.withColumns({f"u{j}": offset(j) for j in range(OFFSETS)}).groupBy("src").agg(F.first("target").alias("target"), *words)
+    miss = [F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), offset(j).alias("u")) for j in range(OFFSETS)]
+    chosen = tried.select("src", F.least(*miss)["u"].alias("u"))
+    return ranked.join(chosen, "src").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", copies(F.col("u")).alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -138,16 +151,19 @@ WITH d AS (
 ), l AS (
   SELECT arg_min(level, (source_size / w, src)) FILTER (WHERE level <= 2 * source_size / w) AS lvl FROM f
 ), t AS (
-  SELECT src, source_size, least(CAST(2 * source_size AS DOUBLE), w * lvl) AS target,
-         CAST(CAST('0x' || substr(md5('mix' || src), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
-  FROM f, l
+  SELECT src, source_size, least(CAST(2 * source_size AS DOUBLE), w * lvl) AS target FROM f, l
 ), q AS (
-  SELECT doc_id, size, source_size, target,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, rk, u
+  SELECT doc_id, src, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, rk
   FROM r JOIN t USING (src)
+), u AS (
+  SELECT src, j, CAST(CAST('0x' || substr(md5('mix' || j || src), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM t, range(16) AS g(j)
+), y AS (
+  SELECT src, u, CAST(least(floor(rate * rk + u) - floor(rate * (rk - 1) + u), 2) AS BIGINT) AS copies, size, target, j FROM q JOIN u USING (src)
+), best AS (
+  SELECT src, arg_min(u, (miss, j)) AS u FROM (SELECT src, u, j, abs(sum(copies * size) - any_value(target)) AS miss FROM y GROUP BY src, u, j) GROUP BY src
 )
 SELECT doc_id, size, source_size, target,
        CAST(least(floor(rate * rk + u) - floor(rate * (rk - 1) + u), 2) AS BIGINT) AS copies,
        CAST(least(floor(rate * rk + u) - floor(rate * (rk - 1) + u), 2) AS BIGINT) * size AS taken
-FROM q
+FROM q JOIN best USING (src)
 """
