@@ -93,7 +93,7 @@ def mixed(
     ).join(starts, ["src", "cls", "salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ranked = written(
-        ranked.select("id", "src", "size", "source_size", "target", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("rank")),
+        ranked.select("id", "src", "cls", "salt", "size", "source_size", "target", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("rank")),
         "mix-ranked",
     )
 
@@ -109,7 +109,9 @@ def mixed(
     tried = ranked.withColumns({f"u{j}": offset(j) for j in range(OFFSETS)}).groupBy("src").agg(F.first("target").alias("target"), *words)
     miss = [F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), offset(j).alias("u")) for j in range(OFFSETS)]
     chosen = tried.select("src", F.least(*miss)["u"].alias("u"))
-    return ranked.join(chosen, "src").select(
+    # It comes back by cell, as a source may hold a third of all rows.
+    by_cell = cells.select("src", "cls", "salt").join(chosen, "src")
+    return ranked.join(by_cell, ["src", "cls", "salt"]).select(
         F.col("id").alias(id_col), "size", "source_size", "target", copies(F.col("u")).alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
