@@ -10,19 +10,25 @@ weighted Jaccard likeness, at a cost of one hash for each word and a few for eac
 Texts that agree in a band of coordinates are candidates; links are exact likenesses of 0.8 or more.
 Classes are connected components of links. Equal texts are one node from the start. Within a bucket
 all nodes are held against the most central one, so a bucket of many copies makes as many comparisons
-as it has nodes. Nodes of buckets that are still apart get a second signature of longer bands, and
-only nodes of different components that agree in one of those, and whose own shingles leave room for
-a link, are paired.
+as it has nodes.
+
+Nodes of buckets that are still apart are settled without pairing a bucket with itself. A shingle that
+few of them hold is rare. What two texts share is at most their rare shingles in common and the lesser
+of what else they hold; so pairs are counted through rare shingles alone, and most nodes hold too many
+of those, unshared, to have another link at all. What is left goes on with a greater bound for rare.
+At least one node of a pair lies outside its bucket's largest component, and only such nodes ask. No
+step drops a pair that could be a link.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import textgrams as tg
@@ -31,12 +37,10 @@ from framewise.llm.common import mapped, text_or_empty, written
 N_WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 20, 5
-#: Bands for nodes that are apart after the comparison with central nodes: longer ones, in which
-#: texts that are fairly alike but not enough seldom agree (0.6: 0.4 bands in place of 1.6).
-FINE_BANDS, FINE_ROWS = 60, 10
-#: Most of the 600 low bits of the fine signature in which a pair may differ: at a likeness of 0.8
-#: it is 60 in the mean, and more than 87 once in ten thousand times.
-MOST_BITS = 87
+#: A shingle in so many texts at most, of those that are still apart, is rare; level by level.
+RARE = (16, 256, 4096)
+#: Pairs that a level may count through shingles, for each shingle of the texts that are apart.
+PAIRS_A_SHINGLE = 4
 U = np.uint64
 
 
@@ -113,37 +117,28 @@ def weighted_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield a, b, *tg.shingle_counts(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], N_WORDS)
 
 
-def low_bits(signature: np.ndarray) -> np.ndarray:
-    """The lowest bit of each coordinate, packed into longs."""
-    bits = np.packbits((signature & U(1)).astype(np.uint8), axis=1)
-    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
-
-
-def signed(rows: DataFrame, text_col: str, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """rows without their text, with hash (MD5 of the text), weight (number of shingles), keys (one for each band; none if there is no word) and bits (of the fine signature)."""
+def signed(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows without their text, with hash (MD5 of the text), weight (number of shingles) and keys (one for each band; none if there is no word)."""
     keep = [c for c in rows.columns if c != text_col]
-    fine = (bands, per_band) == (FINE_BANDS, FINE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = tg.columns(batch)
             texts = c[text_col]
-            keys, weight, low = [], [], []
+            keys, weight = [], []
             for a, b, h, doc, n in weighted_sets(texts):
-                sig = signatures(h, doc, n.astype(float), b - a, bands * per_band)
+                sig = signatures(h, doc, n.astype(float), b - a, BANDS * ROWS)
                 w = np.bincount(doc, weights=n, minlength=b - a).astype(np.int64)
-                low += low_bits(sig).tolist() if fine else [None] * (b - a)
-                keys += [k if x else [] for k, x in zip(band_keys(sig, bands, per_band).tolist(), w, strict=True)]
+                keys += [k if x else [] for k, x in zip(band_keys(sig, BANDS, ROWS).tolist(), w, strict=True)]
                 weight.append(w)
             hashes = [hashlib.md5((t.as_py() or "").encode()).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [c[x] for x in keep]
-                + [pa.array(hashes, pa.string()), pa.array(np.concatenate(weight) if weight else [], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
-                names=[*keep, "hash", "weight", "keys", "bits"],
+                [c[x] for x in keep] + [pa.array(hashes, pa.string()), pa.array(np.concatenate(weight) if weight else [], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[*keep, "hash", "weight", "keys"],
             )
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped(rows, run, f"{kinds}, hash string, weight long, keys array<long>, bits array<long>")
+    return mapped(rows, run, f"{kinds}, hash string, weight long, keys array<long>")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -190,21 +185,70 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(both, run, "u long, v long")
 
 
-def own_share(texts: DataFrame) -> DataFrame:
-    """node, own: the share of each text's weight in shingles that no other text of texts has. Nodes without such are left out."""
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, shingle, n (times it occurs) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, h, doc, n in weighted_sets(batch.column(1)):
                 node = np.asarray(batch.column(0))[a + doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, pa.int64()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), batch.column(2).take(pa.array(a + doc))],
-                    names=["node", "shingle", "n", "weight"],
+                    [pa.array(node, pa.int64()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["node", "shingle", "n"]
                 )
 
-    rows = mapped(texts.select("node", "text", "weight"), run, "node long, shingle long, n long, weight long")
-    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("n").alias("n"), F.max("weight").alias("weight"))
-    return alone.filter("node = other").groupBy("node").agg((F.sum("n") / F.max("weight")).alias("own"))
+    return mapped(texts.select("node", "text"), run, "node long, shingle long, n int")
+
+
+def _linkable(shared: Column, wu: str = "wu", wv: str = "wv") -> Column:
+    """Whether texts of these weights that share so much are alike enough: s / (wu + wv - s) >= LEAST."""
+    return shared * (1 + LEAST) >= LEAST * (F.col(wu) + F.col(wv)) - 1e-6
+
+
+def left_pairs(pool: DataFrame, texts: DataFrame, rare: tuple[int, ...] = RARE) -> DataFrame:
+    """Distinct pairs (u, v) that may still be links, from the nodes whose buckets hold several components.
+
+    pool: node, comp, weight, keys (of those buckets), asks (whether the node is outside the largest
+    component of one of them). At each level a shingle in rare[level] nodes at most is rare, and rest
+    is a node's weight without rare shingles: no more can be shared by two nodes that have no rare
+    shingle in common. Pairs that have one are counted here in full and decided; the others go on to
+    the next level, or, if that would count too many pairs, are met in their buckets.
+    """
+    rows = written(shingle_rows(texts.join(pool.select("node"), "node", "left_semi")), "dup-shingles")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"), F.max("n").alias("n"))
+    held = written(held.filter(F.col("held") <= rare[-1]), "dup-held")
+    several = rows.join(held.filter("held > 1").select("shingle", "held"), "shingle")
+    alone = held.filter("held = 1").select("node", "shingle", "n", "held")
+    level = [F.sum(F.when(F.col("held") <= most, F.col("n")).otherwise(0)).alias(f"rare{i}") for i, most in enumerate((1, *rare))]
+    own = several.select("node", "shingle", "n", "held").unionByName(alone).groupBy("node").agg(*level)
+    rest = [(F.col("weight") - F.coalesce(f"rare{i}", F.lit(0))).alias(f"rest{i}") for i in range(len(rare) + 1)]
+    nodes = written(pool.join(own, "node", "left").select("node", "comp", "weight", "asks", "keys", *rest), "dup-left")
+    size = rows.count()
+
+    def side(df: DataFrame, x: str, i: int, *more: str) -> DataFrame:
+        """Columns of the nodes that can have a link at level i, named for one side of a pair."""
+        on = df.filter(F.col(f"rest{i}") >= LEAST * F.col("weight") - 1e-6)
+        on = on.filter("asks") if x == "u" else on
+        names = {"node": x, "comp": f"c{x}", "weight": f"w{x}", "asks": f"a{x}", "n": f"n{x}", f"rest{i}": f"r{x}", f"rest{i + 1}": f"s{x}"}
+        return on.select(*more, *[F.col(a).alias(b) for a, b in names.items() if a in on.columns])
+
+    # Each pair once: from the node that asks or, if both do, from the lesser one.
+    once = (F.col("cu") != F.col("cv")) & (~F.col("av") | (F.col("u") < F.col("v"))) & _linkable(F.least("ru", "rv"))
+    found, done = [], 0
+    met = several.join(nodes.drop("keys"), "node").filter(F.col("rest0") >= LEAST * F.col("weight") - 1e-6)
+    met = written(met, "dup-met")
+    for i, most in enumerate(rare):
+        some = met.filter((F.col("held") <= most) & (F.col("held") > (rare[i - 1] if i else 1)))
+        asked = some.filter(F.col("asks") & (F.col(f"rest{i}") >= LEAST * F.col("weight") - 1e-6)).agg(F.sum("held")).first()[0] or 0
+        if asked > PAIRS_A_SHINGLE * size:
+            break
+        done = i + 1
+        if not asked:
+            continue
+        pairs = side(some, "u", i, "shingle").join(side(some, "v", i, "shingle"), "shingle").filter(once)
+        told = pairs.groupBy("u", "v").agg(F.sum(F.least("nu", "nv")).alias("both"), *[F.first(c).alias(c) for c in ("wu", "wv", "su", "sv")])
+        found.append(written(told.filter(_linkable(F.col("both") + F.least("su", "sv"))).select("u", "v"), "dup-pairs"))
+    ends = side(nodes, "u", done, F.explode("keys").alias("key")).join(side(nodes, "v", done, F.explode("keys").alias("key")), "key").filter(once)
+    return reduce(DataFrame.unionByName, found, ends.select("u", "v")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -237,7 +281,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), *keep, text_or_empty(text_col).alias("text")
     )
-    rows = written(signed(rows, "text").drop("bits"), "dup-signed")
+    rows = written(signed(rows, "text"), "dup-signed")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     nodes = rows.groupBy("hash").agg(F.min(key).alias("lead"), F.first("keys").alias("keys"), F.first("weight").alias("weight"), F.count(F.lit(1)).alias("n_rows"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
@@ -259,22 +303,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     label = components(edges)
 
     # Then what is still apart within a bucket.
-    at = buckets.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    pool = written(at.join(apart, "key").select("node", "weight", "comp").distinct(), "dup-apart")
+    at = buckets.join(label, "node", "left").select("key", "node", "weight", F.coalesce("comp", "node").alias("comp"))
+    parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    apart = at.join(top.select("key", F.col("top.comp").alias("most")), "key")
+    pool = apart.groupBy("node").agg(F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.collect_list("key").alias("keys"), F.max(F.col("comp") != F.col("most")).alias("asks"))
+    pool = written(pool, "dup-apart")
     if not pool.isEmpty():
-        own = own_share(texts.join(pool.select("node", "weight"), "node"))
-        fine = signed(texts.join(pool, "node").select("node", "comp", "text"), "text", FINE_BANDS, FINE_ROWS)
-        fine = fine.join(own, "node", "left").select("node", "comp", "weight", "bits", F.coalesce("own", F.lit(0.0)).alias("own"), F.explode("keys").alias("key"))
-        fine = written(fine, "dup-fine")
-        side = lambda x: fine.select("key", F.col("node").alias(x), *[F.col(c).alias(d + x) for c, d in (("weight", "w"), ("comp", "c"), ("own", "o"), ("bits", "b"))])
-        # What only u has cannot be shared: with a share x of that, v must weigh less than
-        # ((1 - x) / LEAST - x) times u. This rules out copies that were edited too much.
-        room = lambda x, y: F.col(f"w{y}") <= ((1 - F.col(f"o{x}")) / LEAST - F.col(f"o{x}")) * F.col(f"w{x}") + 1e-6
-        apart_bits = sum(F.bit_count(F.col("bu")[i].bitwiseXOR(F.col("bv")[i])) for i in range(-(-FINE_BANDS * FINE_ROWS // 64)))
-        pairs = side("u").join(side("v"), "key").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & room("u", "v") & room("v", "u"))
-        pairs = pairs.filter(apart_bits <= MOST_BITS)
-        more = written(linked(_possible(pairs), texts), "dup-links")
+        more = written(linked(left_pairs(pool, texts), texts), "dup-links")
         if not more.isEmpty():
             label = components(edges.unionByName(more))
 
