@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a local one, if the master is local; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='framewise-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -52,10 +54,10 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def prefix_sums(lengths: Column, block: int = 256) -> Column:
-    """For an array of longs the array of sums of all items before each one.
+def prefixes(items: Column, zero: Column, op: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For an array of longs the array of op over all items before each one; op is associative, zero its start.
 
-    Native and without quadratic copying: sums within blocks, then block offsets.
+    Native and without quadratic copying: within blocks, then from block to block.
     """
 
     def scan(items: Column, start: Column) -> Column:
@@ -63,17 +65,19 @@ def prefix_sums(lengths: Column, block: int = 256) -> Column:
         return F.aggregate(
             items,
             init,
-            lambda acc, x: F.struct(F.array_append(acc["a"], acc["s"]).alias("a"), (acc["s"] + x).alias("s")),
+            lambda acc, x: F.struct(F.array_append(acc["a"], acc["s"]).alias("a"), op(acc["s"], x).cast("long").alias("s")),
         )["a"]
 
-    n_blocks = F.ceil(F.size(lengths) / F.lit(block)).cast("int")
-    blocks = F.when(
-        n_blocks > 0,
-        F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * block + 1, F.lit(block))),
-    ).otherwise(F.array().cast("array<array<bigint>>"))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
-    starts = scan(sums, F.lit(0))
-    return F.flatten(F.zip_with(blocks, starts, scan))
+    blocks = in_blocks(items, "bigint", block)
+    sums = F.transform(blocks, lambda b: F.aggregate(b, zero.cast("long"), lambda a, x: op(a, x).cast("long")))
+    return F.flatten(F.zip_with(blocks, scan(sums, zero), scan))
+
+
+def in_blocks(items: Column, kind: str, block: int = 256) -> Column:
+    """An array cut into arrays of block items."""
+    n = F.ceil(F.size(items) / F.lit(block)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(items, b * block + 1, F.lit(block)))
+    return F.when(n > 0, cut).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
 
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -86,7 +90,7 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m).cast("long"))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
     gaps = F.slice(gaps, F.lit(1), F.size(whole))
-    before = prefix_sums(F.zip_with(gaps, whole, lambda g, m: g + m))
+    before = prefixes(F.zip_with(gaps, whole, lambda g, m: g + m), F.lit(0), lambda a, x: a + x)
     starts = F.zip_with(before, gaps, lambda b, g: b + g)
     spans = F.transform(
         F.arrays_zip(starts.alias("s"), whole.alias("n"), F.regexp_extract_all(text, p, F.lit(group)).alias("v")),
@@ -96,19 +100,33 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def replaced(text: Column, marks: Column) -> Column:
-    """text with the spans in marks (start, end, put; ascending) replaced. Of overlapping spans the first to start wins and the rest goes with it."""
-    init = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
-
-    def add(acc: Column, m: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["parts"], F.array(gap, m["put"]))
-        return F.struct(
-            F.when(m["start"] >= acc["at"], new).otherwise(acc["parts"]).alias("parts"),
-            F.greatest(acc["at"], m["end"]).alias("at"),
-        )
-
-    done = F.aggregate(marks, init, add, lambda acc: acc)
-    return F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    """text with the spans in marks (start, end, put; longs and a string; ascending) replaced.
+
+    Of overlapping spans the first to start wins and the rest goes with it. The work goes by blocks of
+    marks, each with the part of the text that it covers, so that a text of many marks is not
+    searched from its start for each of them.
+    """
+    spans = "struct<start:bigint,end:bigint,put:string>"
+    state = lambda parts, at: F.struct(parts.alias("parts"), at.cast("long").alias("at"))
+    none = F.array().cast("array<string>")
+
+    def in_block(acc: Column, block: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(block, lambda m: m["end"])))
+        held = F.struct(F.substring(text, (acc["at"] + 1).cast("int"), (end - acc["at"]).cast("int")).alias("t"), acc["at"].alias("base"))
+
+        def add(own: Column, m: Column, h: Column) -> Column:
+            gap = F.substring(h["t"], (own["at"] - h["base"] + 1).cast("int"), (m["start"] - own["at"]).cast("int"))
+            take = m["start"] >= own["at"]
+            return state(F.when(take, F.concat(own["parts"], F.array(gap, m["put"]))).otherwise(own["parts"]), F.when(take, m["end"]).otherwise(own["at"]))
+
+        one = lambda h: F.aggregate(block, state(none, h["base"]), lambda own, m: add(own, m, h))
+        new = F.transform(F.array(held), one)[0]
+        return F.transform(F.array(new), lambda n: state(F.array_append(acc["parts"], F.array_join(n["parts"], "")), n["at"]))[0]
+
+    given = F.transform(marks, lambda m: F.struct(m["start"].cast("long").alias("start"), m["end"].cast("long").alias("end"), m["put"].alias("put")))
+    done = F.aggregate(in_blocks(given, spans), state(none, F.lit(0)), in_block)
+    rest = lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.length(text)))
+    return F.transform(F.array(done), rest)[0]
 
 
 #: Rows in an Arrow batch: with texts of some kilobytes a batch is a few megabytes, on both sides.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import match_spans, replaced, text_or_empty, written
+from framewise.llm.common import match_spans, prefixes, replaced, text_or_empty, written
 
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
@@ -57,14 +57,25 @@ def looks_random(value: Column) -> Column:
 
 
 def bare_spans(text: Column, base: Column) -> Column:
-    """Bare tokens that look random and lie outside the base spans."""
-    found = F.filter(
-        match_spans(text, BARE),
-        lambda m: looks_random(m["value"]) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-    )
-    return F.transform(
-        found, lambda m: F.struct(m["start"], F.lit(3).alias("rank"), m["end"], F.lit("live").alias("kind"), m["value"])
-    ).cast(_SPANS)
+    """Bare tokens that look random and lie outside the base spans.
+
+    In one list by start, a token is outside if no base span before it ends after its start and the
+    next one starts after its end (tokens do not overlap each other).
+    """
+    found = F.filter(match_spans(text, BARE), lambda m: looks_random(m["value"]))
+    live = F.transform(found, lambda m: F.struct(m["start"], F.lit(3).alias("rank"), m["end"], F.lit("live").alias("kind"), m["value"])).cast(_SPANS)
+
+    def outside(both: Column) -> Column:
+        ends = prefixes(F.transform(both, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        after = F.transform(F.slice(both, F.lit(2), F.size(both)), lambda s: s["start"])
+        free = F.filter(
+            F.arrays_zip(both.alias("s"), ends.alias("e"), after.alias("n")),
+            lambda z: (z["s"]["rank"] == 3) & (z["e"] <= z["s"]["start"]) & (z["n"].isNull() | (z["n"] >= z["s"]["end"])),
+        )
+        return F.transform(free, lambda z: z["s"])
+
+    listed = F.transform(F.array(F.array_sort(F.concat(base, live))), outside)[0]
+    return F.when(F.size(live) > 0, listed).otherwise(live)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+import regex
+
 from framewise.llm import mixing, queries, secrets, sharding, surrogates
 from tests.oracle import connect, same
 
@@ -53,32 +57,159 @@ def test_secrets_edges(edge_docs, no_docs):
     assert not any("04dbebab" in t or "AKIAABCDEF" in t for t in texts)
 
 
-def test_surrogates(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    old = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = surrogates.pseudonymised(docs.select("doc_id", "text")).collect()
-    known = {}
-    for r in out:
-        for e, new in zip(filter(None, r["entities"].split(",")), r["surrogates"], strict=True):
-            kind, a, b = e.split(":")
-            value = old[r["doc_id"]][int(a) : int(b)]
-            assert len(new) == len(value) or kind == "ip"
-            assert re.sub("[0-9]+", "0", new) == re.sub("[0-9]+", "0", value) or kind == "email"
-            assert known.setdefault((kind, value), new) == new
-    assert known and len(set(known.values())) == len(known)
-    assert not {v for _, v in known} & set(known.values())
-    assert all(r["text"] == old[r["doc_id"]] for r in out if not r["n_entities"])
-
-
-def test_surrogate_names_and_edges(spark, edge_docs, no_docs):
-    text = "Mr Smith met Frau Anna Müller. Frau Anna Müller, Mr Jones; Госпожа Иванова. +1 (017) 555-7713 is +1-017-555-7713"
-    out = surrogates.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    a = out["surrogates"]
-    assert a[1] == a[2] and a[0] != a[3] and a[0].startswith("Mr ") and a[1].startswith("Frau ")
-    assert re.sub(r"\D", "", a[5]) == re.sub(r"\D", "", a[6]) and re.search("[а-я]", a[4])
-    out = surrogates.pseudonymised(edge_docs, report=False)
-    assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
-    assert surrogates.pseudonymised(no_docs).count() == 0
+KEY = "for checks only"
+
+
+def plain_entities(text):
+    found = [(m.start(), i, m.end(), m[0], k) for i, (k, p) in enumerate(surrogates.PATTERNS.items()) for m in regex.finditer(p, text)]
+    at, out = 0, []
+    for start, _, end, value, kind in sorted(found):
+        if start >= at:
+            out.append((kind, start, end, value))
+            at = end
+    return out
+
+
+def plain_norm(kind, value):
+    if kind in ("card", "ssn", "phone"):
+        return re.sub("[^0-9]", "", value)
+    if kind == "iban":
+        return value.replace(" ", "")
+    return value.lower() if kind == "email" else re.sub(r"^\S+ ", "", value).lower() if kind in ("male", "female") else value
+
+
+def luhn(digits):
+    return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(map(int, reversed(digits)))) % 10
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def plain_new(kind, norm, attempt):
+    seed = "|".join([KEY, kind, norm, str(attempt)])
+    b = b"".join(hashlib.sha256(f"{seed}|{i}".encode()).digest() for i in range(3))
+    more = [b[95 - j] for j in range(max(0, attempt - 7))]
+
+    def like(text):
+        out = []
+        for i, c in enumerate(text):
+            x = b[i % 96]
+            if "0" <= c <= "9":
+                c = c if kind == "phone" and i == 0 else str(x % 10)
+            elif c in string.ascii_letters:
+                c = chr((97 if c.islower() else 65) + x % 26)
+            out.append(c)
+        return "".join(out)
+
+    if kind == "ip":
+        return ".".join(map(str, b[:4]))
+    if kind == "email":
+        tld = (re.findall(r"\.[a-z]{2,}$", norm) or [""])[0]
+        return "".join(chr(97 + x % 26) for x in more) + like(norm[: len(norm) - len(tld)]) + tld
+    if kind in ("male", "female"):
+        script = "cyrillic" if regex.search(r"\p{IsCyrillic}", norm) else "greek" if regex.search(r"\p{IsGreek}", norm) else "latin"
+        part = [surrogates.SYLLABLES[script][x % 16] for x in b]
+        given = (part[0] + part[1] + surrogates.GIVEN[script, kind][b[2] % 4]).capitalize()
+        family = ("".join(part[3 : 3 + min(90, 2 + attempt)]) + surrogates.FAMILY[script][kind]).capitalize()
+        return f"{given} {family}" if " " in norm else family
+    new = like(norm) + "".join(str(x % 10) for x in more)
+    if kind == "card":
+        right = -luhn(new[:-1] + "0") % 10
+        new = new[:-1] + str(right if luhn(norm) == 0 else (right + 1 + b[90] % 9) % 10)
+    if kind == "iban":
+        valid = mod97(norm[4:] + norm[:4]) == 1
+        new = norm[:2] + (f"{98 - mod97(new[4:] + norm[:2] + '00'):02}" if valid else new[2:4]) + new[4:]
+    return new
+
+
+def plain_fill(kind, value, new):
+    if kind in ("male", "female"):
+        return value.split(" ", 1)[0] + " " + new
+    if kind == "ip":
+        return new
+    if kind == "email":
+        more = len(new) - len(value)
+        return new[:more] + "".join(n.upper() if c.isupper() else n for c, n in zip(value, new[more:], strict=True))
+    left = iter(new)
+    return "".join(next(left) if (c != " " if kind == "iban" else c.isdigit()) else c for c in value) + "".join(left)
+
+
+def plain_surrogates(texts):
+    """The replaced text and the replacements of each text, with the collision rounds over all of them."""
+    found = [plain_entities(t) for t in texts]
+    todo = {(k, plain_norm(k, v)) for f in found for k, _, _, v in f}
+    taken, known, attempt = {(k, n.lower()) for k, n in todo}, {}, 0
+    while todo:
+        firsts = {}
+        for kind, norm in sorted(todo):
+            firsts.setdefault((kind, plain_new(kind, norm, attempt).lower()), norm)
+        got = {(k, norm): plain_new(k, norm, attempt) for (k, low), norm in firsts.items() if (k, low) not in taken}
+        known |= got
+        taken |= {(k, new.lower()) for (k, _), new in got.items()}
+        todo -= set(got)
+        attempt += 1
+    out = []
+    for text, f in zip(texts, found, strict=True):
+        put = [plain_fill(k, v, known[k, plain_norm(k, v)]) for k, _, _, v in f]
+        at, parts = 0, []
+        for (_, start, end, _), p in zip(f, put, strict=True):
+            parts += [text[at:start], p]
+            at = end
+        out.append(("".join(parts) + text[at:], put))
+    return out
+
+
+def same_surrogates(spark, texts):
+    rows = surrogates.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    want = plain_surrogates([t or "" for t in texts])
+    for r in rows:
+        text, put = want[r["doc_id"]]
+        assert (r["text"] or "", r["surrogates"], r["n_entities"]) == (text, put, len(put)), texts[r["doc_id"]]
+    return want
+
+
+def test_surrogates_match_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = same_surrogates(spark, [r["text"] for r in docs])
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op6_surrogates"](spark, sf).collect()}
+    assert [rows[r["doc_id"]]["text"] for r in docs] == [t for t, _ in want]
+
+
+def test_surrogates_keep_types(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    texts = [f"card {card} iban {iban}", "Κυρία Ελένη Παππά", "Mr Παπαδόπουλος", "Господин Иван Иванов", "Frau Anna Müller. Frau Anna Müller", "Mr Smith", "Mr 李明", "card 4111-1111-1111-1112", None, ""]
+    want = same_surrogates(spark, texts)
+    number, account = want[0][1]
+    assert luhn(number.replace(" ", "")) == 0 and number != card
+    assert mod97(account.replace(" ", "")[4:] + account[:4]) == 1 and account[:2] == "DE" and account != iban
+    assert luhn(re.sub(r"\D", "", want[7][1][0])) != 0
+    assert all(regex.fullmatch(r"\S+(?: \p{IsGreek}+)+", want[i][1][0]) for i in (1, 2))
+    assert want[4][1][0] == want[4][1][1] and want[6][1] == []
+
+
+def test_surrogates_lengthen_exhausted_formats(spark):
+    texts = [f"{a}@{b}.io" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    want = same_surrogates(spark, texts)
+    new = [put[0] for _, put in want]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts) and max(map(len, new)) > 6
+
+
+def test_surrogates_of_long_texts_with_many_entities(spark):
+    same_surrogates(spark, [" ".join(f"a{i}@b{i % 7}.example.com 10.0.{i % 250}.{i // 250} é" for i in range(900)), "x" * 200_000 + " a1@b1.example.com"])
+
+
+def test_surrogates_edges(edge_docs, no_docs):
+    rows = edge_docs.collect()
+    want = plain_surrogates([r["text"] or "" for r in rows])
+    out = surrogates.pseudonymised(edge_docs, KEY, report=False)
+    assert out.columns == edge_docs.columns
+    key = lambda i, t: (i is None, i or 0, t or "")
+    assert sorted(key(r["doc_id"], r["text"]) for r in out.collect()) == sorted(key(r["doc_id"], t) for r, (t, _) in zip(rows, want, strict=True))
+    assert surrogates.pseudonymised(no_docs, KEY).count() == 0
+    for wrong in (lambda: surrogates.pseudonymised(no_docs, ""), lambda: surrogates.pseudonymised(no_docs.withColumnRenamed("hash", "entities"), KEY)):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_sharding(spark, sf, edge_docs, no_docs):

@@ -202,19 +202,35 @@ def test_sketches_merge_and_estimate():
     assert np.array_equal(fingerprint.unpacked(fingerprint.packed(sa)), sa)
 
 
-def test_many_buckets_and_edges(spark, edge_docs, no_docs, monkeypatch):
-    texts = {i * 3: f"t{i} " * (i % 40) for i in range(500)}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+def plain_edited(rows):
+    """Sorted (id, n_chars, SHA-256 of the edited text) of rows (id, text); ties in order of the hash, as given."""
+    out = []
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+        q = len(t) // 4
+        out.append((i is None, i or 0, len(t), hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_many_parts_and_edges(spark, edge_docs, no_docs, monkeypatch):
     whole = fingerprint.in_order_with_next
-    monkeypatch.setattr(fingerprint, "in_order_with_next", lambda d, i, t: whole(d, i, t, 37))
-    ids = sorted(texts)
-    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_likeness(df).collect()}
-    for i, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
-        q = len(texts[i]) // 4
-        assert got[i] == hashlib.sha256((texts[i][: len(texts[i]) - q] + texts[nxt][:q]).encode()).hexdigest()
-    assert fingerprint.edited_likeness(edge_docs).count() == edge_docs.count()
+    monkeypatch.setattr(fingerprint, "in_order_with_next", lambda d, i, t: whole(d, i, t, 900))
+    monkeypatch.setattr(fingerprint, "AT_ONCE", 37)
+    got = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in fingerprint.edited_likeness(df).collect())
+    texts = [(i * 3, f"t{i} " * (i % 40)) for i in range(500)]
+    assert got(spark.createDataFrame(texts, "doc_id long, text string")) == plain_edited(texts)
+    rows = edge_docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").orderBy("doc_id", "h").collect()
+    assert got(edge_docs) == plain_edited([(r["doc_id"], r["text"]) for r in rows])
+    # Half of the rows without an id, in many parts of the order.
+    hot = spark.range(2000).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "if(id % 4 = 0, 'same text of all', concat('text ', id % 7, ' w', id % 3)) AS text")
+    rows = hot.selectExpr("*", "xxhash64(text) AS h").orderBy("doc_id", "h").collect()
+    assert got(hot) == plain_edited([(r["doc_id"], r["text"]) for r in rows])
+    parts, groups = whole(hot, "doc_id", "text", 900)
+    assert parts.groupBy("part").count().agg({"count": "max"}).first()[0] < 100 and groups.agg({"n": "max"}).first()[0] == 500
+    assert got(edge_docs.limit(1)) == plain_edited([(edge_docs.limit(1).first()["doc_id"], edge_docs.limit(1).first()["text"] or "")])
     assert fingerprint.edited_likeness(no_docs).count() == 0
-    assert fingerprint.fingerprints(edge_docs).count() == edge_docs.count()
+    sketch = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(edge_docs.filter("doc_id IS NOT NULL")).collect()}
+    assert sketch[0] == sketch[1] == "" and sketch[3] == sketch[4] != ""
+    assert fingerprint.fingerprints(edge_docs).count() == edge_docs.count() and fingerprint.fingerprints(no_docs).count() == 0
 
 
 def test_shingle_hashes_do_not_depend_on_place():
