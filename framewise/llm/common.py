@@ -45,6 +45,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Copies of one row that one task makes.
+AT_ONCE = 10_000
+
+
+def copies_of(rows: DataFrame, at_once: int = AT_ONCE, n_col: str = "n") -> DataFrame:
+    """rows with column copy in place of n: each row n times, copy from 0.
+
+    What is to be copied more than at_once times is dealt to tasks by blocks of copies first.
+    """
+    last = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    n = F.col(n_col)
+    few = rows.filter(n.between(1, at_once)).withColumn("copy", F.explode(last(n)))
+    many = rows.filter(n > at_once).withColumn("_fw_block", F.explode(last(F.ceil(n / at_once).cast("long"))))
+    many = many.repartition("_fw_block", *[F.col(f"`{c}`") for c in rows.columns])
+    first = F.col("_fw_block") * at_once
+    many = many.withColumn("copy", F.explode(F.sequence(first, F.least(n, first + at_once) - 1)))
+    return few.drop(n_col).unionByName(many.drop(n_col, "_fw_block"))
+
+
 def hex_int(hexed: Column, digits: int) -> Column:
     """The first digits (15 at most) of a hexadecimal string as a long."""
     return F.conv(F.substring(hexed, 1, digits), 16, 10).cast("long")
