@@ -10,6 +10,7 @@ import pytest
 import regex
 
 from framewise.llm import mixing, queries, secrets, sharding, surrogates
+from framewise.llm.common import copies_of
 from tests.oracle import connect, same
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -212,7 +213,7 @@ def test_surrogates_edges(edge_docs, no_docs):
             wrong()
 
 
-def test_sharding(spark, sf, edge_docs, no_docs):
+def test_sharding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     old = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
     rows = queries.QUERIES["op9_sharding"](spark, sf).collect()
@@ -225,7 +226,49 @@ def test_sharding(spark, sf, edge_docs, no_docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(load.values()) / 16
     assert max(load.values()) - mean <= max(len(t) for t in old.values()) and min(load.values()) > 0.8 * mean
-    assert sharding.sharded(edge_docs).count() == edge_docs.count() and sharding.sharded(no_docs).count() == 0
+
+
+def laws_hold(rows, texts):
+    """Every row is there with its size and sum, places are gapless, and no two shards differ by more than two of the largest texts."""
+    want = sorted((i is None, i or 0, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in rows) == want
+    load, slots = Counter({i: 0 for i in range(16)}), defaultdict(list)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return load
+
+
+def test_sharding_edges(spark, edge_docs, no_docs):
+    texts = [(r["doc_id"], r["text"] or "") for r in edge_docs.collect()]
+    laws_hold(sharding.sharded(edge_docs).collect(), texts)
+    assert sharding.sharded(no_docs).count() == 0
+    # A thousand times the short ones: half of the rows have no id, and most are repeated.
+    short = edge_docs.filter("length(coalesce(text, '')) < 2000").select("doc_id", "text")
+    many = short.unionAll(short.selectExpr("CAST(null AS long) AS doc_id", "text")).crossJoin(spark.range(1000)).drop("id")
+    rows = many.collect()
+    load = laws_hold(sharding.sharded(many).collect(), [(r["doc_id"], r["text"] or "") for r in rows])
+    assert max(load.values()) < 1.02 * sum(load.values()) / 16 and min(load.values()) > 0.98 * sum(load.values()) / 16
+
+
+def test_copies_by_blocks(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 25), ("c", 0), ("d", 20)], "x string, n long")
+    got = Counter((r["x"], r["copy"]) for r in copies_of(rows, 10).collect())
+    assert got == Counter([("a", 0), *(("b", i) for i in range(25)), *(("d", i) for i in range(20))])
+
+
+def test_stored_map_is_read_and_edited(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = f"file://{tmp_path}/maps"
+    first = {(r["doc_id"], r["slot"], r["size"]): r for r in sharding.sharded(docs, 16, map_path=path).collect()}
+    assert {r["map_version"] for r in first.values()} == {1}
+    again = sharding.sharded(docs.filter("doc_id % 10 <> 3"), 17, map_path=path).collect()
+    assert {r["map_version"] for r in again} == {2} and {r["shard"] for r in again} == set(range(17))
+    old = {r["virtual_slot"]: r["shard"] for r in first.values()}
+    both = sharding.latest_map(spark, path).filter("version = 2").collect()
+    moved = sum(r["shard"] != old[r["vslot"]] for r in both if r["vslot"] in old)
+    assert moved < len(old) / 2
 
 
 def test_sharding_matches_sql(spark, sf):
@@ -269,11 +312,47 @@ def test_mixing_targets_and_copies(spark, edge_docs, no_docs):
     want = plain_targets(sizes)
     for r in got.collect():
         assert abs(r["target"] - want[r["src"]]) < 1e-6
+
+
+def near(rows):
+    """Words taken come within a 64th of the source's size of each target, and no row is taken more than twice."""
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
+    return all(abs(taken[s] - t) <= s / 64 + 1 for s, t in target.items())
+
+
+def test_mixing_edges(spark, edge_docs, no_docs):
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
     rows = mixing.mixed(edge_docs).collect()
-    assert len(rows) == edge_docs.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
-    assert rows == mixing.mixed(edge_docs).collect() or sorted(map(str, rows)) == sorted(map(str, mixing.mixed(edge_docs).collect()))
-    assert mixing.mixed(no_docs).count() == 0
-    assert mixing.resampled(edge_docs).columns == edge_docs.columns
+    sizes = Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in edge_docs.collect())
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == sizes
+    assert key(rows) == key(mixing.mixed(edge_docs.repartition(5)).collect())
+    assert mixing.mixed(no_docs).count() == 0 and mixing.resampled(no_docs).count() == 0
+    # Repeated rows, half of all without an id: what is emitted is what mixed() takes.
+    short = edge_docs.filter("length(coalesce(text, '')) < 2000")
+    for docs in (edge_docs, short.crossJoin(spark.range(1000)).drop("id").unionAll(short.drop("id").selectExpr("CAST(null AS long) AS doc_id", "* EXCEPT (doc_id)"))):
+        told, out = mixing.mixed(docs).collect(), mixing.resampled(docs)
+        assert out.columns == docs.columns
+        want = Counter()
+        for r in told:
+            want[r["doc_id"], r["size"]] += r["copies"]
+        got = Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in out.collect())
+        assert got == +want
+    assert near(told)
+
+
+def test_one_offset_gives_each_document_its_expected_copies(spark):
+    df = spark.range(60).selectExpr("id AS doc_id", "repeat('w ', cast(if(id < 3, 900, 10 + id) AS int)) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    total, rate = Counter(), {}
+    for k in range(40):
+        for r in mixing.mixed(df, seed=f"s{k}").collect():
+            total[r["doc_id"]] += r["copies"]
+            rate[r["doc_id"]] = r["target"] / r["source_size"]
+    assert all(abs(total[i] / 40 - rate[i]) < 0.4 for i in rate)
+    assert abs(sum(total.values()) / 40 - sum(rate.values())) < 0.1 * sum(rate.values())
 
 
 def test_mixing_comes_near_targets(spark):
