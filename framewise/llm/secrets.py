@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are what the base patterns match and bare tokens that look random. Their hashes are
-counted over the whole corpus by distinct repositories and owners. A value that several owners hold
-is a copied example; a value that looks random and stays with one or two owners is taken for a live
-credential, and its bare occurrences become spans of kind `live`.
+counted over the whole corpus by distinct repositories and owners. A value that several owners hold,
+or that lies in many repositories whoever owns them, is a widely copied example; a value that looks
+random and is neither is taken for a live credential of its owner, and its bare occurrences become
+spans of kind `live`.
 
 Only DataFrame expressions. Counting is a distinct over (hash, owner, repository), then sums that
 combine before the shuffle, so a value held by a third of all rows loads no task; the join that
@@ -24,8 +25,8 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
-#: A value that so many owners hold is a widely copied example.
-MANY_OWNERS = 3
+#: A value that so many owners hold, or that is in so many repositories, is a widely copied example.
+MANY_OWNERS, MANY_REPOS = 3, 20
 
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
@@ -79,22 +80,23 @@ def bare_spans(text: Column, base: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """n_repos, n_owners and live of each hash, from columns hash, owner, repo, random.
+    """n_repos, n_owners, example and live of each hash, from columns hash, owner, repo, random.
 
-    Nulls among owners or repositories count as one owner or repository.
+    A repository is one of its owner. Nulls among owners or repositories count as one owner or repository.
     """
     held = candidates.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"))
     by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.max("random").alias("random"))
     counts = by_owner.groupBy("hash").agg(
         F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.max("random").alias("random")
     )
-    return counts.select("hash", "n_repos", "n_owners", (F.col("random") & (F.col("n_owners") < MANY_OWNERS)).alias("live"))
+    example = (F.col("n_owners") >= MANY_OWNERS) | (F.col("n_repos") >= MANY_REPOS)
+    return counts.select("hash", "n_repos", "n_owners", example.alias("example"), (F.col("random") & ~example).alias("live"))
 
 
 def marked(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """The columns keep of every row, with _fw_base and _fw_marks.
 
-    _fw_marks holds (start, rank, end, kind, value, live, n_owners, n_repos) of every base and bare
+    _fw_marks holds (start, rank, end, kind, value, live, example, n_owners, n_repos) of every base and bare
     span, by start and kind. Rows without a candidate, most of them, take no part in a shuffle.
     """
     text = text_or_empty(text_col)
@@ -116,7 +118,7 @@ def marked(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, repo
     verdicts = ownership(
         spans.select("hash", F.col("_fw_owner").alias("owner"), F.col("_fw_repo").alias("repo"), looks_random(F.col("s.value")).alias("random"))
     )
-    told = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "live", "n_owners", "n_repos")
+    told = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "live", "example", "n_owners", "n_repos")
     marks = (
         spans.join(verdicts, "hash")
         .groupBy("_fw_rid")
@@ -139,9 +141,11 @@ def scanned(
     """Spans and verdicts of every row's whole text.
 
     Returns id_col, n_assign, n_access, n_hex, base_sha256, spans (base spans and those of kind
-    live), n_live, and the numbers of base spans whose value is taken for live or for a copied
-    example. Null texts count as empty, repeated rows are rows of their own, an empty table gives no
-    rows; other columns are not read.
+    live), n_live, the numbers of base spans whose value is taken for live or for a copied example,
+    and the most owners and repositories of a value that is not a bare example (0: no such value).
+    Null texts count as empty, null ids, owners and repositories are one each, repeated rows are rows
+    of their own but one repository, very long texts are read whole, an empty table gives no rows;
+    other columns are not read.
     """
     rows = marked(docs, [id_col], text_col, owner_col, repo_col)
     base, marks = F.col("_fw_base"), F.col("_fw_marks")
@@ -155,7 +159,8 @@ def scanned(
         _joined(spans).alias("spans"),
         count(marks, lambda m: (m["rank"] == 3) & m["live"]).alias("n_live"),
         count(marks, lambda m: (m["rank"] < 3) & m["live"]).alias("n_base_live"),
-        count(marks, lambda m: (m["rank"] < 3) & (m["n_owners"] >= MANY_OWNERS)).alias("n_base_example"),
+        count(marks, lambda m: (m["rank"] < 3) & m["example"]).alias("n_base_example"),
+        *[F.coalesce(F.array_max(F.transform(spans, lambda m: m[n])), F.lit(0)).cast("long").alias(f"most_{n[2:]}") for n in ("n_owners", "n_repos")],
     )
 
 
@@ -169,11 +174,13 @@ def redacted(
 ) -> DataFrame:
     """docs, same columns, with every secret replaced; widely copied examples stay.
 
-    length_col, if given, gets the new length in code points. Texts without a secret, null ones
-    too, stay as they are.
+    length_col, if given, gets the new length in code points. Texts without a secret, null and empty
+    ones too, stay as they are; null owners and repositories are one each; repeated rows come out
+    equal, each for itself; very long texts are read whole; an empty table gives no rows; other
+    columns, whatever their names, come along unchanged.
     """
     rows = marked(docs, docs.columns, text_col, owner_col, repo_col)
-    secret = F.filter("_fw_marks", lambda m: m["live"] | ((m["rank"] < 3) & (m["n_owners"] < MANY_OWNERS)))
+    secret = F.filter("_fw_marks", lambda m: m["live"] | ((m["rank"] < 3) & ~m["example"]))
     puts = F.transform(secret, lambda m: F.struct(m["start"], m["end"], F.lit(put).alias("put")))
     new = F.when(F.size(secret) > 0, replaced(F.col(f"`{text_col}`"), puts)).otherwise(F.col(f"`{text_col}`"))
     rows = rows.withColumn("_fw_hit", F.size(secret) > 0).withColumn(text_col, new)
@@ -212,20 +219,22 @@ m AS (
   SELECT * FROM r WHERE rank = 3 AND random
      AND NOT EXISTS (SELECT 1 FROM r AS o WHERE o.doc_id = r.doc_id AND o.rank < 3 AND o.b < r.e AND r.b < o.e)
 ), o AS (
-  SELECT v, count(DISTINCT coalesce(source, '<null>')) AS n_owners, bool_or(random) AS random FROM c GROUP BY v
+  SELECT v, count(DISTINCT coalesce(source, '<null>')) AS n_owners, count(DISTINCT (source, doc_id)) AS n_repos, bool_or(random) AS random FROM c GROUP BY v
 ), f AS (
-  SELECT c.*, n_owners, o.random AND n_owners < 3 AS live FROM c JOIN o USING (v)
+  SELECT c.*, n_owners, n_repos, n_owners >= 3 OR n_repos >= 20 AS example, o.random AND n_owners < 3 AND n_repos < 20 AS live FROM c JOIN o USING (v)
 ), g AS (
   SELECT doc_id,
     count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3), '') AS base,
     coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3 OR live), '') AS spans,
     count(*) FILTER (rank = 3 AND live) AS n_live, count(*) FILTER (rank < 3 AND live) AS n_base_live,
-    count(*) FILTER (rank < 3 AND n_owners >= 3) AS n_base_example
+    count(*) FILTER (rank < 3 AND example) AS n_base_example,
+    max(n_owners) FILTER (rank < 3 OR live) AS most_owners, max(n_repos) FILTER (rank < 3 OR live) AS most_repos
   FROM f GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-       coalesce(n_base_live, 0) AS n_base_live, coalesce(n_base_example, 0) AS n_base_example
+       coalesce(n_base_live, 0) AS n_base_live, coalesce(n_base_example, 0) AS n_base_example,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN g USING (doc_id)
 """
