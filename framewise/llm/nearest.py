@@ -1,25 +1,33 @@
 """Exact top-k search by integer inner product, with a pivot table.
 
-Vectors become integers, floor(scale * x). For every candidate the distances to a fixed number of
-pivots are computed; |d(q, p) - d(x, p)| over all pivots p bounds the distance of query and
-candidate from below, and with the norms that bounds their inner product from above. Candidates are
-scored in order of that bound until the next bound is below the k-th best score: no candidate that
-could enter is left out, so the result is exact, ties included.
-
-Queries and candidates are dealt to the cells of a grid by hash, a bounded number of each to a cell,
-and every cell searches its candidates for its queries; it keeps k rows a query, and a ranking by
-query merges the cells' rows. Nothing goes through the driver but two counts.
+Vectors become integers, floor(scale * x). A table of distances to a fixed number of pivots is
+computed once for every vector; |d(q, p) - d(x, p)| over all pivots p bounds the distance of query
+and candidate from below, and with the norms that bounds their inner product from above. Candidates
+are scored in order of that bound until the next bound is below the k-th best score: no candidate
+that could enter is left out, so the result is exact, ties included.
+
+Equal candidates are one row with a count. Queries and candidates are dealt to the cells of a grid by
+hash, a bounded number of each to a cell, and every cell searches its candidates for its queries; it
+keeps k rows a query, and a ranking by query merges the cells' rows. Candidates are sent once for
+each block of queries, as an exact search of a query set against all rows asks. Only two counts and
+the pivots go through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PIVOTS = 32
+from framewise.llm.common import mapped, written
+
+PIVOTS = 64
+#: Lengths of vectors that get pivots; vectors of further lengths are bounded by their norms alone.
+LENGTHS = 64
 #: Queries and candidates in a cell, in the mean, and the least number of candidate blocks.
 BLOCK, CANDIDATES, LEAST_BLOCKS = 8192, 16_384, 16
 #: Scored at once before the bounds are looked at again.
@@ -37,51 +45,70 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.lit(False))
 
 
-class Block:
-    """Queries of one length with their distances to the pivots and the best scores so far."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, n_pivots: int) -> None:
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.square = np.einsum("ij,ij->i", vectors.astype(float), vectors.astype(float))
-        # Pivots: queries dealt over the block, in order of norm, so that they lie at many distances.
-        order = np.argsort(self.square, kind="stable")
-        self.pivots = vectors[order[np.linspace(0, len(order) - 1, min(n_pivots, len(order))).astype(int)]].astype(float)
-        self.to_pivots = self.distances(vectors, self.square)
-        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), ascending
-
-    def distances(self, vectors: np.ndarray, square: np.ndarray) -> np.ndarray:
-        p2 = np.einsum("ij,ij->i", self.pivots, self.pivots)
-        d2 = square[:, None] + p2[None, :] - 2 * (vectors.astype(float) @ self.pivots.T)
-        return np.sqrt(np.maximum(d2, 0))
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Score what can still enter of these candidates."""
-        square = np.einsum("ij,ij->i", vectors.astype(float), vectors.astype(float))
-        table = self.distances(vectors, square)
-        for q, (own, vector) in enumerate(zip(self.ids, self.vectors, strict=True)):
-            low = np.abs(table - self.to_pivots[q]).max(axis=1) if table.shape[1] else np.zeros(len(ids))
-            # Rounding of the distances is covered by a margin far above it.
-            low = np.maximum(0, low - 1e-6 * (1 + low + np.sqrt(self.square[q])))
-            high = (self.square[q] + square - low * low) / 2
-            high += 1e-9 * (self.square[q] + square) + 1
-            best = self.best[q]
-            order = np.flatnonzero((ids != own) & (high >= (-best[-1][0] if len(best) == self.k else -np.inf)))
-            order = order[np.argsort(-high[order], kind="stable")]
-            at = 0
-            while at < len(order):
-                part = order[at : at + STEP]
-                if len(best) == self.k and high[part[0]] < -best[-1][0]:
-                    break
-                scores = vectors[part] @ vector
-                best = sorted([*best, *((-int(s), int(i)) for s, i in zip(scores, ids[part], strict=True))])[: self.k]
-                at += len(part)
-            self.best[q] = best
-
-
-def _vectors(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def pivots_of(queries: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
+    """Of each of the LENGTHS commonest lengths n query vectors, those of least hash."""
+    some = queries.select(F.size("v").alias("length"), "v").withColumn("h", F.xxhash64("v"))
+    common = some.groupBy("length").count().orderBy(F.desc("count"), "length").limit(LENGTHS).select("length")
+    first = F.row_number().over(W.partitionBy("length").orderBy("h"))
+    rows = some.join(F.broadcast(common), "length").withColumn("r", first).filter(F.col("r") <= n).select("length", "v").collect()
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["length"], []).append(list(r["v"]))
+    return {length: np.array(v, np.int64).reshape(len(v), length).astype(float) for length, v in out.items()}
+
+
+def squares(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(float)
+    return np.einsum("ij,ij->i", x, x)
+
+
+def with_table(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """rows (id, v, n) with t: the distances of v to the pivots of its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table: list = [[]] * batch.num_rows
+            for length, where, m in _vectors(batch.column(1)):
+                p = pivots.get(length)
+                if p is not None:
+                    d = squares(m)[:, None] + squares(p)[None, :] - 2 * (m.astype(float) @ p.T)
+                    for i, t in zip(where, np.sqrt(np.maximum(d, 0)).tolist(), strict=True):
+                        table[i] = t
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(table, pa.list_(pa.float64()))], names=["id", "v", "n", "t"])
+
+    return mapped(rows.select("id", "v", "n"), run, "id long, v array<long>, n long, t array<double>")
+
+
+def best_of(query: tuple[int, np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, counts: np.ndarray, square: np.ndarray, table: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
+    """The k best (-score, id) for a query (id, vector, distances to pivots), and how many candidates were scored.
+
+    One of the candidates that equal the query in id and vector is its own row and does not count.
+    """
+    own, vector, mine = query
+    norm = float(vector.astype(float) @ vector.astype(float))
+    low = np.abs(table - mine).max(axis=1) if table.shape[1] else np.zeros(len(ids))
+    # Rounding of the distances is covered by a margin far above it.
+    low = np.maximum(0, low - 1e-6 * (1 + low + np.sqrt(norm)))
+    high = (norm + square - low * low) / 2 + 1e-9 * (norm + square) + 1
+    order = np.argsort(-high, kind="stable")
+    best: list[tuple[int, int]] = []
+    at = 0
+    while at < len(order):
+        part = order[at : at + STEP]
+        if len(best) == k and high[part[0]] < -best[-1][0]:
+            break
+        scores = vectors[part] @ vector
+        n = counts[part] - ((ids[part] == own) & (vectors[part] == vector).all(axis=1))
+        times = np.minimum(n, k)
+        best = sorted([*best, *zip(np.repeat(-scores, times).tolist(), np.repeat(ids[part], times).tolist(), strict=True)])[:k]
+        at += len(part)
+    return best, at
+
+
+def _vectors(column: pa.Array, kind: type = np.int64) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Row numbers and matrix of the vectors of each length."""
     lengths = np.asarray(column.value_lengths().fill_null(0))
-    flat = np.asarray(column.flatten(), dtype=np.int64)
+    flat = np.asarray(column.flatten(), dtype=kind)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     return [
         (int(n), rows := np.flatnonzero(lengths == n), flat[starts[rows][:, None] + np.arange(n)]) for n in np.unique(lengths)
@@ -100,43 +127,53 @@ def top_k(
 ) -> DataFrame:
     """The k candidates of highest inner product for each query (all, if fewer), ties to smaller ids.
 
-    Returns query_id, rank (from 1), id_col, score. A row with the query's own id is no candidate
-    of it; repeated candidate rows count each, repeated queries once. Vectors that are null or hold
-    null or non-finite components take no part, nor do rows with a null id; vectors meet those of
-    the same length only. No queries or no candidates give no rows; other columns are not read.
+    Returns query_id, rank (from 1), id_col, score. A query is an id with its vector: two queries of one
+    id and different vectors have a list each, equal ones have one. One candidate row that equals the
+    query in both is its own and left out; further ones, and rows of its id with another vector, are
+    candidates, and repeated candidate rows count each. Vectors that are null or hold null or
+    non-finite components take no part, nor do rows with a null id; vectors meet those of the same
+    length only, of whatever length. No queries or no candidates give no rows; other columns are not read.
     """
+
     def ready(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
-        return df.filter(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), whole(v, scale).alias("v"))
+        rows = df.filter(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), whole(v, scale).alias("v"))
+        return rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
 
-    asked = ready(queries).dropDuplicates(["id", "v"])
-    rows = ready(candidates)
+    asked = ready(queries)
+    pivots = pivots_of(asked, n_pivots)
+    asked = written(with_table(asked, pivots).withColumn("query", F.monotonically_increasing_id()), "search-queries")
+    rows = written(with_table(ready(candidates), pivots), "search-rows")
 
     across = max(1, -(-asked.count() // block))
     down = max(LEAST_BLOCKS, -(-rows.count() // CANDIDATES))
     dealt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("id", "v", dealt(across).alias("across"), every(down).alias("down"))
-    right = rows.select("id", "v", every(across).alias("across"), dealt(down).alias("down"))
+    left = asked.select("id", "v", "t", "query", dealt(across).alias("across"), every(down).alias("down"))
+    right = rows.select("id", "v", "n", "t", every(across).alias("across"), dealt(down).alias("down"))
 
     def search(own: pa.Table, others: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         if own.num_rows and others.num_rows:
-            ids = {x: np.asarray(t["id"], dtype=np.int64) for x, t in (("q", own), ("c", others))}
-            candidates = {n: (where, m) for n, where, m in _vectors(others["v"].combine_chunks())}
+            own, others = own.combine_chunks(), others.combine_chunks()
+            held = lambda t, c, kind=np.int64: np.asarray(t[c].combine_chunks(), dtype=kind)
+            tables = lambda t: {int(i): x for _, where, m in _vectors(t["t"].combine_chunks(), float) for i, x in zip(where, m, strict=True)}
+            c_ids, c_n, c_t, q_ids, q_row, q_t = held(others, "id"), held(others, "n"), tables(others), held(own, "id"), held(own, "query"), tables(own)
+            side = {n: (where, m) for n, where, m in _vectors(others["v"].combine_chunks())}
             for n, where, m in _vectors(own["v"].combine_chunks()):
-                if n in candidates:
-                    cell = Block(ids["q"][where], m, k, n_pivots)
-                    at, vectors = candidates[n]
-                    for a in range(0, len(at), 4096):
-                        cell.add(ids["c"][at[a : a + 4096]], vectors[a : a + 4096])
-                    found += [(int(q), i, -s) for q, best in zip(cell.ids, cell.best, strict=True) for s, i in best]
-        q, i, s = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
+                if n in side:
+                    at, vectors = side[n]
+                    table = np.stack([c_t[int(i)] for i in at])
+                    parts = (c_ids[at], vectors, c_n[at], squares(vectors), table)
+                    for i, v in zip(where, m, strict=True):
+                        best, _ = best_of((int(q_ids[i]), v, q_t[int(i)]), *parts, k)
+                        found += [(int(q_row[i]), int(q_ids[i]), x, -s) for s, x in best]
+        r, q, i, s = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table({"query": pa.array(r, pa.int64()), "query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
 
     cells = left.groupBy("across", "down").cogroup(right.groupBy("across", "down"))
-    parts = cells.applyInArrow(search, "query_id long, id long, score long")
-    ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    parts = cells.applyInArrow(search, "query long, query_id long, id long, score long")
+    ranked = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     merged = parts.withColumn("rank", ranked).filter(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 

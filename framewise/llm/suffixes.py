@@ -9,8 +9,8 @@ induced from them by scanning the buckets of first bytes, and neighbours that sh
 the strings. Anchors in more places than HOT are not gathered: their strings are dealt by hashes of
 whole strings instead, and counted with partial sums. Equal texts are one text from the start.
 
-Results are exact up to 64-bit hashes of texts (and of whole strings, with their anchors, on the
-path for hot anchors).
+Texts are told apart by 128 bits of their SHA-256. On the path for hot anchors strings are told apart
+by 64-bit hashes of their anchor and of themselves.
 """
 
 from __future__ import annotations
@@ -201,23 +201,23 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def surveyed(rows: DataFrame) -> DataFrame:
-    """rows (key, id, text) without text, with n_bytes, sha256 and arrays anchors, first, last, places: a text's segments."""
+    """rows (key, text) without text, with id (the first half of the text's SHA-256), n_bytes, sha256 and arrays anchors, first, last, places: a text's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = tg.flat(batch.column(2))
+            data, starts = tg.flat(batch.column(1))
             for a, b in tg.chunks(starts):
                 anchor, doc, first, last, places = segments(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 ends = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
-                sha = [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(starts[a:b], starts[a + 1 : b + 1], strict=True)]
+                sha = [hashlib.sha256(data[x:y]).digest() for x, y in zip(starts[a:b], starts[a + 1 : b + 1], strict=True)]
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (anchor, first.astype(np.int32), last.astype(np.int32), places.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(starts[a : b + 1])), pa.array(sha, pa.string()), *lists],
+                    [batch.column(0).slice(a, b - a), pa.array([x[:16] for x in sha], pa.binary()), pa.array(np.diff(starts[a : b + 1])), pa.array([x.hex() for x in sha], pa.string()), *lists],
                     names=["key", "id", "n_bytes", "sha256", "anchors", "first", "last", "places"],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return mapped(rows, run, f"key {kind}, id long, n_bytes long, sha256 string, anchors array<long>, first array<int>, last array<int>, places array<int>")
+    return mapped(rows, run, f"key {kind}, id binary, n_bytes long, sha256 string, anchors array<long>, first array<int>, last array<int>, places array<int>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(rows), 5000):
                 a, d, f, p = zip(*rows[at : at + 5000], strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(f, pa.int32()), pa.array(p, pa.binary())],
+                    [pa.array(a, pa.int64()), pa.array(d, pa.binary()), pa.array(f, pa.int32()), pa.array(p, pa.binary())],
                     names=["anchor", "id", "first", "part"],
                 )
 
@@ -246,7 +246,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = gram_hashes(data[f : l + LENGTH], LENGTH).view(np.int64)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, a)), pa.array(h), pa.array(np.full(n, ident)), pa.array(np.arange(f, f + n, dtype=np.int32))],
+                    [pa.array(np.full(n, a)), pa.array(h), pa.array([ident] * n, pa.binary()), pa.array(np.arange(f, f + n, dtype=np.int32))],
                     names=["anchor", "string", "id", "start"],
                 )
 
@@ -263,7 +263,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in covered(found):
                 out += [(d, f + a, f + b) for d, f in {*own}]
         d, a, b = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "start", "end"])
 
     for batch in batches:
         for anchor, ident, first, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -298,7 +298,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((ident.as_py(), len(data) - len(left), spans, left, hashlib.sha256(left).hexdigest()))
         i, n, s, left, sha = zip(*out, strict=True) if out else ((),) * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(left, pa.binary()), pa.array(sha, pa.string())],
+            [pa.array(i, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(left, pa.binary()), pa.array(sha, pa.string())],
             names=["id", "n_removed", "n_spans", "kept", "kept_sha256"],
         )
 
@@ -308,11 +308,13 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Returns id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if
     with_kept, kept (binary; null where nothing or everything was removed). Null texts count as
-    empty; texts below LENGTH bytes lose nothing; of repeated rows and equal texts every one loses
-    all; an empty table gives no rows; other columns are not read.
+    empty and null ids stay null; texts below LENGTH bytes lose nothing; of repeated rows and equal
+    texts every one loses all; very long texts are searched whole; an empty table gives no rows; other
+    columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text")).withColumn("id", F.xxhash64("text"))
-    survey = written(surveyed(rows.select("key", "id", "text")), "suffix-survey")
+    rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
+    survey = written(surveyed(rows), "suffix-survey")
+    rows = rows.withColumn("id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     copies = survey.groupBy("id").agg(F.count(F.lit(1)).alias("n_copies"))
 
     places = survey.select("id", F.explode(F.arrays_zip("anchors", "first", "last", "places")).alias("p")).select(
@@ -331,16 +333,16 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     cold = texts.select("id", "text", F.filter("places", lambda p: ~p["hot"]).alias("places")).filter(F.size("places") > 0)
     hot = texts.select("id", "text", F.filter("places", lambda p: p["hot"]).alias("places")).filter(F.size("places") > 0)
-    parts = mapped(cold, _cut, "anchor long, id long, first int, part binary").repartition("anchor")
-    gathered = mapped(parts.sortWithinPartitions("anchor", "part"), _marked, "id long, start long, end long")
-    strings = mapped(hot, _strings, "anchor long, string long, id long, start int")
+    parts = mapped(cold, _cut, "anchor long, id binary, first int, part binary").repartition("anchor")
+    gathered = mapped(parts.sortWithinPartitions("anchor", "part"), _marked, "id binary, start long, end long")
+    strings = mapped(hot, _strings, "anchor long, string long, id binary, start int")
     place = F.xxhash64("id", "start")
     twice = strings.groupBy("anchor", "string").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q")
     counted = strings.join(twice, ["anchor", "string"]).select("id", F.col("start").cast("long").alias("start"), (F.col("start") + LENGTH).cast("long").alias("end"))
 
     ranges = gathered.unionByName(counted).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     left = texts.select("id", "text").join(ranges, "id").select("id", "text", "ranges")
-    left = mapped(left, _rest, "id long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    left = mapped(left, _rest, "id binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
     left = left.dropDuplicates(["id"]) if with_kept else left.drop("kept").distinct()
 
     told = copies.join(left, "id", "left")

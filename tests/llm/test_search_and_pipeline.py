@@ -25,10 +25,39 @@ def test_search_ties_blocks_and_bad_vectors(spark):
         for r in nearest.top_k(df.filter("vec_id % 10 = 0"), df, block=block).collect():
             got.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
         assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == want
+    # One id with two vectors asks twice, and each row is a candidate of the other; repeated rows count each.
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [2.0, 0.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (8, [3.0, 3.0])]
+    two = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.top_k(two.filter("vec_id IN (5, 7)"), two, k=4).collect())
+    m = 1024**2
+    lists = {
+        (1.0, 0.0): [(8, 3 * m), (6, 2 * m), (7, m // 2), (7, m // 2)],
+        (0.0, 1.0): [(8, 3 * m), (7, m // 2), (7, m // 2), (7, m // 2)],
+        (0.5, 0.5): [(8, 3 * m), (6, m), (5, m // 2), (5, m // 2)],
+    }
+    ids = {(1.0, 0.0): 5, (0.0, 1.0): 5, (0.5, 0.5): 7}
+    assert got == sorted((ids[v], i, x, s) for v, found in lists.items() for i, (x, s) in enumerate(found, 1))
     assert nearest.top_k(df.filter("false"), df).count() == 0
     assert nearest.top_k(df, df.filter("false")).count() == 0
 
 
+def test_pivots_leave_few_candidates_to_score():
+    """In clusters most candidates are ruled out by their bound; spread evenly on a sphere, as the supplied vectors are, few can be."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(24, 64))
+    vectors = centres[rng.integers(0, 24, 4000)] + 0.05 * rng.normal(size=(4000, 64))
+    vectors = np.floor(1024 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.int64)
+    ids = rng.permutation(4000)
+    pivots = vectors[rng.permutation(4000)[: nearest.PIVOTS * 2]].astype(float)
+    table = np.sqrt(((vectors[:, None, :] - pivots[None]) ** 2).sum(2))
+    scored = []
+    for q in range(0, 4000, 100):
+        best, n = nearest.best_of((int(ids[q]), vectors[q], table[q]), ids, vectors, np.ones(4000, int), nearest.squares(vectors), table, 10)
+        assert best == sorted((-int(s), int(i)) for i, s in zip(ids, vectors @ vectors[q], strict=True) if i != ids[q])[:10]
+        scored.append(n / 4000)
+    assert np.mean(scored) < 0.1
+
+
 def test_pipeline_against_plain_version(spark, sf):
     """Each stage again from its parts, in plain Python where that is short."""
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
