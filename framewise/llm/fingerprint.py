@@ -148,7 +148,7 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes:
         F.explode(F.when(F.col("p") % 2 == 1, F.array(mine, before)).otherwise(F.array(mine))).alias("b"), "key", "tie", "id", "text"
     )
     order = ["part", "after", "key", "tie"]
-    return spread.select("b.part", "b.after", "key", "tie", "id", "text").repartition("part").sortWithinPartitions(*order), groups
+    return spread.select("b.part", "b.after", "key", "tie", "id", "text").repartition(m, "part").sortWithinPartitions(*order), groups
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, part: int = 4) -> DataFrame:
