@@ -6,7 +6,8 @@ shorter prefixes, and the encoding so far is a path in a tree of prefixes. A sta
 emitted token and the bytes behind it that later bytes may still regroup; reading a byte extends the
 path, and what all possible starts of the next token have in common is emitted. The lookahead is
 bounded by the longest token. Transitions are computed at first use and kept; the tables start anew
-when they have grown to a set size, as lazy automata do.
+when they have grown to a set size, as lazy automata do. A piece that is a token as a whole, or that
+was met before, needs no run of the machine: its tokens are known.
 """
 
 from __future__ import annotations
@@ -283,7 +284,8 @@ def encoded(
 
     With keep_tables a worker that gets other tasks keeps what it has learnt, and the memory.
 
-    Null texts count as empty and have no ids; repeated rows are rows of their own.
+    Null texts count as empty and have no ids; null row ids stay null; repeated rows are rows of their
+    own; very long texts are encoded whole; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +306,11 @@ def encoded(
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """id_col and text of every row of ids. Null ids count as none."""
+    """id_col and text of every row of ids.
+
+    Null ids count as none and give the empty text; null row ids stay null; repeated rows are rows of
+    their own; very long lists are decoded in parts; an empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -330,7 +336,8 @@ def round_trip(
     """Encode every whole text, decode the ids, and give digests of both; one pass, no shuffle.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the
-    decoded text's UTF-8 bytes. Null texts count as empty.
+    decoded text's UTF-8 bytes. Null texts count as empty; null row ids stay null; repeated rows are rows
+    of their own; very long texts are encoded whole; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,17 @@
 
 A linear model over character-class statistics is fitted by minimising the non-negative unbiased
 risk (Kiryo et al., 2017): prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with trusted positives,
-unlabelled texts and the class prior estimated from all label rows that may be learnt from. Whenever
-the part for negatives falls below zero it is pushed up again instead of being fitted further.
+unlabelled texts and an estimate of the class prior. Whenever the part for negatives falls below zero
+it is pushed up again instead of being fitted further. Labels 0 are never looked at.
 
-Fitting takes a bounded sample of texts (MOST_POSITIVES, MOST_UNLABELLED; the rows of lowest hash),
-so what reaches the driver does not grow; the prior covers all labels and scoring covers all texts,
-in one pass without a shuffle.
+The prior comes from positives and unlabelled texts alone (best bin estimation, Garg et al., 2021): of
+texts scored by a model that was fitted on the other half of the sample, the share of unlabelled ones
+above a threshold is at least prior times that of positives, and nearly that where hardly a negative
+is left; the threshold is the one with the least upper confidence bound.
+
+Fitting takes a bounded sample of texts (MOST_POSITIVES, MOST_UNLABELLED; one text of each of the ids
+of lowest hash), so what reaches the driver does not grow; scoring covers all texts, in one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -132,24 +137,52 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 150, rate: flo
     return Model(mean, scale, w, b)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among unlabelled texts, from scores of both by a model that saw neither."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(p)
+    above = lambda x: 1 - np.searchsorted(x, at, "left") / len(x)
+    of_p, of_u = above(p), above(u)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = int(np.argmin((of_u + slack) / of_p))
+    return float(np.clip(of_u[best] / of_p[best], 0.01, 0.99))
+
+
+def estimated_prior(p: np.ndarray, u: np.ndarray, steps: int = 60) -> float:
+    """class_prior by two halves of the sample, each scored by a model of the other; 0.5 if a half has no text of a kind."""
+    if min(len(p), len(u)) < 2:
+        return 0.5
+    scores: dict[str, list[np.ndarray]] = {"p": [], "u": []}
+    for half in (0, 1):
+        model = nnpu(p[half::2], u[half::2], 0.5, steps)
+        for kind, x in (("p", p), ("u", u)):
+            scores[kind].append(x[1 - half :: 2] @ model.weights + model.bias)
+    return class_prior(np.concatenate(scores["p"]), np.concatenate(scores["u"]))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model from labels (id_col, label_col) that may be learnt from and the texts of docs."""
+    """The model from labels (id_col, label_col) that may be learnt from and the texts of docs.
+
+    Null ids and labels take no part; of repeated ids one text counts (of least hash), null texts are
+    empty ones, very long ones are read whole. Without labels, or without documents that have one, every
+    score is 0. Other columns are not read.
+    """
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    known = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(id_col, label_col)
-    prior = known.agg(F.avg(F.when(F.col(label_col) == 1, 1.0).otherwise(0.0))).first()[0]
-    if prior is None:
-        return nnpu(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)), 0.5)
+    trusted = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & (F.col(label_col) == 1)).select(id_col)
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull())
-    good = known.filter(F.col(label_col) == 1).select(id_col).join(ids, id_col, "left_semi")
+    good = trusted.join(ids, id_col, "left_semi")
     # Both lists have a set size; so the join below ships a set size.
     pick = lambda df, n, kind: df.distinct().orderBy(order, id_col).limit(n).select(id_col, F.lit(kind).alias("kind"))
     chosen = pick(good, MOST_POSITIVES, "p").unionByName(pick(ids.filter(~held_out(id_col)), MOST_UNLABELLED, "u"))
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("kind", text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(id_col, text.alias("_fw_text")).join(F.broadcast(chosen), id_col)
+    # An id that many rows have gives one text, chosen before the shuffle.
+    texts = texts.groupBy("kind", id_col).agg(F.min_by("_fw_text", F.xxhash64("_fw_text")).alias("_fw_text")).select("kind", "_fw_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = mapped(texts, run, "kind string, x binary").toArrow().to_pydict()
     rows = {k: sorted(x for kind, x in zip(got["kind"], got["x"], strict=True) if kind == k) for k in "pu"}
     p, u = (np.frombuffer(b"".join(rows[k]), np.float16).reshape(-1, N_FEATURES).astype(np.float32) for k in "pu")
-    return nnpu(p, u, float(np.clip(prior, 0.01, 0.99)))
+    return nnpu(p, u, estimated_prior(p, u))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and score of every row's whole text. Null texts count as empty; repeated rows are rows of their own."""
+    """id_col and score of every row's whole text.
+
+    Null texts count as empty and have a score like others; null ids stay null; repeated rows are rows of
+    their own; very long texts are read whole; an empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +214,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score reaches least, same columns."""
+    """The rows of docs whose score reaches least, same columns, whatever their names.
+
+    Null texts are judged as empty ones and stay null; null ids and repeated rows are judged by their
+    texts; very long texts are read whole; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -63,22 +63,67 @@ def test_signature_agreement_is_weighted_likeness():
     assert (sig != 0).all()
 
 
-def test_large_group_of_edited_copies(spark):
-    rng = random.Random(1)
-    words = [f"w{i}" for i in range(150)]
-    texts = {}
-    for i in range(300):
-        w = list(words)
-        for _ in range(rng.randint(0, 9)):
-            w[rng.randrange(150)] = f"x{rng.random()}"
-        texts[i] = " ".join(w)
+def all_pairs(texts):
+    """Least id of each text's class from the likenesses of all pairs."""
+    column, rows = {}, []
+    for t in texts.values():
+        rows.append([column.setdefault((x, k), len(column)) for x, n in Counter(shingles(t)).items() for k in range(n)])
+    held = np.zeros((len(rows), len(column)), np.float32)
+    for r, at in enumerate(rows):
+        held[r, at] = 1
+    both, size = held @ held.T, held.sum(1)
+    link = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-4
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[x].min() for x in link])
+        if (new == label).all():
+            ids = list(texts)
+            return {i: ids[x] for i, x in zip(ids, label, strict=True)}, int(link.sum() - len(rows)) // 2
+        label = new
+
+
+def edited_copies(n_words, n, most, vocabulary, kinds, seed):
+    """Copies of one text with up to most words replaced, left out or put in; new words are few, so edits meet."""
+    rng = random.Random(seed)
+    out = {}
+    for i in range(n):
+        w = [f"w{j}" for j in range(n_words)]
+        for _ in range(rng.randint(0, most)):
+            at, kind, x = rng.randrange(len(w)), rng.choice(kinds), f"x{rng.randrange(vocabulary)}"
+            w[at : at + (kind != "put")] = [] if kind == "cut" else [x]
+        out[i] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("group", [(150, 2200, 9, 10**9, ["new"]), (150, 2200, 9, 20, ["new", "cut", "put"]), (300, 2200, 22, 200, ["new", "cut", "put"])])
+def test_large_group_of_edited_copies(spark, group):
+    """Likenesses from 0.4 to 1 in one group, a third of which links and the rest does not: at least 99 % as by all pairs."""
+    texts = edited_copies(*group, seed=5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    want, links = all_pairs(texts)
+    assert links > 50_000 and len(set(want.values())) > 500
+    assert sum(got[i] == c for i, c in want.items()) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("rare", [(1,), (2, 5), (16, 256, 4096)])
+def test_levels_of_rare_shingles_lose_no_pair(spark, monkeypatch, rare):
+    texts = edited_copies(80, 250, 6, 8, ["new", "cut", "put"], 2)
+    monkeypatch.setattr(neardup, "left_pairs", lambda pool, t, f=neardup.left_pairs: f(pool, t, rare))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == plain_classes(texts)
 
 
 def test_near_duplicate_edges(spark, edge_docs, no_docs):
     rows = neardup.classes(edge_docs).collect()
-    assert len(rows) == edge_docs.count()
+    old = edge_docs.collect()
+    plain = plain_classes({i: r["text"] or "" for i, r in enumerate(old)})
+    empty = [i for i, r in enumerate(old) if not (r["text"] or "")]  # equal texts are alike, also without words
+    plain |= {i: empty[0] for i in empty}
+    least = {c: min((old[i]["doc_id"] for i in plain if plain[i] == c and old[i]["doc_id"] is not None), default=None) for c in plain.values()}
+    key = lambda i, c, n: (i is None, i or 0, c is None, c or 0, n)
+    size = Counter(plain.values())
+    assert sorted(key(r["doc_id"], r["class_id"], r["class_rows"]) for r in rows) == sorted(key(r["doc_id"], least[plain[i]], size[plain[i]]) for i, r in enumerate(old))
     out = neardup.deduplicated(edge_docs)
     assert out.columns == edge_docs.columns
     kept = [r["text"] or "" for r in out.collect()]
@@ -103,11 +148,42 @@ def test_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(3, 1), (4, 1), (7, 0), (None, 1), (9, None), (1, 0)], "doc_id long, quality int")
     model = quality.fit(edge_docs, labels)
     assert quality.scored(edge_docs, model).filter("score IS NULL OR isnan(score)").count() == 0
+    old = edge_docs.collect()
+    score = lambda t: float(model.score(pa.array([t], pa.string()))[0])
+    want = sorted((r["doc_id"] is None, r["doc_id"] or 0, round(score(r["text"]), 6)) for r in old)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in quality.scored(edge_docs, model).collect()) == want
     out = quality.kept(edge_docs, model)
     assert out.columns == edge_docs.columns
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in old if score(r["text"]) >= 0.5)
+    assert quality.kept(no_docs, model).count() == 0
+    none = quality.fit(edge_docs, labels.filter("false"))
+    assert quality.kept(edge_docs, none).count() == 0
     assert quality.scored(no_docs, quality.fit(no_docs, labels.filter("false"))).count() == 0
 
 
+def test_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(6)
+    for prior in (0.2, 0.5, 0.8):
+        n = 4000
+        side = rng.random(n) < prior
+        u = np.where(side, rng.normal(2, 1, n), rng.normal(-2, 1, n))
+        assert abs(quality.class_prior(rng.normal(2, 1, 2000), u) - prior) < 0.08
+    x, p = (np.zeros((m, quality.N_FEATURES), np.float32) for m in (n, 1500))
+    x[:, :30], p[:, :30] = rng.normal(size=(n, 30)), rng.normal(size=(1500, 30))
+    x[:, 0] += np.where(side, 3, -3)
+    p[:, 0] += 3
+    found = quality.estimated_prior(p, x)
+    assert abs(found - prior) < 0.1
+    model = quality.nnpu(p, x, found)
+    assert (((x @ model.weights + model.bias) >= 0) == side).mean() > 0.95
+
+
+def test_labels_of_negatives_are_not_used(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = quality.fit(docs, labels), quality.fit(docs.unionAll(docs), labels.filter("quality = 1"))
+    assert np.allclose(one.weights, two.weights) and one.bias == two.bias
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = ["a b c", "", None, "Hello, World! 123\nHello, World! 123\n", "é" * 50, "x"]
     together = quality.features(pa.array(texts, pa.string()))
