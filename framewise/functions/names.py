@@ -26,30 +26,33 @@ def chronological(name: Column, descending: bool = False) -> list[Column]:
     return [k.desc() if descending else k.asc() for k in keys]
 
 
-def bound(value: str | None, upper: bool) -> tuple[int, ...] | None:
-    """A time bound as (year, month, day, hour, minute, second); what is left out widens it. Empty: None; else ValueError."""
+#: What a bound that stops early goes on with: the first and the last moment it can mean.
+OPEN = {"low": "00000000000000", "high": "99999999235959"}
+
+
+def bound(value: str | None, side: str) -> str | None:
+    """A time bound as 14 digits (year to second), what is left out taken from OPEN[side]. Empty: None; not in the form BOUND: ValueError."""
+    text = (value or "").strip()
     if not value:
         return None
-    m = re.match(BOUND, value.strip())
-    if m is None:
+    if not re.match(BOUND, text):
         raise ValueError(f"no time bound: {value!r}")
-    rest = (23, 59, 59) if upper else (0, 0, 0)
-    return tuple(int(g) if g is not None else rest[i - 3] for i, g in enumerate(m.groups()))
+    digits = re.sub(r"\D", "", text)
+    return digits + OPEN[side][len(digits) :]
 
 
 def between(name: Column, start: str | None = None, end: str | None = None) -> Column:
     """Whether a frame was taken in the bounds, both included; names without a time only pass if there are none."""
-    low, high = bound(start, upper=False), bound(end, upper=True)
+    low, high = bound(start, "low"), bound(end, "high")
     if low is None and high is None:
         return F.lit(True)
     # Fourteen digits of fixed width order as the numbers do, and need one regular expression.
     second = F.rpad(F.regexp_replace(name, f"(?s){NAME}.*$", "$1$2$3$4$5$6"), 14, "0")
-    digits = lambda t: F.lit("%04d%02d%02d%02d%02d%02d" % t)
     out = name.rlike(NAME)
     if low:
-        out = out & (second >= digits(low))
+        out = out & (second >= F.lit(low))
     if high:
-        out = out & (second <= digits(high))
+        out = out & (second <= F.lit(high))
     return F.coalesce(out, F.lit(False))
 
 

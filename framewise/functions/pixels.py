@@ -106,6 +106,28 @@ def difference(img: np.ndarray, template: np.ndarray) -> float:
     return float((d / np.where(scale > 0, scale, np.inf)).min())
 
 
+def resized(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image at a size, each pixel from the four nearest ones by distance (bilinear, centres aligned)."""
+    if img.shape[:2] == (height, width):
+        return img
+
+    def ends(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.minimum(np.floor(at).astype(int), max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    top, bottom, down = ends(img.shape[0], height)
+    left, right, across = ends(img.shape[1], width)
+    x = img.astype(np.float32)
+    rows = x[top] * (1 - down)[:, None, None] + x[bottom] * down[:, None, None]
+    out = rows[:, left] * (1 - across)[None, :, None] + rows[:, right] * across[None, :, None]
+    return np.rint(out).astype(np.uint8)
+
+
+def window(img: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> np.ndarray:
+    return img[y0:y1, x0:x1]
+
+
 def crop(img: np.ndarray, top: float = 0, bottom: float = 1, left: float = 0, right: float = 1) -> np.ndarray:
     """A part of an image, by shares of height and width."""
     h, w = img.shape[:2]
@@ -120,6 +142,28 @@ def hashes(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[
         yield pd.DataFrame({"phash": [phash(i) for i in images], "dhash": [dhash(i) for i in images]}, dtype="int64")
 
 
+@F.pandas_udf(T.BinaryType())
+def thumbnails(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Thumbnails of images given as height, width, data: height and width as two 4-byte numbers, then the pixels."""
+    for height, width, data in parts:
+        small = [thumbnail(image(*x)) for x in zip(height, width, data, strict=True)]
+        yield pd.Series([np.array(t.shape[:2], "<i4").tobytes() + t.tobytes() for t in small])
+
+
+@F.pandas_udf(
+    T.StructType([T.StructField(n, T.IntegerType() if n in "xy" else T.DoubleType()) for n in ("score", "x", "y", "share", "difference")])
+)
+def matches(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of images and templates (height, width, data each): best match on the white mask and where, share of the mask, least difference."""
+    for cols in parts:
+        out = []
+        for h, w, d, th, tw, td in zip(*cols, strict=True):
+            img, template = image(h, w, d), image(th, tw, td)
+            masked = white_only(img)
+            out.append((*match(masked, template), mask_share(masked), difference(img, template)))
+        yield pd.DataFrame(out, columns=["score", "x", "y", "share", "difference"])
+
+
 def thumbnail(img: np.ndarray, most: int = 400) -> np.ndarray:
     """The image within most x most pixels, proportions kept; smaller images stay as they are."""
     share = min(1.0, most / max(img.shape[:2]))

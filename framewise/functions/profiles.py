@@ -22,18 +22,23 @@ Result = tuple[str, str, str, str | None]
 
 @dataclass
 class Scorers:
-    """templates by name; ask_quick and ask_full call a model (None: never asked)."""
+    """templates by name; ask_quick and ask_full call a model (None: never asked); off names checks that are left out."""
 
     templates: dict[str, list[np.ndarray]] = field(default_factory=dict)
+    off: frozenset[str] = frozenset()
     rectangle: Callable[[np.ndarray], str | None] = lambda img: None
     ask_quick: Callable[[np.ndarray], bool] | None = None
     ask_full: Callable[[np.ndarray], Result] | None = None
 
     def best(self, img: np.ndarray, name: str) -> float:
-        return max((pixels.match(img, t)[0] for t in self.templates.get(name, [])), default=0.0)
+        """The best match of the templates of a name; 0 if the check is off."""
+        return max((pixels.match(img, t)[0] for t in self.templates.get(name, [])), default=0.0) if name not in self.off else 0.0
 
 
-# Thresholds of the profiles.
+# The size that frames are brought to, windows in it (x from, x to, y from, y to), thresholds.
+HEIGHT, WIDTH = 1080, 1920
+PEACOCK_WINDOW = (1740, 1880, 40, 140)
+USA_WINDOW = (1750, 1890, 50, 140)
 FOX = {"logo": 0.55, "side_by_side": 0.8}
 NBC = {"side_by_side": 0.8, "peacock": 0.55, "usa": 0.65, "mask_low": 0.01, "mask_high": 0.90}
 HBO = {"in_progress": 0.85, "be_back": 0.85}
@@ -60,15 +65,19 @@ def nascar_on_fox(img: np.ndarray, s: Scorers) -> Result:
 
 
 def nascar_on_nbc(img: np.ndarray, s: Scorers) -> Result:
-    """Split screen first, then either logo (the word mark only where the mask is neither empty nor full), then the model."""
-    if s.best(img, "side_by_side") >= NBC["side_by_side"]:
+    """Split screen first, then either logo in its window, then the model: quick question, full prompt.
+
+    The peacock is matched in colour; the white word mark only where the mask of its window is neither
+    empty nor full, as a uniform patch tells nothing.
+    """
+    if s.best(pixels.white_only(pixels.crop(img, bottom=1 / 5, right=1 / 5)), "side_by_side") >= NBC["side_by_side"]:
         return "opencv", "ad", "side_by_side", None
-    if s.best(img, "peacock") >= NBC["peacock"]:
+    if s.best(pixels.window(img, *PEACOCK_WINDOW), "peacock") >= NBC["peacock"]:
         return "opencv", "content", "network_logo", None
-    masked = pixels.white_only(img)
+    masked = pixels.white_only(pixels.window(img, *USA_WINDOW))
     if NBC["mask_low"] <= pixels.mask_share(masked) <= NBC["mask_high"] and s.best(masked, "usa") >= NBC["usa"]:
         return "opencv", "content", "network_logo", None
-    return _model(img, s, quick=False)
+    return _model(img, s, quick=True)
 
 
 def nascar_on_hbo_max(img: np.ndarray, s: Scorers) -> Result:
@@ -82,7 +91,7 @@ def nascar_on_hbo_max(img: np.ndarray, s: Scorers) -> Result:
 
 def nhra_on_fox(img: np.ndarray, s: Scorers) -> Result:
     """Logo, else an advertisement."""
-    if s.best(pixels.white_only(img), "logo") >= NHRA["logo"]:
+    if s.best(pixels.white_only(pixels.crop(img, bottom=1 / 8, left=5 / 6)), "logo") >= NHRA["logo"]:
         return "opencv", "content", "network_logo", None
     return "default", "ad", "default_ad", None
 
@@ -99,7 +108,8 @@ def profile_names() -> list[str]:
 def classified(frames: DataFrame, profile: str, scorers: Scorers, override: str | None = "override") -> DataFrame:
     """frames (height, width, data and, if named, override) with result: (source, type, reason, reply).
 
-    A frame with an override never reaches the profile. KeyError for an unknown profile.
+    Frames are brought to WIDTH x HEIGHT first, as windows and templates are of that size. A frame with an
+    override never reaches the profile. KeyError for an unknown profile.
     """
     run = PROFILES[profile]
 
@@ -107,7 +117,7 @@ def classified(frames: DataFrame, profile: str, scorers: Scorers, override: str
     def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for height, width, data, known in parts:
             out = [
-                ("phash_override", k, "phash_override", None) if k is not None else run(pixels.image(h, w, d), scorers)
+                ("phash_override", k, "phash_override", None) if k is not None else run(pixels.resized(pixels.image(h, w, d), HEIGHT, WIDTH), scorers)
                 for h, w, d, k in zip(height, width, data, known, strict=True)
             ]
             yield pd.DataFrame(out, columns=["source", "type", "reason", "reply"])

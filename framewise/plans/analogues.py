@@ -83,18 +83,19 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON texts of an evaluation log made of events."""
+    """JSON texts of an evaluation log made of events, and seq of each."""
     n = F.col("seq")
     expected = F.when(n % 7 == 0, "unknown").when(n % 2 == 0, "ad").otherwise("content")
     reason = F.when(n % 3 == 0, "network_logo").otherwise("model-match")
     rows = frames(spark, sf_dir).select(
+        "seq",
         F.when(n % 13 == 0, "ignored").when(expected == F.col("result"), "correct").otherwise("incorrect").alias("status"),
         F.when(n % 13 != 0, expected).alias("expected"),
         F.when(n % 13 != 0, F.col("result")).alias("classified"),
         F.when(n % 13 != 0, F.round(F.col("elapsed"), 3)).alias("elapsed"),
         F.when(n % 13 != 0, F.struct("source", F.col("result").alias("type"), reason.alias("reason"))).alias("model_reply"),
     )
-    return rows.select(F.to_json(F.struct("*")).alias("json"))
+    return rows.select("seq", F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])).alias("json"))
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

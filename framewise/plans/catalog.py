@@ -91,7 +91,7 @@ RESULTS = f"""{FRAMES}, rs0 AS (SELECT seq, result, source, elapsed, CASE WHEN s
     CASE WHEN seq % 13 <> 0 THEN ex END AS expected, CASE WHEN seq % 13 <> 0 THEN result END AS classified,
     CASE WHEN seq % 13 <> 0 THEN CASE WHEN seq % 3 = 0 THEN 'network_logo' ELSE 'model-match' END END AS reason,
     CASE WHEN seq % 13 <> 0 THEN source END AS source,
-    CASE WHEN seq % 13 <> 0 THEN CAST(round(elapsed, 3) AS DECIMAL(18, 3)) END AS elapsed FROM rs0)"""
+    CASE WHEN seq % 13 <> 0 THEN CAST(round(elapsed, 3) AS DECIMAL(18, 3)) END AS elapsed, seq FROM rs0)"""
 
 HASHES = """hs0 AS (SELECT vec_id AS n, label,
     array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS p,
@@ -497,12 +497,13 @@ def _(spark, d):
 
 @query(
     "sc12_p15_p16_fields",
-    """SELECT event_id, lower(event_type) IN ('click', 'true', '1', 'yes') AND event_type <> 'click' AS truthy, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS seconds,
+    """SELECT event_id, event_id % 4 < 3 AS truthy, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS seconds,
     coalesce(json_extract_string(props, '$.k'), '?') AS shown FROM events""",
 )
 def _(spark, d):
     o = replies.offset(F.get_json_object("props", "$.k"))
-    return table(spark, d, "events").select("event_id", replies.truthy(F.col("event_type")).alias("truthy"), o["seconds"].alias("seconds"), o["shown"].alias("shown"))
+    given = F.element_at(F.array(F.lit("True"), F.lit("1"), F.lit("YES"), F.col("event_type")), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", replies.truthy(given).alias("truthy"), o["seconds"].alias("seconds"), o["shown"].alias("shown"))
 
 
 @query(
@@ -601,7 +602,22 @@ def _(spark, d):
     return dedupe.clusters(rows.select("name", "phash", F.col("n").alias("pos")), 10)
 
 
-@query("a9_sk14_report")
+_NUMBER = "CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN p[i + 1] = '1' THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS HUGEINT)"
+_REPORT = _cluster_sql(10).replace(
+    "o AS (SELECT *, row_number() OVER (ORDER BY n) AS i FROM hs)",
+    f"""dg AS (SELECT *, md5(CAST(CASE WHEN p[64] = '1' THEN {_NUMBER} - CAST(18446744073709551616 AS HUGEINT) ELSE {_NUMBER} END AS VARCHAR)) AS digest FROM hs),
+    ex AS (SELECT digest, count(*) AS c, arg_min(name, n) AS keep FROM dg GROUP BY digest), o AS (SELECT dg.*, row_number() OVER (ORDER BY n) AS i FROM dg JOIN ex ON ex.digest = dg.digest AND keep = name)""",
+)
+
+
+@query(
+    "a9_sk14_report",
+    _REPORT.replace(
+        "SELECT leader, name, distance FROM g WHERE i > 0",
+        """SELECT 'exact' AS kind, '{"digest":"' || digest || '","n":' || c || ',"keep":"' || keep || '"}' AS json FROM ex WHERE c > 1
+        UNION ALL SELECT 'near', '{"leader":"' || leader || '","name":"' || name || '","distance":' || distance || '}' FROM g WHERE i > 0 AND leader <> name""",
+    ),
+)
 def _(spark, d):
     rows = _tagged(spark, d)
     files = rows.select("name", F.col("n").alias("pos"), F.col("phash").cast("string").cast("binary").alias("content"))
@@ -815,7 +831,7 @@ def _(spark, d):
     "fn_scalars",
     r"""SELECT doc_id, md5(text) AS digest, base64(encode(substr(text, 1, 12))) AS b64,
       CASE WHEN n_chars * 100000 >= 1073741824 THEN printf('%.2f GiB', n_chars * 100000 / 1073741824.0::DOUBLE) ELSE printf('%.2f MiB', n_chars * 100000 / 1048576.0::DOUBLE) END AS size_text,
-      CAST(ceil(n_chars / 100) AS BIGINT) AS pages, list_distinct(list_sort(string_split(lang || ',' || source, ','))) IS NOT NULL AS has FROM documents""",
+      CAST(ceil(n_chars / 100) AS BIGINT) AS pages, array_to_string(list_sort(list_distinct(string_split(lang || ',' || source || ',' || lang, ','))), '+') AS parts FROM documents""",
 )
 def _(spark, d):
     return table(spark, d, "documents").select(
@@ -824,7 +840,7 @@ def _(spark, d):
         F.base64(F.encode(F.substring("text", 1, 12), "UTF-8")).alias("b64"),
         outputs.size_text(F.col("n_chars") * 100000).alias("size_text"),
         F.ceil(F.col("n_chars") / 100).cast("long").alias("pages"),
-        F.array_distinct(F.split(F.concat_ws(",", "lang", "source"), ",")).isNotNull().alias("has"),
+        F.array_join(F.array_sort(F.array_distinct(F.split(F.concat_ws(",", "lang", "source", "lang"), ","))), "+").alias("parts"),
     )
 
 
@@ -905,11 +921,19 @@ def _(spark, d):
 
     home = f"{shared_dir(spark)}/framewise-stream-{uuid.uuid4().hex}"
     log = an.command_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    log.select("key", "ts", "seq", "kind", "result", "source", "flag").write.parquet(f"{home}/log")
-    out = live.live(live.read_log(spark, f"{home}/log", 1_000_000))
+    log = log.select("key", "ts", "seq", "kind", "result", "source", "flag")
+    # Four parts of the log by time, one file and so one micro-batch each: state goes from batch to batch.
+    cuts = log.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    part = sum((F.unix_micros(F.col("ts").cast("timestamp")) > c).cast("int") for c in cuts)
+    for i in range(len(cuts) + 1):
+        log.filter(part == i).coalesce(1).write.mode("append").parquet(f"{home}/log")
+    out = live.live(live.read_log(spark, f"{home}/log", 1))
     sink = lambda rows, n: rows.write.mode("overwrite").parquet(f"{home}/out/batch={n}")
     run = out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(sink).start()
     run.awaitTermination()
     rows = spark.read.schema(live.OUT).parquet(f"{home}/out")
     prev = F.when(F.col("kind").isin("frame", "report"), F.col("prev"))
     return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
+
+
+from framewise.plans import catalog_files  # noqa: E402, F401  (registers its queries)

@@ -18,18 +18,19 @@ VARIABLES = {
 }
 
 
+# Names of settings and their defaults.
 @dataclass
 class Config:
     matrix_url: str = "http://localhost:5000"
     llm_url: str = "http://localhost:3002"
-    llm_model_name: str = "local"
-    auto_switch: bool = True
+    save_dir: str = "frames"
     enable_debounce: bool = False
+    auto_switch: bool = True
     enable_llm_audio: bool = False
-    save_dir: str = "frames"
+    llm_model_name: str = "local"
+    output_settings: dict = field(default_factory=lambda: {"ad": {}, "content": {}})
     classifier_profile: str = "nascar_on_fox"
     phash_threshold: int = 10
-    output_settings: dict = field(default_factory=lambda: {"ad": {}, "content": {}})
 
 
 def _as(kind: str, value: object) -> object:

@@ -13,9 +13,15 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, any_case: bool = False) -> DataFrame:
-    """Names, sizes and times of the image files in a folder; contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    return _named(files).filter(names.has_image_suffix(F.col("name"), any_case)).select("name", F.col("length").alias("size"), "modificationTime")
+    """Names, sizes and times of the image files in a folder, in chronological order; contents are not read. No folder, no rows."""
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "name string, size long, modificationTime timestamp")
+        raise
+    rows = _named(files).filter(names.has_image_suffix(F.col("name"), any_case)).select("name", F.col("length").alias("size"), "modificationTime")
+    return rows.orderBy(*names.chronological(F.col("name")))
 
 
 def evaluation_listing(spark: SparkSession, folder: str) -> DataFrame:

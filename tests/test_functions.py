@@ -10,14 +10,14 @@ def values(spark, rows, schema, expr):
 
 
 def test_time_bounds():
-    assert names.bound("2026-01-01", upper=True) == (2026, 1, 1, 23, 59, 59)
-    assert names.bound("2026-01-01T14:30", upper=True) == (2026, 1, 1, 14, 30, 59)
-    assert names.bound("2026-01-01 14:30:05", upper=False) == (2026, 1, 1, 14, 30, 5)
-    assert names.bound("2026-13-40", upper=False) == (2026, 13, 40, 0, 0, 0)
-    assert names.bound("", upper=True) is None
+    assert names.bound("2026-01-01", "high") == "20260101235959"
+    assert names.bound("2026-01-01T14:30", "high") == "20260101143059"
+    assert names.bound("2026-01-01 14:30:05", "low") == "20260101143005"
+    assert names.bound("2026-13-40", "low") == "20261340000000"
+    assert names.bound("", "high") is None
     for bad in ("soon", "2026-01", "01-01-2026", "2026-01-01T14", "2026-1-1"):
         with pytest.raises(ValueError):
-            names.bound(bad, upper=True)
+            names.bound(bad, "high")
 
 
 def test_chronological_order(spark):
@@ -108,8 +108,20 @@ def test_profile_cascades(spark):
     assert profiles.nascar_on_fox(dark, s) == ("llm", "ad", "model-match", "type=ad") and calls
     assert profiles.nascar_on_fox(dark, profiles.Scorers(rectangle=lambda img: "left"))[2] == "matched_rectangle"
     assert profiles.nascar_on_fox(dark, profiles.Scorers(ask_quick=lambda img: False))[2] == "model_quick_reject"
-    assert profiles.nascar_on_nbc(with_logo, profiles.Scorers({"side_by_side": [logo], "peacock": [logo]}))[2] == "side_by_side"
-    assert profiles.nascar_on_nbc(with_logo, profiles.Scorers({"usa": [logo]}))[2] == "no_model"
+    frame = np.full((1080, 1920, 3), 30, np.uint8)
+    full_size = lambda x, y, img=frame: np.concatenate([img[:y], np.concatenate([img[y : y + 6, :x], logo, img[y : y + 6, x + 6 :]], 1), img[y + 6 :]])
+    nbc = lambda img, *names, **kw: profiles.nascar_on_nbc(img, profiles.Scorers({n: [logo] for n in names}, **kw))[2]
+    assert nbc(full_size(100, 100, full_size(1800, 80)), "side_by_side", "peacock") == "side_by_side"
+    assert nbc(full_size(100, 100, full_size(1800, 80)), "side_by_side", "peacock", off=frozenset({"side_by_side"})) == "network_logo"
+    assert nbc(full_size(100, 400), "side_by_side") == "no_model"  # not in the top left fifth
+    assert nbc(full_size(1800, 80), "peacock") == "network_logo" and nbc(full_size(1700, 80), "peacock") == "no_model"
+    assert nbc(full_size(1800, 80), "usa") == "no_model"  # the mask of the window is nearly empty
+    band = frame.copy()
+    band[55:75, 1760:1880] = 255
+    assert nbc(full_size(1800, 100, band), "usa") == "network_logo"
+    assert profiles.nascar_on_nbc(frame, profiles.Scorers(ask_quick=lambda img: False))[2] == "model_quick_reject"
+    nhra = profiles.Scorers({"logo": [logo]})
+    assert profiles.nhra_on_fox(full_size(1700, 80), nhra)[2] == "network_logo" and profiles.nhra_on_fox(full_size(900, 500), nhra)[2] == "default_ad"
     assert profiles.nascar_on_hbo_max(with_logo, profiles.Scorers({"be_back": [logo]}))[1:3] == ("ad", "well_be_back")
     assert profiles.nascar_on_hbo_max(dark, profiles.Scorers())[2] == "default_fallback"
     assert profiles.nhra_on_fox(dark, s)[1:3] == ("ad", "default_ad")
