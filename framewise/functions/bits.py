@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,16 +28,29 @@ def from_signs(values: Column, n: int = 64) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
-def band_plan(threshold: int) -> tuple[list[tuple[int, int]], int]:
-    """Bands (shift, width) of the 64 bits and the radius r, such that hashes within threshold differ by r bits at most in some band."""
-    n = next(m for m in range(4, 65) if threshold // m <= 2)
+def _bands(n: int) -> list[tuple[int, int]]:
     cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], threshold // n
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def band_keys(value: Column, threshold: int, near: bool) -> Column:
+def band_plan(threshold: int, n_hashes: int = 1) -> tuple[list[tuple[int, int]], int]:
+    """Bands (shift, width) of the 64 bits and the radius r, such that hashes within threshold differ by r bits at most in some band.
+
+    Wider bands have more keys a hash and far fewer other hashes in a bucket: of plans with a radius up
+    to 3 the one with the fewest keys and candidates together for so many hashes.
+    """
+
+    def cost(n: int) -> float:
+        radius = threshold // n
+        return sum((keys := sum(comb(w, r) for r in range(radius + 1))) + n_hashes * keys / 2.0**w for _, w in _bands(n))
+
+    n = min((m for m in range(3, 65) if threshold // m <= 3), key=cost)
+    return _bands(n), threshold // n
+
+
+def band_keys(value: Column, plan: tuple[list[tuple[int, int]], int], near: bool) -> Column:
     """Keys (band, bits) of a hash; with near, of all bits within the radius."""
-    bands, radius = band_plan(threshold)
+    bands, radius = plan
     out = []
     for i, (shift, width) in enumerate(bands):
         own = F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1))

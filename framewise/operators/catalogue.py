@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.functions import checks, names
+from framewise.plans.persist import checkpointed
 
 
 def latest(log: DataFrame, key: str, position: str) -> DataFrame:
@@ -41,19 +42,41 @@ def filtered(
     return rows.filter(keep)
 
 
+#: Rows from the nearer end up to which a page is a top-k; beyond, rows are dealt to ranges.
+NEAR_END = 100_000
+#: Rows of a range.
+RANGE_ROWS = 1_000_000
+
+
 def paged(rows: DataFrame, page: int = 1, per_page: int = checks.PER_PAGE, order: str = "asc") -> DataFrame:
     """One page of rows in chronological order, with place, page and pages.
 
-    A page beyond the last is the last. Only the count goes to the driver; the page itself is a
-    bounded top-k (offset + per_page rows are kept by each task).
+    A page beyond the last is the last. Only counts go to the driver. A page near either end is a top-k
+    from that end (each task keeps NEAR_END + per_page rows at most). For one in between, rows are dealt
+    to ranges by a checkpoint, the ranges are counted, and only those that hold the page are sorted.
     """
     checks.require_page(page, per_page, order)
     n = rows.count()
     pages = max(1, -(-n // per_page))
     page = min(page, pages)
+    start = (page - 1) * per_page
+    size = min(per_page, n - start)
     keys = names.chronological(F.col("name"), order == "desc")
-    cut = rows.orderBy(*keys).offset((page - 1) * per_page).limit(per_page)
-    place = F.row_number().over(W.orderBy(*keys)) + (page - 1) * per_page
+    if start <= NEAR_END:
+        cut = rows.orderBy(*keys).offset(start).limit(per_page)
+    elif n - start <= NEAR_END:
+        back = names.chronological(F.col("name"), order != "desc")
+        cut = rows.orderBy(*back).offset(n - start - size).limit(size)
+    else:
+        ranges = rows.repartitionByRange(-(-n // RANGE_ROWS), *keys).withColumn("_range", F.spark_partition_id())
+        ranges = checkpointed(ranges)
+        before, wanted = 0, []
+        for r in ranges.groupBy("_range").count().orderBy("_range").collect():
+            if before < start + size and before + r["count"] > start:
+                wanted.append((r["_range"], before))
+            before += r["count"]
+        cut = ranges.filter(F.col("_range").isin([w for w, _ in wanted])).drop("_range").orderBy(*keys).offset(start - wanted[0][1]).limit(size)
+    place = F.row_number().over(W.orderBy(*keys)) + start
     return cut.withColumns({"place": place, "page": F.lit(page), "pages": F.lit(pages)})
 
 

@@ -3,11 +3,15 @@
 Hash rows have name, size, phash, dhash, and pos (place in the order of keeping: protected frames
 first, then chronological). Pairs within a distance come from band keys (multi-index hashing): two
 hashes within the threshold differ by few bits in some band, so one side is keyed by its bits and
-the other by all bits near its own. Equal hashes are one row in that join.
+the other by all bits near its own; the width of bands follows from the number of hashes. Equal hashes
+are one row in that join and in all that follows from it, so a frame that is repeated a million times
+makes no pairs with itself.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +24,8 @@ DHASH_SLACK = 4
 # Hashes of frames that are nearly black.
 BLANK = (0x0, 0x80)
 MOST_ROUNDS = 10_000
+#: Rounds after which the tables of decided rows become one.
+MERGE_EACH = 8
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
@@ -30,9 +36,10 @@ def exact_groups(files: DataFrame) -> DataFrame:
 
 def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b, distance) of distinct hashes within threshold, both orders, each hash with itself too."""
-    own = hashes.select("phash").distinct()
-    left = own.select(F.col("phash").alias("a"), F.explode(bits.band_keys(F.col("phash"), threshold, near=False)).alias("k"))
-    right = own.select(F.col("phash").alias("b"), F.explode(bits.band_keys(F.col("phash"), threshold, near=True)).alias("k"))
+    own = checkpointed(hashes.select("phash").distinct())
+    bands = bits.band_plan(threshold, own.count())
+    left = own.select(F.col("phash").alias("a"), F.explode(bits.band_keys(F.col("phash"), bands, near=False)).alias("k"))
+    right = own.select(F.col("phash").alias("b"), F.explode(bits.band_keys(F.col("phash"), bands, near=True)).alias("k"))
     d = bits.distance(F.col("a"), F.col("b"))
     return left.join(right, "k").withColumn("distance", d).filter(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
 
@@ -58,73 +65,101 @@ def ordered(hashes: DataFrame, protected: DataFrame) -> DataFrame:
     return marked.withColumn("pos", key)
 
 
+class _Growing:
+    """A table that grows by checkpointed parts, which become one each MERGE_EACH parts."""
+
+    def __init__(self) -> None:
+        self.parts: list[DataFrame] = []
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > MERGE_EACH:
+            self.parts = [checkpointed(self.table().coalesce(64))]
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool = True) -> DataFrame:
     """The greedy pass in rounds: name, kept, representative, distance for every row.
 
     Rows (name, phash, dhash, protected, pos) are taken in order of pos. A row goes if its nearest
     kept predecessor (ties: the earliest) is within threshold, unless it is protected or the two
-    dhashes differ too much; then it stays, and the second nearest is not tried. A round decides
-    every row whose near predecessors are all decided. The tables of a round hold rows and near
-    pairs only, and each is checkpointed.
+    dhashes differ too much; then it stays, and the second nearest is not tried.
+
+    Of the kept rows of one phash only the first matters to others. So a round asks, for each phash
+    without a kept row, which of its rows come before all open rows of near phashes; those are decided,
+    up to the first that stays. Rows behind the first kept one of their own phash are decided all at
+    once in the end. Rounds are as many as the longest chain of near hashes each of which waits for the
+    one before; a round's tables hold open rows and pairs of different hashes, and are checkpointed.
     """
-    rows = hashes.select("name", "phash", "dhash", "protected", "pos")
-    earlier = rows.select(F.col("name").alias("e_name"), F.col("phash").alias("a"), F.col("dhash").alias("e_dhash"), F.col("pos").alias("e_pos"))
-    pairs = hash_pairs(rows, threshold).join(rows.withColumnRenamed("phash", "b"), "b").join(earlier, "a").filter(F.col("e_pos") < F.col("pos"))
-    far = bits.distance(F.col("dhash"), F.col("e_dhash")) > threshold + DHASH_SLACK if use_dhash else F.lit(False)
-    pairs = checkpointed(pairs.select("name", "e_name", "e_pos", "distance", (far | F.col("protected")).alias("stays")))
-    # Rows without a near predecessor stay; they are decided from the start.
-    done = checkpointed(
-        rows.join(pairs.select("name").distinct(), "name", "left_anti").select(
-            "name", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("representative"), F.lit(None).cast("int").alias("distance")
-        )
-    )
-    left = pairs
+    rows = checkpointed(hashes.select("name", "phash", "dhash", "protected", "pos"))
+    pairs = checkpointed(hash_pairs(rows, threshold).filter("a <> b"))
+    far = lambda other: bits.distance(F.col("dhash"), F.col(other)) > threshold + DHASH_SLACK if use_dhash else F.lit(False)
+    known, dropped = _Growing(), _Growing()
+    left = rows
     for _ in range(MOST_ROUNDS):
+        firsts = left.groupBy(F.col("phash").alias("b")).agg(F.min("pos").alias("first"))
+        until = pairs.join(firsts, "b").groupBy(F.col("a").alias("phash")).agg(F.min("first").alias("until"))
+        ready = left.join(until, "phash", "left").filter(F.col("until").isNull() | (F.col("pos") < F.col("until"))).drop("until")
+        if known.parts:
+            near = pairs.join(known.table(), F.col("b") == F.col("k_phash")).select(F.col("a").alias("phash"), "distance", "k_pos", "k_name", "k_dhash")
+            near = ready.join(near, "phash").filter(F.col("k_pos") < F.col("pos"))
+            nearest = near.groupBy("name").agg(F.min(F.struct("distance", "k_pos", "k_name", "k_dhash")).alias("n"))
+            ready = ready.join(nearest, "name", "left").select("*", "n.*").drop("n", "k_pos")
+        else:
+            ready = ready.select("*", F.lit(None).cast("int").alias("distance"), F.lit(None).cast("string").alias("k_name"), F.lit(None).cast("long").alias("k_dhash"))
+        stays = F.col("protected") | F.col("k_name").isNull() | far("k_dhash")
+        ready = checkpointed(ready.withColumn("stays", F.coalesce(stays, F.lit(False))))
+        new = ready.filter("stays").groupBy("phash").agg(F.min(F.struct("pos", "name", "dhash")).alias("k"))
+        new = checkpointed(new.select(F.col("phash").alias("k_phash"), F.col("k.pos").alias("k_pos"), F.col("k.name").alias("k_name"), F.col("k.dhash").alias("k_dhash")))
+        gone = ready.join(new.select(F.col("k_phash").alias("phash"), F.col("k_pos").alias("kept_pos")), "phash", "left")
+        gone = gone.filter(~F.col("stays") & (F.col("kept_pos").isNull() | (F.col("pos") < F.col("kept_pos"))))
+        known.add(new)
+        dropped.add(checkpointed(gone.select("name", F.lit(False).alias("kept"), F.col("k_name").alias("representative"), "distance")))
+        left = left.join(new.select(F.col("k_phash").alias("phash")), "phash", "left_anti").join(dropped.parts[-1].select("name"), "name", "left_anti")
+        left = checkpointed(left)
         if left.isEmpty():
-            return done
-        known = left.join(done.select(F.col("name").alias("e_name"), F.col("kept").alias("e_kept")), "e_name", "left")
-        nearest = F.min(F.when(F.col("e_kept"), F.struct("distance", "e_pos", "e_name", "stays")))
-        told = known.groupBy("name").agg(F.bool_and(F.col("e_kept").isNotNull()).alias("ready"), nearest.alias("n")).filter("ready")
-        gone = F.col("n").isNotNull() & ~F.coalesce(F.col("n.stays"), F.lit(True))
-        told = checkpointed(
-            told.select(
-                "name",
-                (~gone).alias("kept"),
-                F.when(gone, F.col("n.e_name")).alias("representative"),
-                F.when(gone, F.col("n.distance")).alias("distance"),
-            )
-        )
-        done = done.unionByName(told)
-        left = checkpointed(left.join(told.select("name"), "name", "left_anti"))
-    raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
+            break
+    else:
+        raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
+    own = rows.join(known.table().withColumnRenamed("k_phash", "phash"), "phash").filter(F.col("pos") >= F.col("k_pos"))
+    keep = (F.col("pos") == F.col("k_pos")) | F.col("protected") | F.coalesce(far("k_dhash"), F.lit(False))
+    own = own.select("name", keep.alias("kept"), F.when(~keep, F.col("k_name")).alias("representative"), F.when(~keep, F.lit(0)).alias("distance"))
+    return own.unionByName(dropped.table())
 
 
 def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
     """Leader clusters (leader, name, distance): each row not yet taken leads and takes the later ones near it.
 
     A row belongs to its earliest near leader, so this is the greedy pass with order in place of distance.
+    Rows of one phash have the same leader, so its first row is decided and speaks for them.
     """
-    rows = hashes.select("name", "phash", "pos")
+    every = hashes.select("name", "phash", "pos")
+    first = every.groupBy("phash").agg(F.min(F.struct("pos", "name")).alias("f"))
+    rows = checkpointed(first.select(F.col("f.name").alias("name"), "phash", F.col("f.pos").alias("pos")))
     earlier = rows.select(F.col("name").alias("e_name"), F.col("phash").alias("a"), F.col("pos").alias("e_pos"))
     pairs = hash_pairs(rows, threshold).join(rows.withColumnRenamed("phash", "b"), "b").join(earlier, "a").filter(F.col("e_pos") < F.col("pos"))
     pairs = checkpointed(pairs.select("name", "e_name", "e_pos", "distance"))
-    done = checkpointed(
-        rows.join(pairs.select("name").distinct(), "name", "left_anti").select("name", F.col("name").alias("leader"), F.lit(0).alias("distance"))
-    )
+    done = _Growing()
+    done.add(checkpointed(rows.join(pairs.select("name").distinct(), "name", "left_anti").select("name", F.col("name").alias("leader"), F.lit(0).alias("distance"))))
     left = pairs
     for _ in range(MOST_ROUNDS):
         if left.isEmpty():
-            return done.select("leader", "name", "distance")
+            break
         leads = F.col("leader") == F.col("e_name")
-        known = left.join(done.select(F.col("name").alias("e_name"), "leader"), "e_name", "left")
-        first = F.min(F.when(leads, F.struct("e_pos", "e_name", "distance")))
-        told = known.groupBy("name").agg(F.bool_and(F.col("leader").isNotNull()).alias("ready"), first.alias("f")).filter("ready")
+        known = left.join(done.table().select(F.col("name").alias("e_name"), "leader"), "e_name", "left")
+        nearest = F.min(F.when(leads, F.struct("e_pos", "e_name", "distance")))
+        told = known.groupBy("name").agg(F.bool_and(F.col("leader").isNotNull()).alias("ready"), nearest.alias("f")).filter("ready")
         told = checkpointed(
             told.select("name", F.coalesce("f.e_name", "name").alias("leader"), F.coalesce("f.distance", F.lit(0)).alias("distance"))
         )
-        done = done.unionByName(told)
+        done.add(told)
         left = checkpointed(left.join(told.select("name"), "name", "left_anti"))
-    raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
+    else:
+        raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
+    by_hash = done.table().join(rows.select("name", "phash"), "name").select("phash", "leader", "distance")
+    return every.join(by_hash, "phash").select("leader", "name", "distance")
 
 
 def report(files: DataFrame, hashes: DataFrame, threshold: int) -> DataFrame:
@@ -173,8 +208,9 @@ def overridden(frames: DataFrame, overrides: DataFrame, threshold: int = THRESHO
     Overrides (pos, phash, label) are added by hand; the join is by band keys all the same.
     """
     listed = overrides.groupBy("phash").agg(F.min(F.struct("pos", "label")).alias("o"))
-    left = frames.select("phash").distinct().select("phash", F.explode(bits.band_keys(F.col("phash"), threshold, near=False)).alias("k"))
-    right = listed.select(F.col("phash").alias("p"), "o", F.explode(bits.band_keys(F.col("phash"), threshold, near=True)).alias("k"))
+    bands = bits.band_plan(threshold)
+    left = frames.select("phash").distinct().select("phash", F.explode(bits.band_keys(F.col("phash"), bands, near=False)).alias("k"))
+    right = listed.select(F.col("phash").alias("p"), "o", F.explode(bits.band_keys(F.col("phash"), bands, near=True)).alias("k"))
     hit = left.join(right, "k").filter(bits.distance(F.col("phash"), F.col("p")) <= threshold).groupBy("phash").agg(F.min("o").alias("o"))
     return frames.join(hit, "phash", "left").select("name", F.col("o.label").alias("label"))
 

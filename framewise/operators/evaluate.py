@@ -63,22 +63,32 @@ def summary(judged_rows: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges between the least and the greatest time of a group, in which the median is looked for.
+RANGES = 1024
+
+
 def timing(judged_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean, upper median, least, most and sum of elapsed over verdicts; no row if there is none.
 
-    The upper median comes from counts of each distinct time, which combine before the shuffle; no
-    group is gathered into an array.
+    The upper median comes from counts: of RANGES ranges of each group first, then of the distinct times
+    in the one range that holds it. Counts combine before the shuffle; no group is gathered or sorted.
     """
-    keys = [F.col(c) for c in by or []]
+    keys = by or []
     given = judged_rows.filter(F.col("status").isin("correct", "incorrect") & F.col("elapsed").isNotNull())
+    given = given.select(*keys, "elapsed", F.lit(0).alias("_all"))
+    group = ["_all", *keys]
     x = F.col("elapsed")
     n = F.count(F.lit(1))
-    stats = given.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("m"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(x).alias("s"))
-    counts = given.groupBy(*keys, x).agg(n.alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy(*keys).orderBy("elapsed")))
-    counts = counts.join(stats.select(*(by or []), "n"), by) if by else counts.crossJoin(F.broadcast(stats.select("n")))
-    middle = counts.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min("elapsed").alias("mid"))
-    both = stats.join(middle, by) if by else stats.crossJoin(F.broadcast(middle))
-    return both.filter("n > 0").select(
+    stats = given.groupBy(*group).agg(n.alias("n"), F.avg(x).alias("m"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(x).alias("s"))
+    place = F.least(F.lit(RANGES - 1), F.floor(F.coalesce(F.try_divide((x - F.col("lo")) * RANGES, F.col("hi") - F.col("lo")), F.lit(0.0)))).cast("int")
+    counts = given.groupBy(*group, "elapsed").agg(n.alias("c")).join(stats.select(*group, "n", "lo", "hi"), group).withColumn("range", place)
+    upto = lambda order, *more: F.sum("c").over(W.partitionBy(*group, *more).orderBy(order))
+    ranges = counts.groupBy(*group, "range").agg(F.sum("c").alias("c"), F.first("n").alias("n")).withColumn("upto", upto("range"))
+    held = ranges.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*group).agg(F.min(F.struct("range", (F.col("upto") - F.col("c")).alias("under"))).alias("r"))
+    held = held.select(*group, F.col("r.range").alias("range"), F.col("r.under").alias("under"))
+    inside = counts.join(held, [*group, "range"]).withColumn("upto", F.col("under") + upto("elapsed", "range"))
+    middle = inside.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*group).agg(F.min("elapsed").alias("mid"))
+    return stats.join(middle, group).select(
         *keys,
         *[F.round(c, 2).alias(f"{a}_elapsed") for c, a in (("m", "avg"), ("mid", "median"), ("lo", "min"), ("hi", "max"), ("s", "total"))],
     )

@@ -1,6 +1,11 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from framewise.operators import boxes, dedupe, evaluate, outputs, state
+from framewise.functions import bits
+from framewise.functions import names as names_of
+from framewise.operators import boxes, catalogue, dedupe, evaluate, outputs, state
 from framewise.streaming import live
 
 
@@ -42,6 +47,62 @@ def test_greedy_chain_and_protected(spark):
     assert got == {"a.jpg": False, "b.jpg": True, "c.jpg": False}
 
 
+def plain_greedy(rows, threshold):
+    """Names kept or dropped with representative and distance, one row after the other."""
+    kept, out = [], {}
+    for name, phash, dhash, guarded in sorted(rows, key=lambda r: (not r[3], r[0])):
+        bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+        near = min(((bits(phash, p), i) for i, (_, p, _) in enumerate(kept)), default=(99, 0))
+        if near[0] <= threshold and not guarded and bits(dhash, kept[near[1]][2]) <= threshold + 4:
+            out[name] = (False, kept[near[1]][0], near[0])
+        else:
+            kept.append((name, phash, dhash))
+            out[name] = (True, None, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_greedy_with_many_equal_hashes(spark, seed):
+    rng = random.Random(seed)
+    hashes = [0, 0b1, 0b111, 0b11111, 0b1111111, 0xFF00, 0xFF01, 0xFFFF]
+    rows = [(f"f{i:04}.jpg", rng.choice(hashes), rng.choice([0, 1, 2**20 - 1]), rng.random() < 0.1) for i in range(150)]
+    got = {r["name"]: (r["kept"], r["representative"], r["distance"]) for r in dedupe.kept_first(hash_rows(spark, rows), 4).collect()}
+    assert got == plain_greedy(rows, 4)
+
+
+def test_one_hash_for_all_rows_makes_no_pairs(spark):
+    rows = spark.range(20_000).selectExpr("concat('f', lpad(id, 9, '0'), '.jpg') AS name", "CAST(7 AS long) AS phash", "CAST(0 AS long) AS dhash", "false AS protected", "id AS pos")
+    assert dedupe.hash_pairs(rows, 10).count() == 1
+    assert dedupe.kept_first(rows, 10).filter("kept").count() == 1
+    assert dedupe.clusters(rows.select("name", "phash", "pos"), 10).select("leader").distinct().count() == 1
+
+
+def test_wider_bands_for_more_hashes():
+    assert len(bits.band_plan(10, 1000)[0]) > len(bits.band_plan(10, 50_000_000)[0]) == 3
+
+
+def test_median_by_group_over_many_times(spark):
+    rng = random.Random(4)
+    rows = [("correct", g, rng.choice([rng.random() * 10, 5.0, 1e6 * rng.random()])) for g in "abc" for _ in range(501)]
+    df = spark.createDataFrame(rows, "status string, g string, elapsed double")
+    got = {r["g"]: r["median_elapsed"] for r in evaluate.timing(df, ["g"]).collect()}
+    assert got == {g: round(sorted(x for _, h, x in rows if h == g)[250], 2) for g in "abc"}
+    assert evaluate.timing(df).first()["median_elapsed"] == round(sorted(x for _, _, x in rows)[len(rows) // 2], 2)
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_from_both_ends_and_between(spark, monkeypatch, order):
+    monkeypatch.setattr(catalogue, "NEAR_END", 60)
+    monkeypatch.setattr(catalogue, "RANGE_ROWS", 40)
+    names = [f"2026-01-{1 + i % 28:02}_10-{i % 60:02}-{i // 10:02}.jpg" for i in range(325)] + ["odd.jpg"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    whole = [r["name"] for r in df.orderBy(*names_of.chronological(F.col("name"), order == "desc")).collect()]
+    for page in range(1, 8):
+        got = catalogue.paged(df, page, 50, order).orderBy("place").collect()
+        assert [r["name"] for r in got] == whole[(page - 1) * 50 : page * 50]
+        assert [r["place"] for r in got] == list(range((page - 1) * 50 + 1, (page - 1) * 50 + 1 + len(got))) and {r["pages"] for r in got} == {7}
+
+
 def test_upper_median_and_empty(spark):
     df = spark.createDataFrame([("correct", float(x)) for x in (4, 1, 3, 2)], "status string, elapsed double")
     assert evaluate.timing(df).first()["median_elapsed"] == 3.0

@@ -35,3 +35,16 @@ def test_near_pairs_are_an_equi_join(spark, sf):
 
     found, plan = nodes(dedupe.hash_pairs(analogues.hashes(spark, sf), 10))
     assert "NestedLoop" not in plan and not found["CartesianProduct"]
+
+
+def test_no_window_over_all_rows(spark, sf):
+    """Distinct times are put in order only within a range; what one task sees is the list of ranges."""
+    from framewise.operators import evaluate
+    from framewise.plans import analogues
+
+    rows = evaluate.judged(analogues.verdicts(spark, sf), analogues.labels(spark, sf))
+    for df in (rows, rows.crossJoin(spark.range(10)).drop("id")):
+        _, plan = nodes(evaluate.timing(df))
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        ordered = [line for line in windows if re.search(r"\[elapsed#\d+ ASC", line.rsplit("AS ", 1)[-1])]
+        assert windows and ordered and all(re.search(r"\], \[range#\d+\], \[elapsed", line) for line in ordered)
