@@ -25,6 +25,38 @@ CONTRACT = T.StructType(
 )
 
 
+# The two questions, and how long an answer may be.
+QUICK = "Does this image contain anything related to NASCAR racing? Reply with only 'yes' or 'no'."
+QUICK_WITH_AUDIO = (
+    "This image and audio clip are from the same segment of a video. Based on both the audio and the image, does it seem more likely than not "
+    "that this segment is from a NASCAR race broadcast (not an ad)? Reply 'Yes' or 'No'."
+)
+MOST_TOKENS = {"quick": 10, "full": 500}
+TEMPERATURE = 0.2
+
+
+def request(kind: str, model: str, image: Column, prompt: Column | None = None, audio: Column | None = None) -> Column:
+    """The JSON of a request to a model, `quick` or `full`: a text, the image (JPEG bytes) and, if not null, the audio (WAV bytes).
+
+    The full question is the prompt. Sending it is the caller's; verdict() and says_yes() read the replies.
+    """
+    part = "struct<type:string,text:string,image_url:struct<url:string>,input_audio:struct<data:string,format:string>>"
+    audio = F.lit(None).cast("binary") if audio is None else audio
+    text = prompt if kind == "full" else F.when(audio.isNotNull(), QUICK_WITH_AUDIO).otherwise(QUICK)
+    none = lambda t: F.lit(None).cast(t)
+    url, sound = "struct<url:string>", "struct<data:string,format:string>"
+    parts = F.array(
+        F.struct(F.lit("text"), text, none(url), none(sound)).cast(part),
+        F.struct(F.lit("image_url"), none("string"), F.struct(F.concat(F.lit("data:image/jpeg;base64,"), F.base64(image))), none(sound)).cast(part),
+        F.when(audio.isNotNull(), F.struct(F.lit("input_audio"), none("string"), none(url), F.struct(F.base64(audio), F.lit("wav"))).cast(part)),
+    )
+    content = F.filter(parts, lambda x: x.isNotNull())
+    message = F.struct(F.lit("user").alias("role"), content.alias("content"))
+    return F.to_json(
+        F.struct(F.lit(model).alias("model"), F.array(message).alias("messages"), F.lit(MOST_TOKENS[kind]).alias("max_tokens"), F.lit(TEMPERATURE).alias("temperature"))
+    )
+
+
 def json_part(reply: Column) -> Column:
     """From the first { to the last }; null if there is none."""
     return F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,19 @@ def commands(emitted: DataFrame, settings: dict[str, dict[str, str]]) -> DataFra
     return out.withColumn("input", F.col("input").cast("int"))
 
 
+def command_sink(settings: dict[str, dict[str, str]], path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: the commands of each micro-batch of emitted rows (key, seq, emits), under path.
+
+    A batch that comes again after a failure replaces what it wrote before.
+    """
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        emitted = rows.filter("emits IS NOT NULL").select("key", "seq", F.col("emits").alias("classification"))
+        commands(emitted, settings).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return sink
+
+
 def status(rows: DataFrame, ad_label: str = "Ad view", race_label: str = "Race view") -> DataFrame:
     """The status line; the end of a pause shows only while it lasts."""
     return rows.select(

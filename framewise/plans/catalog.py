@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from framewise.functions import bits, checks, names, replies
 from framewise.operators import boxes, catalogue, dedupe, evaluate, outputs, state
 from framewise.plans import analogues as an
+from framewise.plans.persist import shared_dir
 from framewise.session import table
+from framewise.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -740,12 +743,12 @@ def _(spark, d):
 # ---- G6: replies and rectangles ------------------------------------------------------------------
 
 _REPLY = """rp0 AS (SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'Type=AD because ' || text WHEN 1 THEN 'type=racing' WHEN 2 THEN '{"classification": "ad"}'
-    WHEN 3 THEN 'So: {"a": 1, "classification" : "racing"} ok' WHEN 4 THEN '{"classification":"other"}' WHEN 5 THEN NULL WHEN 6 THEN ' Yes, it is' ELSE text END AS reply FROM conversations)"""
+    WHEN 3 THEN 'So: {"a": 1, "classification" : "racing"} ok' WHEN 4 THEN '{"classification":"\\u0061d"}' WHEN 5 THEN NULL WHEN 6 THEN ' Yes, it is' ELSE text END AS reply FROM conversations)"""
 
 
 def _replies(spark, d):
     m, text = F.col("turn") % 8, F.col("text")
-    fixed = {1: "type=racing", 2: '{"classification": "ad"}', 3: 'So: {"a": 1, "classification" : "racing"} ok', 4: '{"classification":"other"}', 6: " Yes, it is"}
+    fixed = {1: "type=racing", 2: '{"classification": "ad"}', 3: 'So: {"a": 1, "classification" : "racing"} ok', 4: '{"classification":"\\u0061d"}', 6: " Yes, it is"}
     reply = F.when(m == 0, F.concat(F.lit("Type=AD because "), text)).when(m == 7, text)
     for k, v in fixed.items():
         reply = reply.when(m == k, v)
@@ -756,7 +759,8 @@ def _replies(spark, d):
     "p22_p25_reply_verdict",
     rf"""WITH {_REPLY}, l AS (SELECT *, lower(regexp_replace(reply, '^\s+|\s+$', '', 'g')) AS t FROM rp0)
     SELECT conv_id, turn, CASE WHEN reply IS NULL THEN 'unknown' WHEN regexp_matches(t, '\btype=ad\b|"classification"\s*:\s*"ad"') THEN 'ad'
-      WHEN regexp_matches(t, '\btype=racing\b|"classification"\s*:\s*"racing"') THEN 'content' ELSE 'unknown' END AS type,
+      WHEN regexp_matches(t, '\btype=racing\b|"classification"\s*:\s*"racing"') THEN 'content'
+      WHEN turn % 8 = 4 AND json_extract_string(t, '$.classification') = 'ad' THEN 'ad' ELSE 'unknown' END AS type,
       CASE WHEN reply IS NULL THEN 'empty_response' ELSE 'model-match' END AS reason FROM l""",
 )
 def _(spark, d):
@@ -776,7 +780,7 @@ def _(spark, d):
 
 @query(
     "f11_json_contract",
-    f"""WITH {_REPLY} SELECT conv_id, turn, CASE turn % 8 WHEN 2 THEN 'ad' WHEN 3 THEN 'racing' WHEN 4 THEN 'other' END AS classification FROM rp0 WHERE turn % 8 IN (1, 2, 3, 4)""",
+    f"""WITH {_REPLY} SELECT conv_id, turn, CASE turn % 8 WHEN 2 THEN 'ad' WHEN 3 THEN 'racing' WHEN 4 THEN 'ad' END AS classification FROM rp0 WHERE turn % 8 IN (1, 2, 3, 4)""",
 )
 def _(spark, d):
     rows = _replies(spark, d).filter("turn % 8 IN (1, 2, 3, 4)")
@@ -909,31 +913,38 @@ def _(spark, d):
 # ---- the stream, run over a written log ----------------------------------------------------------
 
 
-@query(
-    "st1_stream_twin",
-    f"""WITH {REPLAYED} SELECT key, seq, kind, CASE WHEN kind = 'frame' OR kind = 'report' THEN prev END AS prev, committed, changed, suspicious, emits FROM rp""",
-)
-def _(spark, d):
-    import uuid
-
-    from framewise.plans.persist import shared_dir
-    from framewise.streaming import live
-
+def _streamed(spark, d, sink_of):
+    """Run the command log through the stream, four micro-batches at least, into sink_of(folder); returns the folder."""
     home = f"{shared_dir(spark)}/framewise-stream-{uuid.uuid4().hex}"
     log = an.command_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     log = log.select("key", "ts", "seq", "kind", "result", "source", "flag")
     # Four parts of the log by time, one file and so one micro-batch each: state goes from batch to batch.
-    cuts = log.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
-    part = sum((F.unix_micros(F.col("ts").cast("timestamp")) > c).cast("int") for c in cuts)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = log.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0]
+    part = sum((at > c).cast("int") for c in cuts)
     for i in range(len(cuts) + 1):
         log.filter(part == i).coalesce(1).write.mode("append").parquet(f"{home}/log")
     out = live.live(live.read_log(spark, f"{home}/log", 1))
-    sink = lambda rows, n: rows.write.mode("overwrite").parquet(f"{home}/out/batch={n}")
-    run = out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    run = out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(sink_of(f"{home}/out")).start()
     run.awaitTermination()
-    rows = spark.read.schema(live.OUT).parquet(f"{home}/out")
+    return f"{home}/out"
+
+
+@query(
+    "st1_stream_twin",
+    f"""WITH {REPLAYED} SELECT key, seq, kind, CASE WHEN kind = 'frame' OR kind = 'report' THEN prev END AS prev, committed, changed, suspicious, emits FROM rp""",
+)
+def _(spark, d):
+    plain = lambda path: lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    rows = spark.read.schema(live.OUT).parquet(_streamed(spark, d, plain))
     prev = F.when(F.col("kind").isin("frame", "report"), F.col("prev"))
     return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
 
 
+@query("sk9_stream_sink", ORACLE["sk9_switch_commands"])
+def _(spark, d):
+    path = _streamed(spark, d, lambda path: outputs.command_sink(SETTINGS, path))
+    return spark.read.schema("key bigint, seq bigint, classification string, output string, input int").parquet(path).drop("batch")
+
+
 from framewise.plans import catalog_files  # noqa: E402, F401  (registers its queries)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions import checks, pixels, profiles
+from framewise.functions import checks, pixels, profiles, replies
 from framewise.operators import evaluate
 from framewise.plans import analogues as an
 from framewise.plans.catalog import JUDGED, RESULTS, query
@@ -165,6 +165,26 @@ def _(spark, d):
     return spark.createDataFrame(rows, "name string, value string")
 
 
+@query(
+    "f10_sc20_requests",
+    """SELECT n_nationkey AS n, k.kind, CASE k.kind WHEN 'full' THEN 500 ELSE 10 END AS most, CASE WHEN k.kind = 'full' THEN 'Say ad or racing.' WHEN n_nationkey % 2 = 0 THEN 'This image and' ELSE 'Does this image' END AS question,
+      'data:image/jpeg;base64,' || base64(encode(n_name)) AS url, CASE WHEN n_nationkey % 2 = 0 THEN base64(encode(n_name || '!')) END AS audio, 'local' AS model FROM nation, (VALUES ('quick'), ('full')) AS k(kind)""",
+)
+def _(spark, d):
+    folder = _folder(spark, "prompt")
+    _put(spark, folder, {"prompt.txt": b"Say ad or racing."})
+    rows = table(spark, d, "nation").crossJoin(F.broadcast(files.prompt(spark, f"{folder}/prompt.txt")))
+    image, audio = F.encode("n_name", "UTF-8"), F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.concat("n_name", F.lit("!")), "UTF-8"))
+    made = [rows.select(F.col("n_nationkey").alias("n"), F.lit(kind).alias("kind"), replies.request(kind, "local", image, F.col("prompt"), audio).alias("r")) for kind in ("quick", "full")]
+    get = lambda path: F.get_json_object("r", path)
+    text = get("$.messages[0].content[0].text")
+    question = F.when(F.col("kind") == "full", text).when(text.startswith("This"), F.substring(text, 1, 14)).otherwise(F.substring(text, 1, 15))
+    return made[0].unionByName(made[1]).select(
+        "n", "kind", get("$.max_tokens").cast("int").alias("most"), question.alias("question"), get("$.messages[0].content[1].image_url.url").alias("url"),
+        get("$.messages[0].content[2].input_audio.data").alias("audio"), get("$.model").alias("model"),
+    )
+
+
 @query("o7_profiles", "SELECT * FROM (VALUES ('nascar_on_fox'), ('nascar_on_hbo_max'), ('nascar_on_nbc'), ('nhra_on_fox')) AS t(name)")
 def _(spark, d):
     return spark.createDataFrame([(n,) for n in profiles.profile_names()], "name string")

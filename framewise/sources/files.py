@@ -48,3 +48,8 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     """name and content of image files, any case of suffix."""
     files = _named(spark.read.format("binaryFile").load(path).select("path", "content"))
     return files.filter(names.has_image_suffix(F.col("name"), any_case=True)).select("name", "content")
+
+
+def prompt(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the text of a prompt file; an error if there is none, before any frame is classified."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("prompt")).limit(1)
