@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framewise.llm.common import mapped, written
 
-PIVOTS = 64
+PIVOTS = 32
 #: Lengths of vectors that get pivots; vectors of further lengths are bounded by their norms alone.
 LENGTHS = 64
 #: Queries and candidates in a cell, in the mean, and the least number of candidate blocks.
