@@ -128,3 +128,8 @@ def recently(frames: DataFrame, mark: Column, seconds: float = 3.0) -> DataFrame
     at = F.col("ts").cast("timestamp").cast("double")
     out = frames.withColumn("since", at - upto(F.when(mark, at)))
     return out.withColumn("recent", F.coalesce(F.col("since") <= seconds, F.lit(False)))
+
+
+def in_force(log: DataFrame, command: Column, default: str) -> DataFrame:
+    """log with in_force: the value of the last command (null: no command) of its key up to and with each row, at first the default."""
+    return log.withColumn("in_force", F.coalesce(upto(command), F.lit(default)))

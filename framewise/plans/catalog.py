@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from framewise.functions import bits, checks, names, replies
+from framewise.functions import bits, checks, names, profiles, replies
 from framewise.operators import boxes, catalogue, dedupe, evaluate, outputs, state
 from framewise.plans import analogues as an
 from framewise.plans.persist import shared_dir
@@ -461,6 +461,17 @@ def _(spark, d):
     return outputs.status(state.ring(rows, 1))
 
 
+@query(
+    "st6_profile_in_force",
+    f"""WITH {FRAMES} SELECT key, seq, coalesce(last_value(CASE WHEN seq % 9 = 4 THEN ['nascar_on_fox', 'nascar_on_hbo_max', 'nascar_on_nbc', 'nhra_on_fox'][seq % 4 + 1] END IGNORE NULLS)
+      OVER (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'nascar_on_fox') AS profile FROM fr""",
+)
+def _(spark, d):
+    n = F.col("seq")
+    command = F.when(n % 9 == 4, F.element_at(F.array(*map(F.lit, profiles.profile_names())), (n % 4 + 1).cast("int")))
+    return state.in_force(an.frames(spark, d), command, "nascar_on_fox").select("key", "seq", F.col("in_force").alias("profile"))
+
+
 @query(
     "p28_display",
     f"WITH {DEBOUNCED} SELECT CASE WHEN committed IS NULL THEN '...' WHEN committed = 'ad' THEN 'AD' WHEN committed = 'content' THEN 'RACING' ELSE '?' END AS shown, count(*) AS n FROM db GROUP BY ALL",

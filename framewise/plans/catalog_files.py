@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions import checks, pixels, profiles, replies
+from framewise.functions import checks, pixels, profiles, replies, shapes
 from framewise.operators import evaluate
 from framewise.plans import analogues as an
 from framewise.plans.catalog import JUDGED, RESULTS, query
@@ -262,6 +262,28 @@ def _little(column: str, at: int) -> F.Column:
     return sum((byte(i) * 256**i for i in range(1, 4)), byte(0))
 
 
+@query(
+    "f4_rectangles",
+    """SELECT n_nationkey AS n, 10 + n_nationkey AS x, 7 + n_nationkey AS y, 82 + n_nationkey AS w, 62 + n_nationkey AS h FROM nation WHERE (80 + n_nationkey) * (60 + n_nationkey) >= 6000""",
+)
+def _(spark, d):
+    """A bright box on a dark ground, at (n + 11, n + 8), 80 + n wide and 60 + n high: outlines run a pixel outside of it. Small boxes do not count."""
+
+    @F.pandas_udf("binary")
+    def painted(n: pd.Series) -> pd.Series:
+        def paint(k: int) -> bytes:
+            img = np.full((140, 180, 3), 20, np.uint8)
+            img[8 + k : 68 + 2 * k, 11 + k : 91 + 2 * k] = 220
+            if (80 + k) * (60 + k) < 6000:
+                img[40:] = 20  # half of it and less
+            return img.tobytes()
+
+        return n.map(paint)
+
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), painted("n_nationkey").alias("data"))
+    return rows.select("n", F.inline(shapes.detected(F.lit(140), F.lit(180), "data")))
+
+
 @query(
     "j12_f6_f9_profiles",
     """SELECT profile, n_nationkey AS n,
