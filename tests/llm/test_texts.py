@@ -106,8 +106,10 @@ def test_large_group_of_edited_copies(spark, group):
     assert sum(got[i] == c for i, c in want.items()) >= 0.99 * len(want)
 
 
-@pytest.mark.parametrize("rare", [(1,), (2, 5), (16, 256, 4096)])
-def test_levels_of_rare_shingles_lose_no_pair(spark, monkeypatch, rare):
+@pytest.mark.parametrize(("rare", "most"), [((1,), 4), ((2, 5), 4), ((2, 5), 0)])
+def test_levels_of_rare_shingles_lose_no_pair(spark, monkeypatch, rare, most):
+    """Few levels, many, and none where the first would count too many pairs."""
+    monkeypatch.setattr(neardup, "PAIRS_A_SHINGLE", most)
     texts = edited_copies(80, 250, 6, 8, ["new", "cut", "put"], 2)
     monkeypatch.setattr(neardup, "left_pairs", lambda pool, t, f=neardup.left_pairs: f(pool, t, rare))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
