@@ -1,8 +1,16 @@
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
+import tiktoken
 
 import corpus_pipeline
-from framewise.llm import bpe, mixing, nearest, neardup, quality, queries, secrets
+from framewise.llm import bpe, mixing, nearest, neardup, quality, queries
+from tests.llm.test_native import ASSIGN, base_spans, plain_targets
+from tests.llm.test_texts import plain_classes
 from tests.oracle import connect, same
 
 
@@ -58,23 +66,74 @@ def test_pivots_leave_few_candidates_to_score():
     assert np.mean(scored) < 0.1
 
 
+def random_looking(v):
+    return len(re.findall("[0-9]", v)) >= 3 and len(re.findall("[A-Za-z]", v)) >= 3 and len(set(v)) >= 10
+
+
+def plain_redacted(rows):
+    """Texts of rows (id, text, source) without secrets: values counted over all rows."""
+    marks = {}
+    for i, text, source in rows:
+        base = [(s, k, e, ASSIGN.match(text, s)[2] if k == 0 else text[s:e]) for s, k, _, e in base_spans(text)]
+        bare = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if random_looking(m[0])]
+        marks[i] = sorted(base + [x for x in bare if not any(b[0] < x[2] and x[0] < b[2] for b in base)])
+    owners, repos = defaultdict(set), defaultdict(set)
+    for i, _, source in rows:
+        for *_, value in marks[i]:
+            owners[value].add(source)
+            repos[value].add((source, i))
+    out = {}
+    for i, text, _ in rows:
+        at, parts = 0, []
+        for start, kind, end, value in marks[i]:
+            example = len(owners[value]) >= 3 or len(repos[value]) >= 20
+            if start >= at and not example and (kind < 3 or random_looking(value)):
+                parts += [text[at:start], "<SECRET>"]
+                at = end
+        out[i] = "".join(parts) + text[at:]
+    return out
+
+
+def plain_copies(rows):
+    """Copies of rows (all columns of documents; text second, source fourth), which are distinct: one running sum per source and part."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    parts, words = defaultdict(list), Counter()
+    for r in rows:
+        words["s:" + r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1]))
+    for r in rows:
+        size, src = len(re.findall(r"[^\x20\x09-\x0D]+", r[1])), "s:" + r[3]
+        hexed = md5(md5("".join(md5(str(x)) for x in r)) + "0")
+        shift = max(len(f"{size:b}") - 5, 0)
+        cls = len(f"{size:b}") * 32 + (size >> shift)
+        parts[src, (size >> shift << shift) * mixing.LARGE > words[src]].append((cls, hexed[:2], size, hexed, r[0]))
+    target, out = plain_targets(words), {}
+    for src in words:
+        u, took = int(md5("mix" + src)[:8], 16) / 2**32, 0
+        for large in (True, False):
+            held = sorted(parts[src, large])
+            total = sum(x[2] for x in held)
+            rate = target[src] / words[src] if large else min(2.0, max(0.0, (target[src] - took) / total)) if total else 0.0
+            for k, x in enumerate(held, 1):
+                out[x[4]] = min(math.floor(rate * k + u) - math.floor(rate * (k - 1) + u), 2)
+                took += out[x[4]] * x[2]
+    return out
+
+
 def test_pipeline_against_plain_version(spark, sf):
-    """Each stage again from its parts, in plain Python where that is short."""
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    """Each stage again in plain Python (scores of the classifier by the fitted model, tokens by the library)."""
+    docs = {r["doc_id"]: tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()}
     model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    good = {i for i, r in docs.items() if model.score(pa.array([r["text"]]))[0] >= 0.5}
-    from tests.llm.test_texts import plain_classes
-
-    classes = plain_classes({i: docs[i]["text"] for i in good})
-    first = {i for i in good if classes[i] == i}
-    df = spark.createDataFrame([docs[i] for i in sorted(first)], spark.read.parquet(f"{sf}/documents.parquet").schema)
-    clean = secrets.redacted(df)
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(clean).collect()}
-    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
-    own = bpe.codec(*bpe.default_vocabulary())
-    want = sorted((i, own.encode(texts[i]).tolist()) for i in first for _ in range(copies[i]))
+    good = {i for i, r in docs.items() if model.score(pa.array([r[1]]))[0] >= 0.5}
+    classes = plain_classes({i: docs[i][1] for i in good})
+    first = sorted(i for i in good if classes[i] == i)
+    texts = plain_redacted([(i, docs[i][1], docs[i][3]) for i in first])
+    rows = [(i, texts[i], *docs[i][2:4], docs[i][4] if texts[i] == docs[i][1] else len(texts[i])) for i in first]
+    copies = plain_copies(rows)
+    path, pattern = bpe.default_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = sorted((i, library.encode_ordinary(texts[i])) for i in first for _ in range(copies[i]))
     got = sorted((r["doc_id"], list(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect())
-    assert got == want
+    assert [g[0] for g in got] == [w[0] for w in want] and got == want
 
 
 def test_stages_on_edges(spark, sf, edge_docs, no_docs):
