@@ -388,12 +388,12 @@ def test_mixing_edges(spark, edge_docs, no_docs):
 def test_one_offset_gives_each_document_its_expected_copies(spark):
     df = spark.range(60).selectExpr("id AS doc_id", "repeat('w ', cast(if(id < 3, 900, 10 + id) AS int)) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
     total, rate = Counter(), {}
-    for k in range(40):
+    for k in range(16):
         for r in mixing.mixed(df, seed=f"s{k}").collect():
             total[r["doc_id"]] += r["copies"]
             rate[r["doc_id"]] = r["target"] / r["source_size"]
-    assert all(abs(total[i] / 40 - rate[i]) < 0.4 for i in rate)
-    assert abs(sum(total.values()) / 40 - sum(rate.values())) < 0.1 * sum(rate.values())
+    assert all(abs(total[i] / 16 - rate[i]) < 0.6 for i in rate)
+    assert abs(sum(total.values()) / 16 - sum(rate.values())) < 0.1 * sum(rate.values())
 
 
 def test_mixing_comes_near_targets(spark):

@@ -95,7 +95,7 @@ def edited_copies(n_words, n, most, vocabulary, kinds, seed):
     return out
 
 
-@pytest.mark.parametrize("group", [(150, 2200, 9, 10**9, ["new"]), (150, 2200, 9, 20, ["new", "cut", "put"]), (300, 2200, 22, 200, ["new", "cut", "put"])])
+@pytest.mark.parametrize("group", [(150, 2200, 9, 20, ["new", "cut", "put"]), (300, 2200, 22, 200, ["new", "cut", "put"])])
 def test_large_group_of_edited_copies(spark, group):
     """Likenesses from 0.4 to 1 in one group, a third of which links and the rest does not: at least 99 % as by all pairs."""
     texts = edited_copies(*group, seed=5)
