@@ -75,8 +75,9 @@ def bare_spans(text: Column, base: Column) -> Column:
         )
         return F.transform(free, lambda z: z["s"])
 
-    listed = F.transform(F.array(F.array_sort(F.concat(base, live))), outside)[0]
-    return F.when(F.size(live) > 0, listed).otherwise(live)
+    # The search for tokens is written once, so that it runs once.
+    listed = lambda found: F.transform(F.array(F.array_sort(F.concat(base, found))), outside)[0]
+    return F.transform(F.array(live), lambda found: F.when(F.size(found) > 0, listed(found)).otherwise(found))[0]
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
