@@ -49,18 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 AT_ONCE = 10_000
 
 
-def copies_of(rows: DataFrame, at_once: int = AT_ONCE, n_col: str = "n") -> DataFrame:
-    """rows with column copy in place of n: each row n times, copy from 0.
+def copies_of(rows: DataFrame, at_once: int = AT_ONCE, n_col: str = "n", copy_col: str = "copy") -> DataFrame:
+    """rows with copy_col in place of n_col: each row n times, copies from 0. rows must not have a column copy_col.
 
     What is to be copied more than at_once times is dealt to tasks by blocks of copies first.
     """
     last = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     n = F.col(n_col)
-    few = rows.filter(n.between(1, at_once)).withColumn("copy", F.explode(last(n)))
+    few = rows.filter(n.between(1, at_once)).withColumn(copy_col, F.explode(last(n)))
     many = rows.filter(n > at_once).withColumn("_fw_block", F.explode(last(F.ceil(n / at_once).cast("long"))))
     many = many.repartition("_fw_block", *[F.col(f"`{c}`") for c in rows.columns])
     first = F.col("_fw_block") * at_once
-    many = many.withColumn("copy", F.explode(F.sequence(first, F.least(n, first + at_once) - 1)))
+    many = many.withColumn(copy_col, F.explode(F.sequence(first, F.least(n, first + at_once) - 1)))
     return few.drop(n_col).unionByName(many.drop(n_col, "_fw_block"))
 
 
@@ -99,23 +99,41 @@ def in_blocks(items: Column, kind: str, block: int = 256) -> Column:
     return F.when(n > 0, cut).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
 
-def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def match_spans(text: Column, pattern: str, group: int = 0, of_group: bool = False) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value), code points, end exclusive.
 
     value is the match's group. Matches and the gaps between them come from the same regular
-    expression, so their lengths give the places. Texts without a match cost one search.
+    expression, so their lengths give the places. With of_group the span is that of the group, which
+    must end where the match does. Texts without a match cost one search, others one for each of
+    matches, gaps and groups: results of searches are bound before any lambda reads them.
     """
     p = F.lit(pattern)
-    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m).cast("long"))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    gaps = F.slice(gaps, F.lit(1), F.size(whole))
-    before = prefixes(F.zip_with(gaps, whole, lambda g, m: g + m), F.lit(0), lambda a, x: a + x)
-    starts = F.zip_with(before, gaps, lambda b, g: b + g)
-    spans = F.transform(
-        F.arrays_zip(starts.alias("s"), whole.alias("n"), F.regexp_extract_all(text, p, F.lit(group)).alias("v")),
-        lambda z: F.struct(z["s"].alias("start"), (z["s"] + z["n"]).alias("end"), z["v"].alias("value")),
+    found = F.struct(
+        F.regexp_extract_all(text, p, F.lit(0)).alias("m"),
+        F.split(text, pattern, -1).alias("g"),
+        *([F.regexp_extract_all(text, p, F.lit(group)).alias("v")] if group else []),
     )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+
+    def sized(r: Column) -> Column:
+        values = r["v"] if group else r["m"]
+        whole = F.transform(r["m"], lambda m: F.length(m).cast("long"))
+        gaps = F.transform(F.slice(r["g"], F.lit(1), F.size(r["m"])), lambda g: F.length(g).cast("long"))
+        return let(F.struct(whole.alias("n"), gaps.alias("g"), values.alias("v")), placed)
+
+    def placed(r: Column) -> Column:
+        ends = let(F.zip_with(r["g"], r["n"], lambda g, m: g + m), lambda steps: F.zip_with(prefixes(steps, F.lit(0), lambda a, x: a + x), steps, lambda a, x: a + x))
+        held = lambda z: F.length(z["v"]).cast("long") if of_group else z["n"]
+        return F.transform(
+            F.arrays_zip(ends.alias("e"), r["n"].alias("n"), r["v"].alias("v")),
+            lambda z: F.struct((z["e"] - held(z)).alias("start"), z["e"].alias("end"), z["v"].alias("value")),
+        )
+
+    return F.when(text.rlike(pattern), let(found, sized)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
 
 def replaced(text: Column, marks: Column) -> Column:

@@ -139,11 +139,12 @@ def resampled(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_c
     """The rows of docs, same columns, as often as mixed() takes them, row by row.
 
     Of equal rows one is shuffled, before it becomes as many as all of them are taken; so nulls, empty
-    and very long texts and repeated rows come out as mixed() says, an empty table gives no rows.
+    and very long texts and repeated rows come out as mixed() says, an empty table gives no rows. Other
+    columns, whatever their names, come along unchanged (names that start with _fw_ are ours).
     """
     told = drawn(docs, seed, id_col, text_col, source_col).groupBy(F.col("name").alias("_fw_name")).agg(F.sum("copies").alias("_fw_n")).filter("_fw_n > 0")
     one = docs.withColumn("_fw_name", row_name(docs)).dropDuplicates(["_fw_name"])
-    return copies_of(one.join(told, "_fw_name"), n_col="_fw_n").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies_of(one.join(told, "_fw_name"), n_col="_fw_n", copy_col="_fw_copy").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB twin of mixed() over documents.

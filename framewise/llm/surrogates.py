@@ -17,18 +17,23 @@ carry entities, and texts only of documents that have one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import match_spans, replaced, written
+from framewise.llm.common import let, match_spans, replaced, written
 
-#: A word of a name: a capital and letters, of the scripts that names are made in.
-WORD = "(?=\\p{Lu})[\\p{IsLatin}\\p{IsCyrillic}\\p{IsGreek}]{2,}(?!\\p{L})"
-#: What each kind looks like, in the order in which overlaps are decided.
+_LETTER = "[\\p{IsLatin}\\p{IsCyrillic}\\p{IsGreek}]"
+#: A word of a name: a capital and letters of the scripts that names are made in, with parts after
+#: hyphens and apostrophes (but not an English genitive).
+WORD = rf"(?=\p{{Lu}})(?:{_LETTER}{{2,}}|{_LETTER}(?=['’]\p{{L}}))(?:(?!['’]s(?!\p{{L}}))[-'’]{_LETTER}+){{0,8}}(?!\p{{L}})"
+#: What each kind looks like, in the order in which overlaps are decided. Where a pattern
+#: has a group, that is the entity. A search for an address starts once in a run of its characters (at
+#: the run's start or behind another address) and keeps what it took, so its time is linear.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": (
+        r"(?:\G|(?<![A-Za-z0-9._%+-]))[._%+-]*+"
+        r"([A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,})"
+    ),
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
@@ -40,6 +45,8 @@ PATTERNS = {
     "male": rf"\b(?:Mr\.?|Mister|Herr|Señor|Sr\.|Monsieur|M\.|Господин|Κύριος)\x20{WORD}(?:\x20{WORD})?",
     "female": rf"\b(?:Mrs\.?|Ms\.?|Miss|Frau|Señora|Señorita|Sra\.|Madame|Mme\.?|Mlle\.?|Госпожа|Κυρία)\x20{WORD}(?:\x20{WORD})?",
 }
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: The form of address, which stays.
 ADDRESS = r"^\S+\x20"
 #: Parts of made-up names: syllables, and the endings of given and family names by gender.
@@ -74,7 +81,7 @@ def entities(text: Column) -> Column:
 
     def of_kind(rank: int, kind: str) -> Column:
         return F.transform(
-            match_spans(text, PATTERNS[kind]),
+            match_spans(text, PATTERNS[kind], *((1, True) if kind == "email" else ())),
             lambda m: F.struct(m["start"], F.lit(rank).alias("rank"), m["end"], m["value"], F.lit(kind).alias("kind")),
         ).cast(_FOUND)
 
@@ -94,7 +101,8 @@ def normal_form(kind: Column, value: Column) -> Column:
     """What two mentions of one entity have in common."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "email", F.lower(value))
         .when(kind.isin("male", "female"), F.lower(F.regexp_replace(value, ADDRESS, "")))
@@ -102,11 +110,6 @@ def normal_form(kind: Column, value: Column) -> Column:
     )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _stream(key: Column, length: int = 96) -> Column:
     """length pseudo-random bytes for a key, as an array of ints."""
     hexed = F.concat(*[F.sha2(F.concat_ws("|", key, F.lit(str(i))), 256) for i in range(-(-length // 32))])
@@ -138,10 +141,11 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
         # The stream is taken round after 96 characters, which no entity but a made-up address exceeds.
         at = lambda i: F.element_at(bytes_, (i % 96 + 1).cast("int"))
         letter = lambda first, b: F.chr((F.lit(first) + b % 26).cast("long"))
+        code = F.length(F.regexp_extract(norm, COUNTRY, 0))
 
         def like(c: Column, i: Column) -> Column:
             return (
-                F.when((kind == "phone") & (i == 0), c)  # the country code's first digit
+                F.when((kind == "phone") & (i < F.greatest(code, F.lit(1))), c)  # the country code, or a first digit
                 .when(c.rlike("[0-9]"), (at(i) % 10).cast("string"))
                 .when(c.rlike("[a-z]"), letter(97, at(i)))
                 .when(c.rlike("[A-Z]"), letter(65, at(i)))
@@ -173,6 +177,8 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
             # More syllables with each attempt: there are always new names.
             family = F.array_join(F.transform(F.slice(bytes_, 4, min(90, 2 + attempt)), part), "")
             family = F.initcap(F.concat(family, F.lit(FAMILY[script][gender])))
+            second = F.initcap(F.concat(part(at(F.lit(91))), part(at(F.lit(92))), part(at(F.lit(93))), F.lit(FAMILY[script][gender])))
+            family = F.when(norm.contains("-"), F.concat_ws("-", family, second)).otherwise(family)
             return F.when(norm.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
 
         script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
@@ -188,10 +194,11 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
 def fill(kind: Column, value: Column, new: Column) -> Column:
     """A mention in the format of value: punctuation, spaces and, in addresses, letter case stay. What is longer goes before addresses and after numbers."""
     chars = F.split(value, "")
+    numbers = F.regexp_replace(new, r"^\+", "")
     rank = lambda i, drop: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), drop, ""))
-    tail = lambda drop: F.substring(new, F.length(F.regexp_replace(value, drop, "")) + 1, F.length(new))
+    tail = lambda drop: F.substring(numbers, F.length(F.regexp_replace(value, drop, "")) + 1, F.length(new))
     digits = F.array_join(
-        F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, rank(i, "[^0-9]"), F.lit(1))).otherwise(c)), ""
+        F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(numbers, rank(i, "[^0-9]"), F.lit(1))).otherwise(c)), ""
     )
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, rank(i, " "), F.lit(1)))), "")
     more = F.length(new) - F.length(value)

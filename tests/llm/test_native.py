@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from framewise.llm import mixing, queries, secrets, sharding, surrogates
-from framewise.llm.common import copies_of, replaced
+from framewise.llm.common import copies_of, match_spans, replaced
 from tests.oracle import connect, same
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -102,8 +103,14 @@ def test_bare_tokens_beside_base_spans(spark):
 KEY = "for checks only"
 
 
+#: Addresses without the operator's way to search for them, which long runs of letters would need years for.
+PLAIN_EMAIL = r"([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+
+
 def plain_entities(text):
-    found = [(m.start(), i, m.end(), m[0], k) for i, (k, p) in enumerate(surrogates.PATTERNS.items()) for m in regex.finditer(p, text)]
+    patterns = surrogates.PATTERNS | ({"email": PLAIN_EMAIL} if len(text) < 100_000 else {})
+    group = lambda k: int(k == "email")
+    found = [(m.start(group(k)), i, m.end(), m[group(k)], k) for i, (k, p) in enumerate(patterns.items()) for m in regex.finditer(p, text)]
     at, out = 0, []
     for start, _, end, value, kind in sorted(found):
         if start >= at:
@@ -114,7 +121,7 @@ def plain_entities(text):
 
 def plain_norm(kind, value):
     if kind in ("card", "ssn", "phone"):
-        return re.sub("[^0-9]", "", value)
+        return ("+" if kind == "phone" and value[0] == "+" else "") + re.sub("[^0-9]", "", value)
     if kind == "iban":
         return value.replace(" ", "")
     return value.lower() if kind == "email" else re.sub(r"^\S+ ", "", value).lower() if kind in ("male", "female") else value
@@ -132,13 +139,14 @@ def plain_new(kind, norm, attempt):
     seed = "|".join([KEY, kind, norm, str(attempt)])
     b = b"".join(hashlib.sha256(f"{seed}|{i}".encode()).digest() for i in range(3))
     more = [b[95 - j] for j in range(max(0, attempt - 7))]
+    code = len((re.findall(surrogates.COUNTRY, norm) or [""])[0])
 
     def like(text):
         out = []
         for i, c in enumerate(text):
             x = b[i % 96]
             if "0" <= c <= "9":
-                c = c if kind == "phone" and i == 0 else str(x % 10)
+                c = c if kind == "phone" and i < max(1, code) else str(x % 10)
             elif c in string.ascii_letters:
                 c = chr((97 if c.islower() else 65) + x % 26)
             out.append(c)
@@ -154,6 +162,8 @@ def plain_new(kind, norm, attempt):
         part = [surrogates.SYLLABLES[script][x % 16] for x in b]
         given = (part[0] + part[1] + surrogates.GIVEN[script, kind][b[2] % 4]).capitalize()
         family = ("".join(part[3 : 3 + min(90, 2 + attempt)]) + surrogates.FAMILY[script][kind]).capitalize()
+        if "-" in norm:
+            family += "-" + ("".join(part[91:94]) + surrogates.FAMILY[script][kind]).capitalize()
         return f"{given} {family}" if " " in norm else family
     new = like(norm) + "".join(str(x % 10) for x in more)
     if kind == "card":
@@ -173,7 +183,7 @@ def plain_fill(kind, value, new):
     if kind == "email":
         more = len(new) - len(value)
         return new[:more] + "".join(n.upper() if c.isupper() else n for c, n in zip(value, new[more:], strict=True))
-    left = iter(new)
+    left = iter(new.removeprefix("+"))
     return "".join(next(left) if (c != " " if kind == "iban" else c.isdigit()) else c for c in value) + "".join(left)
 
 
@@ -241,6 +251,33 @@ def test_surrogates_of_long_texts_with_many_entities(spark):
     same_surrogates(spark, [" ".join(f"a{i}@b{i % 7}.example.com 10.0.{i % 250}.{i // 250} é" for i in range(900)), "x" * 200_000 + " a1@b1.example.com"])
 
 
+@pytest.mark.parametrize("c", ["x", "X", "7", ".", "-", "@", " ", "a@", "a.", "+1 ", "1 ", "Mr ", "й", "'", "a@b."])
+def test_runs_of_equal_characters_take_linear_time(spark, c):
+    """A million characters before an address, for every pattern: what is quadratic would take hours."""
+    n = 1_000_000 // len(c)
+    rows = spark.range(1).select(F.concat(F.repeat(F.lit(c), n), F.lit(" see kim.lee@example.com now")).alias("t"))
+    began = time.perf_counter()
+    found = [m for p, g in [(p, k == "email") for k, p in surrogates.PATTERNS.items()] for m in rows.select(match_spans(F.col("t"), p, int(g), g).alias("m")).first()["m"]]
+    assert time.perf_counter() - began < 30
+    assert [m["value"] for m in found if "@" in m["value"]][-1:] == ["kim.lee@example.com"]
+
+
+def test_addresses_are_searched_as_the_plain_pattern_does(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab.@-_ é1") for _ in range(rng.randint(0, 40))) + rng.choice(["", "@b.cc", ".a@b.cca@d.ee"]) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", match_spans(F.col("t"), surrogates.PATTERNS["email"], 1, True).alias("m")).collect()
+    for r in rows:
+        assert [tuple(m) for m in r["m"]] == [(m.start(), m.end(), m[0]) for m in regex.finditer(PLAIN_EMAIL, texts[r["i"]])]
+
+
+def test_surrogates_of_joined_names_and_country_codes(spark):
+    want = same_surrogates(spark, ["Mr Smith-Jones saw Mr O'Brien. Ms Anna Müller-Lüdenscheidt's dog", "call +49 30 1234567 or +1 (017) 555-7713 or +353 1 234 5678 or 555-123-4567"])
+    (first, put), (second, _) = want
+    assert not set(first.replace(".", " ").replace("-", " ").split()) & {"Smith", "Jones", "O'Brien", "Müller", "Lüdenscheidt"} and "'s dog" in first
+    assert put[0].count("-") == put[2].count("-") == 1
+    assert second.startswith("call +49 ") and " +1 (" in second and " +353 " in second
+
+
 def test_surrogates_edges(edge_docs, no_docs):
     rows = edge_docs.collect()
     want = plain_surrogates([r["text"] or "" for r in rows])
