@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, fingerprint, mixing, nearest, neardup, quality, secrets, sharding, suffixes, surrogates
+from framewise.llm import bpe, fingerprint, mixing, nearest, neardup, negatives, phrases, quality, rules, secrets, sharding, suffixes, surrogates
 from framewise.llm.common import read
 
 
@@ -59,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, negatives.relabelled())
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(read(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_neardup": op2_neardup,
@@ -70,5 +82,16 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_negatives": op11_negatives,
+    "op12_rules": op12_rules,
+    "op13_phrases": op13_phrases,
+}
+ORACLE: dict[str, str] = {
+    "op1_secrets": secrets.SQL,
+    "op5_topk": nearest.SQL,
+    "op9_sharding": sharding.SQL,
+    "op10_mixing": mixing.SQL,
+    "op11_negatives": negatives.SQL,
+    "op12_rules": rules.SQL,
+    "op13_phrases": phrases.SQL,
 }
-ORACLE: dict[str, str] = {"op1_secrets": secrets.SQL, "op5_topk": nearest.SQL, "op9_sharding": sharding.SQL, "op10_mixing": mixing.SQL}

@@ -9,6 +9,7 @@ whole texts each, so memory is bounded by that and the longest text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,21 +67,43 @@ def chunks(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the index of its text."""
+def words(data: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words start and end, end exclusive: runs of solid bytes inside a text."""
     n = len(data)
-    if not n:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    solid = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     first = np.flatnonzero(solid & (edge[:n] | ~np.concatenate([[False], solid[:-1]])))
     last = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+    return first, last
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes; it does not depend on where the run stands."""
+    n = len(data)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, U)
         np.cumsum(BYTE[data] * powers(BASE, n), out=sums[1:])
-        hashes = mix((sums[last] - sums[first]) * powers(UNBASE, n)[first] + (last - first).astype(U))
-    return hashes, np.searchsorted(starts, first, "right") - 1
+        return mix((sums[last] - sums[first]) * powers(UNBASE, n + 1)[first] + (last - first).astype(U))
+
+
+#: Longer runs have hashes that cannot be made to collide.
+SAFE = 64
+
+
+def sure_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """As run_hashes, but with a cryptographic hash for runs over SAFE bytes, for which the polynomial has known collisions."""
+    out = run_hashes(data, first, last)
+    for i in np.flatnonzero(last - first > SAFE):
+        out[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and the index of its text."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    first, last = words(data, starts, ~SPACE[data])
+    return run_hashes(data, first, last), np.searchsorted(starts, first, "right") - 1
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
