@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,8 @@ from pyspark.sql import functions as F
 from framewise.functions import bits, checks, names, profiles, replies
 from framewise.operators import boxes, catalogue, dedupe, evaluate, outputs, state
 from framewise.plans import analogues as an
-from framewise.plans.persist import shared_dir
 from framewise.session import table
-from framewise.streaming import live
+from framewise.streaming import feed, live, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -925,20 +923,10 @@ def _(spark, d):
 
 
 def _streamed(spark, d, sink_of):
-    """Run the command log through the stream, four micro-batches at least, into sink_of(folder); returns the folder."""
-    home = f"{shared_dir(spark)}/framewise-stream-{uuid.uuid4().hex}"
+    """Run the command log through the stream, in four micro-batches with a restart before each, into sink_of(folder); returns the folder."""
     log = an.command_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     log = log.select("key", "ts", "seq", "kind", "result", "source", "flag")
-    # Four parts of the log by time, one file and so one micro-batch each: state goes from batch to batch.
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = log.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0]
-    part = sum((at > c).cast("int") for c in cuts)
-    for i in range(len(cuts) + 1):
-        log.filter(part == i).coalesce(1).write.mode("append").parquet(f"{home}/log")
-    out = live.live(live.read_log(spark, f"{home}/log", 1))
-    run = out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(sink_of(f"{home}/out")).start()
-    run.awaitTermination()
-    return f"{home}/out"
+    return feed.played(log, lambda stream, out: live.live(stream).writeStream.foreachBatch(sink_of(out)))
 
 
 @query(
@@ -952,6 +940,64 @@ def _(spark, d):
     return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
 
 
+# ---- timers on the stream ------------------------------------------------------------------------
+
+#: A row of no key of ours that comes after all others, so that the watermark passes every timer.
+_LAST = -1
+
+
+def _timed(rows, processor, columns):
+    """Play rows (key, ts, seq, kind, status) to a processor, then a tick two days after the last day; the micros of columns as ts."""
+    spark = rows.sparkSession
+    timers.use_store(spark)
+    end = F.date_trunc("day", F.max(F.col("ts").cast("timestamp"))) + F.expr("INTERVAL 2 DAYS") + F.expr("INTERVAL 1 SECOND")
+    none = F.lit(None)
+    tick = rows.agg(end.cast("timestamp_ntz").alias("ts")).select(
+        F.lit(_LAST).cast("long").alias("key"), "ts", F.lit(0).cast("long").alias("seq"), F.lit("tick").alias("kind"), none.cast("string").alias("status")
+    )
+    path = feed.played(rows.unionByName(tick), lambda stream, out: timers.timed(stream, processor).writeStream.format("parquet").option("path", out))
+    out = spark.read.schema(processor.OUT).parquet(path)
+    return out.select(*[F.timestamp_micros(c).cast("timestamp_ntz").alias(columns[c]) if c in columns else F.col(c) for c in out.columns])
+
+
+def _kinds(spark, d, kind, status=None):
+    rows = an.frames(spark, d) if status is None else state.debounced(an.frames(spark, d))
+    return rows.select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", kind.alias("kind"), (F.lit(None).cast("string") if status is None else status).alias("status"))
+
+
+@query("st8_stream_saves", ORACLE["st8_periodic_saves"])
+def _(spark, d):
+    return _timed(_kinds(spark, d, F.lit("frame")), timers.Saver(3600), {"saved_us": "saved_at"})
+
+
+@query(
+    "st9_in_flight",
+    """WITH r AS (SELECT user_id AS key, ts, event_id AS seq, CASE WHEN event_id % 3 = 1 THEN 'switch' ELSE 'done' END AS kind FROM events WHERE event_id % 3 > 0),
+    n AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, seq) AS nt, lead(kind) OVER (PARTITION BY key ORDER BY ts, seq) AS nk FROM r),
+    s AS (SELECT *, ts + INTERVAL 30 MINUTE AS lim FROM n WHERE kind = 'switch')
+    SELECT key, ts, seq, TRUE AS in_flight, 'started' AS why FROM s
+    UNION ALL SELECT key, lim, seq, FALSE, 'expired' FROM s WHERE nt IS NULL OR nt >= lim
+    UNION ALL SELECT key, nt, seq, FALSE, 'acknowledged' FROM s WHERE nt < lim AND nk = 'done'""",
+)
+def _(spark, d):
+    m = F.col("seq") % 3
+    rows = _kinds(spark, d, F.when(m == 1, "switch").when(m == 2, "done")).filter("kind IS NOT NULL")
+    return _timed(rows, timers.InFlight(1800), {"us": "ts"})
+
+
+@query(
+    "st10_sk10_status_feed",
+    f"""WITH {DEBOUNCED}, e AS (SELECT date_trunc('day', max(ts)) + INTERVAL 2 DAY + INTERVAL 1 SECOND AS fin FROM events),
+    c AS (SELECT key, ts, seq, coalesce(committed, '...') AS status, lag(coalesce(committed, '...')) OVER (PARTITION BY key ORDER BY ts, seq) AS was FROM db),
+    g AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY key ORDER BY ts, seq), (SELECT fin FROM e)) AS until FROM c WHERE status IS DISTINCT FROM was)
+    SELECT key, ts, 'change' AS message, status FROM g
+    UNION ALL SELECT key, unnest(range(ts + INTERVAL 6 HOUR, until + INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR)), 'keepalive', status FROM g""",
+)
+def _(spark, d):
+    rows = _kinds(spark, d, F.lit("status"), F.coalesce("committed", F.lit("...")))
+    return _timed(rows, timers.StatusFeed(6 * 3600), {"us": "ts"})
+
+
 @query("sk9_stream_sink", ORACLE["sk9_switch_commands"])
 def _(spark, d):
     path = _streamed(spark, d, lambda path: outputs.command_sink(SETTINGS, path))
