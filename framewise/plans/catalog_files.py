@@ -10,12 +10,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions import checks, pixels, profiles, replies, shapes
-from framewise.operators import evaluate
+from framewise.operators import audio, evaluate
 from framewise.plans import analogues as an
 from framewise.plans.catalog import JUDGED, RESULTS, query
 from framewise.plans.persist import shared_dir
 from framewise.session import table
-from framewise.sources import config, files, logs
+from framewise.sources import config, files, framed, logs
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -323,3 +323,46 @@ def _(spark, d):
     scorers = profiles.Scorers({"peacock": [peacock], "side_by_side": [white], "usa": [white], "logo": [white]})
     each = [profiles.classified(rows, p, scorers).select(F.lit(p).alias("profile"), "n", "result.source", "result.type", "result.reason") for p in ("nascar_on_nbc", "nhra_on_fox")]
     return each[0].unionByName(each[1])
+
+
+# ---- sound and framed messages -------------------------------------------------------------------
+
+
+@query(
+    "w10_audio_slices",
+    """WITH c AS (SELECT user_id AS key, ts, event_id AS seq, 2 + event_id % 5 AS n, substr(md5(CAST(event_id AS VARCHAR)), 1, CAST(4 * (2 + event_id % 5) AS INTEGER)) AS h FROM events WHERE event_id % 4 > 0),
+    q AS (SELECT user_id AS key, ts, event_id AS seq, event_id % 40 AS want FROM events WHERE event_id % 4 = 0),
+    p AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ts, seq) AS e FROM c),
+    s AS (SELECT key, ts, seq, e, e - n AS s, e - n + i AS sample, substr(h, CAST(4 * i + 1 AS INTEGER), 4) AS x FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+    a AS (SELECT q.key, q.seq, q.want, max(s.e) AS total FROM q LEFT JOIN s ON s.key = q.key AND (s.ts, s.seq) <= (q.ts, q.seq) GROUP BY ALL),
+    k AS (SELECT a.key, a.seq, a.want, string_agg(s.x, '' ORDER BY s.sample) FILTER (s.sample >= a.total - a.want) AS x, count(s.x) AS held
+      FROM a LEFT JOIN s ON s.key = a.key AND s.e <= a.total AND s.s >= a.total - 30 GROUP BY ALL),
+    w AS (SELECT key, seq, CASE WHEN held = 0 THEN repeat('0000', CAST(want AS INTEGER)) ELSE coalesce(x, '') END AS x FROM k)
+    SELECT key, seq, CAST(length(x) // 4 AS BIGINT) AS n_samples, '52494646' || lpad(printf('%X', length(x) // 2 + 36), 2, '0') || '00000057415645666D74201000000001000100E8030000D00700000200100064617461'
+      || lpad(printf('%X', length(x) // 2), 2, '0') || '000000' || upper(x) AS wav FROM w""",
+)
+def _(spark, d):
+    """Chunks of two to six samples from events at 1,000 samples a second, a ring of 30 ms, and slices of 0 to 39 ms, whole."""
+    n = F.col("seq")
+    rows = an.frames(spark, d)
+    pcm = F.unhex(F.substring(F.md5(n.cast("string")), F.lit(1), (4 * (2 + n % 5)).cast("int")))
+    out = audio.slices(rows.filter(n % 4 > 0).withColumn("pcm", pcm), rows.filter(n % 4 == 0).withColumn("ms", n % 40), 1000, 1, 0.03)
+    return out.select("key", "seq", "n_samples", F.hex("wav").alias("wav"))
+
+
+@query("sc18_framed_messages", "SELECT CAST(event_id // 1000 AS VARCHAR) AS stream, event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def _(spark, d):
+    """Streams of a thousand messages, cut into parts of 1 to 613 bytes wherever that is; a third of the messages is longer than a part."""
+    rows = table(spark, d, "events").select((F.col("event_id") / 1000).cast("long").alias("stream"), "event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+    noise = F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("{"), (F.col("event_id") % 2000).cast("int"))).otherwise("")
+    payload = F.encode(F.to_json(F.struct("event_id", "user_id", "event_type", "value", noise.alias("noise"))), "UTF-8")
+    whole = rows.select("stream", "event_id", F.hex(framed.framed(payload)).alias("x")).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("m"))
+    whole = whole.select("stream", F.array_join(F.transform("m", lambda m: m["x"]), "").alias("x"))
+    # Cut places that grow by 1 to 613 bytes.
+    cuts = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("x") / 614 + 1).cast("long"))))
+    place = lambda i: i * 307 + F.pmod(F.xxhash64("stream", i), F.lit(306))
+    a, b = F.when(F.col("part") > 0, place(F.col("part"))).otherwise(0), place(F.col("part") + 1)
+    parts = cuts.select("stream", "part", F.unhex(F.substring("x", (2 * a + 1).cast("int"), (2 * (b - a)).cast("int"))).alias("data"))
+    found = framed.messages(parts).filter("complete")
+    told = F.from_json(F.decode("payload", "UTF-8"), "event_id long, user_id long, event_type string, value double").alias("m")
+    return found.select("stream", told).select("stream", "m.*")
