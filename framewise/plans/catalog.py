@@ -12,7 +12,7 @@ from framewise.functions import bits, checks, names, profiles, replies
 from framewise.operators import boxes, catalogue, dedupe, evaluate, outputs, state
 from framewise.plans import analogues as an
 from framewise.session import table
-from framewise.streaming import feed, live, timers
+from framewise.streaming import feed, live, requests, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -940,6 +940,37 @@ def _(spark, d):
     return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
 
 
+def _journal(spark, d):
+    """The command log as requests, a JSON object a line: key, ts, seq, json."""
+    kinds = {v: k for k, v in requests.ROUTES.items()} | {"frame": "/receive"}
+    route = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("kind")]
+    form = F.struct("result", "source", F.col("flag").cast("string").alias("flag"))
+    rows = an.command_log(spark, d)
+    own = F.struct(F.col("key").alias("client"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at"), F.col("seq").alias("n"), route.alias("route"), form.alias("form"), (F.col("kind") == "frame").alias("image"))
+    return rows.select("key", "ts", "seq", F.to_json(own).alias("json"))
+
+
+@query("sc12_sc13_request_stream", ORACLE["st1_stream_twin"])
+def _(spark, d):
+    """Requests in a journal that grows while the stream stands still, read by the source in small splits: the live state over them."""
+    rows = _journal(spark, d)
+    home = feed.folder(spark)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0] or []
+    staged = rows.withColumn("part", sum(((at > c).cast("int") for c in cuts), F.lit(0)))
+    # Every second part has lines that are no request, one of them half a line.
+    noise = F.when((F.col("part") % 2 == 1) & (F.col("seq") % 97 == 0), F.concat(F.lit('{"client": 1, "route"\n\n'), "json")).otherwise(F.col("json"))
+    staged.select("part", noise.alias("value")).write.partitionBy("part").text(f"{home}/staged")
+    for i in range(len(cuts) + 1):
+        feed.appended(spark, f"{home}/staged/part={i}", f"{home}/journal", f"part-{i}", ".jsonl")
+        out = live.live(requests.log_rows(requests.read_requests(spark, f"{home}/journal", 1 << 20)))
+        run = out.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(live.OUT).parquet(f"{home}/out")
+    prev = F.when(F.col("kind").isin("frame", "report"), F.col("prev"))
+    return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
+
+
 # ---- timers on the stream ------------------------------------------------------------------------
 
 #: A row of no key of ours that comes after all others, so that the watermark passes every timer.

@@ -24,6 +24,20 @@ def renamed(spark: SparkSession, old: str, new: str) -> bool:
     return bool(fs.rename(path(old), path(new)))
 
 
+def folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/framewise-stream-{uuid.uuid4().hex}"
+
+
+def appended(spark: SparkSession, old: str, new: str, name: str, suffix: str) -> None:
+    """Move the data files of a folder into another, as name-number and suffix."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path(old)):
+        found = sorted(s.getPath().getName() for s in files.listStatus(path(old)) if s.getPath().getName().startswith("part-"))
+        for i, f in enumerate(found):
+            renamed(spark, f"{old}/{f}", f"{new}/{name}-{i}{suffix}")
+
+
 def played(rows: DataFrame, run: Callable[[DataFrame, str], DataStreamWriter], by: str = "ts", parts: int = PARTS) -> str:
     """Play rows to a stream in parts by time and return the folder of what came out.
 
@@ -32,7 +46,7 @@ def played(rows: DataFrame, run: Callable[[DataFrame, str], DataStreamWriter], b
     from its checkpoint, takes all of it as a micro-batch.
     """
     spark = rows.sparkSession
-    home = f"{shared_dir(spark)}/framewise-stream-{uuid.uuid4().hex}"
+    home = folder(spark)
     at = F.unix_micros(F.col(by).cast("timestamp"))
     cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0] or []
     rows.withColumn("part", sum(((at > c).cast("int") for c in cuts), F.lit(0))).write.partitionBy("part").parquet(f"{home}/staged")
