@@ -22,7 +22,12 @@ def taken(name: Column) -> Column:
 
 def chronological(name: Column, descending: bool = False) -> list[Column]:
     """Sort keys: by time, names without a time last by name. Descending is the whole order reversed, so those come first."""
-    keys = [taken(name).isNull(), taken(name), name]
+    return ordered(taken(name), name, descending)
+
+
+def ordered(at: Column, name: Column, descending: bool = False) -> list[Column]:
+    """As chronological, with the time of each name given."""
+    keys = [at.isNull(), at, name]
     return [k.desc() if descending else k.asc() for k in keys]
 
 

@@ -68,6 +68,19 @@ def mask_share(img: np.ndarray) -> float:
     return float((img > 0).any(axis=2).mean())
 
 
+def _windows(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Sums over all h x w windows of a plane, from its integral image."""
+    s = np.pad(np.cumsum(np.cumsum(x, 0), 1), ((1, 0), (1, 0)))
+    return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+
+
+def _correlation(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Sums of products of a plane's windows with a template's plane, by Fourier transforms."""
+    shape = (x.shape[0], x.shape[1])
+    both = np.fft.irfft2(np.fft.rfft2(x) * np.conj(np.fft.rfft2(t, shape)), shape)
+    return both[: shape[0] - t.shape[0] + 1, : shape[1] - t.shape[1] + 1]
+
+
 def match(img: np.ndarray, template: np.ndarray) -> tuple[float, int, int]:
     """Highest normalised correlation coefficient of a template in an image, and where (x, y).
 
@@ -81,15 +94,10 @@ def match(img: np.ndarray, template: np.ndarray) -> tuple[float, int, int]:
     t = t - t.mean(axis=(0, 1))
     norm = np.sqrt((t * t).sum())
     x = img.astype(float)
-    shape = (x.shape[0], x.shape[1])
-    score = np.zeros((shape[0] - h + 1, shape[1] - w + 1))
-    variance = np.zeros_like(score)
+    score = variance = 0.0
     for c in range(x.shape[2]):
-        spectrum = np.fft.rfft2(x[..., c]) * np.conj(np.fft.rfft2(t[..., c], shape))
-        score += np.fft.irfft2(spectrum, shape)[: score.shape[0], : score.shape[1]]
-        sums = [np.pad(np.cumsum(np.cumsum(v, 0), 1), ((1, 0), (1, 0))) for v in (x[..., c], x[..., c] ** 2)]
-        area = [s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w] for s in sums]
-        variance += np.maximum(area[1] - area[0] ** 2 / (h * w), 0)
+        score = score + _correlation(x[..., c], t[..., c])
+        variance = variance + np.maximum(_windows(x[..., c] ** 2, h, w) - _windows(x[..., c], h, w) ** 2 / (h * w), 0)
     scale = np.sqrt(variance) * norm
     score = np.where(scale > 1e-6 * max(norm, 1.0) * np.sqrt(h * w), score / np.where(scale > 0, scale, 1), 0.0)
     at = int(score.argmax())
@@ -97,12 +105,20 @@ def match(img: np.ndarray, template: np.ndarray) -> tuple[float, int, int]:
 
 
 def difference(img: np.ndarray, template: np.ndarray) -> float:
-    """Least sum of squared differences over all places, normalised by both energies; 0 is the best."""
+    """Least sum of squared differences over all places, normalised by both energies; 0 is the best.
+
+    The sum is that of the window's squares and the template's less twice their products, so memory is
+    a few planes of the image. Black windows differ by nothing; of a template that is larger than the
+    image nothing is known (NaN).
+    """
     h, w = template.shape[:2]
+    if h > img.shape[0] or w > img.shape[1]:
+        return float("nan")
     x, t = img.astype(float), template.astype(float)
-    windows = np.lib.stride_tricks.sliding_window_view(x, (h, w, x.shape[2]))[:, :, 0]
-    d = ((windows - t) ** 2).sum(axis=(-3, -2, -1))
-    scale = np.sqrt((windows**2).sum(axis=(-3, -2, -1)) * (t * t).sum())
+    energy = sum(_windows(x[..., c] ** 2, h, w) for c in range(x.shape[2]))
+    own = (t * t).sum()
+    d = np.maximum(energy + own - 2 * sum(_correlation(x[..., c], t[..., c]) for c in range(x.shape[2])), 0)
+    scale = np.sqrt(energy * own)
     return float((d / np.where(scale > 0, scale, np.inf)).min())
 
 

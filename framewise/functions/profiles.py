@@ -15,18 +15,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions import pixels
+from framewise.functions import pixels, shapes
 
 Result = tuple[str, str, str, str | None]
 
 
 @dataclass
 class Scorers:
-    """templates by name; ask_quick and ask_full call a model (None: never asked); off names checks that are left out."""
+    """templates by name; rectangle names the known box in a frame, if any; ask_quick and ask_full call a model (None: never asked); off names checks that are left out."""
 
     templates: dict[str, list[np.ndarray]] = field(default_factory=dict)
     off: frozenset[str] = frozenset()
-    rectangle: Callable[[np.ndarray], str | None] = lambda img: None
+    rectangle: Callable[[np.ndarray], str | None] = shapes.ad_box
     ask_quick: Callable[[np.ndarray], bool] | None = None
     ask_full: Callable[[np.ndarray], Result] | None = None
 

@@ -61,14 +61,17 @@ def paged(rows: DataFrame, page: int = 1, per_page: int = checks.PER_PAGE, order
     page = min(page, pages)
     start = (page - 1) * per_page
     size = min(per_page, n - start)
-    keys = names.chronological(F.col("name"), order == "desc")
-    if start <= NEAR_END:
-        cut = rows.orderBy(*keys).offset(start).limit(per_page)
-    elif n - start <= NEAR_END:
-        back = names.chronological(F.col("name"), order != "desc")
-        cut = rows.orderBy(*back).offset(n - start - size).limit(size)
+    # The keys become columns: a sort would work out an expression for each comparison.
+    keyed = rows.withColumn("_taken", names.taken(F.col("name")))
+    keys = names.ordered(F.col("_taken"), F.col("name"), order == "desc")
+    behind = n - start - size
+    if min(start, behind) <= NEAR_END and start <= behind:
+        cut = keyed.orderBy(*keys).offset(start).limit(size)
+    elif behind <= NEAR_END:
+        back = names.ordered(F.col("_taken"), F.col("name"), order != "desc")
+        cut = keyed.orderBy(*back).offset(behind).limit(size)
     else:
-        ranges = rows.repartitionByRange(-(-n // RANGE_ROWS), *keys).withColumn("_range", F.spark_partition_id())
+        ranges = keyed.repartitionByRange(-(-n // RANGE_ROWS), *keys).withColumn("_range", F.spark_partition_id())
         ranges = checkpointed(ranges)
         before, wanted = 0, []
         for r in ranges.groupBy("_range").count().orderBy("_range").collect():
@@ -77,7 +80,7 @@ def paged(rows: DataFrame, page: int = 1, per_page: int = checks.PER_PAGE, order
             before += r["count"]
         cut = ranges.filter(F.col("_range").isin([w for w, _ in wanted])).drop("_range").orderBy(*keys).offset(start - wanted[0][1]).limit(size)
     place = F.row_number().over(W.orderBy(*keys)) + start
-    return cut.withColumns({"place": place, "page": F.lit(page), "pages": F.lit(pages)})
+    return cut.withColumns({"place": place, "page": F.lit(page), "pages": F.lit(pages)}).drop("_taken")
 
 
 def neighbours(rows: DataFrame, by: list[str]) -> DataFrame:

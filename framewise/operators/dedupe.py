@@ -47,13 +47,13 @@ def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
 def conflicts(hashes: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Labelled frames within threshold whose labels differ, `ignore` included: name_a, label_a, name_b, label_b, distance, nearest first."""
     known = hashes.join(labels.filter("label IS NOT NULL"), "name").select("name", "label", "phash", "pos")
+    # A hash with its label is one row while hashes are paired: frames of one hash and label never meet each other.
+    kinds = checkpointed(known.select("phash", "label").distinct())
+    one = lambda x: kinds.select(F.col("label").alias(f"label_{x}"), F.col("phash").alias(x))
+    pairs = hash_pairs(kinds, threshold).join(one("a"), "a").join(one("b"), "b").filter("label_a <> label_b")
     side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in ("name", "label", "pos")], F.col("phash").alias(x))
-    pairs = hash_pairs(known, threshold).join(side("a"), "a").join(side("b"), "b")
-    return (
-        pairs.filter((F.col("pos_a") < F.col("pos_b")) & (F.col("label_a") != F.col("label_b")))
-        .select("name_a", "label_a", "name_b", "label_b", "distance")
-        .orderBy("distance", "name_a", "name_b")
-    )
+    pairs = pairs.join(side("a"), ["a", "label_a"]).join(side("b"), ["b", "label_b"])
+    return pairs.filter(F.col("pos_a") < F.col("pos_b")).select("name_a", "label_a", "name_b", "label_b", "distance").orderBy("distance", "name_a", "name_b")
 
 
 def ordered(hashes: DataFrame, protected: DataFrame) -> DataFrame:

@@ -264,10 +264,10 @@ def _little(column: str, at: int) -> F.Column:
 
 @query(
     "f4_rectangles",
-    """SELECT n_nationkey AS n, 10 + n_nationkey AS x, 7 + n_nationkey AS y, 82 + n_nationkey AS w, 62 + n_nationkey AS h FROM nation WHERE (80 + n_nationkey) * (60 + n_nationkey) >= 6000""",
+    """SELECT n_nationkey AS n, 10 + n_nationkey AS x, 7 + n_nationkey AS y, 81 + n_nationkey AS w, 61 + n_nationkey AS h FROM nation WHERE (80 + n_nationkey) * (60 + n_nationkey) >= 6000""",
 )
 def _(spark, d):
-    """A bright box on a dark ground, at (n + 11, n + 8), 80 + n wide and 60 + n high: outlines run a pixel outside of it. Small boxes do not count."""
+    """A bright box on a dark ground, at (n + 11, n + 8), 80 + n wide and 60 + n high: of the two pixels at an edge the first is its place. Small boxes do not count."""
 
     @F.pandas_udf("binary")
     def painted(n: pd.Series) -> pd.Series:

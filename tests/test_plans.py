@@ -48,3 +48,13 @@ def test_no_window_over_all_rows(spark, sf):
         windows = [line for line in plan.splitlines() if "Window [" in line]
         ordered = [line for line in windows if re.search(r"\[elapsed#\d+ ASC", line.rsplit("AS ", 1)[-1])]
         assert windows and ordered and all(re.search(r"\], \[range#\d+\], \[elapsed", line) for line in ordered)
+
+
+def test_last_page_is_a_top_k_of_one_page(spark, sf):
+    from framewise.operators import catalogue
+    from framewise.plans import analogues
+
+    for order in ("asc", "desc"):
+        _, plan = nodes(catalogue.paged(analogues.annotated(spark, sf), page=10**6, per_page=50, order=order))
+        limits = [int(n) for n in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan)]
+        assert limits and max(limits) <= 50 and plan.count("regexp_extract") <= plan.count("HashAggregate") * 8 + 16
