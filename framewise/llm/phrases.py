@@ -34,7 +34,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer one has this per cent of its count.
 SUBSUMED = 80
 #: Different words' places in an automaton, and phrases that a task sums before it sends them on.
-SHARD, HELD = 150_000, 200_000
+SHARD, HELD = 200_000, 400_000
 #: n-grams that a task counts before it merges them.
 BATCH = 1 << 22
 #: The buckets of a level are 2 to the power of bits, a bitmap of so many bits in every task: as many as
@@ -221,74 +221,110 @@ def automaton(runs: list[tuple[list[int], int]]) -> tuple[list[int], list[int],
 
 
 class Shard:
-    """Runs of words of one language, each different one once."""
+    """Runs of words of one language, each different one once with its number.
+
+    A run ends at a pair of neighbours, or a triple, that cannot be a candidate. The run behind a triple
+    starts with its middle word, so every pair is in one run and so is every longer n-gram that counts;
+    words alone are counted apart. Most runs are pairs, and many texts hold the same ones.
+    """
 
     def __init__(self) -> None:
-        self.runs: Counter[bytes] = Counter()
-        self.flags: dict[bytes, bytes] = {}
+        self.words = np.zeros(0, np.int64)
         self.number: dict[int, int] = {}
         self.word: list[str] = []
-        self.size = 0
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.waiting = 0
+        self.runs: Counter[bytes] = Counter()
+        self.flags: dict[bytes, bytes] = {}
+        self.long = 0
 
-    def add(self, words: Words, of: np.ndarray, ok: list[np.ndarray]) -> None:
-        """The words at the places of (ascending), cut into runs whose pairs of neighbours may all be candidates."""
-        if not len(of):
+    def size(self) -> int:
+        """Places of words in different runs."""
+        return self.long + 2 * len(self.pairs)
+
+    def add(self, words: Words, own: np.ndarray, ok: list[np.ndarray]) -> None:
+        """The words at the places own (ascending, whole pieces)."""
+        own = own[ok[0][own]]
+        if not len(own):
             return
-        kinds, first, where = np.unique(words.hash[of], return_index=True, return_inverse=True)
-        numbers = np.zeros(len(kinds), np.int32)
-        for i, (h, f) in enumerate(zip(kinds.tolist(), of[first].tolist(), strict=True)):
+        kinds, first, where, times = np.unique(words.hash[own], return_index=True, return_inverse=True, return_counts=True)
+        numbers = np.zeros(len(kinds), np.int64)
+        for i, (h, f) in enumerate(zip(kinds.tolist(), own[first].tolist(), strict=True)):
             n = self.number.get(h)
             if n is None:
                 n = self.number[h] = len(self.word)
                 self.word.append(words.data[words.first[f] : words.last[f]].tobytes().decode())
             numbers[i] = n
-        ids = numbers[where.reshape(-1)]
-        flags = sum(ok[n][of].astype(np.uint8) << n for n in range(DEPTH)).astype(np.uint8)
-        joined = ok[1][of[:-1]] & (of[1:] == of[:-1] + 1)
-        cut = np.concatenate([[0], np.flatnonzero(~joined) + 1, [len(of)]]).tolist()
-        runs, known = self.runs, self.flags
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            run = ids[a:b].tobytes()
-            if run not in known:
-                known[run] = flags[a:b].tobytes()
-                self.size += b - a
-            runs[run] += 1
-
-    def counts(self) -> Iterator[tuple[str, int, int]]:
-        """Phrase, words, times of every substring of DEPTH words or less that may be a candidate or a part of one."""
-        if not self.runs:
+        self.words = np.pad(self.words, (0, len(self.word) - len(self.words)))
+        self.words[numbers] += times
+        ids = np.zeros(len(words.hash), np.int64)
+        ids[own] = numbers[where.reshape(-1)]
+
+        pair = own[ok[1][own]]
+        if not len(pair):
             return
-        link, length, end, count = (np.array(x) for x in automaton([(np.frombuffer(r, np.int32).tolist(), t) for r, t in self.runs.items()]))
-        ids = np.frombuffer(b"".join(self.runs), np.int32)
-        flags = np.frombuffer(b"".join(self.flags[r] for r in self.runs), np.uint8)
+        joined = (pair[1:] == pair[:-1] + 1) & ok[2][pair[:-1]]
+        cut = np.concatenate([[0], np.flatnonzero(~joined) + 1, [len(pair)]])
+        n = np.diff(cut)
+        lone = pair[cut[:-1][n == 1]]
+        self.new.append(ids[lone] << 32 | ids[lone + 1])
+        self.waiting += len(lone)
+        if self.waiting >= 2 * SHARD:
+            self.merge()
+        ids = ids.astype(np.int32)
+        for a, b in zip(pair[cut[:-1][n > 1]].tolist(), (pair[cut[1:][n > 1] - 1] + 2).tolist(), strict=True):
+            run = ids[a:b].tobytes()
+            if run not in self.flags:
+                self.flags[run] = ok[3][a:b].tobytes()
+                self.long += b - a
+            self.runs[run] += 1
+
+    def merge(self) -> None:
+        pairs, times = np.unique(np.concatenate([np.zeros(0, np.int64), *self.new]), return_counts=True)
+        both, times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        self.pairs, where = np.unique(both, return_inverse=True)
+        self.times = np.bincount(where.reshape(-1), times, len(self.pairs)).astype(np.int64)
+        self.new, self.waiting = [], 0
+
+    def counts(self) -> Iterator[tuple[str, int]]:
+        """Phrase and times of every substring of DEPTH words or less that may be a candidate or a part of one."""
+        yield from zip(self.word, self.words.tolist(), strict=True)
+        self.merge()
+        pairs = np.stack([self.pairs >> 32, self.pairs & 0xFFFFFFFF], axis=1)
+        runs = [*zip(pairs.tolist(), self.times.tolist(), strict=True), *((np.frombuffer(r, np.int32).tolist(), t) for r, t in self.runs.items())]
+        link, length, end, count = (np.array(x) for x in automaton(runs))
+        ids = np.concatenate([pairs.reshape(-1), np.frombuffer(b"".join(self.runs), np.int32)])
+        flags = np.concatenate([np.zeros(pairs.size, bool), np.frombuffer(b"".join(self.flags[r] for r in self.runs), bool)])
         shortest = length[link] + 1
         shortest[0] = DEPTH + 1
-        for n in range(1, DEPTH + 1):
+        for n in range(2, DEPTH + 1):
             v = np.flatnonzero((shortest <= n) & (length >= n))
-            # Inside a run the n-gram that ends here is flagged where it starts.
-            v = v[flags[end[v] - n + 1] >> (n - 1) & 1 > 0]
+            if n == DEPTH:  # pairs and triples of a run may all be candidates
+                v = v[flags[end[v] - n + 1]]
             for e, t in zip(end[v].tolist(), count[v].tolist(), strict=True):
-                yield " ".join([self.word[i] for i in ids[e - n + 1 : e + 1].tolist()]), n, t
+                yield " ".join([self.word[i] for i in ids[e - n + 1 : e + 1].tolist()]), t
 
 
 def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> DataFrame:
-    """lang, phrase, words, n of the shards: parts of the counts of every phrase that may be a candidate or a part of one, and (phrase null) of all words."""
+    """lang, phrase, n of the shards: parts of the counts of every phrase that may be a candidate or a part of one, and (phrase null) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
-        sums: Counter[tuple[str, str | None, int]] = Counter()
+        total: Counter[str] = Counter()
+        sums: dict[str, Counter[str]] = {}
 
-        def sent() -> pa.RecordBatch:
-            rows = list(zip(*[(*k, n) for k, n in sums.items()], strict=True)) or [[], [], [], []]
-            sums.clear()
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["lang", "phrase", "words", "n"])
+        def sent(lang: str) -> pa.RecordBatch:
+            own = sums.pop(lang, Counter())
+            phrase, n = [*own, None], [*own.values(), total.pop(lang, 0)]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
         def closed(lang: str) -> Iterator[pa.RecordBatch]:
-            for phrase, words, n in shards.pop(lang).counts():
-                sums[lang, phrase, words] += n
-                if len(sums) >= HELD:
-                    yield sent()
+            own = sums.setdefault(lang, Counter())
+            for phrase, n in shards.pop(lang).counts():
+                own[phrase] += n
+            if sum(map(len, sums.values())) >= HELD:
+                yield from [sent(x) for x in list(sums)]
 
         for batch in batches:
             for words, langs in chunked(batch):
@@ -299,16 +335,16 @@ def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> Data
                     own = np.flatnonzero(lang == i)
                     if not len(own):
                         continue
-                    sums[x, None, 0] += len(own)
+                    total[x] += len(own)
                     shard = shards.setdefault(x, Shard())
-                    shard.add(words, own[ok[0][own]], ok)
-                    if shard.size >= SHARD:
+                    shard.add(words, own, ok)
+                    if shard.size() >= SHARD:
                         yield from closed(x)
         for x in list(shards):
             yield from closed(x)
-        yield sent()
+        yield from [sent(x) for x in {**sums, **total}]
 
-    return mapped(texts, run, "lang string, phrase string, words int, n long")
+    return mapped(texts, run, "lang string, phrase string, n long")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP, bits: int | None = None) -> DataFrame:
@@ -324,7 +360,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         bits = min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length()))
     full = full_buckets(texts, (1, 2), {}, bits)
     full |= full_buckets(texts, (3, 4), full, bits)
-    sums = counted(texts, full, bits).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"))
+    sums = counted(texts, full, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    sums = sums.withColumn("words", F.size(F.split("phrase", " ")))
     sums = written(sums.filter(F.col("phrase").isNull() | (F.col("a") >= LEAST)), "phrase-counts")
     return ranked(sums, top)
 

@@ -109,6 +109,7 @@ def plain_phrases(rows, top):
 def test_phrases_match_plain_version(spark, monkeypatch, shard):
     """In one automaton or many, with buckets that nearly all are shared or nearly none."""
     monkeypatch.setattr(phrases, "SHARD", shard)
+    monkeypatch.setattr(phrases, "HELD", shard * 2)
     rng = random.Random(11)
     words = ["The", "of", "São", "x" * 90, "new", "york", "日本", "A b", "c|d"]
     say = lambda: "".join(rng.choices([*words, "new york city", "at 5:30", ".", "\n", "\t", ";"], k=rng.randint(0, 30), weights=[3] * 9 + [6, 2, 2, 1, 1, 1]) and [" ".join(rng.choices(words + ["new york city hall ,"], k=rng.randint(0, 30)))])
