@@ -17,7 +17,12 @@ few of them hold is rare. What two texts share is at most their rare shingles in
 of what else they hold; so pairs are counted through rare shingles alone, and most nodes hold too many
 of those, unshared, to have another link at all. What is left goes on with a greater bound for rare.
 At least one node of a pair lies outside its bucket's largest component, and only such nodes ask. No
-step drops a pair that could be a link.
+step of these drops a pair that could be a link.
+
+Where texts are made of so few parts that nothing is rare, counting would pair everything. Those texts
+get a longer signature of the same kind: deep bands, each of three times as many coordinates, so that
+texts that are only half alike no longer meet, and a sketch of further coordinates, one byte each, in
+which pairs that meet must agree often enough before their texts are looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +46,13 @@ BANDS, ROWS = 20, 5
 RARE = (16, 256, 4096)
 #: Pairs that a level may count through shingles, for each shingle of the texts that are apart.
 PAIRS_A_SHINGLE = 4
+#: The longer signature: bands of coordinates (a pair at LEAST is in none of them four times in ten
+#: thousand), coordinates of the sketch, and in how many of those a pair must agree (one at LEAST agrees
+#: in 819 of 1,024 in the mean, four standard deviations above that: three in a hundred thousand are missed).
+DEEP_BANDS, DEEP_ROWS = 220, 15
+SKETCH, AGREE = 1024, 768
+#: Texts whose darts are thrown at once for it.
+DEEP_TEXTS = 16
 U = np.uint64
 
 
@@ -141,6 +153,43 @@ def signed(rows: DataFrame, text_col: str) -> DataFrame:
     return mapped(rows, run, f"{kinds}, hash string, weight long, keys array<long>")
 
 
+def deep_signed(texts: DataFrame) -> DataFrame:
+    """node, keys (of deep bands) and sketch (binary) of texts (node, text); texts without a word are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = np.asarray(batch.column(0))
+            for a, b, h, doc, n in weighted_sets(batch.column(1)):
+                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                for x in range(0, b - a, DEEP_TEXTS):
+                    y = min(b - a, x + DEEP_TEXTS)
+                    part = slice(cut[x], cut[y])
+                    sig = signatures(h[part], doc[part] - x, n[part].astype(float), y - x, DEEP_BANDS * DEEP_ROWS + SKETCH)
+                    some = np.flatnonzero(np.diff(cut[x : y + 1]) > 0)
+                    keys = band_keys(sig[some], DEEP_BANDS, DEEP_ROWS)
+                    sketch = (sig[some][:, DEEP_BANDS * DEEP_ROWS :] & U(255)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes[a + x + some], pa.int64()), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                        names=["node", "keys", "sketch"],
+                    )
+
+    return mapped(texts.select("node", "text"), run, "node long, keys array<long>, sketch binary")
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches agree in AGREE coordinates or more."""
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "su", "sv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            su, sv = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+            ok = pa.array((su == sv).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
+
+    return mapped(both, run, "u long, v long")
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard likeness of two sets (ascending hashes, weights): sum of minima by sum of maxima."""
     at = np.searchsorted(b[0], a[0])
@@ -207,11 +256,11 @@ def _linkable(shared: Column, wu: str = "wu", wv: str = "wv") -> Column:
 def left_pairs(pool: DataFrame, texts: DataFrame, rare: tuple[int, ...] = RARE) -> DataFrame:
     """Distinct pairs (u, v) that may still be links, from the nodes whose buckets hold several components.
 
-    pool: node, comp, weight, keys (of those buckets), asks (whether the node is outside the largest
+    pool: node, comp, weight, asks (whether the node is outside the largest
     component of one of them). At each level a shingle in rare[level] nodes at most is rare, and rest
     is a node's weight without rare shingles: no more can be shared by two nodes that have no rare
     shingle in common. Pairs that have one are counted here in full and decided; the others go on to
-    the next level, or, if that would count too many pairs, are met in their buckets.
+    the next level, or, if that would count too many pairs, meet in deep bands.
     """
     rows = written(shingle_rows(texts.join(pool.select("node"), "node", "left_semi")), "dup-shingles")
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"), F.max("n").alias("n"))
@@ -221,7 +270,7 @@ def left_pairs(pool: DataFrame, texts: DataFrame, rare: tuple[int, ...] = RARE)
     level = [F.sum(F.when(F.col("held") <= most, F.col("n")).otherwise(0)).alias(f"rare{i}") for i, most in enumerate((1, *rare))]
     own = several.select("node", "shingle", "n", "held").unionByName(alone).groupBy("node").agg(*level)
     rest = [(F.col("weight") - F.coalesce(f"rare{i}", F.lit(0))).alias(f"rest{i}") for i in range(len(rare) + 1)]
-    nodes = written(pool.join(own, "node", "left").select("node", "comp", "weight", "asks", "keys", *rest), "dup-left")
+    nodes = written(pool.join(own, "node", "left").select("node", "comp", "weight", "asks", *rest), "dup-left")
     size = rows.count()
 
     def side(df: DataFrame, x: str, i: int, *more: str) -> DataFrame:
@@ -234,7 +283,7 @@ def left_pairs(pool: DataFrame, texts: DataFrame, rare: tuple[int, ...] = RARE)
     # Each pair once: from the node that asks or, if both do, from the lesser one.
     once = (F.col("cu") != F.col("cv")) & (~F.col("av") | (F.col("u") < F.col("v"))) & _linkable(F.least("ru", "rv"))
     found, done = [], 0
-    met = several.join(nodes.drop("keys"), "node").filter(F.col("rest0") >= LEAST * F.col("weight") - 1e-6)
+    met = several.join(nodes, "node").filter(F.col("rest0") >= LEAST * F.col("weight") - 1e-6)
     met = written(met, "dup-met")
     for i, most in enumerate(rare):
         some = met.filter((F.col("held") <= most) & (F.col("held") > (rare[i - 1] if i else 1)))
@@ -247,8 +296,15 @@ def left_pairs(pool: DataFrame, texts: DataFrame, rare: tuple[int, ...] = RARE)
         pairs = side(some, "u", i, "shingle").join(side(some, "v", i, "shingle"), "shingle").filter(once)
         told = pairs.groupBy("u", "v").agg(F.sum(F.least("nu", "nv")).alias("both"), *[F.first(c).alias(c) for c in ("wu", "wv", "su", "sv")])
         found.append(written(told.filter(_linkable(F.col("both") + F.least("su", "sv"))).select("u", "v"), "dup-pairs"))
-    ends = side(nodes, "u", done, F.explode("keys").alias("key")).join(side(nodes, "v", done, F.explode("keys").alias("key")), "key").filter(once)
-    return reduce(DataFrame.unionByName, found, ends.select("u", "v")).distinct()
+    # What is left meets in deep bands; each node there is one row a band, whatever its bucket holds.
+    left = nodes.filter(F.col(f"rest{done}") >= LEAST * F.col("weight") - 1e-6)
+    if not left.filter("asks").isEmpty():
+        deep = written(deep_signed(texts.join(left.select("node"), "node", "left_semi")), "dup-deep")
+        left = left.join(deep.select("node", F.explode("keys").alias("key")), "node")
+        left = written(left, "dup-bands")
+        met = side(left, "u", done, "key").join(side(left, "v", done, "key"), "key").filter(once).select("u", "v").distinct()
+        found.append(written(agreeing(written(met, "dup-met"), deep.select("node", "sketch")), "dup-pairs"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else pool.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -274,11 +330,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     """Every row of docs with its class.
 
     Returns id_col, the columns keep, class_id (the least id_col in the class; a class whose ids are
-    all null has null), first (1 for one row of each class: the least id, then any) and class_rows.
+    all null has null), first (1 for one row of each class: the least id, then any), class_rows, and
+    n_links (links of the row's text to different texts that were looked at and found; a class needs
+    and finds fewer than there are).
     Null texts count as empty; texts without a word are alike only if they are equal; repeated rows
     are one class; very long texts are compared whole; an empty table gives no rows; other columns are
     not read. A link is lost if no band of its signatures agrees: four in ten thousand at a likeness of
-    0.8, fewer above.
+    0.8, fewer above; where deep bands decide, as many again.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), *keep, text_or_empty(text_col).alias("text")
@@ -309,18 +367,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     top = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     apart = at.join(top.select("key", F.col("top.comp").alias("most")), "key")
-    pool = apart.groupBy("node").agg(F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.collect_list("key").alias("keys"), F.max(F.col("comp") != F.col("most")).alias("asks"))
+    pool = apart.groupBy("node").agg(F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.max(F.col("comp") != F.col("most")).alias("asks"))
     pool = written(pool, "dup-apart")
     if not pool.isEmpty():
         more = written(linked(left_pairs(pool, texts), texts), "dup-links")
         if not more.isEmpty():
-            label = components(edges.unionByName(more))
+            edges = edges.unionByName(more)
+            label = components(edges)
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node")))
+    links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
 
-    lead = nodes.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lead = nodes.join(label, "node", "left").join(links, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
     firsts = lead.groupBy("comp").agg(F.min("lead").alias("first"), F.sum("n_rows").alias("class_rows"))
-    told = lead.select("hash", "comp").join(firsts, "comp").select("hash", "first", "class_rows")
+    told = lead.select("hash", "comp", "n_links").join(firsts, "comp").select("hash", "first", "class_rows", "n_links")
     return rows.join(told, "hash").select(
-        F.col("id").alias(id_col), *keep, F.col("first.id").alias("class_id"), (F.col("first.rid") == F.col("rid")).cast("int").alias("first"), "class_rows"
+        F.col("id").alias(id_col), *keep, F.col("first.id").alias("class_id"), (F.col("first.rid") == F.col("rid")).cast("int").alias("first"), "class_rows", "n_links"
     )
 
 

@@ -116,6 +116,41 @@ def test_levels_of_rare_shingles_lose_no_pair(spark, monkeypatch, rare, most):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == plain_classes(texts)
 
 
+def patchworks(n, seed, parts=24, of=17, words=40):
+    """Texts of the same paragraphs, each without some: half alike, so that they meet in buckets; every fourth is an edited copy of the one before."""
+    rng = random.Random(seed)
+    said = [" ".join(f"w{rng.randrange(3000)}" for _ in range(words)) for _ in range(parts)]
+    out = {}
+    for i in range(n):
+        if i % 4 == 3:
+            cut = out[i - 1].split(" ")
+            at = rng.randrange(len(cut) - 20)
+            out[i] = " ".join(cut[:at] + ["new"] * 10 + cut[at + 10 :])
+        else:
+            out[i] = "\n".join(said[j] for j in sorted(rng.sample(range(parts), of)))
+    return out
+
+
+def test_texts_of_shared_parts_are_not_paired_by_bucket(spark, monkeypatch):
+    """Nothing in them is rare: deep bands decide, and few pairs of texts are looked at."""
+    asked = {}
+    real = neardup.linked
+
+    def counting(pairs, texts):
+        asked.setdefault(n, []).append(pairs.count())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(neardup, "linked", counting)
+    n = 300
+    texts = patchworks(n, 1)
+    rows = neardup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got, want = {r["doc_id"]: r["class_id"] for r in rows}, plain_classes(texts)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * n
+    assert all(r["n_links"] > 0 for r in rows if r["class_rows"] > 1) and not any(r["n_links"] for r in rows if r["class_rows"] == 1)
+    # All pairs would be 45,000; 16 of 18 paragraphs in common are nearly a link, and so are looked at.
+    assert asked[n][1] < 45_000 / 40
+
+
 def test_near_duplicate_edges(spark, edge_docs, no_docs):
     rows = neardup.classes(edge_docs).collect()
     old = edge_docs.collect()
