@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions import bits, checks, names, profiles, replies
-from framewise.operators import boxes, catalogue, dedupe, evaluate, outputs, state
+from framewise.operators import boxes, carry, catalogue, dedupe, evaluate, outputs, state
 from framewise.plans import analogues as an
 from framewise.session import table
-from framewise.streaming import feed, live, requests, timers
+from framewise.sources import files, store
+from framewise.streaming import feed, live, overrides, requests, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -971,6 +972,66 @@ def _(spark, d):
     return rows.select("key", "seq", "kind", prev.alias("prev"), "committed", "changed", "suspicious", "emits")
 
 
+@query("sk2_sk3_upserts", ORACLE["sk2_sk3_latest"])
+def _(spark, d):
+    """Four upserts by order of the log into a stored table, the last of them by a second writer after one that failed."""
+    log = an.frames(spark, d).select("key", "seq", "result", F.when(F.col("seq") % 3 != 0, F.col("source")).alias("source"))
+    home = feed.folder(spark)
+    cuts = log.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75])).first()[0] or []
+    part = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
+    for i in range(len(cuts) + 1):
+        store.Store(spark, home, "key long, result string, source string", ["key"]).upsert(log.filter(part == i), by="seq")
+    return store.Store(spark, home, "key long, result string, source string", ["key"]).read()
+
+
+@query(
+    "sc11_live_overrides",
+    f"""WITH {HASHES}, f AS (SELECT name, p, n, n % 4 AS part FROM hs), o AS (SELECT n AS pos, p, tag, (n // 40) % 4 AS part FROM hs WHERE n % 40 = 0),
+    m AS (SELECT f.name, arg_min(o.tag, o.pos) AS label FROM f JOIN o ON o.part <= f.part AND hamming(f.p, o.p) <= 10 GROUP BY f.name)
+    SELECT name, m.label FROM f LEFT JOIN m USING (name)""",
+)
+def _(spark, d):
+    """Frames in four micro-batches; before each one more overrides are stored, which count from then on."""
+    rows = _tagged(spark, d)
+    frames = rows.select("name", "phash", (F.col("n") % 4).alias("part"))
+    listed = rows.filter("n % 40 = 0").select(F.col("n").alias("pos"), "phash", F.col("tag").alias("label"), ((F.col("n") / 40).cast("long") % 4).alias("part"))
+    home = feed.folder(spark)
+    frames.write.partitionBy("part").parquet(f"{home}/staged")
+    for i in range(4):
+        overrides.store(spark, f"{home}/overrides").upsert(listed.filter(F.col("part") == i))
+        feed.renamed(spark, f"{home}/staged/part={i}", f"{home}/log/part-{i}")
+        stream = spark.readStream.schema("name string, phash long").parquet(f"{home}/log/*")
+        run = stream.writeStream.foreachBatch(overrides.sink(f"{home}/overrides", f"{home}/out")).option("checkpointLocation", f"{home}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("name string, label string").parquet(f"{home}/out").select("name", "label")
+
+
+@query(
+    "sk7_sk8_carried_out",
+    """WITH f AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN doc_id || '.png' WHEN 1 THEN doc_id || '.wav' ELSE 'compressed_' || doc_id || '.jpg' END AS name FROM documents),
+    p AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'images/' WHEN 1 THEN 'audio/' ELSE 'thumbnails/' END AS dir FROM f)
+    SELECT CASE WHEN doc_id % 10 = 3 THEN name WHEN doc_id % 7 <> 0 THEN dir || name END AS name, CASE WHEN doc_id % 10 = 3 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'moved' END AS outcome,
+      md5(text) AS digest FROM p WHERE doc_id % 7 > 0 OR doc_id % 10 = 3
+    UNION ALL SELECT NULL, 'deleted', NULL FROM p WHERE doc_id % 7 = 0 AND doc_id % 10 <> 3""",
+)
+def _(spark, d):
+    """A file for each document: some are deleted, the others moved to the folder of their kind, but for those whose target is there. Half of the plan is carried out first, then all of it."""
+    home = feed.folder(spark)
+    n = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 3
+    name = F.when(kind == 0, F.concat(n, F.lit(".png"))).when(kind == 1, F.concat(n, F.lit(".wav"))).otherwise(F.concat(F.lit("compressed_"), n, F.lit(".jpg")))
+    target = F.concat(F.when(kind == 0, "images/").when(kind == 1, "audio/").otherwise("thumbnails/"), name)
+    taken = F.col("doc_id") % 10 == 3
+    plan = table(spark, d, "documents").select("doc_id", "text", name.alias("src"), target.alias("target"), taken.alias("taken"))
+    plan = plan.withColumn("dest", F.when((F.col("doc_id") % 7 > 0) | taken, F.col("target")))
+    carry.put(plan.select("src", "text").unionByName(plan.filter("taken").select(F.col("target").alias("src"), F.lit("there").alias("text"))), home)
+    carry.carried(plan.filter("doc_id % 2 = 0"), home, f"{home}-journal", apply=True)
+    done = carry.carried(plan, home, f"{home}-journal", apply=True)
+    left = files.contents_below(spark, home)
+    done = done.withColumn("at", F.when(F.col("outcome") == "moved", F.col("dest")).when(F.col("outcome") == "skipped", F.col("src")))
+    return done.join(left, done["at"] == left["path"], "left").select(F.col("at").alias("name"), "outcome", F.md5("content").alias("digest"))
+
+
 # ---- timers on the stream ------------------------------------------------------------------------
 
 #: A row of no key of ours that comes after all others, so that the watermark passes every timer.

@@ -50,6 +50,13 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(names.has_image_suffix(F.col("name"), any_case=True)).select("name", "content")
 
 
+def contents_below(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root) and content of all files in a folder and the folders in it."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    under = F.substring_index(F.lit(root.rstrip("/")), "/", -1)
+    return rows.select(F.element_at(F.split("path", F.concat(F.lit("/"), under, F.lit("/"))), -1).alias("path"), "content")
+
+
 def prompt(spark: SparkSession, path: str) -> DataFrame:
     """One row with the text of a prompt file; an error if there is none, before any frame is classified."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("prompt")).limit(1)
