@@ -76,7 +76,7 @@ def carried(plan: DataFrame, root: str, journal_path: str, apply: bool = False)
 
 
 def put(contents: DataFrame, root: str) -> None:
-    """Write a file for each row (src, text) below root, by tasks."""
+    """Write a file for each row (src, text or binary) below root, by tasks."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = fs.FileSystem.from_uri(root)
@@ -85,7 +85,7 @@ def put(contents: DataFrame, root: str) -> None:
                 path = f"{base.rstrip('/')}/{src}"
                 files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with files.open_output_stream(path) as f:
-                    f.write((text or "").encode())
+                    f.write(text if isinstance(text, bytes) else (text or "").encode())
             yield part[["src"]]
 
     contents.select("src", "text").mapInPandas(run, "src string").write.format("noop").mode("overwrite").save()

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions import checks, pixels, profiles, replies, shapes
-from framewise.operators import audio, evaluate
+from framewise.functions import checks, encode, pixels, profiles, replies, shapes
+from framewise.operators import audio, carry, evaluate
 from framewise.plans import analogues as an
 from framewise.plans.catalog import JUDGED, RESULTS, query
 from framewise.plans.persist import shared_dir
@@ -156,13 +156,22 @@ def _(spark, d):
 
 @query(
     "sc15_settings",
-    """SELECT * FROM (VALUES ('auto_switch', 'True'), ('classifier_profile', 'nascar_on_nbc'), ('enable_debounce', 'False'), ('enable_llm_audio', 'False'), ('llm_model_name', 'local'),
-      ('llm_url', 'http://localhost:3002'), ('matrix_url', 'http://m:1'), ('phash_threshold', '10'), ('save_dir', 'frames')) AS t(name, value)""",
+    """SELECT s_suppkey AS n, 'http://m:' || s_suppkey AS matrix_url, s_suppkey % 3 = 0 AS enable_debounce, ['nascar_on_fox', 'nascar_on_nbc', 'nhra_on_fox'][s_suppkey % 3 + 1] AS classifier_profile,
+      CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 20 ELSE 10 END AS BIGINT) AS phash_threshold FROM supplier""",
 )
 def _(spark, d):
-    found = config.load(None, {"DETECTOR_MATRIX_URL": "http://m:1", "DETECTOR_ENABLE_DEBOUNCE": "false", "DETECTOR_CLASSIFIER_PROFILE": "nascar_on_nbc"})
-    rows = [(k, str(v)) for k, v in vars(found).items() if k != "output_settings"]
-    return spark.createDataFrame(rows, "name string, value string")
+    """Settings of as many installations as there are suppliers: a JSON text with keys in any case, and an environment that wins."""
+    n = F.col("s_suppkey")
+    choice = F.element_at(F.array(F.lit("nascar_on_fox"), F.lit("nascar_on_nbc"), F.lit("nhra_on_fox")), (n % 3 + 1).cast("int"))
+    own = F.struct(F.lit("http://file").alias("MATRIX_URL"), choice.alias("Classifier_Profile"), F.when(n % 2 == 0, n % 20).alias("phash_threshold"), F.lit(1).alias("unknown"))
+    rows = table(spark, d, "supplier").select(n.alias("n"), F.to_json(own).alias("json"), F.concat(F.lit("http://m:"), n.cast("string")).alias("url"), F.when(n % 3 == 0, "Yes").otherwise("false").alias("debounce"))
+
+    def loaded(parts):
+        for part in parts:
+            found = [config.parsed(j, {"DETECTOR_MATRIX_URL": u, "DETECTOR_ENABLE_DEBOUNCE": b}) for j, u, b in zip(part["json"], part["url"], part["debounce"], strict=True)]
+            yield part[["n"]].assign(**{k: [getattr(c, k) for c in found] for k in ("matrix_url", "enable_debounce", "classifier_profile", "phash_threshold")})
+
+    return rows.mapInPandas(loaded, "n long, matrix_url string, enable_debounce boolean, classifier_profile string, phash_threshold long")
 
 
 @query(
@@ -185,9 +194,15 @@ def _(spark, d):
     )
 
 
-@query("o7_profiles", "SELECT * FROM (VALUES ('nascar_on_fox'), ('nascar_on_hbo_max'), ('nascar_on_nbc'), ('nhra_on_fox')) AS t(name)")
+@query(
+    "o7_profiles",
+    "SELECT event_id, profile, profile IN ('nascar_on_fox', 'nascar_on_hbo_max', 'nascar_on_nbc', 'nhra_on_fox') AS known FROM (SELECT event_id, ['nascar_on_fox', 'nascar_on_hbo_max', 'nascar_on_nbc', 'nhra_on_fox', event_type, 'NHRA_on_fox'][event_id % 6 + 1] AS profile FROM events)",
+)
 def _(spark, d):
-    return spark.createDataFrame([(n,) for n in profiles.profile_names()], "name string")
+    """Requests for a profile by name, some of them unknown."""
+    asked = F.array(*map(F.lit, profiles.profile_names()), F.col("event_type"), F.lit("NHRA_on_fox"))
+    rows = table(spark, d, "events").select("event_id", F.element_at(asked, (F.col("event_id") % 6 + 1).cast("int")).alias("profile"))
+    return rows.withColumn("known", F.col("profile").isin(*profiles.profile_names()))
 
 
 _DOMAIN = ", ".join(f"'{v}'" for v in checks.NETWORK_LOGOS)
@@ -246,14 +261,14 @@ def _(spark, d):
 @query(
     "sk11_thumbnails",
     """SELECT n_nationkey AS n, CAST(CASE WHEN w <= 400 THEN 8 ELSE greatest(1, round(8 * 400.0 / w)) END AS INTEGER) AS height, CAST(least(w, 400) AS INTEGER) AS width,
-      CAST(CASE WHEN w <= 400 THEN 8 ELSE greatest(1, round(8 * 400.0 / w)) END * least(w, 400) * 3 AS INTEGER) AS bytes FROM (SELECT n_nationkey, 380 + n_nationkey * 7 AS w FROM nation)""",
+      md5(repeat(' ', CAST(CASE WHEN w <= 400 THEN 8 ELSE greatest(1, round(8 * 400.0 / w)) END * least(w, 400) * 3 AS INTEGER))) AS digest FROM (SELECT n_nationkey, 380 + n_nationkey * 7 AS w FROM nation)""",
 )
 def _(spark, d):
     width = F.expr("380 + n_nationkey * 7")
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.lit(8).alias("height"), width.cast("int").alias("width"))
     rows = rows.withColumn("data", F.expr("unhex(repeat('20', 8 * width * 3))"))
     out = rows.select("n", pixels.thumbnails("height", "width", "data").alias("t"))
-    return out.select("n", _little("t", 1).alias("height"), _little("t", 5).alias("width"), (F.octet_length("t") - 8).alias("bytes"))
+    return out.select("n", _little("t", 1).alias("height"), _little("t", 5).alias("width"), F.md5(F.expr("substring(t, 9)")).alias("digest"))
 
 
 def _little(column: str, at: int) -> F.Column:
@@ -292,7 +307,7 @@ def _(spark, d):
            ELSE CASE WHEN k = 4 THEN 'content' ELSE 'ad' END END AS type,
       CASE WHEN k = 3 THEN 'phash_override' WHEN profile = 'nascar_on_nbc' THEN CASE k WHEN 0 THEN 'network_logo' WHEN 1 THEN 'side_by_side' WHEN 2 THEN 'no_model' ELSE 'network_logo' END
            ELSE CASE WHEN k = 4 THEN 'network_logo' ELSE 'default_ad' END END AS reason
-    FROM (SELECT *, n_nationkey % 5 AS k FROM nation WHERE n_nationkey < 10), (VALUES ('nascar_on_nbc'), ('nhra_on_fox')) AS p(profile)""",
+    FROM (SELECT *, n_nationkey % 5 AS k FROM nation), (VALUES ('nascar_on_nbc'), ('nhra_on_fox')) AS p(profile)""",
 )
 def _(spark, d):
     """Made frames of full size: 0 the peacock in its window, 1 the split screen and the peacock, 2 the peacock elsewhere, 3 known, 4 the white word mark."""
@@ -317,7 +332,7 @@ def _(spark, d):
         return k.map(paint)
 
     k = F.col("n_nationkey") % 5
-    rows = table(spark, d, "nation").filter("n_nationkey < 10").repartition(4, "n_nationkey").select(
+    rows = table(spark, d, "nation").repartition(8, "n_nationkey").select(
         F.col("n_nationkey").alias("n"), F.lit(1080).alias("height"), F.lit(1920).alias("width"), painted(k.cast("int")).alias("data"), F.when(k == 3, "ad").alias("override")
     )
     scorers = profiles.Scorers({"peacock": [peacock], "side_by_side": [white], "usa": [white], "logo": [white]})
@@ -325,6 +340,138 @@ def _(spark, d):
     return each[0].unionByName(each[1])
 
 
+@query("sc8_any_case_listing", f"SELECT {_FILE} AS name, strlen(n_name) AS size FROM nation UNION ALL SELECT 'UP' || n_nationkey || '.JPG', 1 FROM nation WHERE n_nationkey % 5 = 0")
+def _(spark, d):
+    folder = _folder(spark, "any-case")
+    _put(spark, folder, {**dict(_file_names(spark, d)), "notes.txt": b"x"})
+    upper = table(spark, d, "nation").filter("n_nationkey % 5 = 0").select(F.format_string("UP%d.JPG", "n_nationkey").alias("src"), F.lit("y").alias("text"))
+    carry.put(upper, folder)
+    return files.listing(spark, folder, any_case=True).select("name", "size")
+
+
+#: 64 bits, the highest first, as a signed number.
+_SIGNED = "CAST(CASE WHEN {0} >= CAST(9223372036854775808 AS HUGEINT) THEN {0} - CAST(18446744073709551616 AS HUGEINT) ELSE {0} END AS BIGINT)"
+
+
+@query(
+    "sc9_sc10_decoded",
+    f"""WITH s AS (SELECT s_suppkey AS n, sum(CASE WHEN (s_suppkey >> CAST(r AS INTEGER)) & 1 = 1 THEN CAST(255 AS HUGEINT) << CAST(8 * (7 - r) AS INTEGER) ELSE 0 END) AS v FROM supplier, range(8) AS t(r) GROUP BY ALL)
+    SELECT 'f' || n || CASE WHEN n % 2 = 0 THEN '.png' ELSE '.PNG' END AS name, n % 7 = 3 OR n % 11 = 5 AS damaged, CASE WHEN NOT (n % 7 = 3 OR n % 11 = 5) THEN {_SIGNED.format('v')} END AS dhash FROM s""",
+)
+def _(spark, d):
+    """PNG files of 9 x 8 pixels, row r rising where bit r of the key is set; some are cut short, some are text."""
+
+    @F.pandas_udf("binary")
+    def painted(n: pd.Series) -> pd.Series:
+        def paint(k: int) -> bytes:
+            up = np.arange(9) * 20
+            img = np.stack([up if k >> r & 1 else up[::-1] for r in range(8)])
+            made = encode.png(np.repeat(img[..., None], 3, axis=2).astype(np.uint8))
+            return made[:50] if k % 7 == 3 else b"no picture" if k % 11 == 5 else made
+
+        return n.map(paint)
+
+    folder = _folder(spark, "pictures")
+    n = F.col("s_suppkey")
+    name = F.concat(F.lit("f"), n.cast("string"), F.when(n % 2 == 0, ".png").otherwise(".PNG"))
+    carry.put(table(spark, d, "supplier").select(name.alias("src"), painted(n.cast("long")).alias("text")), folder)
+    hashes, errors = files.hashed(spark, folder)
+    return hashes.select("name", F.lit(False).alias("damaged"), "dhash").unionByName(errors.select("name", F.lit(True).alias("damaged"), F.lit(None).cast("long").alias("dhash")))
+
+
+@query(
+    "f1_phash",
+    f"""WITH p AS (SELECT s_suppkey AS n, x, y, (x * x * (s_suppkey % 97 + 3) + y * y * 5 + x * y * 7 * (s_suppkey % 89 + 1)) % 256 AS v FROM supplier, range(32) AS a(x), range(32) AS b(y)),
+    r AS (SELECT n, y, u, sum(v * cos(pi() / 32 * (x + 0.5) * u)) AS s FROM p, range(8) AS c(u) GROUP BY ALL),
+    c AS (SELECT n, u, w, sum(s * cos(pi() / 32 * (y + 0.5) * w)) AS f FROM r, range(8) AS c(w) GROUP BY ALL),
+    m AS (SELECT *, median(f) OVER (PARTITION BY n) AS mid FROM c),
+    h AS (SELECT n, sum(CASE WHEN f > mid THEN CAST(1 AS HUGEINT) << CAST(63 - 8 * w - u AS INTEGER) ELSE 0 END) AS v FROM m GROUP BY n)
+    SELECT n, {_SIGNED.format('v')} AS phash FROM h""",
+)
+def _(spark, d):
+    """Images of 32 x 32 from a formula, against the cosines written out."""
+
+    @F.pandas_udf("binary")
+    def painted(n: pd.Series) -> pd.Series:
+        y, x = np.mgrid[0:32, 0:32]
+        paint = lambda k: np.repeat(((x * x * (k % 97 + 3) + y * y * 5 + x * y * 7 * (k % 89 + 1)) % 256)[..., None], 3, axis=2).astype(np.uint8).tobytes()
+        return n.map(paint)
+
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("n"), painted(F.col("s_suppkey").cast("long")).alias("data"))
+    return rows.select("n", pixels.hashes(F.lit(32), F.lit(32), "data")["phash"].alias("phash"))
+
+
+@query(
+    "f6_f8_profiles",
+    """SELECT profile, n_nationkey AS n, CASE WHEN profile = 'nascar_on_fox' THEN CASE k WHEN 3 THEN 'llm' ELSE 'opencv' END ELSE CASE WHEN k IN (3, 4) THEN 'opencv' ELSE 'default' END END AS source,
+      CASE WHEN profile = 'nascar_on_fox' THEN CASE k WHEN 0 THEN 'content' WHEN 4 THEN 'content' ELSE 'ad' END ELSE CASE k WHEN 4 THEN 'ad' ELSE 'content' END END AS type,
+      CASE WHEN profile = 'nascar_on_fox' THEN CASE k WHEN 0 THEN 'network_logo' WHEN 1 THEN 'side_by_side' WHEN 2 THEN 'matched_rectangle' WHEN 3 THEN 'model_quick_reject' ELSE 'network_logo' END
+           ELSE CASE k WHEN 3 THEN 'commercial_break_racing' WHEN 4 THEN 'well_be_back' ELSE 'default_fallback' END END AS reason
+    FROM (SELECT *, n_nationkey % 5 AS k FROM nation), (VALUES ('nascar_on_fox'), ('nascar_on_hbo_max')) AS p(profile)""",
+)
+def _(spark, d):
+    """Made frames of full size: 0 the logo, 1 the split screen's mark, 2 a box in a known place, 3 a banner, 4 the logo and the other banner."""
+    rng = np.random.default_rng(5)
+    logo, mark, racing, back = (np.repeat(rng.integers(0, 2, (h, w, 1)) * 255, 3, axis=2).astype(np.uint8) for h, w in ((24, 60), (20, 50), (30, 80), (26, 90)))
+
+    @F.pandas_udf("binary")
+    def painted(k: pd.Series) -> pd.Series:
+        def paint(kind: int) -> bytes:
+            img = np.full((1080, 1920, 3), 30, np.uint8)
+            if kind in (0, 4):
+                img[60:84, 1700:1760] = logo
+            if kind == 1:
+                img[100:120, 90:140] = mark
+            if kind == 2:
+                img[253 : 253 + 585, 789 : 789 + 1041] = 200
+            if kind == 3:
+                img[600:630, 900:980] = racing
+            if kind == 4:
+                img[900:926, 300:390] = back
+            return img.tobytes()
+
+        return k.map(paint)
+
+    k = F.col("n_nationkey") % 5
+    rows = table(spark, d, "nation").repartition(8, "n_nationkey").select(F.col("n_nationkey").alias("n"), F.lit(1080).alias("height"), F.lit(1920).alias("width"), painted(k.cast("int")).alias("data"))
+    scorers = profiles.Scorers({"logo": [logo], "side_by_side": [mark], "in_progress": [racing], "be_back": [back]}, ask_quick=lambda img: False)
+    each = [profiles.classified(rows, p, scorers, None).select(F.lit(p).alias("profile"), "n", "result.source", "result.type", "result.reason") for p in ("nascar_on_fox", "nascar_on_hbo_max")]
+    return each[0].unionByName(each[1])
+
+
+@query(
+    "f10_prepared",
+    """SELECT n_nationkey AS n, CASE WHEN n_nationkey % 3 = 0 THEN 450 WHEN n_nationkey % 3 = 1 THEN 800 ELSE 300 END AS height, CASE WHEN n_nationkey % 3 = 0 THEN 800 WHEN n_nationkey % 3 = 1 THEN 450 ELSE 400 END AS width, TRUE AS near FROM nation""",
+)
+def _(spark, d):
+    """Pictures for a model: reduced to 800, written as JPEG files, read by Spark, and compared with what they show: a slope of brightness that ends at a value of the key."""
+    size = {0: (900, 1600), 1: (1600, 900), 2: (300, 400)}
+
+    @F.pandas_udf("binary")
+    def painted(n: pd.Series) -> pd.Series:
+        def paint(k: int) -> bytes:
+            h, w = size[k % 3]
+            slope = np.linspace(40, 150 + k, w)
+            return np.broadcast_to(np.stack([slope, slope / 2, 200 - slope], axis=1), (h, w, 3)).astype(np.uint8).tobytes()
+
+        return n.map(paint)
+
+    @F.pandas_udf("boolean")
+    def near(n: pd.Series, height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
+        def good(k: int, h: int, w: int, x: bytes) -> bool:
+            got, slope = pixels.image(h, w, x).astype(float), np.linspace(40, 150 + k, w)
+            return bool(np.abs(got - np.stack([slope, slope / 2, 200 - slope], axis=1)).mean() < 4)
+
+        return pd.Series([good(*x) for x in zip(n, height, width, data, strict=True)])
+
+    folder, k = _folder(spark, "prepared"), F.col("n_nationkey")
+    side = lambda i: F.element_at(F.array(*[F.lit(size[j][i]) for j in range(3)]), (k % 3 + 1).cast("int"))
+    rows = table(spark, d, "nation").repartition(8, "n_nationkey").select("n_nationkey", side(0).alias("h"), side(1).alias("w"), painted(k.cast("long")).alias("data"))
+    carry.put(rows.select(F.concat("n_nationkey", F.lit(".jpg")).alias("src"), encode.prepared("h", "w", "data").alias("text")), folder)
+    back = files.images(spark, folder).withColumn("n", F.regexp_extract("name", r"^(\d+)", 1).cast("long"))
+    return back.select("n", "height", "width", near("n", "height", "width", "data").alias("near"))
+
+
 # ---- sound and framed messages -------------------------------------------------------------------
 
 

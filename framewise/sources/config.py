@@ -39,12 +39,17 @@ def _as(kind: str, value: object) -> object:
     return value
 
 
-def load(path: str | None = None, env: Mapping[str, str] = os.environ) -> Config:
-    """Unknown keys are ignored; the environment wins, and its true and false are read as such."""
+def parsed(text: str | None, env: Mapping[str, str]) -> Config:
+    """Settings from a JSON text: unknown keys are ignored; the environment wins, and its true and false are read as such."""
     kinds = {f.name: str(f.type) for f in fields(Config)}
-    found: dict[str, object] = {}
-    if path and os.path.exists(path):
-        with open(path) as f:
-            found = {k.lower(): v for k, v in json.load(f).items() if k.lower() in kinds}
+    found = {k.lower(): v for k, v in json.loads(text or "{}").items() if k.lower() in kinds}
     found |= {name: env[variable] for variable, name in VARIABLES.items() if variable in env}
     return Config(**{k: _as(kinds[k], v) for k, v in found.items()})
+
+
+def load(path: str | None = None, env: Mapping[str, str] = os.environ) -> Config:
+    """Settings from a file, if it is there, and the environment."""
+    if path and os.path.exists(path):
+        with open(path) as f:
+            return parsed(f.read(), env)
+    return parsed(None, env)

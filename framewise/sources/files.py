@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions import names
+from framewise.functions import names, pixels
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -44,6 +44,16 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(F.split("origin", "/"), -1).alias("name"), "height", "width", "data")
 
 
+def hashed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(name, size, phash, dhash) of the image files in a folder, any case of suffix, and (name, size) of those that cannot be decoded."""
+    rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    rows = rows.select(F.element_at(F.split("origin", "/"), -1).alias("name"), "height", "width", "nChannels", "data")
+    rows = listing(spark, path, any_case=True).select("name", "size").join(rows, "name")
+    good = (F.col("width") > 0) & (F.col("nChannels") == 3)
+    hashes = rows.filter(good).select("name", "size", pixels.hashes("height", "width", "data").alias("h"))
+    return hashes.select("name", "size", "h.phash", "h.dhash"), rows.filter(~good).select("name", "size")
+
+
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """name and content of image files, any case of suffix."""
     files = _named(spark.read.format("binaryFile").load(path).select("path", "content"))
