@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ DHASH_SLACK = 4
 # Hashes of frames that are nearly black.
 BLANK = (0x0, 0x80)
 MOST_ROUNDS = 10_000
+#: Rows of a group of near hashes that one task decides in order; larger groups go by rounds.
+LOCAL = 5000
 #: Rounds after which the tables of decided rows become one.
 MERGE_EACH = 8
 
@@ -80,6 +84,51 @@ class _Growing:
         return reduce(DataFrame.unionByName, self.parts)
 
 
+def grouped(pairs: DataFrame) -> DataFrame:
+    """phash and group (the least hash in it) of the hashes in pairs (a, b; both orders), by connection.
+
+    Each round gives a hash the least label around it, and then that label's label.
+    """
+    label = checkpointed(pairs.groupBy(F.col("a").alias("phash")).agg(F.least(F.min("a"), F.min("b")).alias("group")))
+    for _ in range(MOST_ROUNDS):
+        near = pairs.join(label.select(F.col("phash").alias("b"), "group"), "b").groupBy(F.col("a").alias("phash")).agg(F.min("group").alias("near"))
+        best = label.join(near, "phash").select("phash", F.col("group").alias("old"), F.least("group", "near").alias("group"))
+        up = label.select(F.col("phash").alias("group"), F.col("group").alias("up"))
+        new = checkpointed(best.join(up, "group").select("phash", "old", F.least("group", "up").alias("group")))
+        label = new.select("phash", "group")
+        if new.filter("old <> `group`").isEmpty():
+            return label
+    raise RuntimeError(f"groups did not settle in {MOST_ROUNDS} rounds")
+
+
+def decided_in_order(rows: DataFrame, threshold: int, use_dhash: bool) -> DataFrame:
+    """The greedy pass of each group (rows with group), row by row in order of pos: name, kept, representative, distance."""
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        phash, dhash = part["phash"].to_numpy().view(np.uint64), part["dhash"].to_numpy().view(np.uint64)
+        free = ~part["protected"].to_numpy(bool)
+        firsts = np.zeros(len(part), np.int64)  # the first kept row of each hash, in order
+        n, seen, out = 0, set(), []
+        for i, name in enumerate(part["name"]):
+            near = None
+            if n:
+                d = np.bitwise_count(phash[firsts[:n]] ^ phash[i])
+                j = int(d.argmin())
+                far = use_dhash and int(np.bitwise_count(dhash[firsts[j]] ^ dhash[i])) > threshold + DHASH_SLACK
+                near = (firsts[j], int(d[j])) if d[j] <= threshold and free[i] and not far else None
+            if near is None and phash[i] not in seen:
+                seen.add(phash[i])
+                firsts[n] = i
+                n += 1
+            out.append((name, near is None, None if near is None else part["name"].iat[near[0]], None if near is None else near[1]))
+        found = pd.DataFrame(out, columns=["name", "kept", "representative", "distance"])
+        return found.astype({"distance": "Int32"})
+
+    place = F.row_number().over(W.partitionBy("group").orderBy("pos"))
+    return rows.withColumn("place", place).drop("pos").groupBy("group").applyInPandas(decide, "name string, kept boolean, representative string, distance int")
+
+
 def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool = True) -> DataFrame:
     """The greedy pass in rounds: name, kept, representative, distance for every row.
 
@@ -87,14 +136,22 @@ def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool =
     kept predecessor (ties: the earliest) is within threshold, unless it is protected or the two
     dhashes differ too much; then it stays, and the second nearest is not tried.
 
-    Of the kept rows of one phash only the first matters to others. So a round asks, for each phash
-    without a kept row, which of its rows come before all open rows of near phashes; those are decided,
-    up to the first that stays. Rows behind the first kept one of their own phash are decided all at
-    once in the end. Rounds are as many as the longest chain of near hashes each of which waits for the
-    one before; a round's tables hold open rows and pairs of different hashes, and are checkpointed.
+    Of the kept rows of one phash only the first matters to others. Groups of hashes that are connected
+    by near pairs have nothing to do with each other; one of LOCAL rows at most is decided in order by
+    one task. In larger groups a round asks, for each phash without a kept row, which of its rows come
+    before all open rows of near phashes; those are decided, up to the first that stays. Rows behind the
+    first kept one of their own phash are decided all at once in the end. Rounds are as many as the
+    longest chain of near hashes each of which waits for the one before; a round's tables hold open rows
+    and pairs of different hashes, and are checkpointed.
     """
     rows = checkpointed(hashes.select("name", "phash", "dhash", "protected", "pos"))
     pairs = checkpointed(hash_pairs(rows, threshold).filter("a <> b"))
+    group = grouped(pairs)
+    sizes = rows.join(group, "phash").groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= LOCAL)
+    small = checkpointed(group.join(sizes, "group").select("phash", "group"))
+    local = decided_in_order(rows.join(small, "phash"), threshold, use_dhash)
+    rows = checkpointed(rows.join(small, "phash", "left_anti"))
+    pairs = checkpointed(pairs.join(small.select(F.col("phash").alias("a")), "a", "left_anti"))
     far = lambda other: bits.distance(F.col("dhash"), F.col(other)) > threshold + DHASH_SLACK if use_dhash else F.lit(False)
     known, dropped = _Growing(), _Growing()
     left = rows
@@ -126,7 +183,7 @@ def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool =
     own = rows.join(known.table().withColumnRenamed("k_phash", "phash"), "phash").filter(F.col("pos") >= F.col("k_pos"))
     keep = (F.col("pos") == F.col("k_pos")) | F.col("protected") | F.coalesce(far("k_dhash"), F.lit(False))
     own = own.select("name", keep.alias("kept"), F.when(~keep, F.col("k_name")).alias("representative"), F.when(~keep, F.lit(0)).alias("distance"))
-    return own.unionByName(dropped.table())
+    return own.unionByName(dropped.table()).unionByName(local)
 
 
 def clusters(hashes: DataFrame, threshold: int) -> DataFrame:

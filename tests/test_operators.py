@@ -61,8 +61,10 @@ def plain_greedy(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_greedy_with_many_equal_hashes(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 60), (3, 5000), (1, 5000)])
+def test_greedy_with_many_equal_hashes(spark, monkeypatch, seed, local):
+    """By rounds, in groups that one task decides, and some of each."""
+    monkeypatch.setattr(dedupe, "LOCAL", local)
     rng = random.Random(seed)
     hashes = [0, 0b1, 0b111, 0b11111, 0b1111111, 0xFF00, 0xFF01, 0xFFFF]
     rows = [(f"f{i:04}.jpg", rng.choice(hashes), rng.choice([0, 1, 2**20 - 1]), rng.random() < 0.1) for i in range(150)]
