@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewise.llm.common import mapped, written
+from framewise.llm.common import copies_of, mapped, written
 
 PIVOTS = 32
 #: Lengths of vectors that get pivots; vectors of further lengths are bounded by their norms alone.
@@ -127,8 +127,8 @@ def top_k(
 ) -> DataFrame:
     """The k candidates of highest inner product for each query (all, if fewer), ties to smaller ids.
 
-    Returns query_id, rank (from 1), id_col, score. A query is an id with its vector: two queries of one
-    id and different vectors have a list each, equal ones have one. One candidate row that equals the
+    Returns query_id, rank (from 1), id_col, score. Each row of queries has a list of its own, also where
+    ids or whole rows repeat. One candidate row that equals the
     query in both is its own and left out; further ones, and rows of its id with another vector, are
     candidates, and repeated candidate rows count each. Vectors that are null or hold null or
     non-finite components take no part, nor do rows with a null id; vectors meet those of the same
@@ -175,7 +175,9 @@ def top_k(
     parts = cells.applyInArrow(search, "query long, query_id long, id long, score long")
     ranked = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     merged = parts.withColumn("rank", ranked).filter(F.col("rank") <= k)
-    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    # Equal query rows were searched for once.
+    merged = merged.join(asked.select("query", "n"), "query")
+    return copies_of(merged).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
 #: DuckDB twin over embeddings: queries are the ids divisible by 100.

@@ -108,11 +108,20 @@ def latest_map(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def edited_map(spark: SparkSession, sizes: DataFrame, n_shards: int, path: str, n_slots: int = N_SLOTS) -> DataFrame:
-    """The next version of the map stored under path, stored beside the others. A version is never written twice."""
+    """The next version of the map stored under path, stored beside the others. A version is never written twice.
+
+    It is written aside and gets its name when it is whole, so a writer that dies leaves nothing that
+    stands in the way of the next; of two at once one ends in an error.
+    """
     before = latest_map(spark, path)
     version = 1 if before is None else before.first()["version"] + 1
     new = rebalanced(first_map(spark, n_shards, n_slots) if before is None else before, sizes, n_shards)
-    new.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    aside = f"{path}/_{uuid.uuid4().hex}"
+    new.drop("version").coalesce(1).write.parquet(aside)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(at(f"{path}/version={version}")) or not files.rename(at(aside), at(f"{path}/version={version}")):
+        raise RuntimeError(f"version {version} of the map was made by someone else")
     return spark.read.parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
 

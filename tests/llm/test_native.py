@@ -349,6 +349,18 @@ def test_stored_map_is_read_and_edited(spark, sf, tmp_path):
     assert moved < len(old) / 2
 
 
+def test_a_map_writer_that_died_is_not_in_the_way(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = f"file://{tmp_path}/maps"
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(sharding, "rebalanced", lambda *a, f=sharding.rebalanced: f(*a).withColumn("moved", F.raise_error(F.lit("died")).cast("boolean")))
+        try:
+            sharding.sharded(docs, 16, map_path=path).count()
+        except Exception as e:
+            raise RuntimeError from e
+    assert {r["map_version"] for r in sharding.sharded(docs, 16, map_path=path).collect()} == {1}
+
+
 def test_sharding_matches_sql(spark, sf):
     same(queries.QUERIES["op9_sharding"](spark, sf), queries.ORACLE["op9_sharding"], connect(sf))
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framewise.llm import bpe, mixing, nearest, neardup, quality, queries
@@ -44,7 +45,8 @@ def test_search_ties_blocks_and_bad_vectors(spark):
         (0.5, 0.5): [(8, 3 * m), (6, m), (5, m // 2), (5, m // 2)],
     }
     ids = {(1.0, 0.0): 5, (0.0, 1.0): 5, (0.5, 0.5): 7}
-    assert got == sorted((ids[v], i, x, s) for v, found in lists.items() for i, (x, s) in enumerate(found, 1))
+    asked = [tuple(v) for i, v in rows if i in (5, 7)]  # each row of queries has its list
+    assert got == sorted((ids[v], i, x, s) for v in asked for i, (x, s) in enumerate(lists[v], 1))
     assert nearest.top_k(df.filter("false"), df).count() == 0
     assert nearest.top_k(df, df.filter("false")).count() == 0
 
@@ -136,6 +138,23 @@ def test_pipeline_against_plain_version(spark, sf):
     assert [g[0] for g in got] == [w[0] for w in want] and got == want
 
 
+def test_every_query_row_has_its_list(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0])] * 3 + [(0, [0.0, 1.0]), (1, [2.0, 2.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.top_k(rows.filter("vec_id = 0"), rows, k=2, scale=1).collect())
+    assert got == Counter([(0, 1, 1, 2)] * 3 + [(0, 2, 0, 1)] * 3 + [(0, 1, 2, 3), (0, 2, 1, 2)])
+
+
+def test_stages_leave_clashing_columns_alone(spark, sf, edge_docs):
+    """Names that the stages use themselves come out as they went in."""
+    names = ["copy", "n", "m", "part", "block", "rank", "class_id", "score", "size", "name"]
+    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for c in names)
+
+
 def test_stages_on_edges(spark, sf, edge_docs, no_docs):
     plain = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (edge_docs.select(plain), no_docs.select(plain)):
