@@ -119,31 +119,36 @@ def two_stage_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -
     out: list[np.ndarray] = []
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
 
-    def scan(part: np.ndarray, own: int) -> np.ndarray:
-        """Deal the predecessors of part to their buckets; return those that belong to own."""
+    # How far a suffix goes back through needed ones of its own byte: all of those it induces in its bucket.
+    back = np.append(False, (need & ~small)[:-1] & (t[1:] == t[:-1]))  # whether i - 1 is one
+    reach = np.arange(n) - np.maximum.accumulate(np.where(back, -1, np.arange(n)))
+
+    def with_runs(part: np.ndarray) -> np.ndarray:
+        """part and what it induces in its own bucket: first all predecessors, then all of theirs, and so on."""
+        far = reach[part]
+        which = np.repeat(np.arange(len(part)), far)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(far) - far, far) + 1
+        order = np.lexsort((which, step))
+        return np.concatenate([part, part[which[order]] - step[order]])
+
+    def scan(part: np.ndarray, own: int) -> None:
+        """Deal the predecessors of part to the buckets of other bytes."""
         before = part[part > 0] - 1
-        before = before[~small[before] & need[before]]
+        before = before[~small[before] & need[before] & (t[before] != own)]
         c = t[before]
         order = np.argsort(c, kind="stable")
         before, c = before[order], c[order]
-        mine = before[:0]
-        if not len(c):
-            return mine
-        edges = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        for a, b in zip(edges, np.append(edges[1:], len(c)), strict=True):
-            if c[a] == own:
-                mine = before[a:b]
-            else:
-                waiting[c[a]].append(before[a:b])
-        return mine
+        edges = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else c
+        for x, y in zip(edges, np.append(edges[1:], len(c)), strict=len(c) > 0):
+            waiting[c[x]].append(before[x:y])
 
     if need[n - 1]:
         waiting[int(t[-1])].append(np.array([n - 1]))  # its successor, the empty suffix, comes before all
     for c in range(256):
-        part = np.concatenate(waiting[c]) if waiting[c] else direct[:0]
-        while len(part):  # runs of one byte induce in their own bucket
+        if waiting[c]:
+            part = with_runs(np.concatenate(waiting[c]))
             out.append(part)
-            part = scan(part, c)
+            scan(part, c)
         part = direct[cut[c] : cut[c + 1]]
         if len(part):
             out.append(part)

@@ -265,6 +265,15 @@ def test_stripping_periodic_and_shared_passages(spark):
     assert got == plain_stripped({i: t.encode() for i, t in enumerate(texts)})
 
 
+def test_long_runs_of_a_byte_are_induced_at_once():
+    data = b"ab" + b"a" * 300_000 + b"b" * 300_000 + b"a" * 300_000
+    got = suffixes.two_stage_order(data, 64)
+    depth = [data[i : i + 64] for i in got.tolist()]
+    assert len(got) == len(set(got.tolist())) == len(data) and all(x <= y for x, y in zip(depth[:-1], depth[1:], strict=True))
+    small = b"xx" + b"a" * 40 + b"b" * 7 + b"a" * 40 + b"c"
+    assert suffixes.two_stage_order(small, 200).tolist() == sorted(range(len(small)), key=lambda i: small[i:])
+
+
 def test_two_stage_order():
     rng = random.Random(3)
     for k in range(200):
