@@ -413,3 +413,78 @@ def test_bpe_edges(edge_docs, no_docs):
     back = sorted(r["text"] for r in bpe.decoded(tokens, *vocabulary).collect())
     assert back == sorted((r["text"] or "") for r in edge_docs.collect())
     assert bpe.round_trip(no_docs, *vocabulary).count() == 0
+
+
+# ---- the classifier, written out
+
+
+def plain_features(text):
+    """The features of one text, counted one by one."""
+    data = (text or "").encode()
+    kind = lambda b: int(quality.CLASS[b])
+    n = quality.N_CLASSES
+    one, pair = [0] * n, [0] * (n * n)
+    for b in data:
+        one[kind(b)] += 1
+    for a, b in zip(data[:-1], data[1:], strict=True):
+        pair[kind(a) * n + kind(b)] += 1
+    words = data.replace(b"\v", b" ").replace(b"\f", b" ").split()
+    trios = [tuple(words[i : i + 3]) for i in range(len(words) - 2)] or ([tuple(words)] if words else [])
+    lines = data.split(b"\n")
+    held = lines if lines[-1] else lines[:-1]
+    again = lambda x: (len(x) - len(set(x))) / max(1, len(x))
+    size, letters = len(data), one[0] + one[1] + one[6]
+    total = max(1, size)
+    shape = [np.log1p(size), np.log1p(len(words)), np.log1p(len(lines)), size / max(1, len(words)) / 10, size / len(lines) / 100, again(words), again(trios), again(held)]
+    shape += [letters / total, one[1] / max(1, letters), one[2] / total, sum(one[8:]) / total, sum(x > 0 for x in one[8:]) / 10, float(size == 0)]
+    return np.array([*(np.sqrt(x / total) for x in pair), *(np.sqrt(x / total) for x in one), *shape])
+
+
+def plain_nnpu(p, u, prior, steps):
+    """Weights and bias on the features as they are, by the same descent in double precision, text by text."""
+    mean, scale = u.mean(0), np.maximum(u.std(0), 1e-3)
+    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
+    w, m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
+    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
+    for t in range(1, steps + 1):
+        negative = np.mean([np.log1p(np.exp(x @ w)) for x in u]) - prior * np.mean([np.log1p(np.exp(x @ w)) for x in p])
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        part = sum(sig(x @ w) * x for x in u) / len(u) - prior * sum(sig(x @ w) * x for x in p) / len(p)
+        g = part + prior * sum(-sig(-(x @ w)) * x for x in p) / len(p) if negative >= 0 else -part
+        g = g + 1e-2 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:-1] / scale, w[-1] - (mean / scale) @ w[:-1]
+
+
+def plain_prior(p, u):
+    scores = [[], []]
+    for half in (0, 1):
+        w, b = plain_nnpu(p[half::2], u[half::2], 0.5, 60)
+        for kept, x in zip(scores, (p, u), strict=True):
+            kept += (x[1 - half :: 2] @ w + b).tolist()
+    slack = np.sqrt(np.log(40) / 2) * (len(scores[0]) ** -0.5 + len(scores[1]) ** -0.5)
+    share = lambda x, at: sum(s >= at for s in x) / len(x)
+    best = min(sorted(set(scores[0])), key=lambda at: (share(scores[1], at) + slack) / share(scores[0], at))
+    return min(0.99, max(0.01, share(scores[1], best) / share(scores[0], best)))
+
+
+def test_features_match_plain_version(edge_docs):
+    texts = [r["text"] for r in edge_docs.collect()] + ["a\nb\na\n", "\n\n", "one two one two", "x"]
+    got = quality.features(pa.array(texts, pa.string()))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, plain_features(t), atol=1e-4, rtol=1e-4), t
+
+
+def test_quality_matches_plain_version(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1}
+    learnt = [i for i in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    half = lambda ids: np.array(sorted((plain_features(docs[i]).astype(np.float16) for i in ids), key=lambda x: x.tobytes())).astype(float)
+    p, u = half([i for i in learnt if i in good]), half(learnt)
+    w, b = plain_nnpu(p, u, plain_prior(p, u), 150)
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op3_quality"](spark, sf).collect()}
+    want = {i: 1 / (1 + np.exp(-(plain_features(t) @ w + b))) for i, t in docs.items()}
+    off = sorted(abs(got[i] - want[i]) for i in docs)
+    assert off[-1] < 0.05 and off[len(off) // 2] < 0.01
+    assert sum((got[i] >= 0.5) != (want[i] >= 0.5) for i in docs) <= 1
