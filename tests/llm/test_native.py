@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -452,3 +453,26 @@ def test_mixing_comes_near_targets(spark):
         taken[r["source_size"]] += r["taken"]
         target[r["source_size"]] = r["target"]
     assert all(abs(taken[s] - t) <= 0.01 * t + 90 for s, t in target.items())
+
+
+def test_ownership_matches_sql_on_made_owners(spark, tmp_path):
+    """Values that one owner has, that many share, and that many repositories of one owner hold, bare and behind a name."""
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=28)) + "aB3dE5"
+    live, shared, spread = [token() for _ in range(6)], token(), token()
+    rows = []
+    for i in range(120):
+        said = [f"word{i}", f"use {shared} here"] if i % 5 == 0 else [f"word{i}"]
+        said += [f"keep {live[i % 6]} close"] if i % 6 == i % 40 else []
+        said += [f"token = {spread}"] if i % 3 == 1 else []
+        said += [f'secret: "{live[0]}"'] if i == 77 else []
+        rows.append((i, " ".join(said), "en", "one" if i % 3 == 1 else f"owner{i % 4}" if i % 11 else None, 0))
+    rows += [(200, None, None, None, None), (201, "", "en", "one", 0)]  # the SQL tells rows apart by id
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = secrets.scanned(docs)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(out, queries.ORACLE["op1_secrets"], con)
+    spans = [s.split(":")[0] for r in out.collect() for s in (r["spans"] or "").split(",")]
+    assert Counter(spans)["live"] >= 6 and out.filter("n_assign > 0").count() >= 40
