@@ -984,6 +984,20 @@ def _(spark, d):
     return store.Store(spark, home, "key long, result string, source string", ["key"]).read()
 
 
+@query(
+    "sc14_overwritten",
+    """SELECT strftime(ts, '%Y-%m-%d_%H-%M') || '.png' AS filename, max(event_id) AS event_id FROM events GROUP BY ALL""",
+)
+def _(spark, d):
+    """Saves under names that repeat: the last one of a name stays, in two calls of which the second overwrites."""
+    rows = table(spark, d, "events").select(F.concat(F.date_format("ts", "yyyy-MM-dd_HH-mm"), F.lit(".png")).alias("filename"), "event_id")
+    saved = store.Store(spark, feed.folder(spark), "filename string, event_id long", ["filename"])
+    last = rows.agg(F.max("event_id")).first()[0]
+    for late in (False, True):
+        saved.upsert(rows.filter((F.col("event_id") * 2 > F.lit(last)) == late).withColumn("at", F.col("event_id")), by="at")
+    return saved.read()
+
+
 @query(
     "sc11_live_overrides",
     f"""WITH {HASHES}, f AS (SELECT name, p, n, n % 4 AS part FROM hs), o AS (SELECT n AS pos, p, tag, (n // 40) % 4 AS part FROM hs WHERE n % 40 = 0),

@@ -106,6 +106,24 @@ def _(spark, d):
     return logs.classifications(spark, f"{path}/classifications").join(saved, "filename").select("filename", "save_reason", "classification", "digest")
 
 
+@query(
+    "sk1_failed_parts",
+    """SELECT doc_id || '.jpg' AS filename, md5(text) AS digest, CASE WHEN doc_id % 4 <> 1 THEN md5(lang) END AS sound FROM documents WHERE doc_id % 9 <> 0""",
+)
+def _(spark, d):
+    """Frames of which some have no content, and so no record, and some no sound."""
+    path = _folder(spark, "saved")
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        n.alias("idx"), F.lit("at").alias("timestamp"), F.lit(".jpg").alias("suffix"), F.when(n % 9 != 0, F.encode("text", "UTF-8")).alias("content"), F.when(n % 4 != 1, F.encode("lang", "UTF-8")).alias("audio")
+    )
+    logs.save_batches(rows, path, "manual_capture")
+    frames = logs.frame_contents(spark, path).select("filename", F.md5("content").alias("digest"))
+    sound = logs.frame_contents(spark, path, "audio").select(F.regexp_replace("filename", "wav$", "jpg").alias("filename"), F.md5("content").alias("sound"))
+    found = logs.classifications(spark, f"{path}/classifications").select("filename").join(frames, "filename").join(sound, "filename", "left")
+    return found.select(F.regexp_replace("filename", "^at_", "").alias("filename"), "digest", "sound")
+
+
 @query(
     "sk5_summary_log",
     f"""WITH {JUDGED} SELECT count(*) FILTER (status IN ('correct', 'incorrect')) AS total, count(*) FILTER (status = 'incorrect') AS incorrect, count(*) AS lines FROM ju""",

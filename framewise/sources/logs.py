@@ -173,17 +173,23 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def save_batches(frames: DataFrame, path: str, reason: str) -> DataFrame:
-    """Save frames (at, idx, timestamp, suffix, content and the fields of CLASSIFICATION that are known) and log them.
+    """Save frames (at, idx, timestamp, suffix, content, perhaps audio, and the fields of CLASSIFICATION that are known) and log them.
 
     Contents go to <path>/images as a table (filename, content), which frame_contents() reads: tasks write
-    it, and one file a frame would be millions of small ones. A line each goes to <path>/classifications. Returns the names.
+    it, and one file a frame would be millions of small ones; sound goes to <path>/audio in the same way.
+    A line each goes to <path>/classifications. A frame without a content cannot be saved: it gets no
+    line. One without sound is saved without. Returns the names.
     """
-    named = frames.withColumn("filename", names.batch_name(F.col("timestamp"), F.col("idx"), F.col("suffix"))).withColumn("save_reason", F.lit(reason))
+    named = frames.filter("content IS NOT NULL").withColumn("filename", names.batch_name(F.col("timestamp"), F.col("idx"), F.col("suffix")))
+    named = named.withColumn("save_reason", F.lit(reason))
     named.select("filename", "content").write.mode("append").parquet(f"{path}/images")
+    if "audio" in frames.columns:
+        sound = named.filter("audio IS NOT NULL").select(F.concat(names.stem(F.col("filename")), F.lit(".wav")).alias("filename"), F.col("audio").alias("content"))
+        sound.write.mode("append").parquet(f"{path}/audio")
     known = [c for c in (f.split()[0] for f in CLASSIFICATION.split(", ")) if c in named.columns]
     append(named.select(*known), f"{path}/classifications")
     return named.select("filename")
 
 
-def frame_contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("filename string, content binary").parquet(f"{path}/images")
+def frame_contents(spark: SparkSession, path: str, medium: str = "images") -> DataFrame:
+    return spark.read.schema("filename string, content binary").parquet(f"{path}/{medium}")
