@@ -147,8 +147,9 @@ def test_texts_of_shared_parts_are_not_paired_by_bucket(spark, monkeypatch):
     got, want = {r["doc_id"]: r["class_id"] for r in rows}, plain_classes(texts)
     assert sum(got[i] == want[i] for i in want) >= 0.99 * n
     assert all(r["n_links"] > 0 for r in rows if r["class_rows"] > 1) and not any(r["n_links"] for r in rows if r["class_rows"] == 1)
-    # All pairs would be 45,000; 16 of 18 paragraphs in common are nearly a link, and so are looked at.
-    assert asked[n][1] < 45_000 / 40
+    # All pairs would be 45,000. About 330 are alike by three quarters; the others looked at share borders of
+    # paragraphs that few texts have, as many as PAIRS_A_SHINGLE allows.
+    assert asked[n][1] < 45_000 / 30
 
 
 def test_near_duplicate_edges(spark, edge_docs, no_docs):
