@@ -515,10 +515,10 @@ def _(spark, d):
     return out.select("key", "seq", "n_samples", F.hex("wav").alias("wav"))
 
 
-@query("sc18_framed_messages", "SELECT CAST(event_id // 1000 AS VARCHAR) AS stream, event_id, user_id, event_type, round(value, 6) AS value FROM events")
+@query("sc18_framed_messages", "SELECT CAST(event_id // 200 AS VARCHAR) AS stream, event_id, user_id, event_type, round(value, 6) AS value FROM events")
 def _(spark, d):
-    """Streams of a thousand messages, cut into parts of 1 to 613 bytes wherever that is; a third of the messages is longer than a part."""
-    rows = table(spark, d, "events").select((F.col("event_id") / 1000).cast("long").alias("stream"), "event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+    """Streams of two hundred messages, cut into parts of 1 to 613 bytes wherever that is; a third of the messages is longer than a part."""
+    rows = table(spark, d, "events").select((F.col("event_id") / 200).cast("long").alias("stream"), "event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
     noise = F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("{"), (F.col("event_id") % 2000).cast("int"))).otherwise("")
     payload = F.encode(F.to_json(F.struct("event_id", "user_id", "event_type", "value", noise.alias("noise"))), "UTF-8")
     whole = rows.select("stream", "event_id", F.hex(framed.framed(payload)).alias("x")).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("m"))
