@@ -522,12 +522,13 @@ def _(spark, d):
     noise = F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("{"), (F.col("event_id") % 2000).cast("int"))).otherwise("")
     payload = F.encode(F.to_json(F.struct("event_id", "user_id", "event_type", "value", noise.alias("noise"))), "UTF-8")
     whole = rows.select("stream", "event_id", F.hex(framed.framed(payload)).alias("x")).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("m"))
-    whole = whole.select("stream", F.array_join(F.transform("m", lambda m: m["x"]), "").alias("x"))
+    # Bytes, not text: a place in a text is found by counting from its start.
+    whole = whole.select("stream", F.unhex(F.array_join(F.transform("m", lambda m: m["x"]), "")).alias("x"))
     # Cut places that grow by 1 to 613 bytes.
-    cuts = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("x") / 614 + 1).cast("long"))))
+    cuts = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.octet_length("x") / 307 + 1).cast("long"))))
     place = lambda i: i * 307 + F.pmod(F.xxhash64("stream", i), F.lit(306))
     a, b = F.when(F.col("part") > 0, place(F.col("part"))).otherwise(0), place(F.col("part") + 1)
-    parts = cuts.select("stream", "part", F.unhex(F.substring("x", (2 * a + 1).cast("int"), (2 * (b - a)).cast("int"))).alias("data"))
+    parts = cuts.select("stream", "part", F.substring("x", (a + 1).cast("int"), (b - a).cast("int")).alias("data"))
     found = framed.messages(parts).filter("complete")
     told = F.from_json(F.decode("payload", "UTF-8"), "event_id long, user_id long, event_type string, value double").alias("m")
     return found.select("stream", told).select("stream", "m.*")

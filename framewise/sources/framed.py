@@ -6,7 +6,8 @@ the first start beyond the part; nearly all of these paths run into each other,
 different ways out. Those ways out are nodes, and each leads to one further on; which of them are
 really starts, the first one of each part that has any, is found by pointer doubling over the nodes:
 as many joins as the number of parts has binary digits. Then each part reads its own messages, and
-those that go over borders are put together from pieces.
+those that go over borders are put together from pieces. Short parts are put together first, so that
+the work follows the bytes, not the cuts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from framewise.plans.persist import checkpointed
 HEAD = 4
 #: About the length of a part, for the join of places with parts.
 CELL = 1 << 16
+#: Bytes of a stream whose parts become one; longer parts stay as they are.
+CHUNK = 1 << 18
 #: Longer messages are taken for noise: a stream is not read beyond one.
 MOST = 64 << 20
 FAR = 1 << 62
@@ -68,6 +71,16 @@ def placed(parts: DataFrame) -> DataFrame:
     return some.select("stream", "part", "data").join(head, ["stream", "part"])
 
 
+def chunked(parts: DataFrame) -> DataFrame:
+    """Parts as `placed` gives them, those that start within the same CHUNK bytes of their stream as one, under the least number of them."""
+    held = F.array_sort(F.collect_list(F.struct("start", F.hex("data").alias("x"))))
+    whole = F.unhex(F.array_join(F.transform(held, lambda p: p["x"]), "")).alias("data")
+    rows = parts.groupBy("stream", F.floor(F.col("start") / CHUNK).alias("chunk"))
+    return rows.agg(
+        F.min("part").alias("part"), F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("more", "start").alias("more"), F.max("total").alias("total"), whole
+    ).drop("chunk")
+
+
 def messages(parts: DataFrame) -> DataFrame:
     """The messages of streams of parts (stream, part, data; parts are whole numbers in order): stream, at (place of the message), payload, complete.
 
@@ -75,7 +88,7 @@ def messages(parts: DataFrame) -> DataFrame:
     which its stream ends; fewer than four bytes at the end are no message.
     """
     # The parts are read three times; what is kept between the readings has a few rows a part.
-    parts = checkpointed(placed(parts))
+    parts = checkpointed(chunked(placed(parts)))
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,7 +97,9 @@ def messages(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([q for _, q in out], pa.int64())], names=["stream", "at"])
 
     own = parts.select(F.col("stream").cast("string").alias("stream"), "part", "start", "end", "data", "more", "total")
-    nodes = own.mapInArrow(exits, "stream string, at long").unionByName(own.select("stream", F.lit(0).cast("long").alias("at"))).distinct()
+    # Out of the last part of a stream no way leads on.
+    inner = own.filter("`end` < total")
+    nodes = inner.mapInArrow(exits, "stream string, at long").unionByName(own.select("stream", F.lit(0).cast("long").alias("at"))).distinct()
     at = nodes.select("stream", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
     where = spans.overlapping(at, own.select("stream", "part", "start", "end"), ["stream"], CELL).groupBy("stream", "part").agg(F.collect_set("lo").alias("entries"))
 
@@ -96,7 +111,7 @@ def messages(parts: DataFrame) -> DataFrame:
                 out += [(s, e, int(p + way[e - p])) for e in entries]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["stream", "at", "to"])
 
-    jump = checkpointed(own.join(where, ["stream", "part"]).mapInArrow(edges, "stream string, at long, to long"))
+    jump = checkpointed(inner.join(where, ["stream", "part"]).mapInArrow(edges, "stream string, at long, to long"))
     real = own.select("stream").distinct().withColumn("at", F.lit(0).cast("long"))
     most = own.groupBy("stream").count().agg(F.max("count")).first()[0] or 0
     for _ in range(most.bit_length()):
@@ -111,9 +126,10 @@ def messages(parts: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for s, p, d, m, e in zip(*(b.column(c).to_pylist() for c in ("stream", "start", "data", "more", "entry")), strict=True):
-                step, i = steps(d, m), e - p
+                x, i = d + m, e - p
                 while i < len(d):
-                    j = int(step[i])
+                    n = int.from_bytes(x[i : i + HEAD], "little")
+                    j = i + HEAD + n if n <= MOST else FAR
                     if i + HEAD <= len(d) + len(m):
                         out.append((s, p + i, p + j, b"" if j == FAR else d[i + HEAD : j] if j <= len(d) else None, j != FAR))
                     i = j

@@ -82,3 +82,19 @@ def test_streams_that_break_off_and_tiny_parts(spark):
     whole = [(b"{}", True), (b"", True), (b"hello", True)]
     assert got == {"bytes": whole, "short": [*whole, (b"abc", False)], "head": whole, "noise": [*whole, (b"", False)]}
     assert rng
+
+
+def test_work_follows_bytes_not_cuts(spark, monkeypatch):
+    """Thousands of short parts become a few, of which none starts outside its bytes; messages over their borders stay whole."""
+    monkeypatch.setattr(framed, "CHUNK", 1000)
+    rng = random.Random(4)
+    payloads = [rng.randbytes(rng.choice([0, 3, 30, 300, 2500])) for _ in range(60)]
+    data = b"".join(struct.pack("<I", len(p)) + p for p in payloads)
+    parts = cut(data, rng, 5)
+    rows = [("a", i, bytearray(p)) for i, p in enumerate(parts)]
+    some = framed.chunked(framed.placed(spark.createDataFrame(rows, "stream string, part long, data binary"))).orderBy("start").collect()
+    assert len(some) <= len(data) // 1000 + 1 < len(parts) // 50
+    assert b"".join(bytes(r["data"]) for r in some) == data
+    assert all(r["end"] - r["start"] == len(r["data"]) and bytes(r["more"]) == data[r["end"] : r["end"] + 3] for r in some)
+    got = read(spark, {"a": parts})
+    assert all(r["complete"] for r in got) and [bytes(r["payload"]) for r in sorted(got, key=lambda r: r["at"])] == payloads
