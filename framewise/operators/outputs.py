@@ -73,6 +73,14 @@ def moves_by_folder(plan: DataFrame) -> DataFrame:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes as MiB or, from a GiB on, as GiB."""
-    mib, gib = F.lit(1024.0**2), F.lit(1024.0**3)
-    return F.when(n >= gib, F.format_string("%.2f GiB", n / gib)).otherwise(F.format_string("%.2f MiB", n / mib))
+    """Bytes (whole numbers) as MiB or, from a GiB on, as GiB; halves of a hundredth go to the even one, as printf rounds."""
+
+    def text(unit: int, name: str) -> Column:
+        size = F.abs(n.cast("decimal(20,0)"))
+        whole, rest = F.floor(size / unit).cast("long"), (size % unit).cast("long") * 100
+        low, over = F.shiftright(rest, unit.bit_length() - 1), rest % unit * 2 - unit
+        cents = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+        sign = F.when(n < 0, "-").otherwise("")
+        return F.format_string(f"%s%d.%02d {name}", sign, whole + F.when(cents == 100, 1).otherwise(0), cents % 100)
+
+    return F.when(n >= 1 << 30, text(1 << 30, "GiB")).when(n.isNotNull(), text(1 << 20, "MiB"))

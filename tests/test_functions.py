@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.functions import bits, checks, names, pixels, profiles, replies
+from framewise.operators import outputs
 
 
 def values(spark, rows, schema, expr):
@@ -130,3 +131,9 @@ def test_profile_cascades(spark):
     got = [r["result"]["source"] for r in profiles.classified(df, "nhra_on_fox", profiles.Scorers()).collect()]
     assert got == ["phash_override", "default"]
     assert profiles.profile_names() == ["nascar_on_fox", "nascar_on_hbo_max", "nascar_on_nbc", "nhra_on_fox"]
+
+
+def test_sizes_round_as_printf(spark):
+    sizes = [0, 5 << 17, 3125 << 17, 409_600_000, (1 << 30) - 1, 1 << 30, 9 << 27, 13 << 27, -(5 << 17)]
+    got = values(spark, [(n,) for n in sizes], "n long", outputs.size_text(F.col("n")))
+    assert got == ["%.2f GiB" % (n / 2**30) if n >= 1 << 30 else "%.2f MiB" % (n / 2**20) for n in sizes]
