@@ -1,19 +1,20 @@
 """Exact and near duplicates among frames, label conflicts, overrides, and what follows from them.
 
 Hash rows have name, size, phash, dhash, and pos (place in the order of keeping: protected frames
-first, then chronological). Pairs within a distance come from band keys (multi-index hashing): two
-hashes within the threshold differ by few bits in some band, so one side is keyed by its bits and
-the other by all bits near its own; the width of bands follows from the number of hashes. Equal hashes
-are one row in that join and in all that follows from it, so a frame that is repeated a million times
-makes no pairs with itself.
+first, then chronological). Pairs within a distance come from blocks of hashes, of which each two are
+compared by a task; band keys would make more candidates than an exclusive or of 64 bits is worth,
+nearly all pairs at a distance of 16. Equal hashes are one row there and in all that follows from it,
+so a frame that is repeated a million times makes no pairs with itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ DHASH_SLACK = 4
 # Hashes of frames that are nearly black.
 BLANK = (0x0, 0x80)
 MOST_ROUNDS = 10_000
+#: Hashes of a block, of which a task compares two; pairs of hashes compared at once.
+BLOCK, AT_ONCE = 1 << 14, 1 << 14
 #: Rows of a group of near hashes that one task decides in order; larger groups go by rounds.
 LOCAL = 5000
 #: Rounds after which the tables of decided rows become one.
@@ -39,13 +42,36 @@ def exact_groups(files: DataFrame) -> DataFrame:
 
 
 def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b, distance) of distinct hashes within threshold, both orders, each hash with itself too."""
-    own = checkpointed(hashes.select("phash").distinct())
-    bands = bits.band_plan(threshold, own.count())
-    left = own.select(F.col("phash").alias("a"), F.explode(bits.band_keys(F.col("phash"), bands, near=False)).alias("k"))
-    right = own.select(F.col("phash").alias("b"), F.explode(bits.band_keys(F.col("phash"), bands, near=True)).alias("k"))
-    d = bits.distance(F.col("a"), F.col("b"))
-    return left.join(right, "k").withColumn("distance", d).filter(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
+    """Pairs (a, b, distance) of distinct hashes within threshold, both orders, each hash with itself too.
+
+    Every two blocks are one group, so a task holds two blocks, and a hash is sent once for each block.
+    """
+    own = checkpointed(hashes.select("phash").distinct().filter("phash IS NOT NULL"))
+    n = max(1, -(-own.count() // BLOCK))
+    block = F.pmod(F.xxhash64("phash"), F.lit(n)).cast("int")
+    met = own.select("phash", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "phash")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        block, values = t["block"].to_numpy(), t["phash"].to_numpy().view(np.uint64)
+        left, right = values[block == i], values[block == j]
+        step = max(1, AT_ONCE // max(1, len(right)))
+        # The same memory for all steps.
+        xor, count = np.empty((step, len(right)), np.uint64), np.empty((step, len(right)), np.uint8)
+        for k in range(0, len(left), step):
+            m = len(left[k : k + step])
+            np.bitwise_xor(left[k : k + m, None], right[None, :], out=xor[:m])
+            d = np.bitwise_count(xor[:m], out=count[:m]).reshape(-1)
+            hit = np.flatnonzero(d <= threshold)
+            if len(hit):
+                a, b, d = left[k + hit // len(right)].view(np.int64), right[hit % len(right)].view(np.int64), d[hit].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "distance"])
+                if i < j:
+                    yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(a), pa.array(d)], names=["a", "b", "distance"])
+
+    return met.repartition(n * (n + 1), "i", "j").groupBy("i", "j").applyInArrow(near, "a long, b long, distance int")
 
 
 def conflicts(hashes: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -102,31 +128,53 @@ def grouped(pairs: DataFrame) -> DataFrame:
 
 
 def decided_in_order(rows: DataFrame, threshold: int, use_dhash: bool) -> DataFrame:
-    """The greedy pass of each group (rows with group), row by row in order of pos: name, kept, representative, distance."""
+    """The greedy pass of each group (rows with group), row by row in order of pos: name, kept, representative, distance.
 
-    def decide(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
+    A task takes its groups from one sorted stream, as most have a few rows only.
+    """
+
+    def decide(part: pd.DataFrame) -> list[tuple]:
         phash, dhash = part["phash"].to_numpy().view(np.uint64), part["dhash"].to_numpy().view(np.uint64)
-        free = ~part["protected"].to_numpy(bool)
-        firsts = np.zeros(len(part), np.int64)  # the first kept row of each hash, in order
-        n, seen, out = 0, set(), []
-        for i, name in enumerate(part["name"]):
-            near = None
-            if n:
-                d = np.bitwise_count(phash[firsts[:n]] ^ phash[i])
-                j = int(d.argmin())
-                far = use_dhash and int(np.bitwise_count(dhash[firsts[j]] ^ dhash[i])) > threshold + DHASH_SLACK
-                near = (firsts[j], int(d[j])) if d[j] <= threshold and free[i] and not far else None
-            if near is None and phash[i] not in seen:
-                seen.add(phash[i])
-                firsts[n] = i
-                n += 1
-            out.append((name, near is None, None if near is None else part["name"].iat[near[0]], None if near is None else near[1]))
-        found = pd.DataFrame(out, columns=["name", "kept", "representative", "distance"])
-        return found.astype({"distance": "Int32"})
-
-    place = F.row_number().over(W.partitionBy("group").orderBy("pos"))
-    return rows.withColumn("place", place).drop("pos").groupBy("group").applyInPandas(decide, "name string, kept boolean, representative string, distance int")
+        free, name = ~part["protected"].to_numpy(bool), part["name"].to_numpy()
+        cuts = np.flatnonzero(np.diff(part["group"].to_numpy())) + 1
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
+            firsts = np.zeros(b - a, np.int64)  # the first kept row of each hash, in order
+            n, seen = 0, set()
+            for i in range(a, b):
+                near = None
+                if n:
+                    d = np.bitwise_count(phash[firsts[:n]] ^ phash[i])
+                    j = int(d.argmin())
+                    far = use_dhash and int(np.bitwise_count(dhash[firsts[j]] ^ dhash[i])) > threshold + DHASH_SLACK
+                    near = (firsts[j], int(d[j])) if d[j] <= threshold and free[i] and not far else None
+                if near is None and phash[i] not in seen:
+                    seen.add(phash[i])
+                    firsts[n] = i
+                    n += 1
+                out.append((name[i], near is None, None if near is None else name[near[0]], None if near is None else near[1]))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = lambda out: pd.DataFrame(out, columns=["name", "kept", "representative", "distance"]).astype({"distance": "Int32"})
+        held: list[pd.DataFrame] = []
+        for part in batches:
+            if not len(part):
+                continue
+            # The last group may go on in the next batch.
+            held.append(part)
+            if held[0]["group"].iat[0] == part["group"].iat[-1]:
+                continue
+            rows = pd.concat(held)
+            open_ = (rows["group"] == rows["group"].iat[-1]).to_numpy()
+            held = [rows[open_]]
+            yield told(decide(rows[~open_]))
+        if held:
+            yield told(decide(pd.concat(held)))
+
+    spark = rows.sparkSession
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "pos").drop("pos")
+    return dealt.mapInPandas(run, "name string, kept boolean, representative string, distance int")
 
 
 def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool = True) -> DataFrame:
@@ -138,11 +186,12 @@ def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool =
 
     Of the kept rows of one phash only the first matters to others. Groups of hashes that are connected
     by near pairs have nothing to do with each other; one of LOCAL rows at most is decided in order by
-    one task. In larger groups a round asks, for each phash without a kept row, which of its rows come
-    before all open rows of near phashes; those are decided, up to the first that stays. Rows behind the
-    first kept one of their own phash are decided all at once in the end. Rounds are as many as the
-    longest chain of near hashes each of which waits for the one before; a round's tables hold open rows
-    and pairs of different hashes, and are checkpointed.
+    one task. In larger groups a round looks, for each open row, at the near phashes whose kept row, or
+    first open row, comes before it. Those no farther than the nearest kept one may be what decides; if
+    they all would let the row go, or all let it stay, it does, whatever becomes of them. Else it waits.
+    Of the rows of one phash those before the first that stays or waits are settled. Rows behind the
+    first kept one of their own phash are decided all at once in the end,
+    and representatives are looked up then. A round's tables hold open rows and their pairs, and are checkpointed.
     """
     rows = checkpointed(hashes.select("name", "phash", "dhash", "protected", "pos"))
     pairs = checkpointed(hash_pairs(rows, threshold).filter("a <> b"))
@@ -153,69 +202,82 @@ def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool =
     rows = checkpointed(rows.join(small, "phash", "left_anti"))
     pairs = checkpointed(pairs.join(small.select(F.col("phash").alias("a")), "a", "left_anti"))
     far = lambda other: bits.distance(F.col("dhash"), F.col(other)) > threshold + DHASH_SLACK if use_dhash else F.lit(False)
-    known, dropped = _Growing(), _Growing()
-    left = rows
+    # Hashes without pairs need no rounds: their first row stays.
+    first = lambda part: part.groupBy(F.col("phash").alias("k_phash")).agg(F.min(F.struct("pos", "name", "dhash")).alias("k")).select("k_phash", F.col("k.pos").alias("k_pos"), F.col("k.name").alias("k_name"), F.col("k.dhash").alias("k_dhash"))
+    paired = pairs.select(F.col("a").alias("phash")).distinct()
+    alone, known, dropped = checkpointed(first(rows.join(paired, "phash", "left_anti"))), _Growing(), _Growing()
+    known.add(alone.limit(0))
+    dropped.add(rows.limit(0))
+    left, open_pairs = checkpointed(rows.join(paired, "phash", "left_semi")), pairs
     for _ in range(MOST_ROUNDS):
-        firsts = left.groupBy(F.col("phash").alias("b")).agg(F.min("pos").alias("first"))
-        until = pairs.join(firsts, "b").groupBy(F.col("a").alias("phash")).agg(F.min("first").alias("until"))
-        ready = left.join(until, "phash", "left").filter(F.col("until").isNull() | (F.col("pos") < F.col("until"))).drop("until")
-        if known.parts:
-            near = pairs.join(known.table(), F.col("b") == F.col("k_phash")).select(F.col("a").alias("phash"), "distance", "k_pos", "k_name", "k_dhash")
-            near = ready.join(near, "phash").filter(F.col("k_pos") < F.col("pos"))
-            nearest = near.groupBy("name").agg(F.min(F.struct("distance", "k_pos", "k_name", "k_dhash")).alias("n"))
-            ready = ready.join(nearest, "name", "left").select("*", "n.*").drop("n", "k_pos")
-        else:
-            ready = ready.select("*", F.lit(None).cast("int").alias("distance"), F.lit(None).cast("string").alias("k_name"), F.lit(None).cast("long").alias("k_dhash"))
-        stays = F.col("protected") | F.col("k_name").isNull() | far("k_dhash")
-        ready = checkpointed(ready.withColumn("stays", F.coalesce(stays, F.lit(False))))
-        new = ready.filter("stays").groupBy("phash").agg(F.min(F.struct("pos", "name", "dhash")).alias("k"))
-        new = checkpointed(new.select(F.col("phash").alias("k_phash"), F.col("k.pos").alias("k_pos"), F.col("k.name").alias("k_name"), F.col("k.dhash").alias("k_dhash")))
-        gone = ready.join(new.select(F.col("k_phash").alias("phash"), F.col("k_pos").alias("kept_pos")), "phash", "left")
-        gone = gone.filter(~F.col("stays") & (F.col("kept_pos").isNull() | (F.col("pos") < F.col("kept_pos"))))
-        known.add(new)
-        dropped.add(checkpointed(gone.select("name", F.lit(False).alias("kept"), F.col("k_name").alias("representative"), "distance")))
-        left = left.join(new.select(F.col("k_phash").alias("phash")), "phash", "left_anti").join(dropped.parts[-1].select("name"), "name", "left_anti")
-        left = checkpointed(left)
         if left.isEmpty():
             break
+        # The dhash of what a phash may keep, if its open rows agree on it.
+        dhash = F.when(F.min("dhash") == F.max("dhash"), F.min("dhash")).alias("k_dhash")
+        ahead = left.groupBy(F.col("phash").alias("b")).agg(F.min("pos").alias("at"), dhash).withColumn("is_kept", F.lit(False))
+        ahead = ahead.unionByName(known.table().select(F.col("k_phash").alias("b"), F.col("k_pos").alias("at"), "k_dhash", F.lit(True).alias("is_kept")))
+        near = left.join(open_pairs.join(ahead, "b").select(F.col("a").alias("phash"), "distance", "at", "k_dhash", "is_kept"), "phash").filter(F.col("at") < F.col("pos"))
+        key, is_far = F.struct("distance", "at"), far("k_dhash")
+        nearest = lambda which: F.min(F.when(F.coalesce(which, F.lit(True)), key))
+        near = near.groupBy("name").agg(nearest(F.col("is_kept")).alias("held"), nearest(is_far).alias("may_stay"), nearest(~is_far).alias("may_go"))
+        goes = F.col("held").isNotNull() & (F.col("may_stay").isNull() | (F.col("may_stay") > F.col("held")))
+        stays = F.col("protected") | F.col("may_go").isNull() | F.coalesce(F.col("may_go") > F.col("held"), F.lit(False))
+        told = left.join(near, "name", "left").select(*left.columns, F.when(stays, "stays").when(goes, "goes").otherwise("waits").alias("told"))
+        told = checkpointed(told)
+        stop = told.filter("told <> 'goes'").groupBy("phash").agg(F.min(F.struct("pos", "told", "name", "dhash")).alias("s"))
+        stop = checkpointed(stop)
+        new = stop.filter("s.told = 'stays'").select(F.col("phash").alias("k_phash"), F.col("s.pos").alias("k_pos"), F.col("s.name").alias("k_name"), F.col("s.dhash").alias("k_dhash"))
+        known.add(checkpointed(new))
+        told = told.join(stop.select("phash", F.col("s.pos").alias("stop"), (F.col("s.told") == "stays").alias("held")), "phash", "left")
+        dropped.add(checkpointed(told.filter("told = 'goes'").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop"))).select(*left.columns)))
+        left = checkpointed(told.filter(~F.col("held") & (F.col("pos") >= F.col("stop"))).select(*left.columns))
+        open_pairs = checkpointed(open_pairs.join(left.select(F.col("phash").alias("a")).distinct(), "a", "left_semi"))
     else:
         raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
-    own = rows.join(known.table().withColumnRenamed("k_phash", "phash"), "phash").filter(F.col("pos") >= F.col("k_pos"))
+    kept = checkpointed(known.table())
+    nearest = dropped.table().join(pairs.withColumnRenamed("a", "phash"), "phash").join(kept, F.col("b") == F.col("k_phash")).filter(F.col("k_pos") < F.col("pos"))
+    nearest = nearest.groupBy("name").agg(F.min(F.struct("distance", "k_pos", "k_name")).alias("n"))
+    gone = nearest.select("name", F.lit(False).alias("kept"), F.col("n.k_name").alias("representative"), F.col("n.distance").alias("distance"))
+    own = rows.join(kept.unionByName(alone).withColumnRenamed("k_phash", "phash"), "phash").filter(F.col("pos") >= F.col("k_pos"))
     keep = (F.col("pos") == F.col("k_pos")) | F.col("protected") | F.coalesce(far("k_dhash"), F.lit(False))
     own = own.select("name", keep.alias("kept"), F.when(~keep, F.col("k_name")).alias("representative"), F.when(~keep, F.lit(0)).alias("distance"))
-    return own.unionByName(dropped.table()).unionByName(local)
+    return own.unionByName(gone).unionByName(local)
 
 
 def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
     """Leader clusters (leader, name, distance): each row not yet taken leads and takes the later ones near it.
 
-    A row belongs to its earliest near leader, so this is the greedy pass with order in place of distance.
-    Rows of one phash have the same leader, so its first row is decided and speaks for them.
+    A row belongs to its earliest near leader. Rows of one phash have the same leader, so its first row
+    is decided and speaks for them. Who leads is found in rounds: a row leads once no open row is near
+    before it, and all near rows behind a leader are taken, whatever else is before them. Which leader
+    takes a row is looked up in the end.
     """
     every = hashes.select("name", "phash", "pos")
     first = every.groupBy("phash").agg(F.min(F.struct("pos", "name")).alias("f"))
     rows = checkpointed(first.select(F.col("f.name").alias("name"), "phash", F.col("f.pos").alias("pos")))
-    earlier = rows.select(F.col("name").alias("e_name"), F.col("phash").alias("a"), F.col("pos").alias("e_pos"))
-    pairs = hash_pairs(rows, threshold).join(rows.withColumnRenamed("phash", "b"), "b").join(earlier, "a").filter(F.col("e_pos") < F.col("pos"))
+    earlier = rows.select(F.col("name").alias("e_name"), F.col("phash").alias("b"), F.col("pos").alias("e_pos"))
+    pairs = hash_pairs(rows, threshold).join(rows.withColumnRenamed("phash", "a"), "a").join(earlier, "b").filter(F.col("e_pos") < F.col("pos"))
     pairs = checkpointed(pairs.select("name", "e_name", "e_pos", "distance"))
-    done = _Growing()
-    done.add(checkpointed(rows.join(pairs.select("name").distinct(), "name", "left_anti").select("name", F.col("name").alias("leader"), F.lit(0).alias("distance"))))
-    left = pairs
+    left = pairs.select("name", "e_name")
+    leads = checkpointed(rows.select("name").join(left.select("name").distinct(), "name", "left_anti"))
+    taken = _Growing()
     for _ in range(MOST_ROUNDS):
-        if left.isEmpty():
+        # Those behind the leaders found last, and what is still open without them.
+        new = checkpointed(left.join(leads.select(F.col("name").alias("e_name")), "e_name", "left_semi").select("name").distinct())
+        taken.add(new)
+        rest = checkpointed(left.join(new, "name", "left_anti"))
+        if rest.isEmpty():
             break
-        leads = F.col("leader") == F.col("e_name")
-        known = left.join(done.table().select(F.col("name").alias("e_name"), "leader"), "e_name", "left")
-        nearest = F.min(F.when(leads, F.struct("e_pos", "e_name", "distance")))
-        told = known.groupBy("name").agg(F.bool_and(F.col("leader").isNotNull()).alias("ready"), nearest.alias("f")).filter("ready")
-        told = checkpointed(
-            told.select("name", F.coalesce("f.e_name", "name").alias("leader"), F.coalesce("f.distance", F.lit(0)).alias("distance"))
-        )
-        done.add(told)
-        left = checkpointed(left.join(told.select("name"), "name", "left_anti"))
+        open_rows = rest.select("name").distinct()
+        left = checkpointed(rest.join(new.select(F.col("name").alias("e_name")), "e_name", "left_anti"))
+        leads = checkpointed(open_rows.join(left.select("name").distinct(), "name", "left_anti"))
     else:
         raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
-    by_hash = done.table().join(rows.select("name", "phash"), "name").select("phash", "leader", "distance")
+    gone = checkpointed(taken.table())
+    # All earlier near rows that were not taken lead.
+    told = pairs.join(gone.select(F.col("name").alias("e_name")), "e_name", "left_anti").join(gone, "name", "left_semi")
+    told = told.groupBy("name").agg(F.min(F.struct("e_pos", "e_name", "distance")).alias("f")).select("name", "f.e_name", "f.distance")
+    by_hash = rows.join(told, "name", "left").select("phash", F.coalesce("e_name", "name").alias("leader"), F.coalesce("distance", F.lit(0)).alias("distance"))
     return every.join(by_hash, "phash").select("leader", "name", "distance")
 
 

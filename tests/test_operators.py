@@ -139,3 +139,40 @@ def test_step_by_step_is_the_window_plan():
     for i in range(6, 12):
         live.step(s, "frame", "unknown", "llm", False, float(i), i)
     assert s[5] == [7, 8, 9, 10, 11]
+
+
+def plain_leaders(rows, threshold):
+    leaders, out = [], {}
+    for name, phash in rows:
+        near = next(((n, bin((phash ^ p) & (2**64 - 1)).count("1")) for n, p in leaders if bin((phash ^ p) & (2**64 - 1)).count("1") <= threshold), None)
+        if near is None:
+            leaders.append((name, phash))
+        out[name] = near or (name, 0)
+    return out
+
+
+@pytest.mark.parametrize("use_dhash", [True, False])
+def test_rounds_do_not_grow_with_a_group(spark, monkeypatch, use_dhash):
+    """Eighty hashes near each other, and blocks of a few: three rounds decide them, not one for each row."""
+    monkeypatch.setattr(dedupe, "LOCAL", 0)
+    monkeypatch.setattr(dedupe, "MOST_ROUNDS", 6)
+    monkeypatch.setattr(dedupe, "BLOCK", 30, raising=False)
+    rows = [(f"f{i:04}.jpg", 1 << (i % 60) | (3 << 58 if i >= 60 else 0), 0, False) for i in range(80)]
+    got = {r["name"]: (r["kept"], r["representative"], r["distance"]) for r in dedupe.kept_first(hash_rows(spark, rows), 4, use_dhash).collect()}
+    assert got == plain_greedy(rows, 4)
+    hashes = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(rows)], "name string, phash long, pos long")
+    got = {r["name"]: (r["leader"], r["distance"]) for r in dedupe.clusters(hashes, 4).collect()}
+    assert got == plain_leaders([r[:2] for r in rows], 4)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaders_and_pairs_of_random_hashes(spark, monkeypatch, seed):
+    monkeypatch.setattr(dedupe, "BLOCK", 50, raising=False)
+    rng = random.Random(seed)
+    rows = [(f"f{i:04}.jpg", rng.getrandbits(10) | (rng.getrandbits(4) << 60) - (1 << 63)) for i in range(200)]
+    hashes = spark.createDataFrame([(n, p, i) for i, (n, p) in enumerate(rows)], "name string, phash long, pos long")
+    got = {r["name"]: (r["leader"], r["distance"]) for r in dedupe.clusters(hashes, 3).collect()}
+    assert got == plain_leaders(rows, 3)
+    apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    own = {p for _, p in rows}
+    assert sorted(map(tuple, dedupe.hash_pairs(hashes, 3).collect())) == sorted((a, b, apart(a, b)) for a in own for b in own if apart(a, b) <= 3)
