@@ -1,8 +1,9 @@
 """The live state on a stream: the streaming twin of operators.state.
 
 A log of frames and commands (columns key, ts, seq, kind, result, source, flag) is read as a stream;
-each key's state is a dozen values and the last five frames. Rows of a micro-batch are taken in order
-(ts, seq). A row that comes after later rows of its key were processed is applied on arrival, as in
+each key's state is a dozen values and the last five frames. Keys are dealt to a fixed number of groups
+by hash, and the states of a group are one value of the state store, as a call and a value for each key
+cost far more than its rows. Rows of a key are taken in order (ts, seq) within a micro-batch. A row that comes after later rows of its key were processed is applied on arrival, as in
 the application, whose order is that of arrival. State lives in the checkpoint and survives restarts.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,7 +21,14 @@ from framewise.operators.state import KEEP_FRAMES, PAUSE_S
 LOG = "key bigint, ts timestamp_ntz, seq bigint, kind string, result string, source string, flag boolean"
 OUT = "key bigint, seq bigint, kind string, prev string, committed string, changed boolean, suspicious boolean, emits string, saved array<bigint>"
 # A field must not be named cls.
-STATE = "prev string, committed string, debounce boolean, auto_switch boolean, paused_until double, ring array<bigint>"
+STATE = "keys array<struct<key: bigint, prev: string, committed: string, debounce: boolean, auto_switch: boolean, paused_until: double, ring: array<bigint>>>"
+#: Groups that keys are dealt to; a checkpoint is bound to it.
+GROUPS = 1024
+
+
+def group_of(key: str, groups: int = GROUPS) -> Column:
+    """The group of a key; rows without a key are a group of their own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
 
 
 def step(state: list, kind: str, result: str | None, source: str, flag: bool, at: float, seq: int) -> tuple:
@@ -62,23 +70,22 @@ def step(state: list, kind: str, result: str | None, source: str, flag: bool, at
     return before, committed, changed, suspicious, emits, saved
 
 
-def live(log: DataFrame, debounce: bool = True, auto: bool = True) -> DataFrame:
+def live(log: DataFrame, debounce: bool = True, auto: bool = True, groups: int = GROUPS) -> DataFrame:
     """The stream of OUT rows of a stream of LOG rows."""
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = [*held.get] if held.exists else [None, None, debounce, auto, None, []]
-        state[5] = list(state[5])
+    def run(group: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states = {key: [*state[:-1], list(state[-1])] for key, *state in held.get[0]} if held.exists else {}
         rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
         seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
+        plain = lambda c: rows[c].astype(object).where(rows[c].notna(), None)
         out = []
-        for r, at in zip(rows.itertuples(index=False), seconds, strict=True):
-            none = lambda x: None if x is None or x != x else x
-            told = step(state, r.kind, none(r.result), r.source, bool(none(r.flag)), float(at), int(r.seq))
-            out.append((key[0], r.seq, r.kind, *told))
-        held.update(tuple(state))
+        for key, seq, kind, result, source, flag, at in zip(plain("key"), rows["seq"], rows["kind"], plain("result"), rows["source"], plain("flag"), seconds, strict=True):
+            state = states.setdefault(key, [None, None, debounce, auto, None, []])
+            out.append((key, seq, kind, *step(state, kind, result, source, bool(flag), at, int(seq))))
+        held.update(([(key, *state) for key, state in states.items()],))
         yield pd.DataFrame(out, columns=["key", "seq", "kind", "prev", "committed", "changed", "suspicious", "emits", "saved"])
 
-    return log.groupBy("key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return log.withColumn("group", group_of("key", groups)).groupBy("group").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def read_log(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:

@@ -1,7 +1,9 @@
 """Keyed timers on a stream: saves on the minute, the flag of switching, and the status feed.
 
-Each is a processor for transformWithState: a key's state is one small value in the state store, and
-one timer stands at the next time at which something falls due. Rows of a key are taken in order
+Each is a processor for transformWithState: a key's state is one small value, and one timer stands at
+the next time at which something falls due. On a stream keys are dealt to a fixed number of groups by
+hash; a group's states are one value in the state store and have one timer, at the earliest of those
+times, as calls of the store for each key cost far more than its rows. Rows of a key are taken in order
 (us, seq) within a micro-batch. By the event clock time is that of rows, and timers ring when the
 watermark passes; by the processing clock it is the wall clock. State and timers live in the checkpoint.
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from framewise.operators.state import KEEP_FRAMES
+from framewise.streaming.live import GROUPS, group_of
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
@@ -35,7 +38,8 @@ def _plain(value):
 class Timed(StatefulProcessor):
     """A processor with one value of state and one timer a key. clock: event or processing."""
 
-    STATE = ""
+    #: Fields of the state.
+    COLUMNS: tuple[str, ...] = ()
     OUT = ""
     #: Whether what falls due before a row is settled when the row comes; else only timers settle it, so late rows still count.
     ROWS_SETTLE = True
@@ -60,11 +64,22 @@ class Timed(StatefulProcessor):
         """When something falls due next."""
         raise NotImplementedError
 
+    def taken(self, held: list, key: tuple, rows: list[Row], now: int | None) -> Iterator[tuple]:
+        """What rows in order make come out; now: the wall clock, or None for the times of rows."""
+        for row in rows:
+            at = row.us if now is None else now
+            if self.ROWS_SETTLE:
+                yield from self.due(held, key, at)
+            yield from self.take(held, key, row, at)
+
     # The stream's side.
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("held", self.STATE)
+        self.value = handle.getValueState("held", self.state())
+
+    def state(self) -> str:
+        return ", ".join(self.COLUMNS)
 
     def _now(self, timers: TimerValues) -> int:
         return 1000 * (timers.getCurrentWatermarkInMs() if self.clock == "event" else timers.getCurrentProcessingTimeInMs())
@@ -74,23 +89,24 @@ class Timed(StatefulProcessor):
         return [_plain(v) for v in found] if found is not None else self.start()
 
     def _kept(self, held: list, before: int | None) -> None:
+        self._timer(before, self.wake(held))
+        self.value.update(tuple(held))
+
+    def _timer(self, before: int | None, after: int | None) -> None:
+        """Move the timer from one time to another, in microseconds."""
         ring = lambda us: None if us is None else -(-us // 1000)
-        old, new = ring(before), ring(self.wake(held))
+        old, new = ring(before), ring(after)
         if old != new:
             if old is not None:
                 self.handle.deleteTimer(old)
             if new is not None:
                 self.handle.registerTimer(new)
-        self.value.update(tuple(held))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         held = self._held()
         before = self.wake(held)
-        for row in sorted(rows, key=lambda r: (r.us, r.seq)):
-            at = row.us if self.clock == "event" else self._now(timerValues)
-            if self.ROWS_SETTLE:
-                yield from self._rows(key, self.due(held, key, at))
-            yield from self._rows(key, self.take(held, key, row, at))
+        now = self._now(timerValues) if self.clock != "event" else None
+        yield from self._rows(key, self.taken(held, key, sorted(rows, key=lambda r: (r.us, r.seq)), now))
         self._kept(held, before)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
@@ -113,7 +129,7 @@ class Saver(Timed):
     A frame of a period that is already saved comes too late, as it is older than the last save.
     """
 
-    STATE = "periods array<struct<end: bigint, frames: array<struct<us: bigint, seq: bigint>>>>, saved bigint"
+    COLUMNS = ("periods array<struct<end: bigint, frames: array<struct<us: bigint, seq: bigint>>>>", "saved bigint")
     OUT = "key bigint, saved_us bigint, seq bigint, idx int"
     ROWS_SETTLE = False
 
@@ -145,7 +161,7 @@ class Saver(Timed):
 class InFlight(Timed):
     """The flag that a switch is under way, from its command to its acknowledgement or, failing that, for a time: us, seq of the command, in_flight, why."""
 
-    STATE = "seq bigint, until bigint"
+    COLUMNS = ("seq bigint", "until bigint")
     OUT = "key bigint, us bigint, seq bigint, in_flight boolean, why string"
 
     def __init__(self, seconds: float = SWITCH_S, clock: str = "event") -> None:
@@ -175,7 +191,7 @@ class InFlight(Timed):
 class StatusFeed(Timed):
     """Changes of a status only, and a keepalive after every so many seconds without a message: us, message, status."""
 
-    STATE = "status string, sent bigint"
+    COLUMNS = ("status string", "sent bigint")
     OUT = "key bigint, us bigint, message string, status string"
 
     def __init__(self, seconds: float = KEEPALIVE_S, clock: str = "event") -> None:
@@ -199,13 +215,53 @@ class StatusFeed(Timed):
         return None if held[1] is None else held[1] + self.silence
 
 
-def timed(rows: DataFrame, processor: Timed, late: str = "0 seconds") -> DataFrame:
+class Grouped(Timed):
+    """A processor over groups of keys: a group's value is the states of its keys, its timer is the earliest of theirs."""
+
+    def __init__(self, one: Timed) -> None:
+        super().__init__(one.clock)
+        self.one, self.OUT = one, one.OUT
+
+    def state(self) -> str:
+        return "keys array<struct<key: bigint, " + ", ".join(c.replace(" ", ": ", 1) for c in self.one.COLUMNS) + ">>, wake bigint"
+
+    def _read(self) -> tuple[dict, int | None]:
+        found = self.value.get()
+        return ({}, None) if found is None else ({key: [_plain(v) for v in held] for key, *held in found[0]}, found[1])
+
+    def _write(self, states: dict, before: int | None) -> None:
+        wake = min((w for w in map(self.one.wake, states.values()) if w is not None), default=None)
+        self._timer(before, wake)
+        # A state as at the start need not be kept.
+        self.value.update(([(key, *held) for key, held in states.items() if held != self.one.start()], wake))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        states, before = self._read()
+        now = self._now(timerValues) if self.clock != "event" else None
+        own: dict = {}
+        for row in rows:
+            own.setdefault(row.key, []).append(row)
+        for k, given in own.items():
+            given.sort(key=lambda r: (r.us, r.seq))
+            yield from self._rows((k,), self.one.taken(states.setdefault(k, self.one.start()), (k,), given, now))
+        self._write(states, before)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        states, _ = self._read()
+        until = max(self._now(timerValues), 1000 * expiredTimerInfo.getExpiryTimeInMs())
+        for k, held in states.items():
+            yield from self._rows((k,), self.one.due(held, (k,), until))
+        self._write(states, None)
+
+
+def timed(rows: DataFrame, processor: Timed, late: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """The stream of a processor's rows from a stream of rows (key, ts, seq, kind, …); rows may come late by so much. Needs the state store of `use_store`."""
     at = F.col("ts").cast("timestamp")
     rows = rows.withColumns({"ts": at, "us": F.unix_micros(at)})
     if processor.clock == "event":
         rows = rows.withWatermark("ts", late)
-    return rows.groupBy("key").transformWithState(processor, processor.OUT, "append", "EventTime" if processor.clock == "event" else "ProcessingTime")
+    rows = rows.withColumn("group", group_of("key", groups))
+    return rows.groupBy("group").transformWithState(Grouped(processor), processor.OUT, "append", "EventTime" if processor.clock == "event" else "ProcessingTime")
 
 
 def use_store(spark: SparkSession) -> None:
