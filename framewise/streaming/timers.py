@@ -13,7 +13,9 @@ clock by hand.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -143,9 +145,10 @@ class Saver(Timed):
     def take(self, held: list, key: tuple, row: Row, at: int) -> Iterator[tuple]:
         end = (at // self.period + 1) * self.period
         if row.kind == "frame" and (held[1] is None or end > held[1]):
-            periods = dict(held[0])
-            periods[end] = sorted([*periods.get(end, []), (at, row.seq)])[-self.n :]
-            held[0] = sorted(periods.items())
+            # Many periods can be open; only the one of the row is touched.
+            i = bisect_left(held[0], end, key=itemgetter(0))
+            old = held[0][i][1] if i < len(held[0]) and held[0][i][0] == end else None
+            held[0][i : i + (old is not None)] = [(end, sorted([*(old or []), (at, row.seq)])[-self.n :])]
         return iter(())
 
     def due(self, held: list, key: tuple, until: int) -> Iterator[tuple]:
