@@ -2,25 +2,32 @@
 
     <home>/data/<writer>/bucket=<b>/…     what a writer wrote: whole buckets
     <home>/manifest/<version>.json        which folder holds each bucket, and the bucket count
+    <home>/head/<version>-<writer>        one empty file: the latest version, and who made it
 
-A version is there when its manifest is, and a manifest never changes. So a reader sees one whole
-version, whatever writers do; a writer that fails leaves a folder that nothing names; and a change
-rewrites only the buckets that its keys fall into. A manifest names at most so many folders as there
-are buckets, and is all that goes through the driver.
+A version is there when the head has been renamed to it: of several writers only one can rename a
+file, and the others start over. A manifest is written before and never changes. So a reader sees one
+whole version, whatever writers do; a writer that fails leaves a folder that nothing names; and a
+change rewrites only the buckets that its keys fall into. A manifest names at most so many folders as
+there are buckets, and is all that goes through the driver.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
 #: How often a writer starts over when others were faster.
 TRIES = 20
+#: How often a reader looks for the head while it is being renamed.
+LOOKS = 500
 
 
 class Conflict(RuntimeError):
@@ -50,38 +57,93 @@ class Store:
         finally:
             with_.close()
 
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs(), self._path(f"{self.home}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _renamed(self, old: str, new: str) -> bool:
+        """Rename what is at old; False if it is no longer there."""
+        try:
+            return bool(self._fs().rename(self._path(f"{self.home}/{old}"), self._path(f"{self.home}/{new}")))
+        except Py4JJavaError:
+            return False
+
+    def _head(self) -> tuple[int, str] | None:
+        """Version and writer of the head; None before there is one."""
+        for _ in range(LOOKS):
+            found = [n.split("-") for n in self._names("head") if not n.startswith(".") and n.endswith(".at")]
+            if found:
+                version, writer = max(found)
+                return int(version), writer.removesuffix(".at")
+            if not self._fs().exists(self._path(f"{self.home}/head")):
+                return None
+            time.sleep(0.01)  # it is being renamed just now
+        raise RuntimeError(f"{self.home}/head holds no file")
+
+    def _first_head(self) -> tuple[int, str]:
+        """The head, made if there is none: a folder with a file in it, which cannot take the place of another one."""
+        head = self._head()
+        if head is None:
+            old, aside = max(self._named(), default=0), f"{uuid.uuid4().hex}.head"
+            self._fs().mkdirs(self._path(f"{self.home}/{aside}"))
+            self._fs().create(self._path(f"{self.home}/{aside}/{old:012}-{uuid.uuid4().hex}.at"), False).close()
+            self._renamed(aside, "head")
+            head = self._head()
+        return head
+
+    def _named(self) -> list[int]:
+        return [int(n[:-5]) for n in self._names("manifest") if n.endswith(".json") and not n.startswith(".")]
+
     def versions(self) -> list[int]:
-        fs, folder = self._fs(), self._path(f"{self.home}/manifest")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+        head = self._head()
+        return sorted({*self._named(), *([head[0]] if head and head[0] else [])})
 
     def manifest(self, version: int | None = None) -> dict:
         """version, n_buckets and buckets (number: folder); version 0 is the empty table."""
-        have = self.versions()
-        version = (have[-1] if have else 0) if version is None else version
+        head = self._head()
+        if version is None:
+            version = head[0] if head else max(self._named(), default=0)
         if version == 0:
             return {"version": 0, "n_buckets": self._first, "buckets": {}}
+        if head and head[0] == version:
+            # Its writer may not have named it yet.
+            with contextlib.suppress(Py4JJavaError):
+                return json.loads(self._text(f"{self.home}/manifest/{head[1]}.tmp"))
         return json.loads(self._text(f"{self.home}/manifest/{version:012}.json"))
 
+    def _claimed(self, number: int) -> bool:
+        try:
+            return bool(self._fs().createNewFile(self._path(f"{self.home}/manifest/{number:012}.claim")))
+        except Py4JJavaError as e:
+            # A local folder is looked at first, and then the file is made.
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+
     def _commit(self, manifest: dict) -> None:
         """Make a version of its base's next number, unless someone else did: then Conflict.
 
-        The number is claimed by a file that only one writer can create; a claim whose writer died is
-        passed by taking the next number, as long as the base is still the latest version.
+        Numbers that writers claimed and did not use are passed over. Who makes the version is decided by
+        the rename of the head, which only one writer can do.
         """
         fs, base = self._fs(), manifest["base"]
         fs.mkdirs(self._path(f"{self.home}/manifest"))
         number = base + 1
-        while not fs.createNewFile(self._path(f"{self.home}/manifest/{number:012}.claim")):
+        while not self._claimed(number):
             number += 1
-        if self.manifest()["version"] != base:
+        old, writer = self._first_head()
+        if old != base:
             raise Conflict(f"version {base} is no longer the latest")
-        aside = self._path(f"{self.home}/manifest/{uuid.uuid4().hex}.tmp")
-        out = fs.create(aside, False)
-        out.write(bytearray(json.dumps({**manifest, "version": number}).encode()))
+        own = uuid.uuid4().hex
+        text = json.dumps({**manifest, "version": number}).encode()
+        out = fs.create(self._path(f"{self.home}/manifest/{own}.tmp"), False)
+        out.write(bytearray(text))
         out.close()
-        if not fs.rename(aside, self._path(f"{self.home}/manifest/{number:012}.json")):
-            raise Conflict(f"version {number} could not be named")
+        # The writer of the base may have died before it named its manifest.
+        self._renamed(f"manifest/{writer}.tmp", f"manifest/{old:012}.json")
+        if not self._renamed(f"head/{old:012}-{writer}.at", f"head/{number:012}-{own}.at"):
+            raise Conflict(f"version {base} is no longer the latest")
+        self._renamed(f"manifest/{own}.tmp", f"manifest/{number:012}.json")
 
     # ---- the table
 

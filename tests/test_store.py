@@ -80,6 +80,33 @@ def test_writers_at_once_lose_nothing(spark, tmp_path):
     assert not found and set(held(table(spark, tmp_path))) == {f"k{i}" for i in range(4)}
 
 
+def test_a_writer_that_is_overtaken_behind_its_check_starts_over(spark, tmp_path, monkeypatch):
+    slow, fast = table(spark, tmp_path, 1), table(spark, tmp_path, 1)
+    real, made = store.json.dumps, []
+
+    def dumps(x, **kw):
+        # The slow writer has claimed its number and seen that its base is the latest.
+        if "base" in x:
+            monkeypatch.setattr(store.json, "dumps", real)
+            made.append(fast.upsert(rows(spark, ("b", "ad", None, 1))))
+        return real(x, **kw)
+
+    monkeypatch.setattr(store.json, "dumps", dumps)
+    made.append(slow.upsert(rows(spark, ("a", "ad", None, 1))))
+    assert set(held(table(spark, tmp_path))) == {"a", "b"} and made[0] < made[1]
+    assert slow.versions() == made and set(held(slow, made[0])) == {"b"}
+
+
+def test_a_version_counts_though_its_writer_died_before_naming_it(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path, 1)
+    with monkeypatch.context() as m:
+        real = store.Store._renamed
+        m.setattr(store.Store, "_renamed", lambda self, old, new: real(self, old, new) if not old.startswith("manifest/") else False)
+        assert t.upsert(rows(spark, ("a", "ad", None, 1))) == 1
+    assert set(held(t)) == {"a"} and t.versions() == [1]
+    assert t.upsert(rows(spark, ("b", "ad", None, 1))) == 2 and set(held(t)) == {"a", "b"} and set(held(t, 1)) == {"a"}
+
+
 def test_overrides_count_from_the_next_batch(spark, tmp_path):
     home, out = f"file://{tmp_path}/overrides", f"file://{tmp_path}/out"
     put = lambda *r: overrides.store(spark, home).upsert(spark.createDataFrame(list(r), "pos long, phash long, label string"))
