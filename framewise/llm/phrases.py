@@ -34,7 +34,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer one has this per cent of its count.
 SUBSUMED = 80
 #: Different words' places in an automaton, and phrases that a task sums before it sends them on.
-SHARD, HELD = 200_000, 400_000
+SHARD, HELD = 200_000, 700_000
 #: n-grams that a task counts before it merges them.
 BATCH = 1 << 22
 #: The buckets of a level are 2 to the power of bits, a bitmap of so many bits in every task: as many as
@@ -92,6 +92,15 @@ def alive(words: Words, bitmaps: dict[int, np.ndarray], bits: int) -> list[np.nd
     return out
 
 
+def packed(bitmaps: dict[int, np.ndarray]) -> dict[int, tuple[int, bytes]]:
+    """Bitmaps as tasks get them: few bits are set, and every executor keeps what is sent to it on its disk."""
+    return {n: (b.nbytes, pa.compress(b.tobytes(), codec="zstd", asbytes=True)) for n, b in bitmaps.items()}
+
+
+def unpacked(sent: dict[int, tuple[int, bytes]]) -> dict[int, np.ndarray]:
+    return {n: np.frombuffer(pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True), np.uint8) for n, (size, raw) in sent.items()}
+
+
 def chunked(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
     """The words of the texts of a batch (lang, text), with the texts' languages."""
     langs = batch.column(0).to_pylist()
@@ -126,12 +135,12 @@ class Buckets:
         self.new, self.size = [], 0
 
     def rows(self, level: int) -> Iterator[pa.RecordBatch]:
-        """level, block, number of buckets, packed: gaps between buckets and counts."""
+        """level, block, number of buckets, packed: gaps between buckets, the bytes of one place one after the other, and counts."""
         self.merge()
         block = self.bucket // BLOCK
         for a, b in zip(*(np.searchsorted(block, u, s) for u in [np.unique(block)] for s in ("left", "right")), strict=True):
             inside = self.bucket[a:b] % BLOCK
-            raw = np.diff(inside, prepend=0).astype("<u4").tobytes() + self.n[a:b].astype(np.uint8).tobytes()
+            raw = np.diff(inside, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + self.n[a:b].astype(np.uint8).tobytes()
             held = [[level], [int(block[a])], [int(b - a)], [pa.compress(raw, codec="zstd", asbytes=True)]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["level", "block", "n", "packed"])
 
@@ -139,11 +148,13 @@ class Buckets:
 def full_buckets(texts: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], bits: int) -> dict[int, np.ndarray]:
     """For each level a bitmap of the buckets that LEAST n-grams or more fall into, of those whose parts are in full buckets of the known levels."""
 
+    sent = packed(known)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {n: Buckets() for n in levels}
+        held, full = {n: Buckets() for n in levels}, unpacked(sent)
         for batch in batches:
             for words, _ in chunked(batch):
-                ok = alive(words, known, bits)
+                ok = alive(words, full, bits)
                 for n, key, at in words.grams():
                     if n in held:
                         held[n].add((key[ok[n - 1][at]] >> U(64 - bits)).astype(np.int64))
@@ -155,7 +166,8 @@ def full_buckets(texts: DataFrame, levels: tuple[int, ...], known: dict[int, np.
         for batch in batches:
             for level, block, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = pa.decompress(packed, decompressed_size=5 * n, codec="zstd", asbytes=True)
-                at = np.cumsum(np.frombuffer(raw, "<u4", n))
+                gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4")
+                at = np.cumsum(gaps.reshape(-1))
                 have = dense.setdefault((level, block), np.zeros(BLOCK, np.uint8))
                 have[at] = np.minimum(have[at] + np.frombuffer(raw, np.uint8, n, 4 * n), LEAST)  # 60 at most before
         for (level, block), have in dense.items():
@@ -309,7 +321,10 @@ class Shard:
 def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> DataFrame:
     """lang, phrase, n of the shards: parts of the counts of every phrase that may be a candidate or a part of one, and (phrase null) of all words."""
 
+    given = packed(bitmaps)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = unpacked(given)
         shards: dict[str, Shard] = {}
         total: Counter[str] = Counter()
         sums: dict[str, Counter[str]] = {}
@@ -328,7 +343,7 @@ def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> Data
 
         for batch in batches:
             for words, langs in chunked(batch):
-                ok = alive(words, bitmaps, bits)
+                ok = alive(words, full, bits)
                 code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
                 lang = np.array([code[x] for x in langs])[words.doc]
                 for x, i in code.items():

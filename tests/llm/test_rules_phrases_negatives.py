@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from framewise.llm import negatives, phrases, queries, rules
@@ -120,6 +121,19 @@ def test_phrases_match_plain_version(spark, monkeypatch, shard):
         assert sorted(map(tuple, got.collect())) == plain_phrases(rows, 25)
 
 
+def test_what_phrases_send_is_small(spark, monkeypatch):
+    """Buckets in few bytes each, and bitmaps packed: each executor keeps them on disk."""
+    held = phrases.Buckets()
+    held.add(np.random.default_rng(1).integers(0, 1 << 26, 300_000))
+    n, size = (sum(sum(x) for x in col) for col in zip(*[(b.column(2).to_pylist(), map(len, b.column(3).to_pylist())) for b in held.rows(2)], strict=True))
+    assert n > 290_000 and size < 2 * n
+    sent, real = [], phrases.mapped
+    monkeypatch.setattr(phrases, "mapped", lambda df, run, schema: sent.append(len(cloudpickle.dumps(run))) or real(df, run, schema))
+    texts = spark.createDataFrame([("en", "one two three four five")] * 40, "lang string, text string")
+    assert phrases.collocations(texts, bits=25).count() > 0
+    assert len(sent) == 5 and max(sent) < 1 << 20
+
+
 def test_phrases_edges(spark, edge_docs, no_docs):
     many = edge_docs.crossJoin(spark.range(20).select(F.col("id").alias("times"))).drop("times")
     rows = [(r["lang"], r["text"]) for r in many.filter("length(text) < 5000 OR text IS NULL").collect()]
