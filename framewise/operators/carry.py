@@ -19,8 +19,16 @@ JOURNAL = "src string, dest string, outcome string"
 SETTLED = ("moved", "deleted", "missing")
 
 
-def step(files: fs.FileSystem, src: str, dest: str | None) -> str:
-    """One move or, without dest, delete: moved, deleted, skipped (the target is there), missing (there is no source)."""
+def _folder_of(path: str, files: fs.FileSystem, made: set[str]) -> None:
+    """Make the folder of a file, unless that was done before."""
+    folder = path.rsplit("/", 1)[0]
+    if folder not in made:
+        files.create_dir(folder, recursive=True)
+        made.add(folder)
+
+
+def step(files: fs.FileSystem, src: str, dest: str | None, made: set[str] | None = None) -> str:
+    """One move or, without dest, delete: moved, deleted, skipped (the target is there), missing (there is no source). made: folders of targets made so far."""
     at = lambda p: files.get_file_info(p).type
     there = at(src) != fs.FileType.NotFound
     if dest is None:
@@ -31,7 +39,7 @@ def step(files: fs.FileSystem, src: str, dest: str | None) -> str:
         return "skipped" if there else "moved"
     if not there:
         return "missing"
-    files.create_dir(dest.rsplit("/", 1)[0], recursive=True)
+    _folder_of(dest, files, set() if made is None else made)
     files.move(src, dest)
     return "moved"
 
@@ -62,12 +70,14 @@ def carried(plan: DataFrame, root: str, journal_path: str, apply: bool = False)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for part in parts:
             full = lambda p: f"{base.rstrip('/')}/{p}"
             some = lambda d: None if d is None or d != d else full(d)
-            yield part.assign(outcome=[step(files, full(s), some(d)) for s, d in zip(part["src"], part["dest"], strict=True)])
+            yield part.assign(outcome=[step(files, full(s), some(d), made) for s, d in zip(part["src"], part["dest"], strict=True)])
 
-    dealt = left.repartition(F.coalesce("dest", "src")).sortWithinPartitions("dest", "src")
+    # A number of tasks of its own: steps are few bytes each, but take long.
+    dealt = left.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.coalesce("dest", "src")).sortWithinPartitions("dest", "src")
     dealt.mapInPandas(run, JOURNAL).write.mode("append").parquet(journal_path)
     done = journal(spark, journal_path)
     best = F.min_by("outcome", F.when(F.col("outcome").isin(*SETTLED), 0).otherwise(1)).alias("outcome")
@@ -80,10 +90,11 @@ def put(contents: DataFrame, root: str) -> None:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for part in parts:
             for src, text in zip(part["src"], part["text"], strict=True):
                 path = f"{base.rstrip('/')}/{src}"
-                files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                _folder_of(path, files, made)
                 with files.open_output_stream(path) as f:
                     f.write(text if isinstance(text, bytes) else (text or "").encode())
             yield part[["src"]]

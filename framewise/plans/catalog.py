@@ -1041,9 +1041,9 @@ def _(spark, d):
     carry.put(plan.select("src", "text").unionByName(plan.filter("taken").select(F.col("target").alias("src"), F.lit("there").alias("text"))), home)
     carry.carried(plan.filter("doc_id % 2 = 0"), home, f"{home}-journal", apply=True)
     done = carry.carried(plan, home, f"{home}-journal", apply=True)
-    left = files.contents_below(spark, home)
-    done = done.withColumn("at", F.when(F.col("outcome") == "moved", F.col("dest")).when(F.col("outcome") == "skipped", F.col("src")))
-    return done.join(left, done["at"] == left["path"], "left").select(F.col("at").alias("name"), "outcome", F.md5("content").alias("digest"))
+    at = F.when(F.col("outcome") == "moved", F.col("dest")).when(F.col("outcome") == "skipped", F.col("src"))
+    left = files.contents_at(done.select(at.alias("at"), "outcome"), home, "at")
+    return left.select(F.col("at").alias("name"), "outcome", F.md5("content").alias("digest"))
 
 
 # ---- timers on the stream ------------------------------------------------------------------------

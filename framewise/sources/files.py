@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from framewise.functions import names, pixels
 
+#: Files whose contents a task holds at a time.
+AT_ONCE = 256
+
 
 def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("name", F.element_at(F.split("path", "/"), -1))
@@ -67,6 +75,34 @@ def contents_below(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", F.concat(F.lit("/"), under, F.lit("/"))), -1).alias("path"), "content")
 
 
+def contents_at(rows: DataFrame, root: str, column: str) -> DataFrame:
+    """rows with content, the bytes of the file at a path below root (a URI); null without a path or a file.
+
+    Tasks open the files that rows name; no folder is listed.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = fs.FileSystem.from_uri(root)
+
+        def held(path: str | None) -> bytes | None:
+            if path is None or path != path:
+                return None
+            try:
+                with files.open_input_file(f"{base.rstrip('/')}/{path}") as f:
+                    return f.read()
+            except FileNotFoundError:
+                return None
+
+        for part in parts:
+            for i in range(0, len(part), AT_ONCE):
+                some = part.iloc[i : i + AT_ONCE]
+                yield some.assign(content=pd.Series([held(p) for p in some[column]], some.index, object))
+
+    # A number of tasks of its own: paths are few bytes each, but files take long.
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(run, StructType([*rows.schema.fields, StructField("content", BinaryType())]))
+
+
 def prompt(spark: SparkSession, path: str) -> DataFrame:
     """One row with the text of a prompt file; an error if there is none, before any frame is classified."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("prompt")).limit(1)

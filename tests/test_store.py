@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.operators import carry
-from framewise.sources import store
+from framewise.sources import files, store
 from framewise.streaming import overrides
 
 SCHEMA = "name string, label string, logo string"
@@ -145,3 +145,29 @@ def test_steps_are_carried_out_once_and_can_be_repeated(spark, tmp_path, monkeyp
     assert [p.name for p in root.glob("*.png")] == ["3.png"] and (root / "images/3.png").read_text() == "old"
     assert sorted(int(p.stem) for p in (root / "images").glob("*.png")) == [i for i in range(40) if i % 4]
     assert (root / "images/5.png").read_text() == "5"
+
+
+def test_contents_are_read_by_the_rows_that_name_them(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for i in range(600):
+        (tmp_path / f"a/{i}.bin").write_bytes(b"\x00" * (i % 3))
+    rows = spark.createDataFrame([(f"a/{i}.bin",) for i in range(600)] + [("a/none.bin",), (None,)], "at string").coalesce(1)
+    got = files.contents_at(rows, tmp_path.as_uri(), "at")
+    # A folder of millions of files is not listed by the driver, and few bytes of paths are many tasks.
+    assert not got.inputFiles() and got.rdd.getNumPartitions() == 4
+    assert {r["at"]: None if r["content"] is None else len(r["content"]) for r in got.collect()} == {f"a/{i}.bin": i % 3 for i in range(600)} | {"a/none.bin": None, None: None}
+
+
+def test_steps_make_a_folder_once():
+    made, done = [], []
+
+    class Files:
+        create_dir = lambda self, path, recursive: made.append(path)
+        move = lambda self, src, dest: done.append(dest)
+
+        def get_file_info(self, path):
+            return carry.fs.FileInfo(path, carry.fs.FileType.NotFound if path.startswith("/to/") else carry.fs.FileType.File)
+
+    known = set()
+    assert [carry.step(Files(), f"/from/{i}", f"/to/{i % 2}/{i}", known) for i in range(6)] == ["moved"] * 6
+    assert made == ["/to/0", "/to/1"] and len(done) == 6
