@@ -14,9 +14,12 @@ clock by hand.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import namedtuple
 from collections.abc import Iterator
+from itertools import islice
 from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -66,6 +69,16 @@ class Timed(StatefulProcessor):
         """When something falls due next."""
         raise NotImplementedError
 
+    # Where many rows come out at even steps, the state's side tells them as one and Spark spreads them.
+
+    def folded(self) -> Timed:
+        """The processor that a stream runs in the place of this one."""
+        return self
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """The rows of OUT from those of folded."""
+        return rows
+
     def taken(self, held: list, key: tuple, rows: list[Row], now: int | None) -> Iterator[tuple]:
         """What rows in order make come out; now: the wall clock, or None for the times of rows."""
         for row in rows:
@@ -217,6 +230,31 @@ class StatusFeed(Timed):
     def wake(self, held: list) -> int | None:
         return None if held[1] is None else held[1] + self.silence
 
+    def folded(self) -> Timed:
+        return FoldedFeed(self.silence / SECOND, self.clock)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        step = F.lit(self.silence)
+        return rows.withColumn("us", F.explode(F.sequence("us", F.col("us") + (F.col("n") - 1) * step, step))).drop("n")
+
+
+class FoldedFeed(StatusFeed):
+    """The feed with the keepalives that fall due at once as one row: us of the first, message, status, n.
+
+    A row that leaves Python costs far more than one that Spark makes, and a task holds all that its timers tell at a time.
+    """
+
+    OUT = StatusFeed.OUT + ", n bigint"
+
+    def take(self, held: list, key: tuple, row: Row, at: int) -> Iterator[tuple]:
+        return ((*told, 1) for told in super().take(held, key, row, at))
+
+    def due(self, held: list, key: tuple, until: int) -> Iterator[tuple]:
+        n = 0 if held[1] is None else (until - held[1]) // self.silence
+        if n > 0:
+            yield held[1] + self.silence, "keepalive", held[0], n
+            held[1] += n * self.silence
+
 
 class Grouped(Timed):
     """A processor over groups of keys: a group's value is the states of its keys, its timer is the earliest of theirs."""
@@ -257,14 +295,59 @@ class Grouped(Timed):
         self._write(states, None)
 
 
+#: Whole numbers that may be null: pandas has no null among them, so a bit of `nulls` tells that there is one.
+NUMBERS = ("key", "us", "seq")
+#: Times of pandas reach as far, in microseconds.
+PANDAS_US = 9 * 10**15
+#: Rows in a frame that comes out.
+AT_ONCE = 10_000
+
+
+class Framed(Grouped):
+    """Groups whose rows come and go as frames: where Spark hands Rows over it makes them cell by cell, which took most of the time of a micro-batch."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        return self._frames(super().handleInputRows(key, self._given(rows), timerValues))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._frames(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+    def _given(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in frames:
+            cells = {}
+            for c in frame.columns.drop(["ts", "group", "nulls"]):
+                column = frame[c]
+                cells[c] = (column.astype(object).where(column.notna(), None) if column.hasnans else column).tolist()
+            nulls = frame["nulls"].to_numpy()
+            for i, c in enumerate(NUMBERS):
+                for at in (nulls >> i & 1).nonzero()[0].tolist():
+                    cells[c][at] = None
+            yield from map(namedtuple("Given", cells, rename=True)._make, zip(*cells.values(), strict=True))
+
+    def _rows(self, key: tuple, told: Iterator[tuple]) -> Iterator[tuple]:
+        return ((*key, *t) for t in told)
+
+    def _frames(self, told: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.OUT.split(", ")]
+        while some := list(islice(told, AT_ONCE)):
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(names, zip(*some, strict=True), strict=True)})
+
+
 def timed(rows: DataFrame, processor: Timed, late: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """The stream of a processor's rows from a stream of rows (key, ts, seq, kind, …); rows may come late by so much. Needs the state store of `use_store`."""
     at = F.col("ts").cast("timestamp")
     rows = rows.withColumns({"ts": at, "us": F.unix_micros(at)})
     if processor.clock == "event":
         rows = rows.withWatermark("ts", late)
-    rows = rows.withColumn("group", group_of("key", groups))
-    return rows.groupBy("group").transformWithState(Grouped(processor), processor.OUT, "append", "EventTime" if processor.clock == "event" else "ProcessingTime")
+    nulls = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(NUMBERS)), F.lit(0))
+    # Behind the watermark ts only tells late rows from others; a time that pandas cannot hold is never late.
+    near = F.when(F.col("us").between(-PANDAS_US, PANDAS_US), F.col("ts")).alias("ts", metadata=rows.schema["ts"].metadata)
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in NUMBERS]
+    rest = [c for c in rows.columns if c not in ("ts", *NUMBERS)]
+    rows = rows.select(near, *numbers, *rest, group_of("key", groups).alias("group"), nulls.alias("nulls"))
+    one = processor.folded()
+    mode = "EventTime" if processor.clock == "event" else "ProcessingTime"
+    return processor.spread(rows.groupBy("group").transformWithStateInPandas(Framed(one), one.OUT, "append", mode))
 
 
 def use_store(spark: SparkSession) -> None:
