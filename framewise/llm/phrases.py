@@ -35,6 +35,8 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 SUBSUMED = 80
 #: Different words' places in an automaton, and phrases that a task sums before it sends them on.
 SHARD, HELD = 200_000, 700_000
+#: Bytes of text that a counting task reads at most, unless that leaves cores idle: every task sends the frequent phrases once.
+READ = 256 << 20
 #: n-grams that a task counts before it merges them.
 BATCH = 1 << 22
 #: The buckets of a level are 2 to the power of bits, a bitmap of so many bits in every task: as many as
@@ -318,6 +320,17 @@ class Shard:
                 yield " ".join([self.word[i] for i in ids[e - n + 1 : e + 1].tolist()]), t
 
 
+def parted(sums: Counter[str]) -> tuple[Counter[str], Counter[str]]:
+    """The frequent phrases, half of them at most, which a task that is full keeps as they come again, and the others, which it sends."""
+    middle = sorted(sums.values())[len(sums) // 2] if sums else 0
+    return Counter({p: n for p, n in sums.items() if n > middle}), Counter({p: n for p, n in sums.items() if n <= middle})
+
+
+def gathered(texts: DataFrame, size: int) -> DataFrame:
+    """texts of so many bytes in fewer partitions, none of them moved: two for each core, or as many as hold READ bytes each."""
+    return texts.coalesce(max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-size // READ)))
+
+
 def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> DataFrame:
     """lang, phrase, n of the shards: parts of the counts of every phrase that may be a candidate or a part of one, and (phrase null) of all words."""
 
@@ -329,8 +342,10 @@ def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> Data
         total: Counter[str] = Counter()
         sums: dict[str, Counter[str]] = {}
 
-        def sent(lang: str) -> pa.RecordBatch:
+        def sent(lang: str, keep: bool = False) -> pa.RecordBatch:
             own = sums.pop(lang, Counter())
+            if keep:
+                sums[lang], own = parted(own)
             phrase, n = [*own, None], [*own.values(), total.pop(lang, 0)]
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
@@ -339,7 +354,8 @@ def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> Data
             for phrase, n in shards.pop(lang).counts():
                 own[phrase] += n
             if sum(map(len, sums.values())) >= HELD:
-                yield from [sent(x) for x in list(sums)]
+                for x in list(sums):
+                    yield sent(x, keep=True)
 
         for batch in batches:
             for words, langs in chunked(batch):
@@ -370,12 +386,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     each; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if bits is None:
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length()))
     full = full_buckets(texts, (1, 2), {}, bits)
     full |= full_buckets(texts, (3, 4), full, bits)
-    sums = counted(texts, full, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    sums = counted(gathered(texts, size), full, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     sums = sums.withColumn("words", F.size(F.split("phrase", " ")))
     sums = written(sums.filter(F.col("phrase").isNull() | (F.col("a") >= LEAST)), "phrase-counts")
     return ranked(sums, top)

@@ -134,6 +134,27 @@ def test_what_phrases_send_is_small(spark, monkeypatch):
     assert len(sent) == 5 and max(sent) < 1 << 20
 
 
+def test_tasks_that_count_phrases_are_as_many_as_the_text_needs(spark, monkeypatch):
+    """Every task sends what it has counted, so with a task for each of many small parts rows would grow with parts times phrases."""
+    counting, real = [], phrases.counted
+    monkeypatch.setattr(phrases, "counted", lambda texts, *a: counting.append((texts, real(texts, *a))) or counting[-1][1])
+    texts = spark.range(320).select(F.lit("en").alias("lang"), F.lit("one two three. four five").alias("text")).repartition(40)
+    assert {r["a"] for r in phrases.collocations(texts).collect()} == {320}
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert counting[0][0].rdd.getNumPartitions() == most < 40
+    # Five words, three pairs and a triple; the number of words.
+    assert counting[0][1].count() <= most * 10
+    assert phrases.gathered(texts, 20 * phrases.READ - 1).rdd.getNumPartitions() == 20
+
+
+def test_frequent_phrases_stay_in_a_full_task():
+    sums = Counter({"a": 5, "b": 1, "c": 1, "d": 9, "e": 2})
+    kept, sent = phrases.parted(sums)
+    assert kept == {"a": 5, "d": 9} and kept + sent == sums
+    # Of equal ones none is kept, so a task always gets room.
+    assert phrases.parted(Counter("abcd")) == (Counter(), Counter("abcd")) and phrases.parted(Counter()) == (Counter(), Counter())
+
+
 def test_phrases_edges(spark, edge_docs, no_docs):
     many = edge_docs.crossJoin(spark.range(20).select(F.col("id").alias("times"))).drop("times")
     rows = [(r["lang"], r["text"]) for r in many.filter("length(text) < 5000 OR text IS NULL").collect()]
