@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.functions import bits, names
-from framewise.plans.persist import checkpointed
+from framewise.plans.persist import stored
 
 THRESHOLD = 10
 DHASH_SLACK = 4
@@ -46,7 +46,7 @@ def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
 
     Every two blocks are one group, so a task holds two blocks, and a hash is sent once for each block.
     """
-    own = checkpointed(hashes.select("phash").distinct().filter("phash IS NOT NULL"))
+    own = stored(hashes.select("phash").distinct().filter("phash IS NOT NULL"))
     n = max(1, -(-own.count() // BLOCK))
     block = F.pmod(F.xxhash64("phash"), F.lit(n)).cast("int")
     met = own.select("phash", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
@@ -78,7 +78,7 @@ def conflicts(hashes: DataFrame, labels: DataFrame, threshold: int = THRESHOLD)
     """Labelled frames within threshold whose labels differ, `ignore` included: name_a, label_a, name_b, label_b, distance, nearest first."""
     known = hashes.join(labels.filter("label IS NOT NULL"), "name").select("name", "label", "phash", "pos")
     # A hash with its label is one row while hashes are paired: frames of one hash and label never meet each other.
-    kinds = checkpointed(known.select("phash", "label").distinct())
+    kinds = stored(known.select("phash", "label").distinct())
     one = lambda x: kinds.select(F.col("label").alias(f"label_{x}"), F.col("phash").alias(x))
     pairs = hash_pairs(kinds, threshold).join(one("a"), "a").join(one("b"), "b").filter("label_a <> label_b")
     side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in ("name", "label", "pos")], F.col("phash").alias(x))
@@ -96,7 +96,7 @@ def ordered(hashes: DataFrame, protected: DataFrame) -> DataFrame:
 
 
 class _Growing:
-    """A table that grows by checkpointed parts, which become one each MERGE_EACH parts."""
+    """A table that grows by stored parts, which become one each MERGE_EACH parts."""
 
     def __init__(self) -> None:
         self.parts: list[DataFrame] = []
@@ -104,7 +104,7 @@ class _Growing:
     def add(self, part: DataFrame) -> None:
         self.parts.append(part)
         if len(self.parts) > MERGE_EACH:
-            self.parts = [checkpointed(self.table().coalesce(64))]
+            self.parts = [stored(self.table().coalesce(64))]
 
     def table(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.parts)
@@ -115,12 +115,12 @@ def grouped(pairs: DataFrame) -> DataFrame:
 
     Each round gives a hash the least label around it, and then that label's label.
     """
-    label = checkpointed(pairs.groupBy(F.col("a").alias("phash")).agg(F.least(F.min("a"), F.min("b")).alias("group")))
+    label = stored(pairs.groupBy(F.col("a").alias("phash")).agg(F.least(F.min("a"), F.min("b")).alias("group")))
     for _ in range(MOST_ROUNDS):
         near = pairs.join(label.select(F.col("phash").alias("b"), "group"), "b").groupBy(F.col("a").alias("phash")).agg(F.min("group").alias("near"))
         best = label.join(near, "phash").select("phash", F.col("group").alias("old"), F.least("group", "near").alias("group"))
         up = label.select(F.col("phash").alias("group"), F.col("group").alias("up"))
-        new = checkpointed(best.join(up, "group").select("phash", "old", F.least("group", "up").alias("group")))
+        new = stored(best.join(up, "group").select("phash", "old", F.least("group", "up").alias("group")))
         label = new.select("phash", "group")
         if new.filter("old <> `group`").isEmpty():
             return label
@@ -191,24 +191,24 @@ def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool =
     they all would let the row go, or all let it stay, it does, whatever becomes of them. Else it waits.
     Of the rows of one phash those before the first that stays or waits are settled. Rows behind the
     first kept one of their own phash are decided all at once in the end,
-    and representatives are looked up then. A round's tables hold open rows and their pairs, and are checkpointed.
+    and representatives are looked up then. A round's tables hold open rows and their pairs, and are stored.
     """
-    rows = checkpointed(hashes.select("name", "phash", "dhash", "protected", "pos"))
-    pairs = checkpointed(hash_pairs(rows, threshold).filter("a <> b"))
+    rows = stored(hashes.select("name", "phash", "dhash", "protected", "pos"))
+    pairs = stored(hash_pairs(rows, threshold).filter("a <> b"))
     group = grouped(pairs)
     sizes = rows.join(group, "phash").groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= LOCAL)
-    small = checkpointed(group.join(sizes, "group").select("phash", "group"))
+    small = stored(group.join(sizes, "group").select("phash", "group"))
     local = decided_in_order(rows.join(small, "phash"), threshold, use_dhash)
-    rows = checkpointed(rows.join(small, "phash", "left_anti"))
-    pairs = checkpointed(pairs.join(small.select(F.col("phash").alias("a")), "a", "left_anti"))
+    rows = stored(rows.join(small, "phash", "left_anti"))
+    pairs = stored(pairs.join(small.select(F.col("phash").alias("a")), "a", "left_anti"))
     far = lambda other: bits.distance(F.col("dhash"), F.col(other)) > threshold + DHASH_SLACK if use_dhash else F.lit(False)
     # Hashes without pairs need no rounds: their first row stays.
     first = lambda part: part.groupBy(F.col("phash").alias("k_phash")).agg(F.min(F.struct("pos", "name", "dhash")).alias("k")).select("k_phash", F.col("k.pos").alias("k_pos"), F.col("k.name").alias("k_name"), F.col("k.dhash").alias("k_dhash"))
     paired = pairs.select(F.col("a").alias("phash")).distinct()
-    alone, known, dropped = checkpointed(first(rows.join(paired, "phash", "left_anti"))), _Growing(), _Growing()
+    alone, known, dropped = stored(first(rows.join(paired, "phash", "left_anti"))), _Growing(), _Growing()
     known.add(alone.limit(0))
     dropped.add(rows.limit(0))
-    left, open_pairs = checkpointed(rows.join(paired, "phash", "left_semi")), pairs
+    left, open_pairs = stored(rows.join(paired, "phash", "left_semi")), pairs
     for _ in range(MOST_ROUNDS):
         if left.isEmpty():
             break
@@ -223,18 +223,18 @@ def kept_first(hashes: DataFrame, threshold: int = THRESHOLD, use_dhash: bool =
         goes = F.col("held").isNotNull() & (F.col("may_stay").isNull() | (F.col("may_stay") > F.col("held")))
         stays = F.col("protected") | F.col("may_go").isNull() | F.coalesce(F.col("may_go") > F.col("held"), F.lit(False))
         told = left.join(near, "name", "left").select(*left.columns, F.when(stays, "stays").when(goes, "goes").otherwise("waits").alias("told"))
-        told = checkpointed(told)
+        told = stored(told)
         stop = told.filter("told <> 'goes'").groupBy("phash").agg(F.min(F.struct("pos", "told", "name", "dhash")).alias("s"))
-        stop = checkpointed(stop)
+        stop = stored(stop)
         new = stop.filter("s.told = 'stays'").select(F.col("phash").alias("k_phash"), F.col("s.pos").alias("k_pos"), F.col("s.name").alias("k_name"), F.col("s.dhash").alias("k_dhash"))
-        known.add(checkpointed(new))
+        known.add(stored(new))
         told = told.join(stop.select("phash", F.col("s.pos").alias("stop"), (F.col("s.told") == "stays").alias("held")), "phash", "left")
-        dropped.add(checkpointed(told.filter("told = 'goes'").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop"))).select(*left.columns)))
-        left = checkpointed(told.filter(~F.col("held") & (F.col("pos") >= F.col("stop"))).select(*left.columns))
-        open_pairs = checkpointed(open_pairs.join(left.select(F.col("phash").alias("a")).distinct(), "a", "left_semi"))
+        dropped.add(stored(told.filter("told = 'goes'").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop"))).select(*left.columns)))
+        left = stored(told.filter(~F.col("held") & (F.col("pos") >= F.col("stop"))).select(*left.columns))
+        open_pairs = stored(open_pairs.join(left.select(F.col("phash").alias("a")).distinct(), "a", "left_semi"))
     else:
         raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
-    kept = checkpointed(known.table())
+    kept = stored(known.table())
     nearest = dropped.table().join(pairs.withColumnRenamed("a", "phash"), "phash").join(kept, F.col("b") == F.col("k_phash")).filter(F.col("k_pos") < F.col("pos"))
     nearest = nearest.groupBy("name").agg(F.min(F.struct("distance", "k_pos", "k_name")).alias("n"))
     gone = nearest.select("name", F.lit(False).alias("kept"), F.col("n.k_name").alias("representative"), F.col("n.distance").alias("distance"))
@@ -254,26 +254,26 @@ def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
     """
     every = hashes.select("name", "phash", "pos")
     first = every.groupBy("phash").agg(F.min(F.struct("pos", "name")).alias("f"))
-    rows = checkpointed(first.select(F.col("f.name").alias("name"), "phash", F.col("f.pos").alias("pos")))
+    rows = stored(first.select(F.col("f.name").alias("name"), "phash", F.col("f.pos").alias("pos")))
     earlier = rows.select(F.col("name").alias("e_name"), F.col("phash").alias("b"), F.col("pos").alias("e_pos"))
     pairs = hash_pairs(rows, threshold).join(rows.withColumnRenamed("phash", "a"), "a").join(earlier, "b").filter(F.col("e_pos") < F.col("pos"))
-    pairs = checkpointed(pairs.select("name", "e_name", "e_pos", "distance"))
+    pairs = stored(pairs.select("name", "e_name", "e_pos", "distance"))
     left = pairs.select("name", "e_name")
-    leads = checkpointed(rows.select("name").join(left.select("name").distinct(), "name", "left_anti"))
+    leads = stored(rows.select("name").join(left.select("name").distinct(), "name", "left_anti"))
     taken = _Growing()
     for _ in range(MOST_ROUNDS):
         # Those behind the leaders found last, and what is still open without them.
-        new = checkpointed(left.join(leads.select(F.col("name").alias("e_name")), "e_name", "left_semi").select("name").distinct())
+        new = stored(left.join(leads.select(F.col("name").alias("e_name")), "e_name", "left_semi").select("name").distinct())
         taken.add(new)
-        rest = checkpointed(left.join(new, "name", "left_anti"))
+        rest = stored(left.join(new, "name", "left_anti"))
         if rest.isEmpty():
             break
         open_rows = rest.select("name").distinct()
-        left = checkpointed(rest.join(new.select(F.col("name").alias("e_name")), "e_name", "left_anti"))
-        leads = checkpointed(open_rows.join(left.select("name").distinct(), "name", "left_anti"))
+        left = stored(rest.join(new.select(F.col("name").alias("e_name")), "e_name", "left_anti"))
+        leads = stored(open_rows.join(left.select("name").distinct(), "name", "left_anti"))
     else:
         raise RuntimeError(f"not decided in {MOST_ROUNDS} rounds")
-    gone = checkpointed(taken.table())
+    gone = stored(taken.table())
     # All earlier near rows that were not taken lead.
     told = pairs.join(gone.select(F.col("name").alias("e_name")), "e_name", "left_anti").join(gone, "name", "left_semi")
     told = told.groupBy("name").agg(F.min(F.struct("e_pos", "e_name", "distance")).alias("f")).select("name", "f.e_name", "f.distance")

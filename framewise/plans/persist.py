@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a parquet table in the shared folder, read back: for tables that are made of each other, round after round.
+
+    A checkpoint keeps the estimated size of its plan, which joins multiply: after some rounds that number
+    alone has so many digits that it fills the driver. A table is as large as its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/framewise-tables/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -176,3 +176,12 @@ def test_leaders_and_pairs_of_random_hashes(spark, monkeypatch, seed):
     apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
     own = {p for _, p in rows}
     assert sorted(map(tuple, dedupe.hash_pairs(hashes, 3).collect())) == sorted((a, b, apart(a, b)) for a in own for b in own if apart(a, b) <= 3)
+
+
+def test_estimated_sizes_do_not_grow_with_rounds(spark, monkeypatch):
+    """Each of a chain of hashes is near the next one only, so that there are several rounds; their joins must not multiply."""
+    monkeypatch.setattr(dedupe, "LOCAL", 0)
+    rows = [(f"f{i:04}.jpg", ((1 << 4 * i) - 1) - (1 << 63), 0, False) for i in range(6)]
+    decided = dedupe.kept_first(hash_rows(spark, rows), 4, False)
+    assert {r["name"]: (r["kept"], r["representative"], r["distance"]) for r in decided.collect()} == plain_greedy(rows, 4)
+    assert int(str(decided._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**60
