@@ -35,14 +35,18 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 SUBSUMED = 80
 #: Different words' places in an automaton, and phrases that a task sums before it sends them on.
 SHARD, HELD = 200_000, 700_000
+#: Places in the shards of all languages of a task, in full shards.
+MOST_SHARDS = 4
 #: Bytes of text that a counting task reads at most, unless that leaves cores idle: every task sends the frequent phrases once.
 READ = 256 << 20
-#: n-grams that a task counts before it merges them.
-BATCH = 1 << 22
-#: The buckets of a level are 2 to the power of bits, a bitmap of so many bits in every task: as many as
-#: the corpus has bytes by eight, within these bounds. BLOCK buckets are summed together.
+#: n-grams that a task counts before it merges them, and buckets that it holds before it sends them.
+BATCH, KEEP = 1 << 22, 1 << 22
+#: The buckets of a level are 2 to the power of bits: as many as the corpus has bytes by eight, within
+#: these bounds. BLOCK buckets are summed together.
 LEAST_BITS, MOST_BITS = 20, 30
 BLOCK = 1 << 17
+#: Bits for each full bucket (twice that at most) in the bitmaps of a task. Rows of blocks in a batch.
+SPARSE, BLOCKS = 32, 256
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 
@@ -78,29 +82,61 @@ class Words:
                 yield n, tg.mix(h ^ self.salt[at] * U(2 * n + 1)), at
 
 
-def alive(words: Words, bitmaps: dict[int, np.ndarray], bits: int) -> list[np.ndarray]:
+class Full:
+    """Which buckets are full, in memory by their number and not by that of all buckets: two bits for each.
+
+    Of the other buckets a few in a thousand seem full, which only lets some more n-grams through.
+    """
+
+    def __init__(self, buckets: np.ndarray) -> None:
+        self.bits = max(10, (SPARSE * len(buckets)).bit_length())
+        self.bitmap = np.zeros(1 << self.bits >> 3, np.uint8)
+        for a in range(0, len(buckets), BATCH):
+            for at in self._places(buckets[a : a + BATCH].astype(U)):
+                np.bitwise_or.at(self.bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def _places(self, bucket: np.ndarray) -> Iterator[np.ndarray]:
+        with np.errstate(over="ignore"):
+            for step in (STEP, U(0xD6E8FEB86659FD93)):
+                yield ((bucket + U(1)) * step >> U(64 - self.bits)).astype(np.int64)
+
+    def seems(self, bucket: np.ndarray) -> np.ndarray:
+        """For each bucket whether it is full, or seems to be."""
+        out = np.ones(len(bucket), bool)
+        for at in self._places(bucket):
+            out &= self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+        return out
+
+
+def alive(words: Words, full: dict[int, Full], bits: int) -> list[np.ndarray]:
     """For each n up to DEPTH whether the n-gram from each word may be a candidate: its bucket is full and so are those of its parts."""
     out = []
     for n, key, at in words.grams():
         ok = np.zeros(len(words.hash), bool)
-        if n in bitmaps:
-            bucket = (key >> U(64 - bits)).astype(np.int64)
-            ok[at] = bitmaps[n][bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1 > 0
-        else:
-            ok[at] = True
         if n > 1:
-            ok[:-1] &= out[-1][:-1] & out[-1][1:]
+            some = out[-1][at] & out[-1][at + 1]
+            key, at = key[some], at[some]
+        ok[at] = full[n].seems(key >> U(64 - bits)) if n in full else True
         out.append(ok)
     return out
 
 
-def packed(bitmaps: dict[int, np.ndarray]) -> dict[int, tuple[int, bytes]]:
-    """Bitmaps as tasks get them: few bits are set, and every executor keeps what is sent to it on its disk."""
-    return {n: (b.nbytes, pa.compress(b.tobytes(), codec="zstd", asbytes=True)) for n, b in bitmaps.items()}
+def gaps(at: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 as their gaps, the bytes of one place one after the other."""
+    return np.diff(at, prepend=at.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unpacked(sent: dict[int, tuple[int, bytes]]) -> dict[int, np.ndarray]:
-    return {n: np.frombuffer(pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True), np.uint8) for n, (size, raw) in sent.items()}
+def ungapped(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").reshape(-1), dtype=np.int64)
+
+
+def packed(full: dict[int, np.ndarray]) -> dict[int, tuple[int, bytes]]:
+    """Full buckets (ascending) as tasks get them: every executor keeps what is sent to it on its disk."""
+    return {n: (len(b), pa.compress(gaps(b), codec="zstd", asbytes=True)) for n, b in full.items()}
+
+
+def unpacked(sent: dict[int, tuple[int, bytes]]) -> dict[int, Full]:
+    return {n: Full(ungapped(pa.decompress(raw, decompressed_size=4 * size, codec="zstd", asbytes=True), size)) for n, (size, raw) in sent.items()}
 
 
 def chunked(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
@@ -114,41 +150,45 @@ def chunked(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
 
 
 class Buckets:
-    """Counts of hashed n-grams of one level, capped at LEAST, sorted by bucket."""
+    """Counts of hashed n-grams of one level, capped at LEAST: one number each, ascending, of the bucket and (in the last byte) the count."""
 
     def __init__(self) -> None:
         self.new: list[np.ndarray] = []
         self.size = 0
-        self.bucket, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = np.zeros(0, U)
 
     def add(self, bucket: np.ndarray) -> None:
-        self.new.append(bucket)
+        self.new.append(bucket.astype(np.uint32))
         self.size += len(bucket)
         if self.size >= BATCH:
             self.merge()
 
     def merge(self) -> None:
-        bucket, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.new]), return_counts=True)
-        both = np.concatenate([self.bucket, bucket])
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], np.concatenate([self.n, n])[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, int)
-        self.bucket, self.n = both[first], np.minimum(np.add.reduceat(n, first), LEAST) if len(first) else np.zeros(0, np.int64)
+        both = np.concatenate([self.held, *(x.astype(U) << U(8) | U(1) for x in self.new)])
         self.new, self.size = [], 0
+        both.sort()
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] >> U(8) != both[:-1] >> U(8)
+        first = np.flatnonzero(new)
+        n = np.minimum(np.add.reduceat(both & U(255), first), U(LEAST)) if len(first) else np.zeros(0, U)
+        self.held = both[first] >> U(8) << U(8) | n
 
     def rows(self, level: int) -> Iterator[pa.RecordBatch]:
-        """level, block, number of buckets, packed: gaps between buckets, the bytes of one place one after the other, and counts."""
+        """level, block, number of buckets, packed: gaps between buckets, and counts. Nothing is held then."""
         self.merge()
-        block = self.bucket // BLOCK
-        for a, b in zip(*(np.searchsorted(block, u, s) for u in [np.unique(block)] for s in ("left", "right")), strict=True):
-            inside = self.bucket[a:b] % BLOCK
-            raw = np.diff(inside, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + self.n[a:b].astype(np.uint8).tobytes()
-            held = [[level], [int(block[a])], [int(b - a)], [pa.compress(raw, codec="zstd", asbytes=True)]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["level", "block", "n", "packed"])
+        bucket, n = (self.held >> U(8)).astype(np.int64), (self.held & U(255)).astype(np.uint8)
+        self.held = np.zeros(0, U)
+        block = bucket // BLOCK
+        kinds = np.unique(block)
+        cuts = [*zip(kinds.tolist(), *(np.searchsorted(block, kinds, s).tolist() for s in ("left", "right")), strict=True)]
+        for i in range(0, len(cuts), BLOCKS):
+            held = [(level, k, b - a, pa.compress(gaps(bucket[a:b] % BLOCK) + n[a:b].tobytes(), codec="zstd", asbytes=True)) for k, a, b in cuts[i : i + BLOCKS]]
+            kind = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kind, strict=True)], names=["level", "block", "n", "packed"])
 
 
 def full_buckets(texts: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], bits: int) -> dict[int, np.ndarray]:
-    """For each level a bitmap of the buckets that LEAST n-grams or more fall into, of those whose parts are in full buckets of the known levels."""
+    """For each level the buckets (ascending) that LEAST n-grams or more fall into, of those whose parts are in full buckets of the known levels."""
 
     sent = packed(known)
 
@@ -159,30 +199,41 @@ def full_buckets(texts: DataFrame, levels: tuple[int, ...], known: dict[int, np.
                 ok = alive(words, full, bits)
                 for n, key, at in words.grams():
                     if n in held:
-                        held[n].add((key[ok[n - 1][at]] >> U(64 - bits)).astype(np.int64))
+                        held[n].add(key[ok[n - 1][at]] >> U(64 - bits))
+                        if len(held[n].held) >= KEEP:
+                            yield from held[n].rows(n)
         for n, b in held.items():
             yield from b.rows(n)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense: dict[tuple[int, int], np.ndarray] = {}
+        """Block by block, so a task holds the counts of one."""
+        now, have = None, np.zeros(BLOCK, np.uint8)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(have >= LEAST)
+            if now is not None and len(at):
+                row = (*now, len(at), pa.compress(gaps(at), codec="zstd", asbytes=True))
+                kind = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kind, strict=True)], names=["level", "block", "n", "packed"])
+
         for batch in batches:
-            for level, block, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = pa.decompress(packed, decompressed_size=5 * n, codec="zstd", asbytes=True)
-                gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4")
-                at = np.cumsum(gaps.reshape(-1))
-                have = dense.setdefault((level, block), np.zeros(BLOCK, np.uint8))
+            for level, block, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (level, block):
+                    yield from told()
+                    now = (level, block)
+                    have[:] = 0
+                raw = pa.decompress(raw, decompressed_size=5 * n, codec="zstd", asbytes=True)
+                at = ungapped(raw, n)
                 have[at] = np.minimum(have[at] + np.frombuffer(raw, np.uint8, n, 4 * n), LEAST)  # 60 at most before
-        for (level, block), have in dense.items():
-            packed = pa.compress(np.packbits(have >= LEAST, bitorder="little").tobytes(), codec="zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([block], pa.int64()), pa.array([packed], pa.binary())], names=["level", "block", "packed"])
+        yield from told()
 
     told = mapped(texts, count, "level int, block long, n long, packed binary")
-    told = mapped(told.repartition("level", "block"), add, "level int, block long, packed binary")
-    out = {n: np.zeros((1 << bits) // 8, np.uint8) for n in levels}
-    for r in told.toLocalIterator():  # BLOCK bits a row, 2 ** bits a level
-        bitmap = np.frombuffer(pa.decompress(bytes(r["packed"]), decompressed_size=BLOCK // 8, codec="zstd", asbytes=True), np.uint8)
-        out[r["level"]][r["block"] * BLOCK // 8 :][: BLOCK // 8] = bitmap
-    return out
+    told = mapped(told.repartition("level", "block").sortWithinPartitions("level", "block"), add, "level int, block long, n long, packed binary")
+    out: dict[int, list[tuple[int, np.ndarray]]] = {n: [] for n in levels}
+    for r in told.toLocalIterator():  # the full buckets only
+        at = ungapped(pa.decompress(bytes(r["packed"]), decompressed_size=4 * r["n"], codec="zstd", asbytes=True), r["n"])
+        out[r["level"]].append((r["block"], (at + r["block"] * BLOCK).astype(np.uint32)))
+    return {n: np.concatenate([np.zeros(0, np.uint32), *(x for _, x in sorted(b, key=lambda x: x[0]))]) for n, b in out.items()}
 
 
 def automaton(runs: list[tuple[list[int], int]]) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -254,8 +305,8 @@ class Shard:
         self.long = 0
 
     def size(self) -> int:
-        """Places of words in different runs."""
-        return self.long + 2 * len(self.pairs)
+        """Places of words in different runs, and different words."""
+        return self.long + 2 * len(self.pairs) + len(self.word)
 
     def add(self, words: Words, own: np.ndarray, ok: list[np.ndarray]) -> None:
         """The words at the places own (ascending, whole pieces)."""
@@ -331,13 +382,13 @@ def gathered(texts: DataFrame, size: int) -> DataFrame:
     return texts.coalesce(max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-size // READ)))
 
 
-def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> DataFrame:
+def counted(texts: DataFrame, full: dict[int, np.ndarray], bits: int) -> DataFrame:
     """lang, phrase, n of the shards: parts of the counts of every phrase that may be a candidate or a part of one, and (phrase null) of all words."""
 
-    given = packed(bitmaps)
+    given = packed(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = unpacked(given)
+        known = unpacked(given)
         shards: dict[str, Shard] = {}
         total: Counter[str] = Counter()
         sums: dict[str, Counter[str]] = {}
@@ -359,7 +410,7 @@ def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> Data
 
         for batch in batches:
             for words, langs in chunked(batch):
-                ok = alive(words, full, bits)
+                ok = alive(words, known, bits)
                 code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
                 lang = np.array([code[x] for x in langs])[words.doc]
                 for x, i in code.items():
@@ -371,6 +422,8 @@ def counted(texts: DataFrame, bitmaps: dict[int, np.ndarray], bits: int) -> Data
                     shard.add(words, own, ok)
                     if shard.size() >= SHARD:
                         yield from closed(x)
+                while sum(x.size() for x in shards.values()) >= MOST_SHARDS * SHARD:  # many languages
+                    yield from closed(max(shards, key=lambda x: shards[x].size()))
         for x in list(shards):
             yield from closed(x)
         yield from [sent(x) for x in {**sums, **total}]

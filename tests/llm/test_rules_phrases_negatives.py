@@ -147,6 +147,35 @@ def test_tasks_that_count_phrases_are_as_many_as_the_text_needs(spark, monkeypat
     assert phrases.gathered(texts, 20 * phrases.READ - 1).rdd.getNumPartitions() == 20
 
 
+def test_full_buckets_take_memory_by_their_number(spark, monkeypatch):
+    """Not by the number of all buckets: a bitmap of 2**30 bits for each level was in every task."""
+    texts = spark.createDataFrame([("en", "one two three four five")] * 40 + [("en", f"x{i}") for i in range(200)], "lang string, text string")
+    found = phrases.full_buckets(texts, (1, 2), {}, 30)
+    assert {n: len(b) for n, b in found.items()} == {1: 5, 2: 4} and sum(b.nbytes for b in found.values()) < 1000
+    known = phrases.unpacked(phrases.packed(found))
+    assert all(known[n].seems(b.astype(np.uint64)).all() and known[n].bitmap.nbytes < 1000 for n, b in found.items())
+    many = np.unique(np.random.default_rng(4).integers(0, 1 << 30, 100_000))
+    few = phrases.unpacked(phrases.packed({1: many}))[1]
+    assert few.seems(many.astype(np.uint64)).all() and few.seems(np.setdiff1d(np.arange(100_000), many).astype(np.uint64)).mean() < 0.01
+
+
+def test_counting_tasks_hold_few_buckets(spark, monkeypatch):
+    """They send what they hold on the way, and parts of counts add up."""
+    held = phrases.Buckets()
+    monkeypatch.setattr(phrases, "BATCH", 1000)
+    sent, rng = Counter(), np.random.default_rng(3)
+    added = [rng.integers(0, 3000, 700) for _ in range(50)]
+    for i, x in enumerate(added):
+        held.add(x)
+        if i % 7 == 6 or i == 49:
+            for b in held.rows(2):
+                for block, n, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    raw = phrases.pa.decompress(raw, decompressed_size=5 * n, codec="zstd", asbytes=True)
+                    sent.update(dict(zip((phrases.ungapped(raw, n) + block * phrases.BLOCK).tolist(), raw[4 * n :], strict=True)))
+            assert not len(held.held)
+    assert sent == Counter(np.concatenate(added).tolist())
+
+
 def test_frequent_phrases_stay_in_a_full_task():
     sums = Counter({"a": 5, "b": 1, "c": 1, "d": 9, "e": 2})
     kept, sent = phrases.parted(sums)
